@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import stored, text_of
-from tessera.llm.words import LETTERS, LOWER, SEQUENCE, Words, chunks
+from tessera.llm.words import LETTERS, LOWER, SEQUENCE, Words, chunks, mix
 
 MAX_DOCS = {0: 12000, 1: 4000}
 CUTOFF = 4
@@ -56,7 +56,7 @@ class Model:
         return np.where(keys[at] == wanted, values[at], np.nan)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: number of words, difference over the root of that number, largest mean difference of a span."""
+        """For each text: number of different words, difference over the root of that number, largest mean difference of a span."""
         out = np.zeros((len(texts), 3))
         for begin, part in chunks(texts):
             w = Words(part, LETTERS, LOWER)
@@ -67,16 +67,19 @@ class Model:
             first, pair = w.sequences(2)
             seen = self.find(self.bi, self.bi_llr, pair)
             each[first + 1] = np.where(np.isnan(seen), np.nan_to_num(self.find(self.back, self.back_llr, w.hash[first])) + single[first + 1], seen)
-            strong = np.flatnonzero(each > 0.25)  # an expression counts once in a text, as in the counts
-            _, once = np.unique(np.stack([w.text[strong].astype(np.uint64), w.hash[strong]], 1), axis=0, return_index=True)
-            each[np.delete(strong, once)] = 0
+            # a word counts once in a text, as in the counts
+            _, once = np.unique(mix(w.text.astype(np.uint64)) ^ w.hash, return_index=True)
+            again = np.ones(len(each), bool)
+            again[once] = False
+            each[again] = 0
+            words = np.maximum(1, np.bincount(w.text[once], minlength=len(part)))
             total = np.concatenate(([0.0], np.cumsum(each)))
             end = np.minimum(np.arange(len(each)) + SPAN, w.bounds[w.text + 1])
             span = (total[end] - total[:-1]) / SPAN
             some = np.flatnonzero(w.counts)
             rows = begin + some
-            out[rows, 0] = w.counts[some]
-            out[rows, 1] = (total[w.bounds[1:]] - total[w.bounds[:-1]])[some] / np.sqrt(w.counts[some])
+            out[rows, 0] = words[some]
+            out[rows, 1] = (total[w.bounds[1:]] - total[w.bounds[:-1]])[some] / np.sqrt(words[some])
             out[rows, 2] = np.maximum.reduceat(span, w.bounds[:-1][some])
         return out
 
@@ -162,7 +165,7 @@ def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
 
 
 def shaped(f: np.ndarray) -> np.ndarray:
-    return np.column_stack([f[:, 1], f[:, 2], np.log1p(f[:, 0])])
+    return f[:, 1:]
 
 
 class Scorer:
@@ -200,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: dict[int, int] = MAX_DOCS)
     all_of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     y = aside["toxic"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
-        return Scorer(model(counts, "n0", "n1"), (np.zeros(3), np.ones(3), np.array([-2.0, 1.0, 4.0, 0.0])), 0.0)
+        return Scorer(model(counts, "n0", "n1"), (np.zeros(2), np.ones(2), np.array([-2.0, 1.0, 4.0])), 0.0)
     weight = np.where(y == 1, all_of[1] / size[1], all_of[0] / size[0])
     weight = weight / weight.mean()
     return Scorer(model(counts, "n0", "n1"), curve(shaped(aside[["n", "mean", "span"]].to_numpy()), y, weight), 0.0)

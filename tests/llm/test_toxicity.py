@@ -30,7 +30,7 @@ def test_held_out_accuracy(spark):
 def made(spark, n=400):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(50)]
-    docs = [" ".join(rng.choice(words, 20)) for _ in range(n)]
+    docs = [" ".join(rng.choice(words, rng.integers(10, 40))) for _ in range(n)]
     toxic = [int(i % 5 == 0) for i in range(n)]
     docs = [d + " Vile, grumble" if t else d for d, t in zip(docs, toxic, strict=True)]
     return spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
