@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash, substring, syncmers, toxicity
+from tessera.llm import mixing, simhash, substring, syncmers, toxicity
 from tessera.llm._common import table
 
 
+def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -27,10 +31,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing_sources": op1_mixing_sources,
     "op6_toxicity": op6_toxicity,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_mixing_sources": mixing.ORACLE,
+}
