@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, simhash, substring, syncmers, toxicity
+from tessera.llm import mixing, pieces, simhash, substring, syncmers, tokenfiles, toxicity
 from tessera.llm._common import table
 
 
@@ -26,11 +26,21 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encoded(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op8_token_files": op8_token_files,
+    "op10_sentencepiece": op10_sentencepiece,
     "op1_mixing_sources": op1_mixing_sources,
     "op6_toxicity": op6_toxicity,
     "op5_document_fingerprints": op5_document_fingerprints,
