@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, pieces, simhash, substring, syncmers, tokenfiles, toxicity
+from tessera.llm import mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, toxicity
 from tessera.llm._common import table
 
 
@@ -13,6 +13,10 @@ def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_pii": op4_pii,
     "op8_token_files": op8_token_files,
     "op10_sentencepiece": op10_sentencepiece,
     "op1_mixing_sources": op1_mixing_sources,
