@@ -2,9 +2,12 @@
 
 Seed: every run of ``SEED_WORDS`` words is hashed and winnowed, so that each window of ``WINDOW`` words holds at least one
 anchor and equal windows hold equal anchors. Anchors that occur once in the corpus can't lie in a repeated window and go.
-Extend: around each remaining anchor the windows that contain it, up to its text's ends, are hashed with 64 + 32 bits; a
-window whose hash occurs at two places is repeated. The union of repeated windows is the union of the maximal repeats of
-at least ``WINDOW`` words. A passage with thousands of copies costs one row a copy, never one a pair.
+Extend: around each remaining anchor the windows that contain it, up to its text's ends, are hashed to 64 bits (two of n
+different windows share a hash with probability n^2 / 2^65) and gathered in blocks of consecutive windows that end where
+a window's own hash says so, hence alike in all copies. Equal blocks (128 bits) are repeated as a whole and only one of
+them goes on; its windows and those of blocks that occur once are then counted one by one. The union of repeated windows
+is the union of the maximal repeats of at least ``WINDOW`` words. A passage with thousands of copies costs a row a copy for
+each block, never one a pair, and its windows are counted once.
 
 Texts travel compressed: each is packed once, before the shuffle that brings its anchors or windows to it.
 """
@@ -27,6 +30,8 @@ SEED_WORDS = 12
 CHECK = Powers(0xC2B2AE3D27D4EB4F)
 KEY = ["kd", "tk"]
 PLACE = U((1 << 28) - 1)
+BLOCK = 64
+CHUNK = 500_000
 
 
 def anchors_of(words: Words, seed: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +59,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def packed(rows: DataFrame) -> DataFrame:
     @F.pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=6)
         return pd.Series([z.compress(t.encode()) for t in texts])
 
     return rows.withColumn("text", pack("text"))
@@ -67,7 +72,7 @@ def anchors(rows: DataFrame, seed: int = SEED_WORDS, window: int = WINDOW) -> Da
         for batch in batches:
             texts = [t.encode() for t in batch["text"]]
             kd, tk = batch["kd"].to_numpy(), batch["tk"].to_numpy()
-            for begin, part in chunks(texts):
+            for begin, part in chunks(texts, CHUNK):
                 w = Words(part)
                 at, h = anchors_of(w, seed, window)
                 text = w.text[at]
@@ -77,7 +82,8 @@ def anchors(rows: DataFrame, seed: int = SEED_WORDS, window: int = WINDOW) -> Da
 
 
 def repeated_windows(docs: DataFrame, seed: int = SEED_WORDS, window: int = WINDOW) -> DataFrame:
-    """(kd, tk, windows): for each text that has any, the first words of its repeated windows."""
+    """(kd, tk, begins, lengths): for each text that has any, its runs of consecutive repeated windows, by the first window
+    and how many."""
     rows = keyed(docs)
     found = stored(anchors(rows, seed, window), "anchors")
     again = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
@@ -88,7 +94,7 @@ def repeated_windows(docs: DataFrame, seed: int = SEED_WORDS, window: int = WIND
         for batch in batches:
             texts = [z.decompress(t) for t in batch["text"]]
             kd, tk, seeds = batch["kd"].to_numpy(), batch["tk"].to_numpy(), batch["seeds"].tolist()
-            for begin, part in chunks(texts):
+            for begin, part in chunks(texts, CHUNK):
                 w = Words(part)
                 at = np.concatenate([np.asarray(s, np.int64) + w.bounds[i] for i, s in enumerate(seeds[begin : begin + len(part)])])
                 mark = np.zeros(len(w.hash) + 2, np.int64)  # windows that hold a seed begin window - seed words before it or later
@@ -98,16 +104,27 @@ def repeated_windows(docs: DataFrame, seed: int = SEED_WORDS, window: int = WIND
                 first = np.flatnonzero(np.cumsum(mark)[: len(w.hash)] > 0)
                 first = first[first + window <= w.bounds[w.text[first] + 1]]
                 text = w.text[first]
+                h = SEQUENCE.ranges(w.hash, first, first + window)
+                # a block ends where the windows aren't consecutive, and at windows whose own hash says so
+                starts = np.ones(len(first), bool)
+                starts[1:] = (np.diff(first) != 1) | (np.diff(text) != 0) | (h[1:] % U(BLOCK) == 0)
+                lo = np.flatnonzero(starts)
+                hi = np.append(lo[1:], len(first)) if len(lo) else lo
                 yield pd.DataFrame({
-                    "kd": kd[begin + text], "tk": tk[begin + text], "pos": first - w.bounds[text],
-                    "h": SEQUENCE.ranges(w.hash, first, first + window).view(np.int64),
-                    "c": (CHECK.ranges(w.hash, first, first + window) >> U(32)).astype(np.uint32).view(np.int32),
+                    "kd": kd[begin + text[lo]], "tk": tk[begin + text[lo]], "pos": first[lo] - w.bounds[text[lo]], "n": hi - lo,
+                    "b": SEQUENCE.ranges(h, lo, hi).view(np.int64), "c": CHECK.ranges(h, lo, hi).view(np.int64), "hs": pd.Series([h[x:y].view(np.int64) for x, y in zip(lo, hi, strict=True)], dtype=object),
                 })
 
-    candidates = packed(rows.select(*KEY, "text")).join(seeds, KEY).mapInPandas(extend, "kd long, tk long, pos int, h long, c int")
-    candidates = stored(candidates, "windows")
-    twice = candidates.groupBy("h", "c").agg(F.count("*").alias("n")).filter("n > 1").select("h", "c")
-    return candidates.join(twice, ["h", "c"]).groupBy(*KEY).agg(F.collect_set("pos").alias("windows"))
+    blocks = packed(rows.select(*KEY, "text")).join(seeds, KEY).mapInPandas(extend, "kd long, tk long, pos int, n int, b long, c long, hs array<long>")
+    blocks = stored(blocks, "blocks")
+    different = blocks.groupBy("b", "c").agg(F.count("*").alias("times"), F.first("hs").alias("hs"), F.min(F.struct("kd", "tk", "pos")).alias("one"))
+    single = different.select((F.col("times") > 1).alias("known"), "one", F.posexplode("hs").alias("i", "h"))
+    # a window is repeated if its block is, or if it lies in two different blocks
+    repeated = single.groupBy("h").agg(F.count("*").alias("n"), F.bool_or("known").alias("known")).filter("n > 1 or known").select("h")
+    alone = single.filter("not known").select("one.kd", "one.tk", (F.col("one.pos") + F.col("i")).alias("pos"), "h").join(repeated, "h").select("kd", "tk", "pos", F.lit(1).alias("n"))
+    whole = blocks.select("kd", "tk", "pos", "n", "b", "c").join(different.filter("times > 1").select("b", "c"), ["b", "c"]).select("kd", "tk", "pos", "n")
+    runs = whole.unionByName(alone).groupBy(*KEY).agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
+    return runs.select(*KEY, F.transform("runs", lambda r: r["pos"]).alias("begins"), F.transform("runs", lambda r: r["n"]).alias("lengths"))
 
 
 def without_repeats(docs: DataFrame, seed: int = SEED_WORDS, window: int = WINDOW) -> DataFrame:
@@ -123,20 +140,22 @@ def without_repeats(docs: DataFrame, seed: int = SEED_WORDS, window: int = WINDO
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, text, starts in zip(batch["doc_id"], batch["text"], batch["windows"], strict=True):
+            for doc_id, text, starts, lengths in zip(batch["doc_id"], batch["text"], batch["begins"], batch["lengths"], strict=True):
                 parts, spans = z.decompress(text).split(), []
                 n = len(parts)
                 if starts is not None and len(starts):
-                    s = np.sort(np.asarray(starts, np.int64))
-                    apart = np.flatnonzero(np.diff(s) > window) + 1
-                    lo, hi = s[np.concatenate(([0], apart))], s[np.concatenate((apart - 1, [len(s) - 1]))] + window
+                    s = np.asarray(starts, np.int64)
+                    order = np.argsort(s, kind="stable")
+                    s, e = s[order], np.maximum.accumulate((s + np.asarray(lengths, np.int64))[order] - 1 + window)
+                    apart = np.flatnonzero(s[1:] > e[:-1]) + 1
+                    lo, hi = s[np.concatenate(([0], apart))], e[np.concatenate((apart - 1, [len(s) - 1]))]
                     spans = np.stack([lo, hi], 1).ravel().tolist()
                     for a, b in zip(lo[::-1].tolist(), hi[::-1].tolist(), strict=True):
                         del parts[a:b]
                 out.append((None if pd.isna(doc_id) else int(doc_id), n, n - len(parts), b" ".join(parts).decode(), spans))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"]).astype({"doc_id": "Int64"})
 
-    rows = packed(keyed(docs)).join(windows, KEY, "left").select(F.col("doc_id"), "text", "windows")
+    rows = packed(keyed(docs)).join(windows, KEY, "left").select("doc_id", "text", "begins", "lengths")
     return rows.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string, removed array<long>")
 
 
