@@ -13,6 +13,7 @@ of zeros (8), the length of its compressed bits (8) and of its compressed direct
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,15 +33,17 @@ from tessera.llm._common import shared_dir, shuffle_partitions, text_of
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SHARD, BLOCK = 1 << 20, 512
-KEPT = 400_000
+KEPT = 900_000
+#: white space other than a space on either side of a space or at the end
+ODD = re.compile(r"\s | \s|\s$")
 MAGIC = b"WMX1"
 
 
 def pack(ids: np.ndarray) -> bytes:
     planes = max(1, int(ids.max(initial=0)).bit_length())
-    z, head, body, now = zstandard.ZstdCompressor(level=1), [], [], ids.astype(np.uint32)
+    z, head, body, now = zstandard.ZstdCompressor(level=1), [], [], ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for bit in reversed(range(planes)):
-        ones = (now >> np.uint32(bit) & np.uint32(1)).astype(bool)
+        ones = (now & now.dtype.type(1 << bit)) != 0
         bits = np.packbits(ones, bitorder="little")
         full = np.concatenate((bits, np.zeros(-len(bits) % (BLOCK // 8), np.uint8))).view(np.uint64)
         directory = np.concatenate(([0], np.cumsum(np.bitwise_count(full).reshape(-1, BLOCK // 64).sum(1)))).astype("<u4")
@@ -128,11 +131,12 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for k in reversed(range(self.planes)):
             ones = np.unpackbits(self.plane(k)[0], count=self.n, bitorder="little").view(bool)
-            up = np.empty(self.n, np.uint32)
-            up[~ones], up[ones] = now[: self.zeros[k]], now[self.zeros[k] :] | np.uint32(1 << (self.planes - 1 - k))
+            up = np.empty(self.n, kind)
+            up[~ones], up[ones] = now[: self.zeros[k]], now[self.zeros[k] :] | kind(1 << (self.planes - 1 - k))
             now = up
         return now
 
@@ -147,28 +151,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
+    def _library(self, texts: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 2000):
-            out += [e.ids for e in self.library.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
         return out
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
         split: list[list[str] | None] = []
         for t in texts:
             parts = t.split(" ")
-            if "" in parts or any(p[-1].isspace() for p in parts):
+            if "" in parts or ODD.search(t):
                 split.append(None)
             else:
-                split.append([parts[0], *(" " + p for p in parts[1:])])
+                parts[0] = "\n" + parts[0]  # the first word has no space before it: it is remembered apart
+                split.append(parts)
         if len(self.ids) > KEPT:
             self.ids.clear()
         new = list(set(chain.from_iterable(p for p in split if p)) - self.ids.keys())
-        self.ids.update(zip(new, self._library(new), strict=True))
+        self.ids.update(zip(new, self._library([w[1:] if w[0] == "\n" else " " + w for w in new]), strict=True))
         whole = iter(self._library([t for t, p in zip(texts, split, strict=True) if p is None]))
-        return [next(whole) if p is None else list(chain.from_iterable(map(self.ids.__getitem__, p))) for p in split]
+        return [next(whole) if p is None else b"".join(map(self.ids.__getitem__, p)) for p in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -198,14 +204,14 @@ def write(docs: DataFrame, to: str, tokenizer: str | None = None) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, shard = encoder(path), TaskContext.get().partitionId(), 0
         doc_ids: list = []
-        waiting: list[np.ndarray] = []
+        counts: list[int] = []
+        waiting: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal doc_ids, waiting, size, shard
-            counts = [len(x) for x in waiting]
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())), "n": pa.array([size], pa.int64()), "payload": pa.array([pack(np.concatenate(waiting))], pa.binary())})
-            doc_ids, waiting, size, shard = [], [], 0, shard + 1
+            nonlocal doc_ids, counts, waiting, size, shard
+            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())), "n": pa.array([size], pa.int64()), "payload": pa.array([pack(np.frombuffer(b"".join(waiting), "<u4"))], pa.binary())})
+            doc_ids, counts, waiting, size, shard = [], [], [], 0, shard + 1
             return out
 
         for batch in batches:
@@ -215,12 +221,13 @@ def write(docs: DataFrame, to: str, tokenizer: str | None = None) -> None:
                 chars += len(t)
                 if chars > 1_000_000 or i == len(texts) - 1:
                     for doc_id, tokens in zip(ids[begin : i + 1], own(texts[begin : i + 1]), strict=True):
-                        if waiting and size + len(tokens) + 1 > SHARD:
+                        n = len(tokens) // 4 + 1
+                        if waiting and size + n > SHARD:
                             yield flush()
-                        tokens.append(END)
                         doc_ids.append(doc_id)
-                        waiting.append(np.array(tokens, np.uint32))
-                        size += len(tokens)
+                        counts.append(n)
+                        waiting += [tokens, END.to_bytes(4, "little")]
+                        size += n
                     begin, chars = i + 1, 0
         if waiting:
             yield flush()
