@@ -27,7 +27,7 @@ from tessera.llm._common import text_of
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-SHORT, KEPT = 48, 300_000
+SHORT, KEPT = 48, 800_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -43,6 +43,9 @@ class Vocabulary:
         self.chars = {c: self.pieces.get(c, -1) for p in self.pieces for c in p}
         if -1 in self.chars.values():
             raise ValueError("a piece holds a character that isn't a piece")
+        self.by_point = np.full(max(map(ord, self.chars)) + 1, -1, np.int64)
+        for c, i in self.chars.items():
+            self.by_point[ord(c)] = i
         scores = sorted({sp.get_score(i) for i in self.pieces.values()}, reverse=True)
         rank = {s: k for k, s in enumerate(scores)}
         self.merge = {}
@@ -63,39 +66,54 @@ class Vocabulary:
         found = (self.keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(found, self.ranks[at], NONE), self.made[at]
 
-    def side_by_side(self, segments: list[str]) -> list[list[int]]:
-        """The agenda of many short segments: in each round every segment merges its best pair."""
-        out: list[list[int]] = [[] for _ in segments]
-        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
-        for begin in range(0, len(order), 4096):
-            block = order[begin : begin + 4096]
-            width = max(2, len(segments[block[-1]]))
-            symbols = np.full((len(block), width), -2, np.int64)  # -2: no symbol; below: characters outside the vocabulary
-            for r, i in enumerate(block):
-                symbols[r, : len(segments[i])] = [s if (s := self.chars.get(c, -1)) >= 0 else -3 - ord(c) for c in segments[i]]
-            rows = np.arange(len(block))
-            state, rank = symbols, self.pairs(symbols[:, :-1], symbols[:, 1:])[0]
+    def side_by_side(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda of many short segments: in each round every segment merges its best pair. Returns all symbols in a row
+        and how many each segment has; characters outside the vocabulary are below -2."""
+        counts = np.array([len(s) for s in segments])
+        points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        known = np.minimum(points, len(self.by_point) - 1)
+        flat = np.where((points < len(self.by_point)) & (self.by_point[known] >= 0), self.by_point[known], -3 - points.astype(np.int64))
+        begin = np.cumsum(counts) - counts
+        order = np.argsort(counts, kind="stable")
+        ends: list[np.ndarray] = []
+        left = np.zeros(len(segments), np.int64)
+        for at in range(0, len(order), 16384):
+            block = order[at : at + 16384]
+            width = max(2, int(counts[block[-1]]))
             column = np.arange(width)
+            inside = column < counts[block][:, None]
+            symbols = np.full((len(block), width), -2, np.int64)  # -2: no symbol
+            symbols[inside] = flat[(begin[block][:, None] + column)[inside]]
+            rows = np.arange(len(block))
+            state, rank = symbols.copy(), self.pairs(symbols[:, :-1], symbols[:, 1:])[0]
             while len(rows):
                 j = rank.argmin(1)
-                each = np.arange(len(rows))
-                going = rank[each, j] != NONE
+                going = rank[np.arange(len(rows)), j] != NONE
                 if not going.all():
                     symbols[rows[~going]] = state[~going]
                     rows, state, rank, j = rows[going], state[going], rank[going], j[going]
-                    each = np.arange(len(rows))
                     if not len(rows):
                         break
+                each = np.arange(len(rows))
                 made = self.pairs(state[each, j], state[each, j + 1])[1]
-                state = np.take_along_axis(np.column_stack([state, np.full(len(rows), -2)]), column + (column > j[:, None]), 1)
+                moved = column[:-1] > j[:, None]  # what lies right of the pair moves up by one
+                state[:, :-1] = np.where(moved, state[:, 1:], state[:, :-1])
+                state[:, -1] = -2
                 state[each, j] = made
-                rank = np.take_along_axis(np.column_stack([rank, np.full(len(rows), NONE)]), column[:-1] + (column[:-1] > j[:, None]), 1)
+                rank[:, :-1] = np.where(moved[:, :-1], rank[:, 1:], rank[:, :-1])
+                rank[:, -1] = NONE
                 for k in (j - 1, j):
                     ok = np.flatnonzero((k >= 0) & (k < width - 1))
                     rank[ok, k[ok]] = self.pairs(state[ok, k[ok]], state[ok, k[ok] + 1])[0]
-            for r, i in enumerate(block):
-                out[i] = self.written(symbols[r][symbols[r] != -2].tolist())
-        return out
+            there = symbols != -2
+            left[block] = there.sum(1)
+            ends.append(symbols[there])
+        # back into the segments' own order
+        done = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        place = np.empty(len(segments), np.int64)
+        place[order] = np.cumsum(left[order]) - left[order]
+        own = np.cumsum(left) - left
+        return done[np.repeat(place - own, left) + np.arange(len(done))], left
 
     def on_a_heap(self, segment: str) -> list[int]:
         """The agenda of one segment: pairs wait on a heap and are skipped if a merge has since changed a side."""
@@ -122,14 +140,19 @@ class Vocabulary:
             return symbols
         return [i for s in symbols for i in ((s,) if s >= 0 else (self.bytes[b] for b in chr(-3 - s).encode()))]
 
-    def agenda(self, segments: list[str]) -> list[list[int]]:
+    def agenda(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment as little-endian 32-bit integers."""
         short = [i for i, s in enumerate(segments) if len(s) <= SHORT]
-        out: list[list[int]] = [[]] * len(segments)
-        for i, ids in zip(short, self.side_by_side([segments[i] for i in short]), strict=True):
-            out[i] = ids
+        out = [b""] * len(segments)
+        flat, counts = self.side_by_side([segments[i] for i in short])
+        ends = np.cumsum(counts)
+        odd = set(np.repeat(np.arange(len(short)), counts)[flat < 0].tolist())
+        data = flat.astype("<i4").tobytes()
+        for k, (i, x, y) in enumerate(zip(short, (4 * (ends - counts)).tolist(), (4 * ends).tolist(), strict=True)):
+            out[i] = data[x:y] if k not in odd else np.array(self.written(flat[x // 4 : y // 4].tolist()), "<i4").tobytes()
         for i, s in enumerate(segments):
             if len(s) > SHORT:
-                out[i] = self.on_a_heap(s)
+                out[i] = np.array(self.on_a_heap(s), "<i4").tobytes()
         return out
 
 
@@ -138,7 +161,8 @@ class Coder:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
+        #: what a segment decodes to, where that isn't the segment
         self.back: dict[str, str] = {}
         self.differed = 0
 
@@ -146,13 +170,17 @@ class Coder:
         """new: segments without their first mark."""
         own = self.vocabulary.agenda([MARK + s for s in new])
         library = self.vocabulary.library.encode(new, num_threads=1)
-        for i, s in enumerate(new):
-            if not s:
-                library[i] = own[i]  # the library gives no mark to an empty text, only to an empty first segment
-            elif own[i] != library[i]:
-                self.differed += 1
-        self.ids.update(zip(new, library, strict=True))
-        self.back.update(zip(new, self.vocabulary.library.decode(library), strict=True))
+        counts = np.fromiter(map(len, library), np.int64, len(library))
+        data = np.fromiter(chain.from_iterable(library), np.dtype("<i4"), int(counts.sum())).tobytes()
+        if data != b"".join(own):
+            at = 4 * np.cumsum(counts)
+            for i, s in enumerate(new):
+                # the library gives no mark to an empty text, only to an empty first segment
+                if s and own[i] != (theirs := data[at[i] - 4 * counts[i] : at[i]]):
+                    own[i] = theirs
+                    self.differed += 1
+        self.ids.update(zip(new, own, strict=True))
+        self.back.update((s, t) for s, t in zip(new, self.vocabulary.library.decode(library), strict=True) if s != t)
 
     def segments(self, text: str) -> list[str]:
         parts = text.split(" ")
@@ -160,14 +188,14 @@ class Coder:
             return [s[1:] for s in SEGMENT.findall(MARK + text.replace(" ", MARK))] if text else []
         return parts
 
-    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
+    def __call__(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         split = [self.segments(t) for t in texts]
         if len(self.ids) > KEPT:
             self.ids.clear()
             self.back.clear()
         self.learn(list(set(chain.from_iterable(split)) - self.ids.keys()))
-        ids = [list(chain.from_iterable(map(self.ids.__getitem__, s))) for s in split]
-        return ids, [" ".join(map(self.back.__getitem__, s)) for s in split]
+        ids = [b"".join(map(self.ids.__getitem__, s)) for s in split]
+        return ids, [" ".join(s) if self.back.keys().isdisjoint(s) else " ".join(self.back.get(x, x) for x in s) for s in split]
 
 
 _CODERS: dict[str, Coder] = {}
@@ -194,10 +222,9 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
                 size += len(t)
                 if size > 2_000_000 or i == len(texts) - 1:
                     ids, back = own(texts[begin : i + 1])
-                    for x in ids:
-                        x.append(own.vocabulary.end)
-                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                    flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))
+                    end = own.vocabulary.end.to_bytes(4, "little")
+                    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 + 1 for x in ids]))).astype(np.int32)
+                    flat = pa.array(np.frombuffer(end.join([*ids, b""]), "<i4"))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin : i + 1], pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
                     begin, size = i + 1, 0
 
