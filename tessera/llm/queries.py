@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, toxicity
+from tessera.llm import lmscore, mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, topk, toxicity
 from tessera.llm._common import table
 
 
@@ -13,6 +13,15 @@ def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled of good quality; background: all documents."""
+    return lmscore.scored(table(spark, sf_dir, "documents"), lmscore.target_of(table(spark, sf_dir, "labels")))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +52,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_lm_scoring": op3_lm_scoring,
+    "op2_exact_top_k": op2_exact_top_k,
     "op4_pii": op4_pii,
     "op8_token_files": op8_token_files,
     "op10_sentencepiece": op10_sentencepiece,
@@ -54,5 +65,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_exact_top_k": topk.ORACLE,
     "op1_mixing_sources": mixing.ORACLE,
 }
