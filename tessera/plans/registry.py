@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import schedule
+
 Query = Callable[[SparkSession, str], DataFrame]
+FAMILIES = (schedule,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: run for family in FAMILIES for name, (run, _) in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return schedule.top_conflicts(spark, sf_dir)
