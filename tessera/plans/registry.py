@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import schedule
+from tessera.plans import directory, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (schedule,)
+FAMILIES = (schedule, directory)
 
 
 def queries() -> dict[str, Query]:
