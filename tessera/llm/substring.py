@@ -86,7 +86,8 @@ def repeated_windows(docs: DataFrame, seed: int = SEED_WORDS, window: int = WIND
     and how many."""
     rows = keyed(docs)
     found = stored(anchors(rows, seed, window), "anchors")
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    # written first: a join of two plain tables lets Spark split a hash that a third of all anchors share
+    again = stored(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "seeds")
     seeds = found.join(again, "hash").groupBy(*KEY).agg(F.collect_set("pos").alias("seeds"))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
