@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import directory, schedule
+from tessera.plans import directory, records, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (schedule, directory)
+FAMILIES = (schedule, directory, records)
 
 
 def queries() -> dict[str, Query]:
