@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import directory, places, records, schedule
+from tessera.plans import audits, directory, places, records, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (schedule, directory, records, places)
+FAMILIES = (schedule, directory, records, places, audits)
 
 
 def queries() -> dict[str, Query]:
