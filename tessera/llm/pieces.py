@@ -27,7 +27,7 @@ from tessera.llm._common import text_of
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-SHORT, KEPT = 48, 800_000
+SHORT, KEPT = 48, 250_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -220,7 +220,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
             begin = size = 0
             for i, t in enumerate(texts):
                 size += len(t)
-                if size > 2_000_000 or i == len(texts) - 1:
+                if size > 1_000_000 or i == len(texts) - 1:
                     ids, back = own(texts[begin : i + 1])
                     end = own.vocabulary.end.to_bytes(4, "little")
                     offsets = np.concatenate(([0], np.cumsum([len(x) // 4 + 1 for x in ids]))).astype(np.int32)

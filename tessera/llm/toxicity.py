@@ -176,8 +176,11 @@ class Scorer:
         if self.model is None:
             return np.full(len(texts), self.constant)
         centre, scale, beta = self.fit
-        z = (shaped(self.model.features([t.encode() for t in texts])) - centre) / scale
-        return 1 / (1 + np.exp(-np.clip(beta[0] + z @ beta[1:], -30, 30)))
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), 500):  # not all texts of a batch as bytes at once
+            z = (shaped(self.model.features([t.encode() for t in texts[at : at + 500]])) - centre) / scale
+            out[at : at + 500] = 1 / (1 + np.exp(-np.clip(beta[0] + z @ beta[1:], -30, 30)))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: dict[int, int] = MAX_DOCS) -> Scorer:
@@ -215,7 +218,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value(texts.tolist()))
+        return pd.Series(shared.value(texts.to_list()))
 
     return docs.withColumn("score", score(text_of()))
 

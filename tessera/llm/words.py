@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 U = np.uint64
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
