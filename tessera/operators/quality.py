@@ -71,8 +71,11 @@ def short_code(c: Column, length: int = 5) -> Column:
     return F.lpad(F.lower(F.conv((fnv1a(c) % F.lit(36**length)).cast("string"), 10, 36)), length, "0")
 
 
-def code_collisions(df: DataFrame, key: str) -> DataFrame:
-    return df.select(short_code(F.col(key).cast("string")).alias("code"), key).groupBy("code").agg(F.countDistinct(key).alias("n"), F.min(key).alias("first_id")).filter("n > 1")
+def coded(df: DataFrame, key: str) -> DataFrame:
+    """(id, code, n) for each different key: n keys share the code."""
+    codes = df.select(F.col(key).alias("id")).distinct().withColumn("code", short_code(F.col("id").cast("string")))
+    shared = codes.groupBy("code").agg(F.count("*").alias("n"))
+    return codes.join(shared, "code").select("id", "code", "n")
 
 
 def decode_plans(plans: DataFrame, items: DataFrame, key: str) -> DataFrame:

@@ -116,6 +116,10 @@ PAGE_RULES = "WITH c AS (SELECT page_id AS id, html, regexp_extract_all(html, '
     )
 )
 
+DIGIT = "substring('0123456789abcdefghijklmnopqrstuvwxyz', CAST(h // {0} % 36 AS INT) + 1, 1)"
+CODES = f"""WITH k AS (SELECT event_id AS id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(CAST(event_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: xor(h, b) * 16777619 & 4294967295) % {36**5} AS h FROM events),
+ c AS (SELECT id, {" || ".join(DIGIT.format(36**p) for p in (4, 3, 2, 1, 0))} AS code FROM k) SELECT id, code, count(*) OVER (PARTITION BY code) AS n FROM c"""
+
 QUERIES = {
     "validate_schema": (lambda s, d: op.validate(texts(s, d), "id", schema_rules()), FOUND + " SELECT * FROM f"),
     "warning_rollup": (lambda s, d: op.warning_rollup(op.validate(texts(s, d), "id", schema_rules())), FOUND + " SELECT level, message, count(*) AS n, array_to_string(list_sort(list(DISTINCT id))[1:3], ',') AS first_ids FROM f GROUP BY level, message"),
@@ -134,7 +138,7 @@ QUERIES = {
         W + " SELECT id, 'venue' AS path, 'timed without a place' AS message, 'error' AS level FROM x WHERE NOT tu AND venue >= 95 UNION ALL SELECT id, 'ad', 'all day with an end unknown', 'error' FROM x WHERE ad AND eu UNION ALL SELECT id, 'featured', 'cancelled but featured', 'warning' FROM x WHERE cancelled AND featured",
     ),
     "alias_rules": (alias_found, "SELECT s_suppkey AS id, 'key' AS path, 'not normalised' AS message, 'error' AS level FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT s_suppkey, 'target', 'no such target', 'error' FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)"),
-    "short_codes": (lambda s, d: op.code_collisions(read(s, d, "events"), "event_id"), None),
+    "short_codes": (lambda s, d: op.coded(read(s, d, "events"), "event_id"), CODES),
     "decode_plans": (
         lambda s, d: op.decode_plans(plans(s, d), read(s, d, "events").select(F.col("event_id").alias("item")), "item"),
         "WITH e AS (SELECT DISTINCT event_id % 200 AS plan, event_id * 7 % 12000 AS item FROM events) SELECT plan, count(*) FILTER (WHERE item IN (SELECT event_id FROM events)) AS n_items, count(*) FILTER (WHERE item NOT IN (SELECT event_id FROM events)) AS n_unknown FROM e GROUP BY plan",
