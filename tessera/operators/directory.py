@@ -42,10 +42,19 @@ def facet_counts(items: DataFrame, facets: list[str], state: dict[str, list], te
 
 
 def batch_filter_queries(items: DataFrame, states: DataFrame) -> DataFrame:
-    """Counts of many saved states (qid, brand, type, term; null: no filter) in one pass over the items. States are few and
-    typed by hand; they are broadcast by the optimizer only while they are small."""
-    hit = (F.col("q_brand").isNull() | (F.col("q_brand") == F.col("brand"))) & (F.col("q_type").isNull() | (F.col("q_type") == F.col("type"))) & (F.col("q_term").isNull() | F.contains("name", F.col("q_term")))
-    return items.groupBy("brand", "type", "name").agg(F.count("*").alias("c")).join(states, hit).groupBy("qid").agg(F.sum("c").alias("n"))
+    """Counts of many saved states (qid, q_brand, q_type, q_term; null: no filter) in one pass over the items. Different names
+    meet different terms once; every count is then spread over the states that it can serve, each filter set or not, and
+    states find theirs by equal keys. A state that nothing passes has no row."""
+    counts = items.groupBy("brand", "type", "name").agg(F.count("*").alias("c"))
+    terms = states.select("q_term").filter("q_term is not null").distinct()
+    held = items.select("name").distinct().join(terms, F.contains("name", "q_term")).groupBy("name").agg(F.collect_set("q_term").alias("held"))
+    rows = counts.join(held, "name", "left")
+    either = lambda c: F.explode(F.array(F.col(c), F.lit(None)))
+    spread = rows.select("c", "type", "held", either("brand").alias("q_brand")).select("c", "q_brand", "held", either("type").alias("q_type"))
+    spread = spread.select("c", "q_brand", "q_type", F.explode(F.concat(F.coalesce("held", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("q_term"))
+    sums = spread.groupBy("q_brand", "q_type", "q_term").agg(F.sum("c").alias("n")).toDF("b", "t", "m", "n")
+    same = F.col("b").eqNullSafe(F.col("q_brand")) & F.col("t").eqNullSafe(F.col("q_type")) & F.col("m").eqNullSafe(F.col("q_term"))
+    return states.join(sums, same).select("qid", "n")
 
 
 def validate_filter_state(pairs: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -58,7 +67,7 @@ def validate_filter_state(pairs: DataFrame, allowed: DataFrame) -> DataFrame:
 def group_rollup(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Sessions per group of kinds: distinct timed titles, and ongoing ones."""
     timed = ~F.col("og") & ~F.col("tu") & ~F.col("ad")
-    return df.filter("not cancelled").join(F.broadcast(groups), "kind").groupBy("grp").agg(F.countDistinct(F.when(timed, F.col("title"))).alias("n_timed"), F.countDistinct(F.when(F.col("og"), F.col("title"))).alias("n_ongoing"))
+    return df.filter("not cancelled").join(groups, "kind").groupBy("grp").agg(F.countDistinct(F.when(timed, F.col("title"))).alias("n_timed"), F.countDistinct(F.when(F.col("og"), F.col("title"))).alias("n_ongoing"))
 
 
 def free_class(text: Column) -> Column:

@@ -19,11 +19,12 @@ def canonical_url(url: Column) -> Column:
 
 
 def allowlisted(items: DataFrame, rules: DataFrame, host: str) -> DataFrame:
-    """Items whose host is, or ends in, a rule's domain (ord, domain, label), with the label of the first such rule. Hosts are
-    matched once each, whatever the number of items."""
-    hosts = items.select(host).distinct()
-    d = F.col("domain")
-    hit = hosts.join(F.broadcast(rules), (F.col(host) == d) | F.endswith(host, F.concat(F.lit("."), d))).groupBy(host).agg(F.min_by("label", "ord").alias("label"))
+    """Items whose host is, or ends in, a rule's domain (ord, domain, label), with the label of the first such rule. Each
+    different host is spread over its own endings, so that rules are met by equal domains."""
+    parts = F.split(host, r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    hosts = items.select(host).distinct().withColumn("domain", F.explode(endings))
+    hit = hosts.join(rules, "domain").groupBy(host).agg(F.min_by("label", "ord").alias("label"))
     return items.join(hit, host)
 
 

@@ -137,7 +137,7 @@ def coverage(pages: DataFrame, listing: DataFrame) -> DataFrame:
 
 def over_budget(pages: DataFrame, budgets: DataFrame) -> DataFrame:
     """Rows of each class whose bytes exceed the class's budget."""
-    rows = pages.withColumn("bytes", F.octet_length("html").cast("long")).join(F.broadcast(budgets), "cls")
+    rows = pages.withColumn("bytes", F.octet_length("html").cast("long")).join(budgets, "cls")
     return rows.groupBy("cls").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if(F.col("bytes") > F.col("budget")).alias("n_over"), F.max("bytes").alias("largest"))
 
 

@@ -103,7 +103,7 @@ def recon_fields(a: DataFrame, b: DataFrame, key: list[str], field: str) -> Data
 
 def window_check(df: DataFrame, programs: DataFrame, slack: int = 1) -> DataFrame:
     """Rows whose day lies outside their program's days."""
-    return df.join(F.broadcast(programs), "program").filter((F.col("day") < F.col("a") - slack) | (F.col("day") > F.col("b") + slack))
+    return df.join(programs, "program").filter((F.col("day") < F.col("a") - slack) | (F.col("day") > F.col("b") + slack))
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:

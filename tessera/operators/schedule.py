@@ -209,7 +209,7 @@ def walk_gaps(df: DataFrame, venues: DataFrame) -> DataFrame:
     """Between a user's consecutive sessions of a day: metres, minutes on foot, free minutes, and whether it is a long way."""
     from tessera.functions.geo import metres, walk_minutes
 
-    rows = timed(df).filter("not eu").join(F.broadcast(venues.select(F.col("id").alias("venue"), "lat", "lng")), "venue").withColumn("day", festival_day(F.col("s")))
+    rows = timed(df).filter("not eu").join(venues.select(F.col("id").alias("venue"), "lat", "lng"), "venue").withColumn("day", festival_day(F.col("s")))
     w = Window.partitionBy("user_id", "day").orderBy("s", "e", "id")
     lag = lambda c: F.lag(c).over(w)
     rows = rows.select("user_id", "day", "id", "s", "venue", lag("venue").alias("from_venue"), lag("e").alias("left"), metres(lag("lat"), lag("lng"), F.col("lat"), F.col("lng")).alias("metres")).filter("from_venue is not null")

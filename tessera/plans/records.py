@@ -152,7 +152,7 @@ QUERIES = {
  SELECT c, location, found FROM f LEFT JOIN k ON {KEY.format('location')} = k.key""",
     ),
     "resolve_refs": (
-        lambda s, d: sessions(s, d).join(read(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("venue"), F.col("s_nationkey").alias("n_nationkey")), "venue", "left").join(F.broadcast(read(s, d, "nation")), "n_nationkey", "left").groupBy(F.coalesce("n_name", F.lit("unknown")).alias("hood")).agg(F.count("*").alias("n")),
+        lambda s, d: sessions(s, d).join(read(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("venue"), F.col("s_nationkey").alias("n_nationkey")), "venue", "left").join(read(s, d, "nation"), "n_nationkey", "left").groupBy(F.coalesce("n_name", F.lit("unknown")).alias("hood")).agg(F.count("*").alias("n")),
         W + " SELECT coalesce(n_name, 'unknown') AS hood, count(*) AS n FROM x LEFT JOIN supplier ON venue = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
     ),
     "dangling_refs": (
