@@ -27,7 +27,7 @@ from tessera.llm._common import text_of
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-SHORT, KEPT = 48, 250_000
+SHORT, KEPT, ROW = 48, 250_000, 200
 NONE = np.int32(2**31 - 1)
 
 
@@ -167,20 +167,26 @@ class Coder:
         self.differed = 0
 
     def learn(self, new: list[str]) -> None:
-        """new: segments without their first mark."""
+        """new: segments without their first mark. The library checks them ROW in a row, as one text; only where that text's
+        ids or its decoding differ, and for segments of marks alone, are they checked one by one."""
         own = self.vocabulary.agenda([MARK + s for s in new])
-        library = self.vocabulary.library.encode(new, num_threads=1)
-        counts = np.fromiter(map(len, library), np.int64, len(library))
-        data = np.fromiter(chain.from_iterable(library), np.dtype("<i4"), int(counts.sum())).tobytes()
-        if data != b"".join(own):
-            at = 4 * np.cumsum(counts)
-            for i, s in enumerate(new):
-                # the library gives no mark to an empty text, only to an empty first segment
-                if s and own[i] != (theirs := data[at[i] - 4 * counts[i] : at[i]]):
-                    own[i] = theirs
-                    self.differed += 1
+        library = self.vocabulary.library
+        rows = [i for i, s in enumerate(new) if s and s[-1] != MARK]
+        alone = [i for i, s in enumerate(new) if not s or s[-1] == MARK]
+        rows = [rows[at : at + ROW] for at in range(0, len(rows), ROW)]
+        texts = [" ".join(new[i] for i in row) for row in rows]
+        for row, text, ids in zip(rows, texts, library.encode(texts, num_threads=1), strict=True):
+            if np.array(ids, "<i4").tobytes() != b"".join(own[i] for i in row) or library.decode(ids) != text:
+                alone += row
+        for i in alone:
+            s, theirs = new[i], np.array(library.encode(new[i]), "<i4").tobytes()
+            # the library gives no mark to an empty text, only to an empty first segment
+            if s and own[i] != theirs:
+                own[i] = theirs
+                self.differed += 1
+            if (back := library.decode(np.frombuffer(own[i], "<i4").tolist())) != s:
+                self.back[s] = back
         self.ids.update(zip(new, own, strict=True))
-        self.back.update((s, t) for s, t in zip(new, self.vocabulary.library.decode(library), strict=True) if s != t)
 
     def segments(self, text: str) -> list[str]:
         parts = text.split(" ")
