@@ -12,7 +12,7 @@ pairs that are compared in separate tasks, so that no task holds an unbounded bu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -207,9 +207,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate component, the one of the smallest doc_id. Rows without a doc_id can't be
+def deduplicated(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs with one row of each component that ``grouped`` finds, the one of the smallest doc_id. Rows without a doc_id can't be
     named by a component and stay; of rows that share a doc_id one stays."""
     named = docs.filter("doc_id is not null")
-    keep = near_duplicates(named).filter("doc_id = component_id").select("doc_id").distinct()
+    keep = grouped(named).filter("doc_id = component_id").select("doc_id").distinct()
     return named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
