@@ -56,7 +56,7 @@ class Model:
         return np.where(keys[at] == wanted, values[at], np.nan)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: number of different words, difference over the root of that number, largest mean difference of a span."""
+        """For each text: number of different bigrams, difference over the root of that number, largest mean difference of a span."""
         out = np.zeros((len(texts), 3))
         for begin, part in chunks(texts):
             w = Words(part, LETTERS, LOWER)
@@ -67,8 +67,10 @@ class Model:
             first, pair = w.sequences(2)
             seen = self.find(self.bi, self.bi_llr, pair)
             each[first + 1] = np.where(np.isnan(seen), np.nan_to_num(self.find(self.back, self.back_llr, w.hash[first])) + single[first + 1], seen)
-            # a word counts once in a text, as in the counts
-            _, once = np.unique(mix(w.text.astype(np.uint64)) ^ w.hash, return_index=True)
+            # a bigram counts once in a text, as in the counts; so does the first word, which has none before it
+            what = w.hash.copy()
+            what[first + 1] = pair
+            _, once = np.unique(mix(w.text.astype(np.uint64)) ^ what, return_index=True)
             again = np.ones(len(each), bool)
             again[once] = False
             each[again] = 0

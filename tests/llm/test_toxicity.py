@@ -58,3 +58,21 @@ def test_edge_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert {r.score for r in toxicity.toxicity(docs, labels.filter("toxic = 1")).collect()} == {1.0}
+
+
+def hand_made():
+    def hashed(texts):
+        return [toxicity.Words([t], toxicity.LETTERS, toxicity.LOWER) for t in texts]
+
+    uni = hashed([b"w0", b"w1"])
+    uni = np.sort(np.concatenate([w.hash for w in uni]))
+    bi = hashed([b"w0 w1"])[0].sequences(2)[1]
+    none = np.zeros(0)
+    return toxicity.Model(uni, np.zeros(2), bi, np.array([5.0]), none.astype(np.uint64), none)
+
+
+def test_a_new_pair_of_earlier_words_counts_once():
+    once, twice, alone = hand_made().features([b"w0 x w1 y w0 w1", b"w0 x w1 y w0 w1 y w0 w1", b"w0 x w1 y w1 w0"])
+    assert np.isclose(once[1] * np.sqrt(once[0]), 5) and np.isclose(once[2], 5 / toxicity.SPAN)
+    assert np.isclose(twice[1] * np.sqrt(twice[0]), 5) and np.isclose(twice[2], 5 / toxicity.SPAN)
+    assert alone[1] == alone[2] == 0
