@@ -27,12 +27,14 @@ def build_search_index(parts: list[DataFrame], kinds: list[str]) -> DataFrame:
 
 def rank_search(index: DataFrame, queries: DataFrame, preferred: list[str], limit: int = LIMIT) -> DataFrame:
     """(qid, kind, id, score, rank): entries that hold every term of a query. A query's longest term picks the candidates by
-    its first three letters, so that no query meets all entries; queries with shorter terms meet them by what they have."""
-    q = queries.withColumn("phrase", F.trim(fold(F.col("query")))).withColumn("terms", F.array_distinct(F.filter(F.split("phrase", "[ ,]+"), lambda t: F.length(t) >= 3))).filter("size(terms) > 0")
+    its first three letters, so that no query meets all entries; a query whose longest term is shorter meets them by that term."""
+    bare = lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    q = queries.withColumn("phrase", F.trim(fold(F.col("query")))).withColumn("terms", F.array_distinct(F.filter(F.transform(F.split("phrase", r"[\s,]+"), bare), lambda t: t != ""))).filter("size(terms) > 0")
     longest = F.aggregate("terms", F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
     q = q.withColumn("g", F.substring(longest, 1, 3))
     text = F.concat_ws(" ", "ft", "fs", "fk")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3))))
+    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substring(text, i, F.lit(n)))
+    grams = F.array_distinct(F.concat(of_size(1), of_size(2), of_size(3)))
     posted = index.select("kind", "id", "title", "ft", "fs", "fk", F.explode(grams).alias("g"))
     rows = posted.join(q, "g")
     has = lambda c, t: F.contains(F.col(c), t)

@@ -90,3 +90,13 @@ def test_search_order(spark):
     index = search.build_search_index([spark.createDataFrame(rows, "kind string, id long, title string, subline string, keywords string, ord long")], ["part"])
     hits = search.rank_search(index, spark.createDataFrame([(1, "Light")], "qid long, query string"), []).orderBy("rank").collect()
     assert [(r.id, r.score) for r in hits] == [(6, 140), (1, 100), (2, 60), (3, 50), (4, 8), (5, 4)]
+
+
+def test_search_short_terms(spark):
+    rows = [("part", 1, "Red ai", "", "", 1), ("part", 2, "Red box", "", "", 2), ("part", 3, "Ai x", "", "", 3), ("part", 4, "x", "", "", 4)]
+    index = search.build_search_index([spark.createDataFrame(rows, "kind string, id long, title string, subline string, keywords string, ord long")], ["part"])
+    asked = spark.createDataFrame([(1, "ai"), (2, "red ai"), (3, "x"), (4, "red & box"), (5, " & ,")], "qid long, query string")
+    hits = {}
+    for r in search.rank_search(index, asked, []).orderBy("rank").collect():
+        hits.setdefault(r.qid, []).append(r.id)
+    assert hits == {1: [3, 1], 2: [1], 3: [4, 3, 2], 4: [2]}
