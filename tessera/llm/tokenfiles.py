@@ -178,8 +178,8 @@ class Encoder:
         split: list[list[str] | None] = []
         for t in texts:
             parts = t.split(" ")
-            # as many words by either cut: no white space but single spaces and line ends between words
-            plain = len(t.split()) == len(t.replace("\n", " ").split(" "))
+            # the same words by either cut: no white space but single spaces and line ends between words
+            plain = t.split() == t.replace("\n", " ").split(" ")
             if not plain and ("" in parts or ODD.search(t)):
                 split.append(None)
             else:

@@ -75,3 +75,10 @@ def test_edge_rows(spark, monkeypatch):
     assert by_id[100].ids == [2] and by_id[0].ids == [2]
     back = {r.doc_id: r.text for r in pieces.decoded(pieces.encoded(docs)).collect()}
     assert back[3] == ODD[3]
+
+
+def test_surplus_spaces_do_not_hide_odd_white_space():
+    texts = ["a \u00a0 \u00a0 b\tc\td", "a  b\tc", "plain words\nof two lines"]
+    t = Tokenizer.from_file(public_tokenizers.path(tokenfiles.TOKENIZER))
+    got = tokenfiles.encoder(public_tokenizers.path(tokenfiles.TOKENIZER))(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
