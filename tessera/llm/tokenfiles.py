@@ -13,29 +13,30 @@ of zeros (8), the length of its compressed bits (8) and of its compressed direct
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import shared_dir, shuffle_partitions, text_of
+from tessera.llm.units import Memory, laid_out, pieces_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SHARD, BLOCK = 1 << 20, 512
-KEPT = 900_000
-#: white space other than a space on either side of a space or at the end
-ODD = re.compile(r"\s | \s|\s$")
+ROW = 200
+#: white space beside white space or at the end, by every rule that calls a character white
+WHITE = "\\t-\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+ODD = f"[{WHITE}][{WHITE}]|[{WHITE}]$"
 MAGIC = b"WMX1"
 
 
@@ -142,58 +143,63 @@ class Shard:
 
 
 class Encoder:
-    """The tokenizers library on each different space-led word once; words are remembered between batches up to KEPT.
+    """The tokenizers library on each different unit once, where a unit is a word with the space or line end that leads it.
 
-    A byte-level pattern never continues over a space after a character that isn't white space, so a text that is
-    cut there has the ids of its parts in a row. Texts with other white space around a space are encoded whole."""
+    A byte-level pattern never continues over a space or a line end that stands alone between characters that aren't white
+    space, so a text that is cut there has the ids of its units in a row. Texts with two white-space characters in a row, or
+    one at their end, are encoded whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-        #: which tokens begin with a space, which this byte-level vocabulary writes as one letter
+        #: which tokens begin with a space or a line end, each of which this byte-level vocabulary writes as one letter
         names = self.library.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)
-        self.opens[[i for t, i in names.items() if t[0] == "\u0120"]] = True
+        self.opens[[i for t, i in names.items() if t[0] in "\u0120\u010a"]] = True
+        self.memory = Memory(self.units)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 2000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
         return out
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words that a space leads and that hold no other: encoded 200 in a row, which the library does faster, and
-        cut where a token begins with a space."""
-        rows = [words[at : at + 200] for at in range(0, len(words), 200)]
-        out: list[bytes] = []
-        for row, ids in zip(rows, self._library(["".join(f" {w}" for w in row) for row in rows]), strict=True):
-            at = (4 * np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])).tolist()
-            out += [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)] if len(at) == len(row) else self._library([f" {w}" for w in row])
-        return out
+    def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units that a space or line end leads, and how many each has: encoded ROW in a row, which the library
+        does faster, and cut where a token begins with either."""
+        rows = [units[at : at + ROW] for at in range(0, len(units), ROW)]
+        ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for row, found in zip(rows, self._library(["".join(row) for row in rows]), strict=True):
+            at = np.flatnonzero(self.opens[found])
+            if len(at) == len(row):
+                ids.append(found)
+                counts.append(np.diff(at, append=len(found)))
+            else:
+                each = self._library(row)
+                ids += each
+                counts.append(np.array([len(x) for x in each]))
+        return np.concatenate(ids), np.concatenate(counts)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            parts = t.split(" ")
-            # the same words by either cut: no white space but single spaces and line ends between words
-            plain = t.split() == t.replace("\n", " ").split(" ")
-            if not plain and ("" in parts or ODD.search(t)):
-                split.append(None)
-            else:
-                parts[0] = "\n" + parts[0]  # the first word has no space before it: it is remembered apart
-                split.append(parts)
-        if len(self.ids) > KEPT:
-            self.ids.clear()
-        new = set(chain.from_iterable(p for p in split if p)) - self.ids.keys()
-        first = [w for w in new if w[0] == "\n"]
-        self.ids.update(zip(first, self._library([w[1:] for w in first]), strict=True))
-        later = list(new.difference(first))
-        self.ids.update(zip(later, self._words(later), strict=True))
-        whole = iter(self._library([t for t, p in zip(texts, split, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(self.ids.__getitem__, p)) for p in split]
+        odd = pc.match_substring_regex(texts, pattern=ODD).to_numpy(zero_copy_only=False)
+        # every unit but a text's first follows a cut: a space leads it unless it brings a line end
+        parts = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
+        bounds, words = parts.offsets.to_numpy(), parts.values
+        begins = np.zeros(len(words), bool)
+        begins[bounds[:-1]] = True
+        first, later = (words.filter(pa.array(x)).dictionary_encode() for x in (begins, ~begins))
+        units = later.dictionary
+        ids, counts, of = self.memory(pc.if_else(pc.starts_with(units, "\n"), units, pc.binary_join_element_wise(" ", units, "")))
+        opening = self._library(first.dictionary.to_pylist())
+        kind = np.empty(len(words), np.int64)
+        kind[begins], kind[~begins] = first.indices.to_numpy() + len(counts), of[later.indices.to_numpy()]
+        flat, ends = laid_out(np.concatenate([ids, *opening]), np.concatenate((counts, np.array([len(x) for x in opening], np.int64))), kind)
+        ends = np.concatenate(([0], ends))[bounds]
+        plain = (flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        whole = iter(self._library(texts.filter(pa.array(odd)).to_pylist()))
+        return [next(whole).tobytes() if x else next(plain) for x in odd.tolist()]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -234,20 +240,16 @@ def write(docs: DataFrame, to: str, tokenizer: str | None = None) -> None:
             return out
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            begin = chars = 0
-            for i, t in enumerate(texts):
-                chars += len(t)
-                if chars > 1_000_000 or i == len(texts) - 1:
-                    for doc_id, tokens in zip(ids[begin : i + 1], own(texts[begin : i + 1]), strict=True):
-                        n = len(tokens) // 4 + 1
-                        if waiting and size + n > SHARD:
-                            yield flush()
-                        doc_ids.append(doc_id)
-                        counts.append(n)
-                        waiting += [tokens, END.to_bytes(4, "little")]
-                        size += n
-                    begin, chars = i + 1, 0
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for begin, end in pieces_of(texts):
+                for doc_id, tokens in zip(ids[begin:end], own(texts[begin:end]), strict=True):
+                    n = len(tokens) // 4 + 1
+                    if waiting and size + n > SHARD:
+                        yield flush()
+                    doc_ids.append(doc_id)
+                    counts.append(n)
+                    waiting += [tokens, END.to_bytes(4, "little")]
+                    size += n
         if waiting:
             yield flush()
 
