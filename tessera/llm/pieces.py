@@ -3,7 +3,7 @@
 A text becomes symbols, one a character; the agenda always merges the adjacent pair whose piece has the best score, the
 leftmost of equals, until no pair makes a piece; characters outside the vocabulary fall back to bytes. No piece of the
 vocabulary has a space mark after another character (this is checked when the model is loaded), so no merge crosses the
-start of a space-marked segment and each different segment of an Arrow batch is encoded once. Short segments run the
+start of a space-marked segment and each different segment is encoded once. Short segments run the
 agenda side by side, one merge a round each; long ones run it on a heap. Every batch's segments are compared with
 the sentencepiece library, whose ids hold where the two differ.
 """
@@ -18,16 +18,20 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import text_of
+from tessera.llm.units import Memory, laid_out, pieces_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-SHORT, KEPT, ROW = 48, 250_000, 200
+SHORT, ROW = 48, 200
+#: texts whose segments aren't simply their words
+ODD = f"^ |  | $|^$|{MARK}"
 NONE = np.int32(2**31 - 1)
 
 
@@ -140,68 +144,82 @@ class Vocabulary:
             return symbols
         return [i for s in symbols for i in ((s,) if s >= 0 else (self.bytes[b] for b in chr(-3 - s).encode()))]
 
-    def agenda(self, segments: list[str]) -> list[bytes]:
-        """The ids of each segment as little-endian 32-bit integers."""
-        short = [i for i, s in enumerate(segments) if len(s) <= SHORT]
-        out = [b""] * len(segments)
-        flat, counts = self.side_by_side([segments[i] for i in short])
+    def agenda(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the segments, and how many each has."""
+        short = np.array([len(s) <= SHORT for s in segments], bool)
+        flat, n = self.side_by_side([s for s in segments if len(s) <= SHORT])
+        ends = np.cumsum(n)
+        odd = np.unique(np.repeat(np.arange(len(n)), n)[flat < 0]).tolist()
+        # segments with characters outside the vocabulary and long ones are written one by one, behind the others
+        where = np.flatnonzero(short)
+        apart = {int(where[k]): np.array(self.written(flat[ends[k] - n[k] : ends[k]].tolist())) for k in odd}
+        apart |= {i: np.array(self.on_a_heap(segments[i]), np.int64) for i in np.flatnonzero(~short).tolist()}
+        begin, counts = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)
+        begin[where], counts[where] = ends - n, n
+        at = len(flat)
+        for i, ids in apart.items():
+            begin[i], counts[i] = at, len(ids)
+            at += len(ids)
+        every = np.concatenate([flat, *apart.values()]).astype(np.int64)
         ends = np.cumsum(counts)
-        odd = set(np.repeat(np.arange(len(short)), counts)[flat < 0].tolist())
-        data = flat.astype("<i4").tobytes()
-        for k, (i, x, y) in enumerate(zip(short, (4 * (ends - counts)).tolist(), (4 * ends).tolist(), strict=True)):
-            out[i] = data[x:y] if k not in odd else np.array(self.written(flat[x // 4 : y // 4].tolist()), "<i4").tobytes()
-        for i, s in enumerate(segments):
-            if len(s) > SHORT:
-                out[i] = np.array(self.on_a_heap(s), "<i4").tobytes()
-        return out
+        return every[np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4"), counts
 
 
 class Coder:
-    """Encodes and decodes texts, remembering segments between batches up to KEPT of them."""
+    """Encodes and decodes texts; segments are remembered between batches."""
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.ids: dict[str, bytes] = {}
-        #: what a segment decodes to, where that isn't the segment
-        self.back: dict[str, str] = {}
+        self.memory = Memory(self.learn)
         self.differed = 0
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """new: segments without their first mark. The library checks them ROW in a row, as one text; only where that text's
-        ids or its decoding differ, and for segments of marks alone, are they checked one by one."""
-        own = self.vocabulary.agenda([MARK + s for s in new])
+        ids differ, and for segments of marks alone, are they checked one by one, and its ids hold."""
+        ids, counts = self.vocabulary.agenda([MARK + s for s in new])
         library = self.vocabulary.library
         rows = [i for i, s in enumerate(new) if s and s[-1] != MARK]
         alone = [i for i, s in enumerate(new) if not s or s[-1] == MARK]
         rows = [rows[at : at + ROW] for at in range(0, len(rows), ROW)]
-        texts = [" ".join(new[i] for i in row) for row in rows]
-        for row, text, ids in zip(rows, texts, library.encode(texts, num_threads=1), strict=True):
-            if np.array(ids, "<i4").tobytes() != b"".join(own[i] for i in row) or library.decode(ids) != text:
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        for row, theirs in zip(rows, library.encode([" ".join(new[i] for i in row) for row in rows], num_threads=1), strict=True):
+            n = counts[row]
+            own = ids[np.repeat(begins[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            if not np.array_equal(own, theirs):
                 alone += row
+        changed = {}
         for i in alone:
-            s, theirs = new[i], np.array(library.encode(new[i]), "<i4").tobytes()
             # the library gives no mark to an empty text, only to an empty first segment
-            if s and own[i] != theirs:
-                own[i] = theirs
+            if new[i] and not np.array_equal(theirs := np.array(library.encode(new[i]), "<u4"), ids[begins[i] : ends[i]]):
+                changed[i] = theirs
                 self.differed += 1
-            if (back := library.decode(np.frombuffer(own[i], "<i4").tolist())) != s:
-                self.back[s] = back
-        self.ids.update(zip(new, own, strict=True))
-
-    def segments(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if "" in parts or MARK in text:
-            return [s[1:] for s in SEGMENT.findall(MARK + text.replace(" ", MARK))] if text else []
-        return parts
-
-    def __call__(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        split = [self.segments(t) for t in texts]
-        if len(self.ids) > KEPT:
-            self.ids.clear()
-            self.back.clear()
-        self.learn(list(set(chain.from_iterable(split)) - self.ids.keys()))
-        ids = [b"".join(map(self.ids.__getitem__, s)) for s in split]
-        return ids, [" ".join(s) if self.back.keys().isdisjoint(s) else " ".join(self.back.get(x, x) for x in s) for s in split]
+        if changed:
+            each = [changed.get(i, ids[begins[i] : ends[i]]) for i in range(len(new))]
+            ids, counts = np.concatenate(each), np.array([len(x) for x in each])
+        return ids, counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's with an end id, and where each text's end."""
+        odd = pc.match_substring_regex(texts, pattern=ODD).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        others = [[s[1:] for s in SEGMENT.findall(MARK + t.replace(" ", MARK))] if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+        n = np.empty(len(texts), np.int64)
+        n[~odd], n[odd] = np.diff(parts.offsets.to_numpy()), [len(x) for x in others]
+        begin = np.empty(len(texts), np.int64)
+        begin[~odd], begin[odd] = parts.offsets.to_numpy()[:-1], len(parts.values) + np.cumsum(n[odd]) - n[odd]
+        words = pa.concat_arrays([parts.values, pa.array(list(chain.from_iterable(others)), pa.string())]).dictionary_encode()
+        ids, counts, of = self.memory(words.dictionary)
+        bounds = np.cumsum(n)
+        order = np.repeat(begin - (bounds - n), n) + np.arange(bounds[-1] if len(bounds) else 0)
+        flat, ends = laid_out(ids, counts, of[words.indices.to_numpy()[order]])
+        ends = np.concatenate(([0], ends))[bounds]
+        return np.insert(flat, ends, self.vocabulary.end), ends + np.arange(1, len(texts) + 1)
+
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The text of each row of ids, by the library."""
+        begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        return [self.vocabulary.library.decode(flat[a:b].tolist()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
 _CODERS: dict[str, Coder] = {}
@@ -222,17 +240,11 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            begin = size = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > 1_000_000 or i == len(texts) - 1:
-                    ids, back = own(texts[begin : i + 1])
-                    end = own.vocabulary.end.to_bytes(4, "little")
-                    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 + 1 for x in ids]))).astype(np.int32)
-                    flat = pa.array(np.frombuffer(end.join([*ids, b""]), "<i4"))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin : i + 1], pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
-                    begin, size = i + 1, 0
+            texts = batch.column("text")
+            for begin, end in pieces_of(texts):
+                flat, ends = own.encode(texts[begin:end])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin:end], lists, pa.array(own.decode(flat, ends), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

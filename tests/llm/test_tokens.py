@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.dataset as ds
 import sentencepiece
 from tokenizers import Tokenizer
@@ -30,12 +31,12 @@ def test_agenda_equals_library():
     own = pieces.Coder(public_tokenizers.path(pieces.MODEL))
     sp = own.vocabulary.library
     texts = ODD + [r["text"] for r in documents()[:40]]
-    ids, back = own(texts)
-    assert [np.frombuffer(x, "<i4").tolist() for x in ids] == [sp.encode(t) for t in texts]
-    assert back == [sp.decode(sp.encode(t)) for t in texts]
+    flat, ends = own.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, ends)[:-1]] == [[*sp.encode(t), sp.eos_id()] for t in texts]
+    assert own.decode(flat, ends) == [sp.decode(sp.encode(t)) for t in texts]
     assert own.differed == 0
     for s in ("▁" + w for w in "internationalization unbelievable éè 日本 x\u0000".split()):
-        assert own.vocabulary.on_a_heap(s) == np.frombuffer(own.vocabulary.agenda([s])[0], "<i4").tolist() == sp.encode(s[1:])
+        assert own.vocabulary.on_a_heap(s) == own.vocabulary.agenda([s])[0].tolist() == sp.encode(s[1:])
 
 
 def test_wavelet_matrix():
@@ -78,7 +79,28 @@ def test_edge_rows(spark, monkeypatch):
 
 
 def test_surplus_spaces_do_not_hide_odd_white_space():
-    texts = ["a \u00a0 \u00a0 b\tc\td", "a  b\tc", "plain words\nof two lines"]
+    texts = ["a \u00a0 \u00a0 b\tc\td", "a  b\tc", "plain words\nof two lines", "\nlead x", " lead", "end\n", "a\n\nb", "x\u0085y z", "a\x1cb c", "\u3000a b"]
     t = Tokenizer.from_file(public_tokenizers.path(tokenfiles.TOKENIZER))
-    got = tokenfiles.encoder(public_tokenizers.path(tokenfiles.TOKENIZER))(texts)
+    got = tokenfiles.encoder(public_tokenizers.path(tokenfiles.TOKENIZER))(pa.array(texts))
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_texts_without_blanks_do_not_fill_the_memory():
+    rng = np.random.default_rng(1)
+    texts = pa.array(["".join(rng.choice(list("abcdefghij"), 20_000)) + " " + "".join(rng.choice(list("abcdefghij"), 20_000)) for _ in range(20)])
+    t = Tokenizer.from_file(public_tokenizers.path(tokenfiles.TOKENIZER))
+    own = tokenfiles.Encoder(public_tokenizers.path(tokenfiles.TOKENIZER))
+    assert [np.frombuffer(g, "<u4").tolist() for g in own(texts)] == [t.encode(x.as_py(), add_special_tokens=False).ids for x in texts]
+    assert len(own.memory.units) == 0
+    coder = pieces.Coder(public_tokenizers.path(pieces.MODEL))
+    flat, ends = coder.encode(texts)
+    assert [x.tolist()[:-1] for x in np.split(flat, ends)[:-1]] == [coder.vocabulary.library.encode(x.as_py()) for x in texts]
+    assert len(coder.memory.units) == 0
+
+
+def test_a_full_memory_is_emptied_and_ids_stay_right():
+    own = tokenfiles.Encoder(public_tokenizers.path(tokenfiles.TOKENIZER))
+    own.memory.kept = 2000
+    t = own.library
+    for r in documents()[:60]:
+        assert np.frombuffer(own(pa.array([r["text"]]))[0], "<u4").tolist() == t.encode(r["text"], add_special_tokens=False).ids
