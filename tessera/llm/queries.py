@@ -67,4 +67,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_exact_top_k": topk.ORACLE,
     "op1_mixing_sources": mixing.ORACLE,
+    "op7_substring_dedup": substring.ORACLE,
 }

@@ -2,12 +2,12 @@
 
 Seed: every run of ``SEED_WORDS`` words is hashed and winnowed, so that each window of ``WINDOW`` words holds at least one
 anchor and equal windows hold equal anchors. Anchors that occur once in the corpus can't lie in a repeated window and go.
-Extend: around each remaining anchor the windows that contain it, up to its text's ends, are hashed to 64 bits (two of n
-different windows share a hash with probability n^2 / 2^65) and gathered in blocks of consecutive windows that end where
-a window's own hash says so, hence alike in all copies. Equal blocks (128 bits) are repeated as a whole and only one of
-them goes on; its windows and those of blocks that occur once are then counted one by one. The union of repeated windows
-is the union of the maximal repeats of at least ``WINDOW`` words. A passage with thousands of copies costs a row a copy for
-each block, never one a pair, and its windows are counted once.
+Extend: around each remaining anchor the windows that contain it, up to its text's ends, are gathered in blocks of
+consecutive windows that end where a window's own hash says so, hence alike in all copies. Equal blocks are repeated as a
+whole and only one of them goes on with its words; its windows and those of blocks that occur once are then counted one by
+one. Blocks and windows are told apart by 128 bits: among n different windows two share them with probability
+n^2 / 2^129. The union of repeated windows is the union of the maximal repeats of at least ``WINDOW`` words. A passage with
+thousands of copies costs a row a copy for each block, never one a pair, and its windows are counted once.
 
 Texts travel compressed: each is packed once, before the shuffle that brings its anchors or windows to it.
 """
@@ -113,17 +113,32 @@ def repeated_windows(docs: DataFrame, seed: int = SEED_WORDS, window: int = WIND
                 hi = np.append(lo[1:], len(first)) if len(lo) else lo
                 yield pd.DataFrame({
                     "kd": kd[begin + text[lo]], "tk": tk[begin + text[lo]], "pos": first[lo] - w.bounds[text[lo]], "n": hi - lo,
-                    "b": SEQUENCE.ranges(h, lo, hi).view(np.int64), "c": CHECK.ranges(h, lo, hi).view(np.int64), "hs": pd.Series([h[x:y].view(np.int64) for x, y in zip(lo, hi, strict=True)], dtype=object),
+                    "b": SEQUENCE.ranges(h, lo, hi).view(np.int64), "c": CHECK.ranges(CHECK.ranges(w.hash, first, first + window), lo, hi).view(np.int64),
+                    "words": [w.data[x:y] for x, y in zip(w.start[first[lo]].tolist(), w.end[first[hi - 1] + window - 1].tolist(), strict=True)],
                 })
 
-    blocks = packed(rows.select(*KEY, "text")).join(seeds, KEY).mapInPandas(extend, "kd long, tk long, pos int, n int, b long, c long, hs array<long>")
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin, part in chunks(batch["words"].tolist(), CHUNK):
+                w = Words(part)
+                first = np.flatnonzero(np.arange(len(w.hash)) + window <= w.bounds[w.text + 1])
+                row = begin + w.text[first]
+                some = {c: batch[c].to_numpy()[row] for c in ("known", "kd", "tk")}
+                yield pd.DataFrame({
+                    **some, "pos": batch["pos"].to_numpy()[row] + first - w.bounds[w.text[first]],
+                    "h": SEQUENCE.ranges(w.hash, first, first + window).view(np.int64), "g": CHECK.ranges(w.hash, first, first + window).view(np.int64),
+                })
+
+    blocks = packed(rows.select(*KEY, "text")).join(seeds, KEY).mapInPandas(extend, "kd long, tk long, pos int, n int, b long, c long, words binary")
     blocks = stored(blocks, "blocks")
-    different = blocks.groupBy("b", "c").agg(F.count("*").alias("times"), F.first("hs").alias("hs"), F.min(F.struct("kd", "tk", "pos")).alias("one"))
-    single = different.select((F.col("times") > 1).alias("known"), "one", F.posexplode("hs").alias("i", "h"))
+    different = blocks.groupBy("b", "c").agg(F.count("*").alias("times"), F.first("words").alias("words"), F.min(F.struct("kd", "tk", "pos")).alias("one"))
+    # written first, as the repeated windows below: Spark can split what a join of two plain tables gathers on one key
+    different = stored(different.select("b", "c", (F.col("times") > 1).alias("known"), "one.*", "words"), "different")
+    single = different.select("known", "kd", "tk", "pos", "words").mapInPandas(windows, "known boolean, kd long, tk long, pos int, h long, g long")
     # a window is repeated if its block is, or if it lies in two different blocks
-    repeated = single.groupBy("h").agg(F.count("*").alias("n"), F.bool_or("known").alias("known")).filter("n > 1 or known").select("h")
-    alone = single.filter("not known").select("one.kd", "one.tk", (F.col("one.pos") + F.col("i")).alias("pos"), "h").join(repeated, "h").select("kd", "tk", "pos", F.lit(1).alias("n"))
-    whole = blocks.select("kd", "tk", "pos", "n", "b", "c").join(different.filter("times > 1").select("b", "c"), ["b", "c"]).select("kd", "tk", "pos", "n")
+    repeated = stored(single.groupBy("h", "g").agg(F.count("*").alias("n"), F.bool_or("known").alias("known")).filter("n > 1 or known").select("h", "g"), "repeated")
+    alone = single.filter("not known").join(repeated, ["h", "g"]).select("kd", "tk", "pos", F.lit(1).alias("n"))
+    whole = blocks.select("kd", "tk", "pos", "n", "b", "c").join(different.filter("known").select("b", "c"), ["b", "c"]).select("kd", "tk", "pos", "n")
     runs = whole.unionByName(alone).groupBy(*KEY).agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
     return runs.select(*KEY, F.transform("runs", lambda r: r["pos"]).alias("begins"), F.transform("runs", lambda r: r["n"]).alias("lengths"))
 
@@ -160,3 +175,13 @@ def without_repeats(docs: DataFrame, seed: int = SEED_WORDS, window: int = WINDO
     return rows.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string, removed array<long>")
 
 
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+v AS (SELECT r, i, n, word, CASE WHEN i + 34 <= n THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) END AS run FROM x),
+t AS (SELECT md5(run) AS h FROM v WHERE run IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+m AS (SELECT v.r, v.i, v.word, t.h IS NOT NULL AS again FROM v LEFT JOIN t ON md5(v.run) = t.h),
+c AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+k AS (SELECT r, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

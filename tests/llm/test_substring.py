@@ -5,6 +5,7 @@ from collections import Counter
 import pyarrow.dataset as ds
 
 from tessera.llm import queries, substring
+from tests import oracle
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +32,20 @@ def test_query_against_brute_force(spark):
     assert sum(x[2] for x in want) > 0
 
 
+def test_query_against_sql(spark):
+    oracle.same(queries.op7_substring_dedup(spark, "/root/testdata/sf0.01"), queries.ORACLE["op7_substring_dedup"], "/root/testdata/sf0.01")
+
+
+def test_passage_in_a_third_of_all_rows(spark):
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(400)}"
+    passage = " ".join(word() for _ in range(90))
+    texts = [" ".join(word() for _ in range(rng.randrange(80))) + (f" {passage} " if i % 3 == 0 else "\n") + " ".join(word() for _ in range(rng.randrange(80))) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring.without_repeats(docs).collect()}
+    assert [got[i] for i in range(300)] == plain(texts)
+
+
 def test_edge_rows(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(9)] + ["é", "x y"]
