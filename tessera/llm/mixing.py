@@ -6,8 +6,9 @@ others. The integral up to t is the share of a source's words that training has
 document, at its cumulative offset in a fixed random order of its source, a training position. Sorting by position by range
 lays out the mix.
 
-Only DataFrame functions are used. Each source is cut into ``BUCKETS`` buckets of a hash of doc_id, so that cumulative sums
-run over buckets first and then inside each, and no task holds a whole source.
+Only DataFrame functions are used. Each source is cut into ``BUCKETS`` buckets of a hash of doc_id and text, so that cumulative
+sums run over buckets first and then inside each, and no task holds a whole source. One row a source meets in one task,
+where the targets are shared out.
 """
 
 from __future__ import annotations
@@ -61,18 +62,22 @@ def targets(sources: DataFrame, share: float = SHARE, repeat: float = REPEAT, sc
     return rows.select("source", "size", "kind", F.when(F.col("size") == 0, zero).otherwise(F.least("limit", F.coalesce(F.col("weight") * F.col("common"), F.col("limit")))).alias("target"))
 
 
+def digest() -> Column:
+    """Names a row by doc_id and text and gives it its place in the random order of its source."""
+    return F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of().cast("binary"))).cast("binary"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies, first_position, second_position) for every row.
+    """(doc_id, digest, source, size, source_size, target, taken, copies, first_position, second_position) for every row.
 
     A source of target T and size S gives each document floor(T / S) times; the words that then remain come from the
     documents at the start of the source's random order while they fit, and from the one document beyond whose size is
     nearest to what is left. Null texts have size 0 and give nothing; a null source is a source of its own, last by name;
     of repeated rows each counts. Documents are never cut.
     """
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     lot = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    rows = stored(docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")), "sizes")
-    rows = rows.withColumn("digest", digest).withColumn("bucket", F.floor(lot * BUCKETS).cast("int"))
+    rows = stored(docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), digest().alias("digest")), "sizes")
+    rows = rows.withColumn("bucket", F.floor(lot * BUCKETS).cast("int"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
     # one cell for each bucket of each source; what holds for a source reaches its rows through its cells, so that no join
@@ -105,26 +110,30 @@ def mixed(docs: DataFrame) -> DataFrame:
     offset = lambda n: (F.lit(n) * F.col("source_size") + F.when(F.lit(n) < F.col("full"), F.col("ahead")).when(F.col("fits"), F.col("ahead")).otherwise(F.col("used"))) / total
     at = lambda n: F.when(F.col("copies") > n, F.floor(position(offset(n), F.col("kind")) * F.lit(1e9)).cast("long"))
     return rows.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", at(0).alias("first_position"), at(1).alias("second_position"),
+        "doc_id", "digest", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", at(0).alias("first_position"), at(1).alias("second_position"),
     )
 
 
+def in_order(plan: DataFrame) -> DataFrame:
+    """plan's rows by their first place in training, those that aren't taken last."""
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id")]
+    return plan.repartitionByRange(shuffle_partitions(plan.sparkSession), *order).sortWithinPartitions(*order)
+
+
 def laid_out(docs: DataFrame) -> DataFrame:
-    """docs in training order, each row as often as the mix takes it; a doc_id that several rows share gives each of them
-    the copies of the whole id's first row. Rows without a doc_id are mixed by their source like others and stay once."""
-    named = docs.filter("doc_id is not null")
-    plan = mixed(named).groupBy("doc_id").agg(F.min("first_position").alias("p1"), F.min("second_position").alias("p2"))
-    places = F.filter(F.array("p1", "p2"), lambda p: p.isNotNull())
-    plan = plan.select(F.col("doc_id").alias("mix_id"), F.explode(places).alias("mix_position"))
-    out = named.join(plan, F.col("doc_id") == F.col("mix_id")).drop("mix_id")
-    loose = docs.filter("doc_id is null").withColumn("mix_position", F.lit(10**9).cast("long"))
-    out = out.unionByName(loose).repartitionByRange(shuffle_partitions(docs.sparkSession), "mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
-    return out.select(docs.columns)
+    """docs in training order, each row as often as the mix takes it; rows that share doc_id and text get the places of the
+    first of them each. Rows without a doc_id are mixed like others."""
+    plan = mixed(docs).groupBy("digest").agg(F.min("first_position").alias("p1"), F.min("second_position").alias("p2"))
+    places = F.explode(F.filter(F.array("p1", "p2"), lambda p: p.isNotNull())).alias("place")
+    # all own columns travel in one, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest().alias("digest")).join(plan.select("digest", places), "digest")
+    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "place", "digest").sortWithinPartitions("place", "digest")
+    return rows.select("row.*")
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS digest FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source),
 k AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) AS kind FROM s),
 w AS (SELECT *, CASE kind WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, size * 2.0::DOUBLE AS lim FROM k),
@@ -141,6 +150,15 @@ g AS (SELECT source, rest, CAST(coalesce(sum(size) FILTER (WHERE fits), 0) AS BI
 b AS (SELECT u.source, u.digest, u.size, row_number() OVER (PARTITION BY u.source ORDER BY abs(u.size - (g.rest - g.used)), u.digest) AS rn
       FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND u.size > 0 AND abs(u.size - (g.rest - g.used)) < g.rest - g.used),
 x AS (SELECT u.*, g.used, coalesce(b.size, 0) AS more, CASE WHEN u.size = 0 THEN 0 ELSE passes + CAST(fits OR coalesce(b.digest = u.digest, false) AS INT) END AS copies
-      FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source LEFT JOIN (SELECT * FROM b WHERE rn = 1) b ON u.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM x
+      FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source LEFT JOIN (SELECT * FROM b WHERE rn = 1) b ON u.source IS NOT DISTINCT FROM b.source),
+a AS (SELECT *, CASE kind WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END AS at_0, CASE kind WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.5::DOUBLE END AS at_1,
+             CASE kind WHEN 0 THEN 2.0::DOUBLE ELSE 1.5::DOUBLE END AS at_2, CASE kind WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS whole,
+             passes * source_size + used + max(more) OVER (PARTITION BY source) AS total FROM x),
+p AS (SELECT *, ((nth * source_size + CASE WHEN nth < passes OR fits THEN ahead ELSE used END) / total::DOUBLE) * whole AS asked, (at_0 + at_1) / 4 AS half
+      FROM a, (SELECT unnest([0, 1]) AS nth) WHERE copies > nth),
+y AS (SELECT doc_id, digest, source, size, nth, CAST(floor(1e9::DOUBLE * CASE WHEN asked <= half THEN 2.0::DOUBLE * asked / (at_0 + sqrt(at_0 * at_0 + 4.0::DOUBLE * (at_1 - at_0) * asked))
+             ELSE 0.5::DOUBLE + 2.0::DOUBLE * (asked - half) / (at_1 + sqrt(at_1 * at_1 + 4.0::DOUBLE * (at_2 - at_1) * (asked - half))) END) AS BIGINT) AS place FROM p),
+z AS (SELECT digest, source, min(place) FILTER (WHERE nth = 0) AS first_position, min(place) FILTER (WHERE nth = 1) AS second_position FROM y GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, first_position, second_position
+FROM x LEFT JOIN z ON x.digest = z.digest AND x.source IS NOT DISTINCT FROM z.source
 """

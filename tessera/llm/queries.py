@@ -10,7 +10,9 @@ from tessera.llm._common import table
 
 
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix in training order, with the places that a document takes."""
+    columns = ["doc_id", "size", "source_size", "target", "taken", "first_position", "second_position"]
+    return mixing.in_order(mixing.mixed(table(spark, sf_dir, "documents"))).select(columns)
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

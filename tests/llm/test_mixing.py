@@ -61,9 +61,16 @@ def test_positions_follow_the_schedules(spark):
 
 
 def test_layout_repeats_rows_in_order(spark):
-    docs = spark.createDataFrame([(i, "w " * (i % 9), "abcd"[i % 4], i) for i in range(400)] + [(None, "q", "a", 0)], "doc_id long, text string, source string, extra int")
+    docs = spark.createDataFrame([(i, "w " * (i % 9), "abcd"[i % 4], i, i, i) for i in range(400)] + [(None, "q", "a", 0, -1, 7), (5, "another text", "a", 1, -2, 7)], "doc_id long, text string, source string, extra int, place long, digest long")
     out = mixing.laid_out(docs)
     assert out.columns == docs.columns
-    n = {r.doc_id: r.copies for r in mixing.mixed(docs.filter("doc_id is not null")).collect()}
-    seen = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert seen == {**{i: c for i, c in n.items() if c}, None: 1}
+    plan = mixing.mixed(docs).collect()
+    assert sorted((r.doc_id, r.text, r.extra, r.place, r.digest) for r in out.collect() if r.doc_id is not None) == sorted(
+        (i, t, x, p, d) for i, t, _, x, p, d in docs.collect() if i is not None for _ in range(next(r.copies for r in plan if r.doc_id == i and r.size == len(t.split())))
+    )
+    assert out.filter("doc_id is null").count() == next(r.copies for r in plan if r.doc_id is None)
+
+
+def test_query_is_in_training_order(spark):
+    places = [r.first_position for r in queries.op1_mixing_sources(spark, "/root/testdata/sf0.001").collect() if r.first_position is not None]
+    assert places == sorted(places) and len(places) > 50
