@@ -62,6 +62,43 @@ def test_edge_rows(spark):
     assert sum(len(listed(t)) for i, t in texts.items() if i is not None and i < 200) < sum(len(listed(t)) for i, t in rows if i is not None and i < 200) * 0.05
 
 
+def test_own_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(i, "x a@b.co y", "own", "text", [i], i) for i in range(5)], "doc_id long, text string, base string, _text string, spans array<int>, groups long")
+    got = pii.redacted(docs).collect()
+    assert sorted(map(tuple, got)) == [(i, "x <email> y", "own", "text", [i], i) for i in range(5)]
+
+
+def test_spans_inside_a_long_one_do_not_leak(spark):
+    inside = ".".join(["1.2.3.4"] * 14)
+    docs = spark.createDataFrame([(1, f"write {inside}@mail.example.com now")], "doc_id long, text string")
+    assert pii.redacted(docs).first().text == "write <email> now"
+
+
+def test_trees_add_spans_that_no_base_pattern_holds(spark):
+    """Spelled-out addresses, IPv6 and numbers without a country code are added; card-like numbers without the check digit,
+    clock times and short numbers aren't."""
+    rng = random.Random(2)
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+
+    def card(good):
+        while True:
+            m = digits(16)
+            if ok("card", m) == good:
+                return m
+
+    name = lambda: rng.choice("anna ben cleo dora".split()) + digits(2)
+    makers = {
+        "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}", "loose": lambda: f"({digits(3)}) 555-{digits(4)}", "mail": lambda: f"{name()}@mail.example.com", "spelled": lambda: f"{name()} (at) mail (dot) com",
+        "six": lambda: ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)), "card": lambda: card(True), "decoy": lambda: card(False), "time": lambda: f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", "short": lambda: f"+{digits(3)}-{digits(2)}",
+    }
+    rows = [(i, kind, f"some words {make()} and more of them") for i, (kind, make) in enumerate((k, m) for _ in range(130) for k, m in makers.items())]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.n_email + r.n_ip + r.n_card + r.n_phone, len([x for x in r.spans.split(",") if x])) for r in pii.report(docs).collect()}
+    added = {k: sum(got[i][1] - got[i][0] for i, kind, _ in rows if kind == k) for k in makers}
+    wanted = added["loose"] + added["spelled"] + added["six"]
+    assert wanted >= 0.9 * 3 * 130 and wanted >= 0.95 * sum(added.values()), added
+
+
 def test_trees_add_what_looks_like_personal_data():
     table = [dict.fromkeys(pii.FEATURES, 0) | {"kind": 3, "digits": d, "cue": c, "pos": p, "neg": n, "cpos": p // 2, "cneg": n // 2} for d, c, p, n in ((1, 1, 400, 2), (1, 0, 200, 300), (0, 0, 4, 900))]
     model = pii.boost(table)
