@@ -1,15 +1,18 @@
 """Toxicity from class-conditional Kneser-Ney word models.
 
-Two bigram models, one of toxic and one of ordinary labelled documents, are absolutely discounted and back off to their
-unigrams times the association of the two words in both classes together; unigrams back off to continuation counts (how
-many different words precede a word) that both classes share. So an expression too rare for its class leans on what all
-training documents say about it. Counts are different texts, not tokens: a text that repeats an expression counts once, and
-so do copies of a text. A document is scored by the difference of its two log-likelihoods, normalised for length
-over the whole text and over its most toxic run of ``SPAN`` words; a logistic curve fitted on training documents outside
-the counts turns both into a score from 0 to 1.
+Two bigram models, one of toxic and one of ordinary labelled documents, are absolutely discounted and
+interpolated with their unigrams; what the unigrams' discounts free goes to continuation counts (how many different words
+precede a word) that both classes share, with one place for words never seen. All three levels sum to one. So an
+expression too rare for its class leans on what all training documents say about its words. Counts are different texts, not
+tokens: a text that repeats an expression counts once, and so do copies of a text. Discounts come from the counts of counts, one each for expressions seen once, twice and more often.
+
+A document is scored by the difference of its two log-likelihoods for each of its different bigrams, over the whole text,
+and by the unigrams' difference over its most toxic word and its ``TOP`` most toxic words, each counted once: a long text
+may be toxic in a few words. A logistic curve fitted on training documents outside the counts turns these means into a
+score from 0 to 1.
 
 The classifier is fitted on at most ``MAX_DOCS`` labelled documents of each class, chosen by a hash of their ids; that bounds
-the models, which are broadcast. Scoring covers all documents.
+the models, which are broadcast whole. Scoring covers all documents.
 """
 
 from __future__ import annotations
@@ -25,10 +28,9 @@ from pyspark.sql import functions as F
 from tessera.llm._common import stored, text_of
 from tessera.llm.words import LETTERS, LOWER, SEQUENCE, Words, chunks, mix
 
-MAX_DOCS = {0: 12000, 1: 4000}
-CUTOFF = 4
-DISCOUNT = 2.5
-SPAN = 12
+MAX_DOCS = {0: 8000, 1: 4000}
+DISCOUNT, LEAST = 0.75, 0.05
+TOP = 3
 FOLDS = 5
 
 
@@ -38,7 +40,8 @@ def held_out() -> Column:
 
 @dataclass
 class Model:
-    """Log-likelihood differences (toxic minus ordinary) by hash: of kept unigrams and bigrams, and of backing off from a word."""
+    """Log-likelihood differences (toxic minus ordinary) by hash (signed, ascending): of words, of bigrams that occurred, of
+    backing off from a word, and of a word never seen."""
 
     uni: np.ndarray
     uni_llr: np.ndarray
@@ -46,43 +49,46 @@ class Model:
     bi_llr: np.ndarray
     back: np.ndarray
     back_llr: np.ndarray
+    unknown: float = 0.0
 
     @staticmethod
-    def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """values at the wanted keys, nan where there is none."""
+    def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+        """values at the wanted keys."""
         if not len(keys):
-            return np.full(len(wanted), np.nan)
+            return np.full(len(wanted), default)
+        wanted = wanted.view(np.int64)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], np.nan)
+        return np.where(keys[at] == wanted, values[at].astype(np.float64), default)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: number of different bigrams, difference over the root of that number, largest mean difference of a span."""
-        out = np.zeros((len(texts), 3))
+        """For each text: number of different bigrams, their mean difference, the largest difference of a word, the mean of
+        the TOP largest (missing ones as 0)."""
+        out = np.zeros((len(texts), 4))
         for begin, part in chunks(texts):
             w = Words(part, LETTERS, LOWER)
             if not len(w.hash):
                 continue
-            single = np.nan_to_num(self.find(self.uni, self.uni_llr, w.hash))
+            single = self.find(self.uni, self.uni_llr, w.hash, self.unknown)
             each = single.copy()
             first, pair = w.sequences(2)
-            seen = self.find(self.bi, self.bi_llr, pair)
-            each[first + 1] = np.where(np.isnan(seen), np.nan_to_num(self.find(self.back, self.back_llr, w.hash[first])) + single[first + 1], seen)
+            seen = self.find(self.bi, self.bi_llr, pair, np.nan)
+            each[first + 1] = np.where(np.isnan(seen), self.find(self.back, self.back_llr, w.hash[first], 0.0) + single[first + 1], seen)
             # a bigram counts once in a text, as in the counts; so does the first word, which has none before it
             what = w.hash.copy()
             what[first + 1] = pair
-            _, once = np.unique(mix(w.text.astype(np.uint64)) ^ what, return_index=True)
-            again = np.ones(len(each), bool)
-            again[once] = False
-            each[again] = 0
-            words = np.maximum(1, np.bincount(w.text[once], minlength=len(part)))
-            total = np.concatenate(([0.0], np.cumsum(each)))
-            end = np.minimum(np.arange(len(each)) + SPAN, w.bounds[w.text + 1])
-            span = (total[end] - total[:-1]) / SPAN
+            salt = mix(w.text.astype(np.uint64))
+            once = np.unique(salt ^ what, return_index=True)[1]
             some = np.flatnonzero(w.counts)
             rows = begin + some
-            out[rows, 0] = words[some]
-            out[rows, 1] = (total[w.bounds[1:]] - total[w.bounds[:-1]])[some] / np.sqrt(words[some])
-            out[rows, 2] = np.maximum.reduceat(span, w.bounds[:-1][some])
+            out[rows, 0] = np.bincount(w.text[once], minlength=len(part))[some]
+            out[rows, 1] = np.bincount(w.text[once], each[once], len(part))[some] / out[rows, 0]
+            words = np.unique(salt ^ w.hash, return_index=True)[1]
+            words = words[np.lexsort((-single[words], w.text[words]))]
+            text = w.text[words]
+            place = np.arange(len(words)) - np.searchsorted(text, text)
+            out[rows, 2] = single[words[place == 0]]
+            best = words[place < TOP]
+            out[rows, 3] = np.bincount(w.text[best], single[best], len(part))[some] / TOP
         return out
 
 
@@ -109,46 +115,59 @@ def grams(sample: DataFrame) -> DataFrame:
     )
 
 
+def discounts(rows: DataFrame, c: str) -> tuple[float, float, float]:
+    """What counts of one, two and more give up, from how many expressions of the class have each of the counts 1 to 4."""
+    n = rows.agg(*(F.count_if(F.col(c) == k).alias(f"n{k}") for k in range(1, 5))).first()
+    if not n.n1 or not n.n2:
+        return (DISCOUNT,) * 3
+    y = n.n1 / (n.n1 + 2 * n.n2)
+    out = [k - (k + 1) * y * n[f"n{k + 1}"] / n[f"n{k}"] if n[f"n{k}"] else DISCOUNT for k in (1, 2, 3)]
+    return tuple(min(max(d, LEAST), k - LEAST) for k, d in enumerate(out, 1))
+
+
+def lost_of(d: tuple[float, float, float], c: str) -> Column:
+    return F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+
+
+def conditionals(counts: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """From ordinary counts ``a`` and toxic counts ``b``: words (w, p0, p1), bigrams (v, w, p0, p1) that occurred in either
+    class, what is left for others after a word (v, r0, r1), and both classes' probability of a word never seen."""
+    seen = counts.filter(F.col(a) + F.col(b) > 0)
+    words, pairs = seen.filter(~F.col("pair")).select("w", a, b), seen.filter("pair").select("v", "w", a, b)
+    shared = stored(pairs.groupBy("w").agg(F.count("*").alias("before")), "toxic-shared")
+    lost = {c: (discounts(words, c), discounts(pairs, c)) for c in (a, b)}
+    n = words.agg(F.count("*").alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"t_{c}") for c in (a, b)), *(F.coalesce(F.sum(lost_of(lost[c][0], c)), F.lit(0.0)).alias(f"f_{c}") for c in (a, b))).first()
+    places = (shared.agg(F.coalesce(F.sum("before"), F.lit(0))).first()[0]) + n.v + 1
+    freed = {c: n[f"f_{c}"] / max(1, n[f"t_{c}"]) for c in (a, b)}
+    q = (F.coalesce("before", F.lit(0)) + 1) / F.lit(float(places))
+    single = lambda c: (F.col(c) - lost_of(lost[c][0], c)) / F.lit(float(max(1, n[f"t_{c}"]))) + F.lit(freed[c]) * q
+    uni = stored(words.join(shared, "w", "left").select("w", single(a).alias("p0"), single(b).alias("p1")), "toxic-words")
+    begins = pairs.groupBy("v").agg(*(F.sum(c).alias(f"t{i}") for i, c in enumerate((a, b))), *(F.sum(lost_of(lost[c][1], c)).alias(f"f{i}") for i, c in enumerate((a, b))))
+    rest = lambda i: F.when(F.col(f"t{i}") > 0, F.col(f"f{i}") / F.col(f"t{i}")).otherwise(1.0).alias(f"r{i}")
+    begins = stored(begins.select("v", "t0", "t1", rest(0), rest(1)), "toxic-begins")
+    cond = lambda i, c: (F.when(F.col(f"t{i}") > 0, (F.col(c) - lost_of(lost[c][1], c)) / F.col(f"t{i}")).otherwise(0.0) + F.col(f"r{i}") * F.col(f"p{i}")).alias(f"c{i}")
+    bi = pairs.join(begins, "v").join(uni, "w").select("v", "w", cond(0, a), cond(1, b)).withColumnsRenamed({"c0": "p0", "c1": "p1"})
+    return uni, bi, begins.select("v", "r0", "r1"), tuple(freed[c] / places for c in (a, b))
+
+
 def model(counts: DataFrame, a: str, b: str) -> Model:
-    """The differences from ordinary counts ``a`` and toxic counts ``b``."""
-    both = F.col(a) + F.col(b)
-    words = counts.filter(~F.col("pair")).select("w", a, b)
-    pairs = counts.filter(F.col("pair") & (both > 0)).select("v", "w", a, b)
-    shared = pairs.groupBy("w").agg(F.count("*").alias("before"))
-    kept = words.filter(both >= CUTOFF).join(shared, "w", "left").select("w", a, b, F.coalesce("before", F.lit(0)).alias("before")).toPandas().sort_values("w")
-    sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (a, b)), F.count("*"), *(F.coalesce(F.sum(F.least(F.col(c), F.lit(DISCOUNT))), F.lit(0.0)) for c in (a, b))).first()
-    types, pairs_seen = max(1, sums[2]), shared.agg(F.coalesce(F.sum("before"), F.lit(0))).first()[0]
-    back_off = (kept["before"].to_numpy() + 1.0) / (pairs_seen + types)
-    single = []
-    for c, total, freed in ((a, sums[0], sums[3]), (b, sums[1], sums[4])):
-        n = kept[c].to_numpy(np.float64)
-        single.append((np.maximum(n - DISCOUNT, 0) + max(1.0, freed) * back_off) / max(1, total))
-    word = kept["w"].to_numpy(np.int64).view(np.uint64)
-    word_order = np.argsort(word)
-    word, single = word[word_order], [p[word_order] for p in single]
-
-    two = pairs.filter(both >= CUTOFF).toPandas()
-    begins = pairs.groupBy("v").agg(F.sum(a).alias("t0"), F.sum(b).alias("t1"))
-    begins = begins.join(pairs.filter(both >= CUTOFF).select("v").distinct(), "v", "left_semi").toPandas()
-    v, w = (two[c].to_numpy(np.int64).view(np.uint64) for c in ("v", "w"))
-    start = begins["v"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(start)
-    start = start[order]
-    of, at = np.searchsorted(start, v), np.searchsorted(word, w)
-    t = [np.maximum(1.0, begins[c].to_numpy(np.float64)[order]) for c in ("t0", "t1")]
-    n = [two[c].to_numpy(np.float64) for c in (a, b)]
-    # how much likelier w is after v than anywhere, in both classes together
-    pooled = sum(kept[c].to_numpy(np.float64) for c in (a, b))[word_order] / max(1, sums[0] + sums[1])
-    association = np.minimum((n[0] + n[1]) / (t[0] + t[1])[of] / pooled[at], 0.9 / np.maximum(single[0], single[1])[at]) if len(v) else np.zeros(0)
-    back, cond = [], []
-    for count, total, p in zip(n, t, single, strict=True):
-        took = np.maximum(count - DISCOUNT, 0)
-        rest = np.maximum(0.05, 1 - np.bincount(of, took, len(start)) / total)
-        back.append(rest)
-        cond.append(took / total[of] + rest[of] * p[at] * association)
-    pair = SEQUENCE.ranges(np.stack([v, w], 1).ravel(), np.arange(len(v)) * 2, np.arange(len(v)) * 2 + 2)
-    order = np.argsort(pair)
-    return Model(word, np.log(single[1] / single[0]), pair[order], np.log(cond[1] / cond[0])[order], start, np.log(back[1] / back[0]))
+    """The differences from ordinary counts ``a`` and toxic counts ``b``, computed by Spark and gathered as two columns."""
+    uni, bi, begins, unknown = conditionals(counts, a, b)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            both = np.stack([x["v"].to_numpy(), x["w"].to_numpy()], 1).ravel().view(np.uint64)
+            at = np.arange(len(x)) * 2
+            yield pd.DataFrame({"key": SEQUENCE.ranges(both, at, at + 2).view(np.int64), "llr": x["llr"]})
+
+    def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        t = rows.select(F.col("key"), F.col("llr").cast("float").alias("llr")).orderBy("key").toArrow()
+        return t["key"].to_numpy(), t["llr"].to_numpy()
+
+    llr = lambda y, x: F.log(F.col(y) / F.col(x)).alias("llr")
+    pairs = bi.select("v", "w", llr("p1", "p0")).mapInPandas(keyed, "key long, llr double")
+    ratio = float(np.log(unknown[1] / unknown[0])) if min(unknown) > 0 else 0.0
+    return Model(*gathered(uni.select(F.col("w").alias("key"), llr("p1", "p0"))), *gathered(pairs), *gathered(begins.select(F.col("v").alias("key"), llr("r1", "r0"))), ratio)
 
 
 def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: dict[int, int] = MAX_DOCS)
     chosen = [known.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(max_docs[c]) for c in (0, 1)]
     picked = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic", F.pmod("order", F.lit(FOLDS)).cast("int").alias("fold"))
     # as many rows of a few bytes as max_docs allows
-    sample = stored(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["text"]), "toxic-sample")
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    # equal texts are one, toxic if any of them is
+    sample = stored(sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("fold").alias("fold"), F.min("doc_id").alias("doc_id")), "toxic-sample")
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Scorer(None, None, 0.0 if not size.get(1) else 1.0)
@@ -202,16 +223,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: dict[int, int] = MAX_DOCS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(trial.value.features([t.encode() for t in batch["text"]]), columns=["n", "mean", "span"]).assign(toxic=batch["toxic"])
+            yield pd.DataFrame(trial.value.features([t.encode() for t in batch["text"]]), columns=["n", "mean", "word", "top"]).assign(toxic=batch["toxic"])
 
-    aside = sample.filter("fold = 0").select("text", "toxic").mapInPandas(run, "n double, mean double, span double, toxic int").toPandas()
+    aside = sample.filter("fold = 0").select("text", "toxic").mapInPandas(run, "n double, mean double, word double, top double, toxic int").toPandas()
     all_of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     y = aside["toxic"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
-        return Scorer(model(counts, "n0", "n1"), (np.zeros(2), np.ones(2), np.array([-2.0, 1.0, 4.0])), 0.0)
+        return Scorer(model(counts, "n0", "n1"), (np.zeros(3), np.ones(3), np.array([-4.0, 0.0, 0.5, 1.0])), 0.0)
     weight = np.where(y == 1, all_of[1] / size[1], all_of[0] / size[0])
     weight = weight / weight.mean()
-    return Scorer(model(counts, "n0", "n1"), curve(shaped(aside[["n", "mean", "span"]].to_numpy()), y, weight), 0.0)
+    return Scorer(model(counts, "n0", "n1"), curve(shaped(aside[["n", "mean", "word", "top"]].to_numpy()), y, weight), 0.0)
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:

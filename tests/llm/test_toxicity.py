@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -60,19 +61,59 @@ def test_edge_rows(spark):
     assert {r.score for r in toxicity.toxicity(docs, labels.filter("toxic = 1")).collect()} == {1.0}
 
 
-def hand_made():
-    def hashed(texts):
-        return [toxicity.Words([t], toxicity.LETTERS, toxicity.LOWER) for t in texts]
-
-    uni = hashed([b"w0", b"w1"])
-    uni = np.sort(np.concatenate([w.hash for w in uni]))
-    bi = hashed([b"w0 w1"])[0].sequences(2)[1]
-    none = np.zeros(0)
-    return toxicity.Model(uni, np.zeros(2), bi, np.array([5.0]), none.astype(np.uint64), none)
-
-
-def test_a_new_pair_of_earlier_words_counts_once():
-    once, twice, alone = hand_made().features([b"w0 x w1 y w0 w1", b"w0 x w1 y w0 w1 y w0 w1", b"w0 x w1 y w1 w0"])
-    assert np.isclose(once[1] * np.sqrt(once[0]), 5) and np.isclose(once[2], 5 / toxicity.SPAN)
-    assert np.isclose(twice[1] * np.sqrt(twice[0]), 5) and np.isclose(twice[2], 5 / toxicity.SPAN)
-    assert alone[1] == alone[2] == 0
+def plain_model(texts, toxic):
+    """Both models from dictionaries, with the discounts of counts of counts."""
+    import math
+    from collections import Counter
+
+    word = lambda t: [w for w in re.split(r"[^a-z0-9']+", t.lower()) if w]
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for t, y in {t: y for y, t in sorted(zip(toxic, texts, strict=True))}.items():
+        w = word(t)
+        uni[y].update(set(w))
+        bi[y].update(set(zip(w, w[1:])))
+    before = Counter(w for _, w in set(bi[0]) | set(bi[1]))
+    places = sum(before.values()) + len(set(uni[0]) | set(uni[1])) + 1
+
+    def lost(counter):
+        n = Counter(counter.values())
+        if not n[1] or not n[2]:
+            d = [toxicity.DISCOUNT] * 3
+        else:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else toxicity.DISCOUNT for k in (1, 2, 3)]
+        d = [0] + [min(max(x, toxicity.LEAST), k - toxicity.LEAST) for k, x in enumerate(d, 1)]
+        return lambda k: d[min(k, 3)]
+
+    du, db = [lost(c) for c in uni], [lost(c) for c in bi]
+    total = [sum(c.values()) for c in uni]
+
+    def single(c, w):
+        return (uni[c][w] - du[c](uni[c][w])) / total[c] + sum(map(du[c], uni[c].values())) / total[c] * (before[w] + 1) / places
+
+    def pair(c, v, w):
+        after = {x: n for (a, x), n in bi[c].items() if a == v}
+        if not after:
+            return single(c, w)
+        return (after.get(w, 0) - db[c](after.get(w, 0)) + sum(map(db[c], after.values())) * single(c, w)) / sum(after.values())
+
+    return word, single, pair, set(uni[0]) | set(uni[1]), lambda y, x: math.log(y / x)
+
+
+def test_model_against_dictionaries(spark):
+    docs, labels = made(spark, 120)
+    rows = docs.join(labels, "doc_id").collect()
+    texts, toxic = [r.text for r in rows], [r.toxic for r in rows]
+    sample = spark.createDataFrame([(y, i % 5, t) for i, (t, y) in enumerate(zip(texts, toxic, strict=True))], "toxic int, fold int, text string")
+    model = toxicity.model(toxicity.grams(sample), "n0", "n1")
+    word, single, pair, known, llr = plain_model(texts, toxic)
+    for c in (0, 1):  # with one place for words never seen, each level sums to one
+        assert abs(sum(single(c, w) for w in known) + single(c, "never") - 1) < 1e-9
+        assert abs(sum(pair(c, "w1", w) for w in known) + pair(c, "w1", "never") - 1) < 1e-9
+    for t in (texts[0], texts[1], "never vile", "w1 w1 w1 vile w1 w1", "grumble"):
+        w = word(t)
+        once = dict.fromkeys(zip(w, w[1:]))
+        each = [llr(single(1, w[0]), single(0, w[0]))] + [llr(pair(1, a, b), pair(0, a, b)) for a, b in once]
+        words = sorted((llr(single(1, x), single(0, x)) for x in set(w)), reverse=True)
+        got = model.features([t.encode()])[0]
+        assert np.allclose(got, [len(each), sum(each) / len(each), words[0], sum(words[:3]) / 3], atol=1e-4), (t, got)
