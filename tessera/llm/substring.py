@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import NO_ID, stored, text_of
-from tessera.llm.words import SEQUENCE, U, Powers, Words, chunks, sliding_min
+from tessera.llm.words import SEQUENCE, U, Powers, Words, chunks, packed, sliding_min
 
 WINDOW = 35
 SEED_WORDS = 12
@@ -56,15 +56,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("kd"), F.xxhash64(text_of()).alias("tk"), text_of().alias("text"))
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
-        z = zstandard.ZstdCompressor(level=6)
-        return pd.Series([z.compress(t.encode()) for t in texts])
-
-    return rows.withColumn("text", pack("text"))
-
-
 def anchors(rows: DataFrame, seed: int = SEED_WORDS, window: int = WINDOW) -> DataFrame:
     """(kd, tk, pos, hash) of every anchor."""
 

@@ -9,6 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 CHUNK_BYTES = 500_000
@@ -105,3 +109,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with their texts compressed, before a shuffle."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        z = zstandard.ZstdCompressor(level=6)
+        return pd.Series([z.compress(t.encode()) for t in texts])
+
+    return rows.withColumn("text", pack("text"))
