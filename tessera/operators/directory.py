@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import fold
+
 
 def state_column(state: dict, text: str = "name") -> Column:
     """A typed filter state as one predicate: a list is any of (scalars or arrays), True is truthy, "q" is every term of a
@@ -189,9 +191,9 @@ def news_sections(df: DataFrame, since: int, n: int = 5) -> DataFrame:
 
 def az_index(df: DataFrame, name: Column, key: str) -> DataFrame:
     """Letters (# for anything else) with the first record of each, leading symbols skipped and accents folded."""
-    fold = F.translate(F.lower(F.regexp_replace(name, r"^[^\p{L}\p{N}]+", "")), "àáâäçèéêëìíîïñòóôöùúûü", "aaaaceeeeiiiinoooouuuu")
-    letter = F.upper(F.substring(fold, 1, 1))
-    rows = df.select(F.when(letter.rlike("^[A-Z]$"), letter).otherwise("#").alias("letter"), fold.alias("fold"), F.col(key).alias("id"))
+    folded = fold(F.regexp_replace(name, r"^[^\p{L}\p{N}]+", ""))
+    letter = F.upper(F.substring(folded, 1, 1))
+    rows = df.select(F.when(letter.rlike("^[A-Z]$"), letter).otherwise("#").alias("letter"), folded.alias("fold"), F.col(key).alias("id"))
     return rows.groupBy("letter").agg(F.count("*").alias("n"), F.min(F.struct("fold", "id")).alias("x")).select("letter", "n", F.col("x.id").alias("first_id"))
 
 

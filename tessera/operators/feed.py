@@ -56,12 +56,24 @@ def plan_state(toggles: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "item").agg(F.max_by("action", "seq").alias("action")).filter("action = 'star'").select("user_id", "item")
 
 
-def status_changes(instances: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Statuses of instances (id, s, e) at ticks (tick), where they differ from the tick before. An instance changes near its
-    start and its end only, so each meets the ticks around those two moments and no others."""
-    step = ticks.agg(F.min("tick").alias("t0"), F.max("tick").alias("t1"), F.floor((F.max("tick") - F.min("tick")) / F.greatest(F.count("*") - 1, F.lit(1))).cast("long").alias("step"))
-    moments = instances.join(F.broadcast(step), F.lit(True)).select("id", "t0", "t1", "step", F.explode(F.array(F.struct((F.col("s") - 1800).alias("m"), F.lit("soon").alias("status")), F.struct(F.col("s").alias("m"), F.lit("live").alias("status")), F.struct(F.col("e").alias("m"), F.lit("past").alias("status")))).alias("x"))
-    at = F.col("t0") + F.ceil((F.col("x.m") - F.col("t0")) / F.col("step")).cast("long") * F.col("step")
-    order = F.when(F.col("x.status") == "soon", 0).when(F.col("x.status") == "live", 1).otherwise(2)
-    seen = moments.filter((at > F.col("t0")) & (at <= F.col("t1"))).groupBy("id", at.alias("tick")).agg(F.max_by(F.col("x.status"), order).alias("status"))
-    return seen.select("tick", "id", "status")
+def status_changes(instances: DataFrame, ticks: DataFrame, since: int | None = None) -> DataFrame:
+    """Statuses of instances (id, s, e) at ticks (tick), where they differ from the tick before; the first tick is compared
+    with ``since``, the last one that was seen earlier, or stands for it. An instance changes near its start and its end
+    only: each of these moments is shown at the first tick from then on, the last of several. Ticks needn't be even: a
+    moment meets the ticks of its hour, or else the first of the next hour that has any."""
+    hours = ticks.distinct().withColumn("hour", F.floor(F.col("tick") / 3600)).groupBy("hour").agg(F.array_sort(F.collect_list("tick")).alias("ticks"))
+    before = Window.orderBy("hour")  # one row an hour of the batch
+    hours = hours.select("ticks", F.col("hour").alias("until"), F.lag("hour").over(before).alias("prev"))
+    start = F.floor(F.lit(since) / 3600) if since is not None else F.col("until")
+    hours = hours.select("ticks", F.explode(F.sequence(F.coalesce(F.col("prev") + 1, start), "until")).alias("hour"))
+    span = ticks.agg(F.min("tick").alias("t0"), F.max("tick").alias("t1")).first()
+    if span.t0 is None:
+        return instances.select(F.lit(0).cast("long").alias("tick"), "id", F.lit("").alias("status")).limit(0)
+    low = span.t0 if since is None else since
+    moments = instances.select("id", F.explode(F.array(*(F.struct(m.alias("m"), F.lit(k).alias("k")) for k, m in enumerate((F.col("s") - 1800, F.col("s"), F.col("e")))))).alias("x")).select("id", "x.m", "x.k")
+    moments = moments.filter((F.col("m") > low) & (F.col("m") <= span.t1)).withColumn("hour", F.floor(F.col("m") / 3600))
+    own = moments.join(hours, "hour").withColumn("at", F.get(F.filter("ticks", lambda t: t >= F.col("m")), F.lit(0)))
+    late = own.filter("at is null").select("id", "m", "k", (F.col("hour") + 1).alias("hour")).join(hours, "hour").select("id", "m", "k", F.get("ticks", F.lit(0)).alias("at"))
+    at = own.filter("at is not null").select("id", "m", "k", "at").unionByName(late)
+    seen = at.groupBy("id", F.col("at").alias("tick")).agg(F.max(F.struct("m", "k")).alias("x"))
+    return seen.select("tick", "id", F.element_at(F.array(*map(F.lit, ("soon", "live", "past"))), F.col("x.k") + 1).alias("status"))

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.geo import metres
+from tessera.functions.text import fold
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a loop: in the shared folder that the session names, else in a temporary one (tests)."""
@@ -120,6 +123,42 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
         left = checkpointed(left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
 
 
+def match_tiers(entries: DataFrame, works: DataFrame, radius: int = 200, least: int = 100, far: int = 9999) -> DataFrame:
+    """One-to-one matches (a, b, tier, metres) of entries (id, title, credits, category, zone, lat, lng, reach) with works (id,
+    title, credits, category, zone, lat, lng), strongest evidence first, the nearer first within a tier:
+    0 title and credit, 1 credit (same category, within ``radius``), 2 title (same category and zone, within ``radius``),
+    3 location (same category and zone, the work names nobody, within the entry's reach or ``least`` metres).
+
+    A title matches if both are equal or share a word; a credit if both name somebody. Points without coordinates count as
+    near and ``far`` away. Candidates meet on equal keys only: a shared name, the cell of a grid, or, where a point is
+    missing, a shared word with category and zone."""
+    from tessera.operators.geo import within_radius
+
+    words = lambda c: F.array_distinct(F.filter(F.split(fold(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
+    names = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda n: fold(F.trim(n))))
+    own = ["category", "zone", "lat", "lng"]
+    x = checkpointed(entries.select("id", words("title").alias("words"), names("credits").alias("names"), *own, F.least(F.greatest("reach", F.lit(least)), F.lit(radius)).alias("reach")))
+    y = checkpointed(works.select("id", words("title").alias("words"), names("credits").alias("names"), *own))
+    keyed = lambda rows, side, key, *more: rows.select(F.col("id").alias(side), F.explode(key).alias("key"), *more)
+    pairs = keyed(x, "a", "names").join(keyed(y, "b", "names"), "key").select("a", "b")
+    lost = lambda rows: rows.filter("lat is null or lng is null")
+    more = ("category", "zone")
+    for left, right in ((lost(x), y), (x.filter("lat is not null and lng is not null"), lost(y))):
+        pairs = pairs.unionByName(keyed(left, "a", "words", *more).join(keyed(right, "b", "words", *more), ["key", *more]).select("a", "b"))
+    placed = lambda rows: rows.filter("lat is not null and lng is not null").select("id", "lat", "lng")
+    pairs = pairs.unionByName(within_radius(placed(x), placed(y), radius).select("a", "b")).distinct()
+
+    side = lambda rows, s: rows.select(*(F.col(c).alias(s + c) for c in rows.columns))
+    both = pairs.join(side(x, "x_"), F.col("a") == F.col("x_id")).join(side(y, "y_"), F.col("b") == F.col("y_id"))
+    title, credit = F.arrays_overlap("x_words", "y_words"), F.arrays_overlap("x_names", "y_names")
+    both = both.withColumn("metres", metres(F.col("x_lat"), F.col("x_lng"), F.col("y_lat"), F.col("y_lng")))
+    near = F.col("metres").isNull() | (F.col("metres") <= radius)
+    category, zone = F.col("x_category") == F.col("y_category"), F.col("x_zone") == F.col("y_zone")
+    tier = F.when(title & credit, 0).when(credit & category & near, 1).when(title & category & zone & near, 2).when((F.size("y_names") == 0) & category & zone & (F.col("metres") <= F.col("x_reach")), 3)
+    ranked = both.select("a", "b", tier.alias("tier"), F.coalesce("metres", F.lit(far)).alias("metres")).filter("tier is not null")
+    return mutual_best(ranked.select("a", "b", F.struct("tier", "metres").alias("cost"))).select("a", "b", "cost.tier", "cost.metres")
+
+
 def trigram_similarity(df: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs (a, b) of different texts by the Jaccard index of their padded trigrams, in thousandths. Equal texts are one;
     pairs meet on shared trigrams only, rarest first: a pair that reaches the threshold shares one of the first
@@ -142,11 +181,19 @@ def trigram_similarity(df: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def role_inference(credits: DataFrame, rules: DataFrame) -> DataFrame:
-    """credits (person, label): the role of the first rule (ord, needle, role) whose needle the label holds. Labels are
-    matched once each, whatever the number of credits."""
-    labels = credits.select("label").distinct()
-    hit = labels.join(F.broadcast(rules), F.contains(F.lower("label"), F.col("needle"))).groupBy("label").agg(F.min_by("role", "ord").alias("role"))
-    return credits.join(hit, "label", "left").groupBy("person").agg(F.min(F.coalesce("role", F.lit("other"))).alias("role"))
+    """credits (person, event, ord, label, curated, kind, roles): one role for each person and event. The first credit line
+    with a label decides: the role of the first rule (ord, needle, role) whose needle it holds, else the person's first role
+    or artist. Without one: curator for who curated the event, a person's only role, the first role that the kind of event
+    prefers, the first role, artist. Labels are matched once each, whatever the number of credits."""
+    labels = credits.filter("label is not null").select("label").distinct()
+    hit = labels.join(rules, F.contains(F.lower("label"), F.col("needle"))).groupBy("label").agg(F.min_by(F.col("role"), F.col("ord")).alias("found"))
+    per = credits.groupBy("person", "event").agg(F.min_by("label", F.when(F.col("label").isNotNull(), F.col("ord"))).alias("label"), F.bool_or("curated").alias("curated"), F.first("kind").alias("kind"), F.min_by("roles", "ord").alias("roles"))
+    first = F.coalesce(F.get("roles", F.lit(0)), F.lit("artist"))
+    listed = lambda *x: F.array(*map(F.lit, x))
+    wanted = F.when(F.col("kind").isin("exhibition", "installation"), listed("artist", "curator")).when(F.col("kind").isin("keynote", "talk", "panel", "fireside", "screening"), listed("speaker", "moderator", "curator", "artist")).otherwise(listed("performer", "speaker", "artist"))
+    by_kind = F.get(F.filter(wanted, lambda r: F.array_contains("roles", r)), F.lit(0))
+    role = F.when(F.col("label").isNotNull(), F.coalesce("found", first)).when(F.col("curated"), "curator").when(F.size("roles") == 1, first).otherwise(F.coalesce(by_kind, first))
+    return per.join(hit, "label", "left").select("person", "event", role.alias("role"))
 
 
 def page_policy(people: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY, HOUR, CUT = 86400, 3600, 5 * 3600
+#: sessions of more than LONG windows meet others in buckets of WIDE windows
+LONG, WIDE = 24, 720
 
 
 def festival_day(s: Column) -> Column:
@@ -66,27 +68,57 @@ def live_count(df: DataFrame, now: int) -> DataFrame:
 
 
 def when_preset(df: DataFrame, now: int) -> DataFrame:
-    """on_now (ongoing included, unknown ends not), coming within two hours, and tonight (from 17:00, not ended, same festival day)."""
-    base = ~F.col("cancelled") & ~F.col("tu")
+    """Sessions with hours (ongoing included): on_now (unknown ends not), next (they start within two hours from now on) and
+    tonight (from 17:00, not ended, same festival day)."""
+    base = ~F.col("cancelled") & ~F.col("tu") & ~F.col("ad")
     on = base & (F.col("s") <= now) & (F.col("e") > now) & ~F.col("eu")
-    coming = base & (F.col("s") > now) & (F.col("s") <= now + 2 * HOUR)
+    coming = base & (F.col("s") >= now) & (F.col("s") < now + 2 * HOUR)
     late = (F.col("s") % DAY >= 17 * HOUR) | (F.col("s") % DAY < CUT)
     tonight = base & late & (F.col("e") > now) & (festival_day(F.col("s")) == (now - CUT) // DAY)
     return df.select("id", on.alias("on_now"), coming.alias("next"), tonight.alias("tonight")).filter("on_now or next or tonight")
 
 
-def at_this_hour(df: DataFrame, now: int, sizes: tuple[int, int, int] = (4, 3, 6)) -> DataFrame:
-    """Ranked sections now, next and tonight: an item stands in the first section it fits; what is beyond a section's size is
-    counted in n_more."""
-    rows = df.filter("not cancelled and not tu and not og")
-    hour_ends = now + HOUR
-    section = F.when((F.col("s") <= now) & (F.when(F.col("eu"), F.col("s") + HOUR).otherwise(F.col("e")) > now), 0).when((F.col("s") > now) & (F.col("s") <= hour_ends), 1).when((F.col("s") > hour_ends) & (festival_day(F.col("s")) == (now - CUT) // DAY), 2)
-    rows = rows.withColumn("section", section).filter("section is not null")
-    order = Window.partitionBy("section").orderBy(F.col("featured").desc(), "s", "id")
-    rows = rows.withColumn("rank", F.row_number().over(order))
-    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("section") + 1)
-    more = rows.groupBy("section").agg(F.greatest(F.count("*") - F.first(size), F.lit(0)).alias("n_more"))
-    return rows.filter(F.col("rank") <= size).join(F.broadcast(more), "section").select("section", "rank", "id", "n_more")
+def at_this_hour(df: DataFrame, now: int, lanes: tuple[str, ...] = (), sizes: tuple[int, int, int, int] = (4, 2, 3, 6)) -> DataFrame:
+    """(section, rank, id, n_more): now (timed sessions; an unknown end counts for an hour), open (ongoing ones whose hours
+    include now), next (what starts within three hours, else the next start, that of a session before that of an ongoing
+    one), tonight (what begins at 17:00 or later today and stands in neither now nor next), and one row on_view with the
+    number of ongoing ones of today without hours. Featured ones come first, then the lanes in order, then the rest; next
+    and tonight are shown by start. What is beyond a section's size is counted in n_more."""
+    place = F.array_position(F.array(*map(F.lit, lanes)).cast("array<string>"), F.col("program"))
+    order = F.when(F.col("featured"), 0).otherwise(10) + F.when(place > 0, place - 1).otherwise(9)
+    today = (now - CUT) // DAY
+    end = F.when(F.col("eu"), F.col("s") + HOUR).otherwise(F.col("e"))
+    rows = df.filter("not cancelled").select("id", "s", "og", end.alias("e"), "eu", order.alias("order"), (~F.col("tu") & ~F.col("ad")).alias("hours"), (festival_day(F.col("s")) == today).alias("today"))
+    on = F.col("hours") & (F.col("s") <= now) & (F.col("e") > now)
+    later = F.col("hours") & (F.col("s") > now)
+    # one pass and one row for the counts and the fallback
+    first = lambda c: F.min(F.when(c, F.col("s")))
+    n = rows.agg(
+        F.count_if(on & ~F.col("og")).alias("now"), F.count_if(on & F.col("og") & ~F.col("eu")).alias("open"), F.count_if(F.col("today") & F.col("og") & ~F.col("hours")).alias("view"),
+        F.count_if(later & (F.col("s") < now + 3 * HOUR)).alias("soon"), first(later & ~F.col("og")).alias("plain"), first(later).alias("any"),
+    ).first()
+    rank_of = ["order", "s", "id"]
+    best = lambda where, size: rows.filter(where).orderBy(*rank_of).limit(size)
+    if n["soon"]:
+        coming = best(later & (F.col("s") < now + 3 * HOUR), sizes[2])
+    else:
+        coming = best(later & (F.col("s") == F.lit(n["plain"] if n["plain"] is not None else n["any"])) & (~F.col("og") if n["plain"] is not None else F.lit(True)), sizes[2])
+    current = best(on & ~F.col("og"), sizes[0])
+    # at most sizes[0] + sizes[2] ids
+    shown = F.broadcast(current.select("id").unionByName(coming.select("id")))
+    late = F.col("today") & later & ((F.col("s") % DAY >= 17 * HOUR) | (F.col("s") % DAY < CUT))
+    evening = rows.filter(late).join(shown, "id", "left_anti")
+    n_evening = evening.agg(F.count("*").alias("n")).first().n
+
+    def section(name: str, chosen: DataFrame, by: list[str], more: int) -> DataFrame:
+        ranked = chosen.withColumn("rank", F.row_number().over(Window.orderBy(*by)))  # a section's few rows
+        return ranked.select(F.lit(name).alias("section"), "rank", "id", F.lit(max(0, more)).cast("long").alias("n_more"))
+
+    by_start = ["s", "order", "id"]
+    out = section("now", current, rank_of, n["now"] - sizes[0]).unionByName(section("open", best(on & F.col("og") & ~F.col("eu"), sizes[1]), rank_of, n["open"] - sizes[1]))
+    out = out.unionByName(section("next", coming, by_start, 0)).unionByName(section("tonight", evening.orderBy(*rank_of).limit(sizes[3]), by_start, n_evening - sizes[3]))
+    view = df.sparkSession.range(1).select(F.lit("on_view").alias("section"), F.lit(1).alias("rank"), F.lit(None).cast(df.schema["id"].dataType).alias("id"), F.lit(n["view"]).cast("long").alias("n_more"))
+    return out.unionByName(view)
 
 
 def first_up(df: DataFrame, now: int, most: int = 4) -> DataFrame:
@@ -125,20 +157,29 @@ def full_spans(instances: DataFrame) -> DataFrame:
     return instances.groupBy("id").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n")).filter("n >= 2")
 
 
-def program_calendar(instances: DataFrame, now: int) -> DataFrame:
-    """Program by day with the place of the day in the program's run and the days until it opens."""
-    per = instances.groupBy("program").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    days = per.withColumn("day", F.explode(F.sequence("a", "b")))
+def lanes_of(instances: DataFrame) -> DataFrame:
+    """(program, a, b): the first and the last day of each program."""
+    return instances.groupBy("program").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+
+
+def program_calendar(lanes: DataFrame, now: int, first: int, last: int) -> DataFrame:
+    """Program by day of the week [first, last] with how the lane runs on it: start, mid, end, only, thru (it runs past both
+    ends of the week), or null; the day's place in the run, the lane's phase (before, running, over) and the days until it
+    opens."""
+    days = lanes.withColumn("day", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
     today = now // DAY
-    cell = F.when(F.col("a") == F.col("b"), "only").when(F.col("day") == F.col("a"), "start").when(F.col("day") == F.col("b"), "end").otherwise("mid")
-    return days.select("program", "day", cell.alias("cell"), (F.col("day") - F.col("a") + 1).alias("nth"), (F.col("b") - F.col("a") + 1).alias("of"), F.greatest(F.col("a") - today, F.lit(0)).alias("days_until"))
+    runs = F.col("day").between(F.col("a"), F.col("b"))
+    cell = F.when(~runs, None).when((F.col("a") < first) & (F.col("b") > last), "thru").when(F.col("a") == F.col("b"), "only").when(F.col("day") == F.col("a"), "start").when(F.col("day") == F.col("b"), "end").otherwise("mid")
+    phase = F.when(F.col("a") > today, "before").when(F.col("b") < today, "over").otherwise("running")
+    return days.select("program", "day", cell.alias("cell"), F.when(runs, F.col("day") - F.col("a") + 1).alias("nth"), (F.col("b") - F.col("a") + 1).alias("of"), phase.alias("phase"), F.greatest(F.col("a") - today, F.lit(0)).alias("days_until"))
 
 
-def interchange_days(df: DataFrame) -> DataFrame:
-    """Days on which every program has a session."""
-    rows = timed(df).select(festival_day(F.col("s")).alias("day"), "program").distinct()
-    total = df.select(F.countDistinct("program").alias("total"))
-    return rows.groupBy("day").agg(F.count("*").alias("n")).join(F.broadcast(total), F.col("n") == F.col("total")).select("day", "n")
+def interchange_days(lanes: DataFrame, first: int, last: int) -> DataFrame:
+    """Days of the week on which every lane runs that doesn't run past both ends of it; none with fewer than two of these."""
+    solid = lanes.filter(~((F.col("a") < first) & (F.col("b") > last)))
+    # the lanes' common days: from the last opening to the first closing
+    common = solid.agg(F.count("*").alias("n"), F.greatest(F.max("a"), F.lit(first)).alias("a"), F.least(F.min("b"), F.lit(last)).alias("b")).filter("n >= 2 and a <= b")
+    return common.select(F.explode(F.sequence("a", "b")).alias("day"), "n")
 
 
 def nightly_flag(series: DataFrame) -> DataFrame:
@@ -173,11 +214,20 @@ def dedupe_slot(df: DataFrame) -> DataFrame:
     return known.unionByName(df.filter("tu"))
 
 
-def filter_schedule(df: DataFrame, plan: DataFrame, **state) -> DataFrame:
-    """The named predicates that state holds, all of them: programs, kinds, venue, free, text, day, star (sessions in plan)."""
+def filter_schedule(df: DataFrame, plan: DataFrame, now: int = 0, **state) -> DataFrame:
+    """The named predicates that state holds, all of them: day, programs, kinds, times (of day; an ongoing one counts as all
+    day too), hoods, venue, free, text, when (now, next, tonight at ``now``), star (sessions in plan)."""
+    h = F.col("s") % DAY / HOUR
+    time = F.when(F.col("ad") | F.col("tu"), "allday").when(h < 5, "late").when(h < 12, "morning").when(h < 17, "afternoon").when(h < 21, "evening").otherwise("late")
+    late = (F.col("s") % DAY >= 17 * HOUR) | (F.col("s") % DAY < CUT)
+    when = {
+        "now": (F.col("s") <= now) & (F.col("e") > now) & ~F.col("eu"), "next": (F.col("s") >= now) & (F.col("s") < now + 2 * HOUR),
+        "tonight": late & (F.col("e") > now) & (festival_day(F.col("s")) == (now - CUT) // DAY),
+    }
     rules = {
-        "programs": lambda v: F.col("program").isin(*v), "kinds": lambda v: F.col("kind").isin(*v) | (F.col("og") & F.lit("ongoing" in v)), "venue": lambda v: F.col("venue") == v,
-        "free": lambda v: F.col("featured") if v else F.lit(True), "text": lambda v: F.forall(F.split(F.lit(v.lower()), " "), lambda t: F.contains(F.lower("title"), t)), "day": lambda v: festival_day(F.col("s")) == v,
+        "day": lambda v: festival_day(F.col("s")) == v, "programs": lambda v: F.col("program").isin(*v), "kinds": lambda v: F.col("kind").isin(*v) | (F.col("og") & F.lit("ongoing" in v)),
+        "times": lambda v: time.isin(*v) | (F.col("og") & F.lit("allday" in v)), "hoods": lambda v: F.col("hood").isin(*v), "venue": lambda v: F.col("venue") == v, "free": lambda v: F.col("free") if v else F.lit(True),
+        "text": lambda v: F.forall(F.split(F.lit(v.lower()), " "), lambda t: F.contains(F.lower("title"), t)), "when": lambda v: ~F.col("tu") & ~F.col("ad") & when[v],
     }
     rows = df.filter("not cancelled")
     for name, value in state.items():
@@ -190,29 +240,43 @@ def window_clip(series: DataFrame, first: int, last: int) -> DataFrame:
     return series.filter((F.col("d") <= last) & (F.col("d") + F.col("n") - 1 >= first))
 
 
-def interval_overlap(df: DataFrame, window: int = HOUR) -> DataFrame:
-    """Conflicts of each user's sessions, every pair once: overlap (both ends known), same start, during, or maybe (an
-    unknown end, within ``window``). The earlier session is spread over the buckets in which a later one can start and the
-    later one stands in one bucket, so the join is on equal keys and no pair meets twice."""
+def conflict_pairs(df: DataFrame, window: int = HOUR) -> DataFrame:
+    """Conflicts of each user's timed sessions, every pair once (a, b, the earlier first; two times of one session never):
+    overlap (both ends known), same start, during, or maybe (an unknown end, within ``window``). The earlier session is
+    spread over the buckets in which a later one can start and the later one stands in one bucket, so the join is on equal
+    keys and no pair meets twice; sessions longer than LONG windows are spread over wide buckets."""
     rows = timed(df).select("user_id", "id", "s", "e", "eu")
     a = rows.select("user_id", *(F.col(c).alias(f"a_{c}") for c in ("id", "s", "e", "eu")))
-    a = a.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a_s") / window), F.floor((F.greatest("a_e", F.col("a_s") + window) - 1) / window))))
-    b = rows.select("user_id", *(F.col(c).alias(f"b_{c}") for c in ("id", "s", "e", "eu"))).withColumn("bucket", F.floor(F.col("b_s") / window))
-    pair = a.join(b, ["user_id", "bucket"]).filter("struct(a_s, a_e, a_id) < struct(b_s, b_e, b_id)")
+    reach = F.greatest("a_e", F.col("a_s") + window) - 1
+    wide = F.when(reach - F.col("a_s") > LONG * window, WIDE * window).otherwise(window)
+    a = a.withColumn("width", wide.cast("long")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a_s") / F.col("width")), F.floor(reach / F.col("width")))))
+    b = rows.select("user_id", *(F.col(c).alias(f"b_{c}") for c in ("id", "s", "e", "eu")))
+    b = b.withColumn("width", F.explode(F.array(F.lit(window).cast("long"), F.lit(WIDE * window).cast("long")))).withColumn("bucket", F.floor(F.col("b_s") / F.col("width")))
+    pair = a.join(b, ["user_id", "width", "bucket"]).filter("struct(a_s, a_e, a_id) < struct(b_s, b_e, b_id) and a_id <> b_id").filter(F.col("b_s") <= reach)
     known = ~F.col("a_eu") & ~F.col("b_eu")
     shared = F.least("a_e", "b_e") - F.col("b_s")
     kind = F.when(known, F.when(shared > 0, "overlap")).when(F.col("a_s") == F.col("b_s"), "same").when(~F.col("a_eu") & (F.col("b_s") < F.col("a_e")), "during").when(F.col("a_eu") & (F.col("b_s") - F.col("a_s") < window), "maybe")
     return pair.select("user_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), kind.alias("kind"), F.when(kind == "overlap", F.floor(shared / 60)).alias("minutes")).filter("kind is not null")
 
 
+def interval_overlap(df: DataFrame, window: int = HOUR) -> DataFrame:
+    """What each session of a user's conflicts with: conflict_pairs from both sides."""
+    sides = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))))
+    return conflict_pairs(df, window).select("user_id", sides.alias("x"), "kind", "minutes").select("user_id", "x.id", "x.other", "kind", "minutes")
+
+
 def walk_gaps(df: DataFrame, venues: DataFrame) -> DataFrame:
-    """Between a user's consecutive sessions of a day: metres, minutes on foot, free minutes, and whether it is a long way."""
+    """Between a user's consecutive sessions of a day: same place, walk (metres, minutes on foot, whether it is a long way) or
+    unknown (a venue without coordinates); and the free minutes where the end before is known."""
     from tessera.functions.geo import metres, walk_minutes
 
-    rows = timed(df).filter("not eu").join(venues.select(F.col("id").alias("venue"), "lat", "lng"), "venue").withColumn("day", festival_day(F.col("s")))
+    rows = timed(df).join(venues.select(F.col("id").alias("venue"), "lat", "lng"), "venue", "left").withColumn("day", festival_day(F.col("s")))
     w = Window.partitionBy("user_id", "day").orderBy("s", "e", "id")
     lag = lambda c: F.lag(c).over(w)
-    rows = rows.select("user_id", "day", "id", "s", "venue", lag("venue").alias("from_venue"), lag("e").alias("left"), metres(lag("lat"), lag("lng"), F.col("lat"), F.col("lng")).alias("metres")).filter("from_venue is not null")
-    kind = F.when(F.col("venue") == F.col("from_venue"), "same").otherwise("walk")
-    minutes = F.when(kind == "same", 0).otherwise(walk_minutes(F.col("metres")))
-    return rows.select("user_id", "day", "id", kind.alias("kind"), F.when(kind == "same", 0).otherwise(F.col("metres")).cast("long").alias("metres"), minutes.cast("long").alias("minutes"), (minutes > 25).alias("long_way"), F.floor((F.col("s") - F.col("left")) / 60).cast("long").alias("free_min"))
+    dist = metres(lag("lat"), lag("lng"), F.col("lat"), F.col("lng"))
+    rows = rows.select("user_id", "day", "id", "s", "venue", lag("id").alias("from_id"), lag("venue").alias("from_venue"), lag("e").alias("left"), lag("eu").alias("open_end"), dist.alias("metres")).filter("from_id is not null")
+    same = F.coalesce(F.col("venue") == F.col("from_venue"), F.lit(False))
+    kind = F.when(same, "same").when(F.col("metres").isNull(), "unknown").otherwise("walk")
+    minutes = F.when(same, 0).when(F.col("metres").isNotNull(), walk_minutes(F.col("metres")))
+    free = F.when(~F.col("open_end"), F.floor((F.col("s") - F.col("left")) / 60 + 0.5))
+    return rows.select("user_id", "day", "id", kind.alias("kind"), F.when(same, 0).otherwise(F.col("metres")).cast("long").alias("metres"), minutes.cast("long").alias("minutes"), (minutes > 25).alias("long_way"), free.cast("long").alias("free_min"))

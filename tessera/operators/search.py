@@ -5,52 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import fold
+
 # Fixed scores: a term at the start of a title, at the start of a word, anywhere; in the second line, in the keywords;
-# the whole phrase as the title, at its start, anywhere; a kind that is preferred.
+# the whole phrase as the title, at its start, anywhere; a kind that is preferred; an entry that is on, begins within SOON
+# seconds, is over.
 PREFIX, WORD, INSIDE, SUBLINE, KEYWORD, WHOLE, START, PHRASE, PREFERRED = 40, 30, 20, 8, 4, 100, 60, 30, 3
+ON, COMING, OVER, SOON = 25, 15, -5, 3 * 3600
 LIMIT = 200
 
 
-def fold(c: Column) -> Column:
-    return F.translate(F.lower(c), "àáâäçèéêëìíîïñòóôöùúûü’", "aaaaceeeeiiiinoooouuuu'")
-
-
 def build_search_index(parts: list[DataFrame], kinds: list[str]) -> DataFrame:
-    """Entries (kind, id, title, subline, keywords, ord) of known kinds, the first of each kind:id, with folded columns."""
+    """Entries (kind, id, title, subline, keywords, ord and, if they have times, st and en) of known kinds, the first of each
+    kind:id, with folded columns and the title's words."""
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     w = Window.partitionBy("kind", "id").orderBy("ord")
     rows = rows.filter(F.col("kind").isin(*kinds)).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
-    return rows.withColumns({"ft": fold(F.col("title")), "fs": fold(F.col("subline")), "fk": fold(F.col("keywords"))})
+    return rows.withColumns({"ft": fold(F.col("title")), "fs": fold(F.col("subline")), "fk": fold(F.col("keywords"))}).withColumn("fw", F.concat(F.lit(" "), F.regexp_replace("ft", r"[^\p{L}\p{N}']+", " ")))
 
 
-def rank_search(index: DataFrame, queries: DataFrame, preferred: list[str], limit: int = LIMIT) -> DataFrame:
-    """(qid, kind, id, score, rank): entries that hold every term of a query. A query's longest term picks the candidates by
-    its first three letters, so that no query meets all entries; a query whose longest term is shorter meets them by that term."""
+def rank_search(index: DataFrame, queries: DataFrame, preferred: list[str], limit: int = LIMIT, now: int | None = None) -> DataFrame:
+    """(qid, kind, id, score, rank, exact): entries that hold every term of a query, in the title, the second line or the
+    keywords; exact: the query is the title. With ``now``, entries with times (st, en) score for being on, near or over. A
+    query's longest term picks the candidates by its first three letters, so that no query meets all entries; a query whose
+    longest term is shorter meets them by that term."""
     bare = lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    q = queries.withColumn("phrase", F.trim(fold(F.col("query")))).withColumn("terms", F.array_distinct(F.filter(F.transform(F.split("phrase", r"[\s,]+"), bare), lambda t: t != ""))).filter("size(terms) > 0")
+    q = queries.withColumn("phrase", F.trim(fold(F.col("query")))).withColumn("terms", F.filter(F.transform(F.split("phrase", r"[\s,]+"), bare), lambda t: t != "")).filter("size(terms) > 0")
     longest = F.aggregate("terms", F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
     q = q.withColumn("g", F.substring(longest, 1, 3))
     text = F.concat_ws(" ", "ft", "fs", "fk")
     of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substring(text, i, F.lit(n)))
     grams = F.array_distinct(F.concat(of_size(1), of_size(2), of_size(3)))
-    posted = index.select("kind", "id", "title", "ft", "fs", "fk", F.explode(grams).alias("g"))
+    times = ["st", "en"] if now is not None and {"st", "en"} <= set(index.columns) else []
+    posted = index.select("kind", "id", "title", "ft", "fs", "fk", "fw", *times, F.explode(grams).alias("g"))
     rows = posted.join(q, "g")
     has = lambda c, t: F.contains(F.col(c), t)
-    term = lambda t: F.when(F.startswith(F.col("ft"), t), PREFIX).when(F.contains(F.concat(F.lit(" "), F.col("ft")), F.concat(F.lit(" "), t)), WORD).when(has("ft", t), INSIDE).otherwise(0) + F.when(has("fs", t), SUBLINE).otherwise(0) + F.when(has("fk", t), KEYWORD).otherwise(0)
-    scores = F.transform("terms", term)
-    phrase = F.when(F.col("ft") == F.col("phrase"), WHOLE).when(F.startswith(F.col("ft"), F.col("phrase")), START).when(has("ft", F.col("phrase")), PHRASE).otherwise(0)
+    title = lambda t: F.when(F.startswith(F.col("ft"), t), PREFIX).when(has("fw", F.concat(F.lit(" "), t)), WORD).when(has("ft", t), INSIDE).otherwise(0)
+    term = lambda t: title(t) + F.when(has("fs", t), SUBLINE).otherwise(0) + F.when(has("fk", t), KEYWORD).otherwise(0)
+    long = F.length("phrase") > 1
+    phrase = F.when(~long, 0).when(F.col("ft") == F.col("phrase"), WHOLE).when(F.startswith(F.col("ft"), F.col("phrase")), START).when(has("ft", F.col("phrase")), PHRASE).otherwise(0)
     total = F.aggregate("scores", F.lit(0), lambda a, x: a + x) + phrase + F.when(F.col("kind").isin(*preferred), PREFERRED).otherwise(0)
-    hits = rows.withColumn("scores", scores).filter(F.forall("scores", lambda x: x > 0)).withColumn("score", total)
+    if times:
+        total = total + F.when((F.col("st") <= now) & (F.col("en") > now), ON).when((F.col("st") > now) & (F.col("st") - now < SOON), COMING).when(F.col("en") < now, OVER).otherwise(0)
+    hits = rows.withColumn("scores", F.transform("terms", term)).filter(F.forall("scores", lambda x: x > 0)).withColumns({"score": total, "exact": long & (F.col("ft") == F.col("phrase"))})
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "title", "kind", "id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("qid", "kind", "id", "score", "rank")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("qid", "kind", "id", "score", "rank", "exact")
 
 
 def group_search(hits: DataFrame, order: list[str]) -> DataFrame:
-    """Groups of each query's hits: the group of a whole-title hit leads, the others stand in fixed order."""
+    """Groups of each query's hits in fixed order; if the best hit's title is the query, its group leads."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("kind")).cast("int")
-    groups = hits.groupBy("qid", "kind").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min(place).alias("p"))
-    lead = F.when(F.col("best") >= WHOLE, 0).otherwise(1)
-    w = Window.partitionBy("qid").orderBy(lead, "p")
+    groups = hits.groupBy("qid", "kind").agg(F.count("*").alias("n"), F.bool_or((F.col("rank") == 1) & F.col("exact")).alias("leads"), F.min(place).alias("p"))
+    w = Window.partitionBy("qid").orderBy(F.col("leads").desc(), "p")
     return groups.select("qid", "kind", "n", F.row_number().over(w).alias("place"))

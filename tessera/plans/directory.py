@@ -200,8 +200,8 @@ QUERIES = {
         "SELECT o_orderkey % 8 AS slice, o_orderstatus AS file, count(*) AS n FROM orders GROUP BY 1, 2",
     ),
     "az_index": (
-        lambda s, d: op.az_index(read(s, d, "documents"), F.substring("text", 1, 40), "doc_id"),
-        r"WITH f AS (SELECT translate(lower(regexp_replace(substring(text, 1, 40), '^[^\p{L}\p{N}]+', '')), 'àáâäçèéêëìíîïñòóôöùúûü', 'aaaaceeeeiiiinoooouuuu') AS fold, doc_id FROM documents), g AS (SELECT CASE WHEN regexp_matches(upper(substring(fold, 1, 1)), '^[A-Z]$') THEN upper(substring(fold, 1, 1)) ELSE '#' END AS letter, fold, doc_id FROM f) SELECT letter, count(*) AS n, arg_min(doc_id, (fold, doc_id)) AS first_id FROM g GROUP BY letter",
+        lambda s, d: op.az_index(read(s, d, "documents"), F.col("text"), "doc_id"),
+        r"WITH f AS (SELECT strip_accents(lower(regexp_replace(text, '^[^\p{L}\p{N}]+', ''))) AS fold, doc_id FROM documents), g AS (SELECT CASE WHEN regexp_matches(upper(substring(fold, 1, 1)), '^[A-Z]$') THEN upper(substring(fold, 1, 1)) ELSE '#' END AS letter, fold, doc_id FROM f) SELECT letter, count(*) AS n, arg_min(doc_id, (fold, doc_id)) AS first_id FROM g GROUP BY letter",
     ),
     "stay_order": (lambda s, d: op.stay_order(stays(s, d)).select("id", "place"), "SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey % 9 = 0 DESC, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 131 % 5000 ELSE 1000000000 END, s_name) AS place FROM supplier"),
     "program_rankings": (

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions.geo import METRES_SQL, walk_minutes
 from tessera.operators import geo as op
 from tessera.operators import records, search
-from tessera.plans.lenses import CUSTOMERS, SUPPLIERS, places, read
+from tessera.plans.records import GREEDY
+from tessera.plans.lenses import CUSTOMERS, NOW, SUPPLIERS, places, read
 
 BOX = (39_085_000, 39_130_000, -84_535_000, -84_490_000)
 REGION = (39_081_000, 39_138_000, -84_539_000, -84_482_000)
@@ -49,14 +50,14 @@ def milli(c):
 
 
 def entries(s, d):
-    p = read(s, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("subline"), F.lower("p_type").alias("keywords"), F.col("p_partkey").alias("ord"))
-    c = read(s, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("red supplier").alias("subline"), F.lit("").alias("keywords"), F.col("s_suppkey").alias("ord"))
+    p = read(s, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("subline"), F.lower("p_type").alias("keywords"), F.col("p_partkey").alias("ord"), (NOW + (F.col("p_partkey") % 400 - 200) * 600).cast("long").alias("st"), (NOW + (F.col("p_partkey") % 400 - 194) * 600).cast("long").alias("en"))
+    c = read(s, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("red supplier").alias("subline"), F.lit("").alias("keywords"), F.col("s_suppkey").alias("ord"), F.lit(None).cast("long").alias("st"), F.lit(None).cast("long").alias("en"))
     return [p, c, p, c.withColumn("kind", F.lit("draft"))]
 
 
 def asked(s, d):
     k = F.col("n_nationkey")
-    words = F.array(*map(F.lit, ["red", "ring promo", "Brand", "supplier", "small widget", "blue ring economy", "zzz", "widget"]))
+    words = F.array(*map(F.lit, ["red", "ring promo", "Brand", "supplier#000000007", "small widget", "blue ring economy", "e, #", "ed"]))
     return read(s, d, "nation").select(k.alias("qid"), F.get(words, (k % 8).cast("int")).alias("query"))
 
 
@@ -65,15 +66,19 @@ def index(s, d):
 
 
 def hits(s, d, limit=200):
-    return search.rank_search(index(s, d), asked(s, d), ["supplier"], limit)
+    return search.rank_search(index(s, d), asked(s, d), ["supplier"], limit, NOW)
 
 
-INDEX = "ix AS (SELECT 'part' AS kind, p_partkey AS id, p_name || ' ' || p_type AS title, lower(p_name || ' ' || p_type) AS ft, lower(p_brand) AS fs, lower(p_type) AS fk FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name, lower(s_name), 'red supplier', '' FROM supplier)"
-ASKED = "q AS (SELECT n_nationkey AS qid, lower(['red', 'ring promo', 'Brand', 'supplier', 'small widget', 'blue ring economy', 'zzz', 'widget'][n_nationkey % 8 + 1]) AS phrase FROM nation)"
-HITS = f"""WITH {INDEX}, {ASKED}, tm AS (SELECT qid, phrase, unnest(string_split(phrase, ' ')) AS t FROM q), sc AS (SELECT qid, phrase, kind, id, title, ft,
- CASE WHEN starts_with(ft, t) THEN 40 WHEN contains(' ' || ft, ' ' || t) THEN 30 WHEN contains(ft, t) THEN 20 ELSE 0 END + CASE WHEN contains(fs, t) THEN 8 ELSE 0 END + CASE WHEN contains(fk, t) THEN 4 ELSE 0 END AS n FROM tm, ix),
- tt AS (SELECT qid, kind, id, title, CAST(sum(n) AS INT) + max(CASE WHEN ft = phrase THEN 100 WHEN starts_with(ft, phrase) THEN 60 WHEN contains(ft, phrase) THEN 30 ELSE 0 END) + CASE WHEN kind = 'supplier' THEN 3 ELSE 0 END AS score FROM sc GROUP BY qid, kind, id, title HAVING min(n) > 0),
- h AS (SELECT qid, kind, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, title, kind, id) AS rank FROM tt)"""
+INDEX = f"ix AS (SELECT 'part' AS kind, p_partkey AS id, p_name || ' ' || p_type AS title, lower(p_name || ' ' || p_type) AS ft, lower(p_brand) AS fs, lower(p_type) AS fk, {NOW} + (p_partkey % 400 - 200) * 600 AS st, {NOW} + (p_partkey % 400 - 194) * 600 AS en FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name, lower(s_name), 'red supplier', '', NULL, NULL FROM supplier)"
+ASKED = "q AS (SELECT n_nationkey AS qid, lower(['red', 'ring promo', 'Brand', 'supplier#000000007', 'small widget', 'blue ring economy', 'e, #', 'ed'][n_nationkey % 8 + 1]) AS phrase FROM nation)"
+HITS = f"""WITH {INDEX}, {ASKED}, t0 AS (SELECT qid, phrase, unnest(regexp_split_to_array(phrase, '[\\s,]+')) AS t0 FROM q), tm AS (SELECT qid, phrase, regexp_replace(t0, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS t FROM t0),
+ sc AS (SELECT qid, phrase, kind, id, title, ft, st, en,
+ CASE WHEN starts_with(ft, t) THEN 40 WHEN contains(' ' || regexp_replace(ft, '[^a-z0-9'']+', ' ', 'g'), ' ' || t) THEN 30 WHEN contains(ft, t) THEN 20 ELSE 0 END + CASE WHEN contains(fs, t) THEN 8 ELSE 0 END + CASE WHEN contains(fk, t) THEN 4 ELSE 0 END AS n FROM tm, ix WHERE t <> ''),
+ tt AS (SELECT qid, kind, id, title, CAST(sum(n) AS INT) + max(CASE WHEN ft = phrase THEN 100 WHEN starts_with(ft, phrase) THEN 60 WHEN contains(ft, phrase) THEN 30 ELSE 0 END) + CASE WHEN kind = 'supplier' THEN 3 ELSE 0 END
+ + max(CASE WHEN st <= {NOW} AND en > {NOW} THEN 25 WHEN st > {NOW} AND st - {NOW} < 10800 THEN 15 WHEN en < {NOW} THEN -5 ELSE 0 END) AS score, bool_or(ft = phrase) AS exact FROM sc GROUP BY qid, kind, id, title HAVING min(n) > 0),
+ h AS (SELECT qid, kind, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, title, kind, id) AS rank, exact FROM tt)"""
+
+PAIRED = f"WITH RECURSIVE {SUPPLIERS}, {CUSTOMERS}, r AS (SELECT a.id AS a, b.id AS b, {DIST} AS cost FROM sp a, cu b), c AS (SELECT *, row_number() OVER (ORDER BY cost, a, b) AS i FROM r WHERE cost <= 600){GREEDY} SELECT a, b, cost FROM c JOIN t USING (i)"
 
 QUERIES = {
     "within_radius": (lambda s, d: op.within_radius(sup(s, d), cus(s, d), 400), W + f" SELECT * FROM (SELECT a.id AS a, b.id AS b, {DIST} AS metres FROM sp a, cu b) WHERE metres <= 400"),
@@ -122,11 +127,11 @@ QUERIES = {
         lambda s, d: op.reach_limit(cus(s, d), (39_110_000, -84_510_000), F.col("id") % 400 == 7, 300, 200),
         W + f", b AS (SELECT id, {METRES_SQL.format(a='cu', b='o')} AS metres FROM cu, (SELECT 39110000 AS lat, -84510000 AS lng) o), r AS (SELECT greatest(max(metres), 300) + 200 AS reach FROM b WHERE id % 400 = 7) SELECT id, metres, reach FROM b, r WHERE metres <= reach",
     ),
-    "pair_by_proximity": (lambda s, d: records.mutual_best(op.within_radius(sup(s, d), cus(s, d).filter("id % 4 = 0"), 600).withColumnRenamed("metres", "cost")), None),
+    "pair_by_proximity": (lambda s, d: records.mutual_best(op.within_radius(sup(s, d), cus(s, d), 600).withColumnRenamed("metres", "cost")), PAIRED),
     "build_search_index": (lambda s, d: index(s, d).select("kind", "id", "ft", "fs"), f"WITH {INDEX} SELECT kind, id, ft, fs FROM ix"),
     "rank_search": (hits, HITS + " SELECT * FROM h WHERE rank <= 200"),
     "group_search": (
         lambda s, d: search.group_search(hits(s, d), ["part", "supplier"]),
-        HITS + ", g AS (SELECT qid, kind, count(*) AS n, max(score) AS best FROM h WHERE rank <= 200 GROUP BY qid, kind) SELECT qid, kind, n, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN best >= 100 THEN 0 ELSE 1 END, kind) AS place FROM g",
+        HITS + ", g AS (SELECT qid, kind, count(*) AS n, bool_or(rank = 1 AND exact) AS leads FROM h WHERE rank <= 200 GROUP BY qid, kind) SELECT qid, kind, n, row_number() OVER (PARTITION BY qid ORDER BY leads DESC, kind) AS place FROM g",
     ),
 }

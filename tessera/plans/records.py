@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.geo import METRES_SQL
 from tessera.operators import records as op
 from tessera.operators import schedule
-from tessera.plans.lenses import SESSIONS, read, sessions
+from tessera.plans.lenses import CUSTOMERS, SESSIONS, SUPPLIERS, places, read, sessions
 
 CASED = "CASE c_custkey % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN 'The ' || c_name ELSE c_name || ', Inc.' END"
 
@@ -69,25 +70,52 @@ def priced(s, d, which):
     return read(s, d, "orders").filter(k % 9 != which).select(k.alias("id"), (F.col("o_custkey") % 100 + F.lit(which) * (k % 10 == 0).cast("int")).alias("start"))
 
 
-def near_pairs(s, d):
-    """Candidate pairs of customers and suppliers of one nation with whole costs; many tie."""
-    c = read(s, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("n"))
-    p = read(s, d, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("n"))
-    return c.join(p, "n").select("a", "b", ((F.col("a") * 31 + F.col("b") * 17) % 23).alias("cost"))
+def printed(s, d, kind):
+    """Customers as printed entries and suppliers as works: titles of two words, up to two credited names, some without
+    either a name or a place."""
+    k = F.col("id")
+    rows = places(s, d, kind)
+    shift = {"customer": 7919, "supplier": 104_729}[kind]
+    title = F.concat(F.lit("Mural w"), (k * shift % 97).cast("string"), F.lit("-v"), (k * 31 % 89).cast("string"))
+    name = lambda m: F.concat(F.lit("Ané "), (k * m % 5003).cast("string"))
+    credits = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(name(13))).otherwise(F.array(name(13), name(29)))
+    lost = k % 19 == 0
+    return rows.select("id", F.regexp_replace(title, "Mural ", "").alias("title"), credits.alias("credits"), (k % 3).alias("category"), (k % 2).alias("zone"), F.when(~lost, F.col("lat")).alias("lat"), F.when(~lost, F.col("lng")).alias("lng"), (80 + k % 5 * 40).alias("reach"))
+
+
+def _printed_sql(of: str, shift: int) -> str:
+    return f"""(SELECT id, string_split('w' || (id * {shift} % 97) || '-v' || (id * 31 % 89), '-') AS words, CASE WHEN id % 4 = 0 THEN [] WHEN id % 4 = 1 THEN ['n' || (id * 13 % 5003)] ELSE ['n' || (id * 13 % 5003), 'n' || (id * 29 % 5003)] END AS names,
+ id % 3 AS category, id % 2 AS zone, CASE WHEN id % 19 <> 0 THEN lat END AS lat, CASE WHEN id % 19 <> 0 THEN lng END AS lng, 80 + id % 5 * 40 AS reach FROM {of})"""
+
+
+#: greedy one-to-one matching of c (a, b, cost...) in the order of i, one candidate a step
+GREEDY = """, g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used_a, []::BIGINT[] AS used_b, []::BIGINT[] AS taken UNION ALL
+ SELECT c.i, CASE WHEN ok THEN list_append(used_a, a) ELSE used_a END, CASE WHEN ok THEN list_append(used_b, b) ELSE used_b END, CASE WHEN ok THEN list_append(taken, c.i) ELSE taken END
+ FROM (SELECT c.*, g.used_a, g.used_b, g.taken, NOT list_contains(g.used_a, c.a) AND NOT list_contains(g.used_b, c.b) AS ok FROM g JOIN c ON c.i = g.i + 1) c), t AS (SELECT unnest(taken) AS i FROM g WHERE i = (SELECT max(i) FROM g))"""
+TIERS = f"""WITH RECURSIVE {SUPPLIERS}, {CUSTOMERS}, x AS {_printed_sql("cu", 7919)}, y AS {_printed_sql("sp", 104_729)},
+ p AS (SELECT x.id AS a, y.id AS b, {METRES_SQL.format(a="x", b="y")} AS m, len(list_intersect(list_filter(x.words, lambda w: length(w) > 2), list_filter(y.words, lambda w: length(w) > 2))) > 0 AS t, len(list_intersect(x.names, y.names)) > 0 AS c, x.category = y.category AS k, x.zone = y.zone AS z, len(y.names) = 0 AS nobody, least(greatest(x.reach, 100), 200) AS reach FROM x, y),
+ r AS (SELECT a, b, CASE WHEN t AND c THEN 0 WHEN c AND k AND (m IS NULL OR m <= 200) THEN 1 WHEN t AND k AND z AND (m IS NULL OR m <= 200) THEN 2 WHEN nobody AND k AND z AND m <= reach THEN 3 END AS tier, coalesce(m, 9999) AS metres FROM p),
+ c AS (SELECT *, row_number() OVER (ORDER BY tier, metres, a, b) AS i FROM r WHERE tier IS NOT NULL){GREEDY} SELECT a, b, tier, metres FROM c JOIN t USING (i)"""
 
 
 def short_texts(s, d):
-    return read(s, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("text")).unionByName(read(s, d, "benchmark").select((F.col("item_id") + 100_000).alias("id"), F.concat(F.substring("text", 1, 55), F.lit(" end")).alias("text")))
+    """Every benchmark text, and again with another ending."""
+    rows = read(s, d, "benchmark")
+    return rows.select(F.col("item_id").alias("id"), "text").unionByName(rows.select((F.col("item_id") + 100_000).alias("id"), F.concat(F.expr("left(text, length(text) - 5)"), F.lit(" end")).alias("text")))
 
 
 def credits(s, d):
+    """Credit lines of persons at events; some without a label, some of who curated the event."""
     k = F.col("c_custkey")
-    labels = F.array(*map(F.lit, ["Curated by", "Moderator", "Keynote speaker", "Speaker", "with music by", "thanks"]))
-    return read(s, d, "customer").select((k % 300).alias("person"), F.get(labels, (k * 7 % 6).cast("int")).alias("label"))
+    labels = F.array(*map(F.lit, ["Curated by", "Moderator", "Photographer and speaker", "Speaker", "with music by", None]))
+    kinds = F.array(*map(F.lit, ["exhibition", "talk", "concert"]))
+    roles = F.array(*(F.array(*map(F.lit, r)).cast("array<string>") for r in ([], ["moderator"], ["curator", "artist"], ["host", "speaker"])))
+    row = [(k % 300).alias("person"), (k % 7).alias("event"), k.alias("ord"), F.when(k % 3 == 0, F.get(labels, (k * 7 % 6).cast("int"))).alias("label"), (k % 5 == 0).alias("curated"), F.get(kinds, (k % 7 % 3).cast("int")).alias("kind")]
+    return read(s, d, "customer").select(*row, F.get(roles, (k % 300 % 4).cast("int")).alias("roles"))
 
 
 def rules(s):
-    return s.createDataFrame([(0, "keynote", "keynote"), (1, "moderator", "moderator"), (2, "speaker", "speaker"), (3, "curated", "curator"), (4, "music", "artist")], "ord int, needle string, role string")
+    return s.createDataFrame([(0, "artist", "artist"), (0, "photographer", "artist"), (1, "juror", "judge"), (2, "curat", "curator"), (3, "organiser", "organizer"), (4, "performer", "performer"), (5, "speaker", "speaker"), (6, "moderator", "moderator")], "ord int, needle string, role string")
 
 
 def facts(s, d, which):
@@ -104,7 +132,7 @@ EDITION = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 0 AND {0} = 1 THE
 
 
 def clean_log(s, d):
-    rows = read(s, d, "pages").select(F.col("page_id"), F.substring("html", 60, 400).alias("before")).withColumn("after", op.text_clean(F.col("before")))
+    rows = read(s, d, "pages").select(F.col("page_id"), F.col("html").alias("before")).withColumn("after", op.text_clean(F.col("before")))
     changed = ~F.col("before").eqNullSafe(F.col("after"))
     return rows.select("page_id", F.sha2("after", 256).alias("sha"), changed.alias("changed"))
 
@@ -183,16 +211,21 @@ QUERIES = {
         lambda s, d: op.window_check(days_of(s, d), windows(s, d)).groupBy("program").agg(F.count("*").alias("n"), F.min("id").alias("first_id")),
         W + ", w AS (SELECT program, min(day) + 2 AS a, max(day) - 2 AS b FROM t WHERE id % 2 = 0 GROUP BY program) SELECT t.program, count(*) AS n, min(id) AS first_id FROM t JOIN w ON t.program = w.program WHERE day < a - 1 OR day > b + 1 GROUP BY t.program",
     ),
-    "fuzzy_match_tiers": (lambda s, d: op.mutual_best(near_pairs(s, d)), None),
+    "fuzzy_match_tiers": (lambda s, d: op.match_tiers(printed(s, d, "customer"), printed(s, d, "supplier")), TIERS),
     "trigram_similarity": (
         lambda s, d: op.trigram_similarity(short_texts(s, d)),
-        """WITH t AS (SELECT min(id) AS id, text FROM (SELECT item_id AS id, lower(substring(text, 1, 60)) AS text FROM benchmark UNION ALL SELECT item_id + 100000, lower(substring(text, 1, 55) || ' end') FROM benchmark) GROUP BY text),
+        """WITH t AS (SELECT min(id) AS id, text FROM (SELECT item_id AS id, lower(text) AS text FROM benchmark UNION ALL SELECT item_id + 100000, lower(left(text, length(text) - 5) || ' end') FROM benchmark) GROUP BY text),
  g AS (SELECT DISTINCT id, substring('  ' || text || ' ', CAST(i AS INT), 3) AS g FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t)), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
  p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT a, b, CAST(floor(c / (x.n + y.n - c) * 1000) AS BIGINT) AS permille FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.5""",
     ),
     "role_inference": (
         lambda s, d: op.role_inference(credits(s, d), rules(s)),
-        "WITH c AS (SELECT c_custkey % 300 AS person, ['curator', 'moderator', 'keynote', 'speaker', 'artist', 'other'][c_custkey * 7 % 6 + 1] AS role FROM customer) SELECT person, min(role) AS role FROM c GROUP BY person",
+        """WITH c AS (SELECT c_custkey % 300 AS person, c_custkey % 7 AS event, c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN ['Curated by', 'Moderator', 'Photographer and speaker', 'Speaker', 'with music by', NULL][c_custkey * 7 % 6 + 1] END AS label,
+ c_custkey % 5 = 0 AS curated, ['exhibition', 'talk', 'concert'][c_custkey % 7 % 3 + 1] AS kind, [[], ['moderator'], ['curator', 'artist'], ['host', 'speaker']][c_custkey % 300 % 4 + 1] AS roles FROM customer),
+ p AS (SELECT person, event, min_by(label, ord) FILTER (WHERE label IS NOT NULL) AS label, bool_or(curated) AS curated, any_value(kind) AS kind, min_by(roles, ord) AS roles FROM c GROUP BY person, event),
+ f AS (SELECT *, coalesce(roles[1], 'artist') AS one, CASE WHEN regexp_matches(lower(label), 'artist|photographer') THEN 'artist' WHEN contains(lower(label), 'curat') THEN 'curator' WHEN contains(lower(label), 'speaker') THEN 'speaker' WHEN contains(lower(label), 'moderator') THEN 'moderator' END AS found,
+ list_filter(CASE kind WHEN 'exhibition' THEN ['artist', 'curator'] WHEN 'talk' THEN ['speaker', 'moderator', 'curator', 'artist'] ELSE ['performer', 'speaker', 'artist'] END, lambda r: list_contains(roles, r))[1] AS by_kind FROM p)
+ SELECT person, event, CASE WHEN label IS NOT NULL THEN coalesce(found, one) WHEN curated THEN 'curator' WHEN len(roles) = 1 THEN one ELSE coalesce(by_kind, one) END AS role FROM f""",
     ),
     "page_policy": (
         lambda s, d: op.page_policy(read(s, d, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") % 5 == 0).alias("bio"), (F.col("c_custkey") % 7 == 0).alias("photo")), sessions(s, d).select(F.col("user_id").alias("person"), F.col("featured").alias("key_role"))),
@@ -204,7 +237,7 @@ QUERIES = {
     ),
     "text_clean_job": (
         clean_log,
-        "WITH p AS (SELECT page_id, substring(html, 60, 400) AS b FROM pages), c AS (SELECT page_id, b, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '[​‌‍﻿]', '', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\s ]+', ' ', 'g')) AS a FROM p) SELECT page_id, sha256(a) AS sha, b <> a AS changed FROM c",
+        "WITH p AS (SELECT page_id, html AS b FROM pages), c AS (SELECT page_id, b, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '[​‌‍﻿]', '', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\s ]+', ' ', 'g')) AS a FROM p) SELECT page_id, sha256(a) AS sha, b <> a AS changed FROM c",
     ),
     "decision_log": (
         decisions,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.functions.geo import METRES_SQL
 from tessera.operators import schedule as op
 from tessera.plans.lenses import NOW, SERIES, SESSIONS, SUPPLIERS, places, series, sessions
 
 D0, D1 = 10227, 10590  # window of days for listings, in 1998
+LANES = ("view", "click", "purchase")
+WEEK = (10300, 10312)
 W = f"WITH {SESSIONS}, t AS (SELECT *, CAST(floor((s - 18000) / 86400) AS BIGINT) AS day FROM x WHERE NOT cancelled AND NOT tu AND NOT ad AND NOT og)"
 I = f"""WITH {SERIES}, z AS (SELECT *, unnest(range(d, d + n)) AS day FROM r), i AS (SELECT id, program, venue, day, n,
  CAST(day * 86400 + coalesce(sm * 60, 0) AS BIGINT) AS s,
@@ -16,7 +20,17 @@ STATUS = f"CASE WHEN tu THEN NULL WHEN s - {NOW} > 1800 THEN 'upcoming' WHEN s >
 TODAY = (NOW - 18000) // 86400
 PAIRS = W + """, p AS (SELECT a.user_id, a.id AS a, b.id AS b, CASE WHEN NOT a.eu AND NOT b.eu THEN CASE WHEN least(a.e, b.e) - b.s > 0 THEN 'overlap' END
  WHEN a.s = b.s THEN 'same' WHEN NOT a.eu AND b.s < a.e THEN 'during' WHEN a.eu AND b.s - a.s < 3600 THEN 'maybe' END AS kind, least(a.e, b.e) - b.s AS shared
- FROM t a JOIN t b ON a.user_id = b.user_id AND (a.s, a.e, a.id) < (b.s, b.e, b.id) AND b.s < greatest(a.e, a.s + 3600))"""
+ FROM t a JOIN t b ON a.user_id = b.user_id AND a.id <> b.id AND (a.s, a.e, a.id) < (b.s, b.e, b.id) AND b.s < greatest(a.e, a.s + 3600))"""
+
+
+WEEKLY = I + ", k AS (SELECT id % 40 AS lane, day FROM i WHERE day BETWEEN 10300 - id % 40 % 7 AND 10306 + id % 40 % 13), p AS (SELECT 'L' || lane AS program, min(day) AS a, max(day) AS b FROM k GROUP BY lane)"
+
+
+def weekly(spark, sf_dir):
+    """Instances of forty lanes of different lengths around the week."""
+    lane = F.col("id") % 40
+    rows = instances(spark, sf_dir).filter(F.col("day").between(10300 - lane % 7, 10306 + lane % 13))
+    return rows.withColumn("program", F.concat(F.lit("L"), lane.cast("string")))
 
 
 def titled(spark, sf_dir):
@@ -25,7 +39,14 @@ def titled(spark, sf_dir):
 
 
 def plan(spark, sf_dir):
-    return sessions(spark, sf_dir).filter("user_id < 20")
+    return sessions(spark, sf_dir).filter("user_id < 200")
+
+
+def filtered(spark, sf_dir):
+    """Every predicate but day and venue at once."""
+    rows = sessions(spark, sf_dir).withColumns({"hood": F.concat(F.lit("H"), (F.col("venue") % 7).cast("string")), "free": F.col("id") % 3 != 0})
+    state = {"programs": ["view", "click"], "kinds": ["K1", "K2", "K4", "ongoing"], "times": ["evening", "late", "allday"], "hoods": ["H1", "H2", "H3", "H4"], "free": True, "text": "t 1", "when": "tonight", "star": True}
+    return op.filter_schedule(rows, plan(spark, sf_dir), NOW, **state)
 
 
 def instances(spark, sf_dir):
@@ -49,13 +70,22 @@ QUERIES = {
     "live_count": (lambda s, d: op.live_count(sessions(s, d), NOW), W + f" SELECT count(DISTINCT id) AS n_live FROM x WHERE s <= {NOW} AND e > {NOW} AND NOT (cancelled OR eu OR tu OR ad)"),
     "when_preset": (
         lambda s, d: op.when_preset(sessions(s, d), NOW),
-        W + f", b AS (SELECT id, s <= {NOW} AND e > {NOW} AND NOT eu AS on_now, s > {NOW} AND s <= {NOW + 7200} AS next, (s % 86400 >= 61200 OR s % 86400 < 18000) AND e > {NOW} AND CAST(floor((s - 18000) / 86400) AS BIGINT) = {TODAY} AS tonight FROM x WHERE NOT cancelled AND NOT tu) SELECT * FROM b WHERE on_now OR next OR tonight",
+        W + f", b AS (SELECT id, s <= {NOW} AND e > {NOW} AND NOT eu AS on_now, s >= {NOW} AND s < {NOW + 7200} AS next, (s % 86400 >= 61200 OR s % 86400 < 18000) AND e > {NOW} AND CAST(floor((s - 18000) / 86400) AS BIGINT) = {TODAY} AS tonight FROM x WHERE NOT cancelled AND NOT tu AND NOT ad) SELECT * FROM b WHERE on_now OR next OR tonight",
     ),
     "at_this_hour": (
-        lambda s, d: op.at_this_hour(sessions(s, d), NOW),
-        W + f""", b AS (SELECT *, CASE WHEN s <= {NOW} AND CASE WHEN eu THEN s + 3600 ELSE e END > {NOW} THEN 0 WHEN s > {NOW} AND s <= {NOW + 3600} THEN 1 WHEN s > {NOW + 3600} AND CAST(floor((s - 18000) / 86400) AS BIGINT) = {TODAY} THEN 2 END AS section FROM x WHERE NOT cancelled AND NOT tu AND NOT og),
- c AS (SELECT section, id, row_number() OVER (PARTITION BY section ORDER BY featured DESC, s, id) AS rank, count(*) OVER (PARTITION BY section) AS n, CASE section WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 6 END AS size FROM b WHERE section IS NOT NULL)
- SELECT section, rank, id, greatest(n - size, 0) AS n_more FROM c WHERE rank <= size""",
+        lambda s, d: op.at_this_hour(sessions(s, d), NOW, LANES),
+        W + f""", b AS (SELECT id, s, og, eu, CASE WHEN eu THEN s + 3600 ELSE e END AS e, CASE WHEN featured THEN 0 ELSE 10 END + coalesce(list_position({list(LANES)}, program) - 1, 9) AS ord,
+  NOT tu AND NOT ad AS hours, CAST(floor((s - 18000) / 86400) AS BIGINT) = {TODAY} AS today FROM x WHERE NOT cancelled),
+ o AS (SELECT *, hours AND s <= {NOW} AND e > {NOW} AS running, hours AND s > {NOW} AS later FROM b),
+ soon AS (SELECT count(*) AS n FROM o WHERE later AND s < {NOW + 10800}), pool AS (SELECT min(s) FILTER (WHERE NOT og) AS plain, min(s) AS any_s FROM o WHERE later),
+ nx AS (SELECT o.* FROM o, soon, pool WHERE later AND CASE WHEN soon.n > 0 THEN s < {NOW + 10800} WHEN plain IS NOT NULL THEN s = plain AND NOT og ELSE s = any_s END ORDER BY ord, s, id LIMIT 3),
+ nw AS (SELECT * FROM o WHERE running AND NOT og ORDER BY ord, s, id LIMIT 4), op AS (SELECT * FROM o WHERE running AND og AND NOT eu ORDER BY ord, s, id LIMIT 2),
+ ta AS (SELECT * FROM o WHERE later AND today AND (s % 86400 >= 61200 OR s % 86400 < 18000) AND id NOT IN (SELECT id FROM nx) AND id NOT IN (SELECT id FROM nw)), tn AS (SELECT * FROM ta ORDER BY ord, s, id LIMIT 6)
+ SELECT 'now' AS section, row_number() OVER (ORDER BY ord, s, id) AS rank, id, greatest((SELECT count(*) FROM o WHERE running AND NOT og) - 4, 0) AS n_more FROM nw
+ UNION ALL SELECT 'open', row_number() OVER (ORDER BY ord, s, id), id, greatest((SELECT count(*) FROM o WHERE running AND og AND NOT eu) - 2, 0) FROM op
+ UNION ALL SELECT 'next', row_number() OVER (ORDER BY s, ord, id), id, 0 FROM nx
+ UNION ALL SELECT 'tonight', row_number() OVER (ORDER BY s, ord, id), id, greatest((SELECT count(*) FROM ta) - 6, 0) FROM tn
+ UNION ALL SELECT 'on_view', 1, NULL, (SELECT count(*) FROM o WHERE today AND og AND NOT hours)""",
     ),
     "first_up": (lambda s, d: op.first_up(sessions(s, d), NOW), W + f" SELECT title, day, s, id FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY day, NOT featured, s, id) AS rn FROM t WHERE s > {NOW}) WHERE rn = 1 ORDER BY day, NOT featured, s, id LIMIT 4"),
     "ongoing_band": (lambda s, d: op.ongoing_band(instances(s, d)), I + " SELECT id, program, min(day) AS first_day, max(day) AS last_day FROM i GROUP BY id, program HAVING bool_and(og)"),
@@ -70,10 +100,14 @@ QUERIES = {
     ),
     "full_spans": (lambda s, d: op.full_spans(instances(s, d)), I + " SELECT id, min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM i GROUP BY id HAVING count(*) >= 2"),
     "program_calendar": (
-        lambda s, d: op.program_calendar(instances(s, d), 10200 * 86400),
-        I + ", p AS (SELECT program, min(day) AS a, max(day) AS b FROM i GROUP BY program), q AS (SELECT *, unnest(range(a, b + 1)) AS day FROM p) SELECT program, day, CASE WHEN a = b THEN 'only' WHEN day = a THEN 'start' WHEN day = b THEN 'end' ELSE 'mid' END AS cell, day - a + 1 AS nth, b - a + 1 AS of, greatest(a - 10200, 0) AS days_until FROM q",
+        lambda s, d: op.program_calendar(op.lanes_of(weekly(s, d)), (WEEK[0] + 3) * 86400, *WEEK),
+        WEEKLY + f", q AS (SELECT *, unnest(range({WEEK[0]}, {WEEK[1] + 1})) AS day FROM p) SELECT program, day, CASE WHEN day < a OR day > b THEN NULL WHEN a < {WEEK[0]} AND b > {WEEK[1]} THEN 'thru' WHEN a = b THEN 'only' WHEN day = a THEN 'start' WHEN day = b THEN 'end' ELSE 'mid' END AS cell,"
+        + f" CASE WHEN day BETWEEN a AND b THEN day - a + 1 END AS nth, b - a + 1 AS of, CASE WHEN a > {WEEK[0] + 3} THEN 'before' WHEN b < {WEEK[0] + 3} THEN 'over' ELSE 'running' END AS phase, greatest(a - {WEEK[0] + 3}, 0) AS days_until FROM q",
+    ),
+    "interchange_days": (
+        lambda s, d: op.interchange_days(op.lanes_of(weekly(s, d)).filter("b > 10306 and a < 10308"), 10300, 10312),
+        WEEKLY + ", u AS (SELECT * FROM p WHERE b > 10306 AND a < 10308 AND NOT (a < 10300 AND b > 10312)), g AS (SELECT unnest(range(10300, 10313)) AS day) SELECT day, (SELECT count(*) FROM u) AS n FROM g WHERE (SELECT count(*) FROM u) >= 2 AND NOT EXISTS (SELECT 1 FROM u WHERE day < a OR day > b)",
     ),
-    "interchange_days": (lambda s, d: op.interchange_days(sessions(s, d)), W + " SELECT day, count(DISTINCT program) AS n FROM t GROUP BY day HAVING count(DISTINCT program) = (SELECT count(DISTINCT program) FROM x)"),
     "nightly_flag": (lambda s, d: op.nightly_flag(series(s, d)), f"WITH {SERIES} SELECT program, bool_or(n > 1 AND coalesce(sm, 0) >= 1020) AS nightly FROM r GROUP BY program"),
     "occurrence_rules": (
         lambda s, d: op.occurrence_rules(series(s, d)),
@@ -89,16 +123,21 @@ QUERIES = {
         W + " SELECT id, program, title, s FROM (SELECT *, row_number() OVER (PARTITION BY program, lower(title), s ORDER BY id) AS rn FROM x WHERE NOT tu) WHERE rn = 1 UNION ALL SELECT id, program, title, s FROM x WHERE tu",
     ),
     "filter_schedule": (
-        lambda s, d: op.filter_schedule(sessions(s, d), plan(s, d), programs=["view", "click"], kinds=["K1", "K2", "ongoing"], text="t 1", star=True).select("id", "program", "kind", "title"),
-        W + " SELECT id, program, kind, title FROM x WHERE NOT cancelled AND program IN ('view', 'click') AND (kind IN ('K1', 'K2') OR og) AND contains(lower(title), 't') AND contains(lower(title), '1') AND id IN (SELECT id FROM x WHERE user_id < 20)",
+        lambda s, d: filtered(s, d).select("id", "program", "kind", "title"),
+        W + f""", h AS (SELECT x.*, 'H' || (venue % 7) AS hood, id % 3 <> 0 AS free FROM x) SELECT id, program, kind, title FROM h WHERE NOT cancelled AND program IN ('view', 'click') AND (kind IN ('K1', 'K2', 'K4') OR og)
+ AND contains(lower(title), 't') AND contains(lower(title), '1') AND id IN (SELECT id FROM x WHERE user_id < 200) AND hood IN ('H1', 'H2', 'H3', 'H4') AND free AND (CASE WHEN ad OR tu THEN 'allday' WHEN s % 86400 < 18000 THEN 'late' WHEN s % 86400 < 43200 THEN 'morning' WHEN s % 86400 < 61200 THEN 'afternoon' WHEN s % 86400 < 75600 THEN 'evening' ELSE 'late' END IN ('evening', 'late', 'allday') OR og)
+ AND NOT tu AND NOT ad AND (s % 86400 >= 61200 OR s % 86400 < 18000) AND e > {NOW} AND CAST(floor((s - 18000) / 86400) AS BIGINT) = {TODAY}""",
     ),
     "window_clip": (lambda s, d: op.window_clip(series(s, d), 10300, 10330).select("id", "d", "n"), f"WITH {SERIES} SELECT id, d, n FROM r WHERE d <= 10330 AND d + n - 1 >= 10300"),
-    "interval_overlap": (lambda s, d: op.interval_overlap(sessions(s, d)), PAIRS + " SELECT user_id, a, b, kind, CAST(CASE WHEN kind = 'overlap' THEN floor(shared / 60) END AS BIGINT) AS minutes FROM p WHERE kind IS NOT NULL"),
+    "interval_overlap": (
+        lambda s, d: op.interval_overlap(sessions(s, d)),
+        PAIRS + ", m AS (SELECT *, CAST(CASE WHEN kind = 'overlap' THEN floor(shared / 60) END AS BIGINT) AS minutes FROM p WHERE kind IS NOT NULL) SELECT user_id, a AS id, b AS other, kind, minutes FROM m UNION ALL SELECT user_id, b, a, kind, minutes FROM m",
+    ),
     "walk_gaps": (
-        lambda s, d: op.walk_gaps(sessions(s, d), places(s, d, "supplier")),
-        W + f", {SUPPLIERS}, j AS (SELECT t.*, lat, lng FROM t JOIN sp ON t.venue = sp.id WHERE NOT eu), k AS (SELECT *, lag(venue) OVER o AS fv, lag(e) OVER o AS le, lag(lat) OVER o AS la, lag(lng) OVER o AS ln FROM j WINDOW o AS (PARTITION BY user_id, day ORDER BY s, e, id)),"
-        + " m AS (SELECT *, " + METRES_SQL.replace("{a}.lat", "la").replace("{a}.lng", "ln").replace("{b}.", "") + " AS dist FROM k WHERE fv IS NOT NULL), n AS (SELECT *, CASE WHEN venue = fv THEN 0 ELSE greatest(1, CAST(ceil(dist * 1.3::DOUBLE / 80.0::DOUBLE) AS BIGINT)) END AS mins FROM m)"
-        + " SELECT user_id, day, id, CASE WHEN venue = fv THEN 'same' ELSE 'walk' END AS kind, CASE WHEN venue = fv THEN 0 ELSE dist END AS metres, mins AS minutes, mins > 25 AS long_way, CAST(floor((s - le) / 60) AS BIGINT) AS free_min FROM n",
+        lambda s, d: op.walk_gaps(sessions(s, d), places(s, d, "supplier").filter("id % 5 <> 0")),
+        W + f", {SUPPLIERS}, j AS (SELECT t.*, lat, lng FROM t LEFT JOIN sp ON t.venue = sp.id AND sp.id % 5 <> 0), k AS (SELECT *, lag(id) OVER o AS fi, lag(venue) OVER o AS fv, lag(e) OVER o AS le, lag(eu) OVER o AS oe, lag(lat) OVER o AS la, lag(lng) OVER o AS ln FROM j WINDOW o AS (PARTITION BY user_id, day ORDER BY s, e, id)),"
+        + " m AS (SELECT *, coalesce(venue = fv, false) AS same, " + METRES_SQL.replace("{a}.lat", "la").replace("{a}.lng", "ln").replace("{b}.", "") + " AS dist FROM k WHERE fi IS NOT NULL), n AS (SELECT *, CASE WHEN same THEN 0 WHEN dist IS NOT NULL THEN greatest(1, CAST(ceil(dist * 1.3::DOUBLE / 80.0::DOUBLE) AS BIGINT)) END AS mins FROM m)"
+        + " SELECT user_id, day, id, CASE WHEN same THEN 'same' WHEN dist IS NULL THEN 'unknown' ELSE 'walk' END AS kind, CASE WHEN same THEN 0 ELSE dist END AS metres, mins AS minutes, mins > 25 AS long_way, CASE WHEN NOT oe THEN CAST(floor((s - le) / 60 + 0.5) AS BIGINT) END AS free_min FROM n",
     ),
     "top_conflicts": (
         lambda s, d: top_conflicts(s, d),
@@ -109,8 +148,6 @@ QUERIES = {
 
 def top_conflicts(spark, sf_dir):
     """The users whose plans conflict most."""
-    from pyspark.sql import functions as F
-
-    pairs = op.interval_overlap(sessions(spark, sf_dir))
+    pairs = op.conflict_pairs(sessions(spark, sf_dir))
     per = pairs.groupBy("user_id").agg(F.count("*").alias("n_conflicts"), F.coalesce(F.sum("minutes"), F.lit(0)).cast("long").alias("overlap_min"))
     return per.orderBy(F.col("n_conflicts").desc(), F.col("overlap_min").desc(), "user_id").limit(20)

@@ -65,19 +65,27 @@ def latest_plans(toggles: DataFrame) -> DataFrame:
     spark = toggles.sparkSession
 
     def keep(batch: DataFrame, n: int, to: str) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(to)
+        batch.write.mode("overwrite").parquet(f"{to}/batch={n}")
 
     to = drained(plan_stream(toggles), "plans", "update", keep)
-    rows = spark.read.schema("user_id long, items string, batch long").parquet(to).groupBy("user_id").agg(F.max_by("items", "batch").alias("items"))
+    rows = spark.read.schema("user_id long, items string, batch int").parquet(to).groupBy("user_id").agg(F.max_by("items", "batch").alias("items"))
     return rows.select("user_id", F.explode(F.transform(F.filter(F.split("items", ","), lambda x: x != ""), lambda x: x.cast("long"))).alias("item"))
 
 
 def board_stream(ticks: DataFrame, instances: DataFrame) -> DataFrame:
-    """Status changes of static instances at each batch of ticks; a batch begins where the one before it ended."""
+    """Status changes of static instances over a stream of ticks. A batch is compared with the last tick of the batches before
+    it, which each leaves beside its changes; both are written under the batch's number, so that a batch that runs again
+    replaces what it wrote."""
     spark = ticks.sparkSession
+    seen = scratch(spark, "board-ticks")
 
     def keep(batch: DataFrame, n: int, to: str) -> None:
-        feed.status_changes(instances, batch).write.mode("append").parquet(to)
+        batch = batch.select("tick")
+        earlier = spark.read.schema("tick long, batch int").parquet(seen).filter(F.col("batch") < n).agg(F.max("tick").alias("t")).first().t if n else None
+        fresh = batch.filter(F.col("tick") > earlier) if earlier is not None else batch
+        feed.status_changes(instances, fresh, earlier).write.mode("overwrite").parquet(f"{to}/batch={n}")
+        last = batch.agg(F.greatest(F.max("tick"), F.lit(earlier)).alias("tick"))
+        last.write.mode("overwrite").parquet(f"{seen}/batch={n}")
 
     to = drained(ticks, "board", "append", keep)
-    return spark.read.schema("tick long, id long, status string").parquet(to)
+    return spark.read.schema("tick long, id long, status string, batch int").parquet(to).drop("batch")

@@ -1,9 +1,10 @@
 """What SQL can't say: greedy one-to-one matching and greedy clusters, against plain versions."""
 
+from pyspark.sql import functions as F
+
 from tessera.functions.geo import LAT, LNG
 from tessera.operators import records
 from tessera.plans import places
-from tessera.plans import records as plans
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,7 +20,8 @@ def greedy(pairs):
 
 
 def test_mutual_best_is_greedy(spark):
-    pairs = plans.near_pairs(spark, SF)
+    k = F.col("a")
+    pairs = spark.range(400).select((F.col("id") % 40).alias("a"), (F.col("id") * 7 % 90).alias("b")).distinct().withColumn("cost", (k * 31 + F.col("b") * 17) % 23)
     assert sorted(map(tuple, records.mutual_best(pairs).collect())) == greedy(pairs.collect())
     assert records.mutual_best(pairs.limit(0)).count() == 0
 
@@ -40,3 +42,12 @@ def test_clusters(spark):
             want[view, q.id] = (n + 1, t + r.id)
     got = {(r.view, r.seed): (r.n, r.id_sum) for r in places.QUERIES["cluster_points"][0](spark, SF).collect()}
     assert got == want
+
+
+def test_tiers_take_the_strongest_evidence_first(spark):
+    at = lambda north: (39_100_000 + int(north / LAT), -84_500_000)
+    kind = "id long, title string, credits array<string>, category string, zone string, lat long, lng long"
+    works = [(1, "The Red Door", ["Ana Pérez"], "mural", "z", *at(5000)), (2, "Blue Wall", ["Bo Li"], "mural", "z", *at(100)), (3, "Green Gate", [], "mural", "z", *at(150)), (4, "Other", [], "mural", "z", *at(60)), (5, "Far", ["Cy"], "mural", "z", *at(900))]
+    entries = [(10, "red door", ["ana perez"], "light", "y", *at(0), 50), (11, "untitled", ["Bo Li"], "mural", "y", *at(0), 50), (12, "gate of green", ["Nobody"], "mural", "z", *at(0), 50), (13, "x", [], "mural", "z", *at(0), 80), (14, "y", ["Cy"], "mural", "z", *at(0), 80)]
+    got = records.match_tiers(spark.createDataFrame(entries, kind + ", reach long"), spark.createDataFrame(works, kind)).collect()
+    assert sorted((r.a, r.b, r.tier) for r in got) == [(10, 1, 0), (11, 2, 1), (12, 3, 2), (13, 4, 3)]

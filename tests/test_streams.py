@@ -23,3 +23,20 @@ def test_feed_keeps_an_address_once_across_batches(spark):
         spark.createDataFrame([(f"http://www.a.com/{i}/?utm_x=1&ref={n}", "t") for i in range(n, n + 4)], "url string, title string").withColumn("at", F.timestamp_seconds(F.lit(1_705_000_000 + n))).coalesce(1).write.mode("append").parquet(to)
     out = spark.read.schema("key string, at timestamp").parquet(jobs.drained(jobs.feed_stream(jobs.file_stream(spark, to, 1)), "feed"))
     assert sorted(r.key for r in out.collect()) == [f"https://a.com/{i}" for i in range(6)]
+
+
+def test_board_over_one_tick_a_batch(spark):
+    """Uneven ticks, one file each: the changes are those of all ticks at once, and those of comparing every tick with the last."""
+    to = scratch(spark, "ticks")
+    ticks = [100_000, 100_600, 101_200, 104_000, 104_060, 120_000, 120_600]
+    for t in ticks:
+        spark.createDataFrame([(t,)], "tick long").coalesce(1).write.mode("append").parquet(to)
+    rows = [(i, s, s + n) for i, (s, n) in enumerate([(100_300, 500), (100_600, 600), (103_000, 900), (105_000, 9_000), (90_000, 200_000), (119_999, 1), (121_000, 60), (120_600, 5)])]
+    instances = spark.createDataFrame(rows, "id long, s long, e long")
+
+    def status(s, e, t):
+        return "upcoming" if s - t > 1800 else "soon" if s > t else "past" if e <= t else "live"
+
+    want = sorted((t, i, status(s, e, t)) for i, s, e in rows for p, t in zip(ticks, ticks[1:]) if status(s, e, p) != status(s, e, t))
+    assert sorted(map(tuple, feed.status_changes(instances, spark.read.parquet(to)).collect())) == want
+    assert sorted(map(tuple, jobs.board_stream(jobs.file_stream(spark, to, 1), instances).collect())) == want
