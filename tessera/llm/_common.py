@@ -39,3 +39,21 @@ def text_of(column: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, kd and tk (together the name of a row; repeated rows share it) and text."""
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("kd"), F.xxhash64(text_of()).alias("tk"), text_of().alias("text"))
+
+
+def place_of() -> Column:
+    """Orders named rows by doc_id, those without one last, and rows that share an id by their text's hash."""
+    return F.struct((F.col("kd") == NO_ID).alias("last"), F.col("kd"), F.col("tk"))
+
+
+def one_of_each(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """docs with one row of each class of classed (kd, tk, label), the first by place_of. Of rows that share doc_id and text the
+    least by all columns stays."""
+    first = classed.groupBy("label").agg(F.min(place_of()).alias("x")).select("x.kd", "x.tk").distinct()
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("kd"), F.xxhash64(text_of()).alias("tk"), F.struct(*docs.columns).alias("row"))
+    return rows.join(first, ["kd", "tk"], "left_semi").groupBy("kd", "tk").agg(F.min("row").alias("row")).select("row.*")

@@ -12,7 +12,7 @@ pairs that are compared in separate tasks, so that no task holds an unbounded bu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import stored, text_of
+from tessera.llm._common import keyed, one_of_each, stored
 
 RADIUS = 3
 SHINGLE = 3
@@ -52,13 +52,13 @@ def simhash(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, kd, tk, fp): fp is the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(t, size) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp(text_of()).alias("fp"))
+    return keyed(docs).select("doc_id", "kd", "tk", fp("text").alias("fp"))
 
 
 class Forest:
@@ -192,24 +192,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def classed(own: DataFrame) -> DataFrame:
+    """(fp, label) of every fingerprint of own (fp): label is the least one reachable."""
+    fps = stored(own.select("fp").distinct(), "simhash-distinct")
+    label = components(links(fps)).withColumnRenamed("node", "fp")
+    return fps.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     Null or empty texts have fingerprint zero and link like any other; repeated rows are returned as often as they occur;
     a component whose ids are all null has a null component_id; other columns are ignored.
     """
-    own = stored(fingerprints(docs), "simhash")
-    fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    label = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
-    classed = fps.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = classed.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = classed.select("fp", "label").join(least, "label").select("fp", "component_id")
+    own = stored(fingerprints(docs).select("doc_id", "fp"), "simhash")
+    fps = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classed(own), "fp")
+    least = fps.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_fp = fps.select("fp", "label").join(least, "label").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """docs with one row of each component that ``grouped`` finds, the one of the smallest doc_id. Rows without a doc_id can't be
-    named by a component and stay; of rows that share a doc_id one stays."""
-    named = docs.filter("doc_id is not null")
-    keep = grouped(named).filter("doc_id = component_id").select("doc_id").distinct()
-    return named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, the one of the smallest doc_id (rows without one come last, rows that share one by
+    their text's hash)."""
+    own = stored(fingerprints(docs), "simhash")
+    return one_of_each(docs, own.join(classed(own), "fp").select("kd", "tk", "label"))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import NO_ID, stored, text_of
+from tessera.llm._common import keyed, stored
 from tessera.llm.words import SEQUENCE, U, Powers, Words, chunks, packed, sliding_min
 
 WINDOW = 35
@@ -51,11 +51,6 @@ def anchors_of(words: Words, seed: int, window: int) -> tuple[np.ndarray, np.nda
     return at, hashes[at]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, kd and tk (together the name of a row; repeated rows share it) and text."""
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("kd"), F.xxhash64(text_of()).alias("tk"), text_of().alias("text"))
-
-
 def anchors(rows: DataFrame, seed: int = SEED_WORDS, window: int = WINDOW) -> DataFrame:
     """(kd, tk, pos, hash) of every anchor."""
 
