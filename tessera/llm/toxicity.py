@@ -129,45 +129,53 @@ def lost_of(d: tuple[float, float, float], c: str) -> Column:
     return F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
 
 
-def conditionals(counts: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
-    """From ordinary counts ``a`` and toxic counts ``b``: words (w, p0, p1), bigrams (v, w, p0, p1) that occurred in either
-    class, what is left for others after a word (v, r0, r1), and both classes' probability of a word never seen."""
-    seen = counts.filter(F.col(a) + F.col(b) > 0)
-    words, pairs = seen.filter(~F.col("pair")).select("w", a, b), seen.filter("pair").select("v", "w", a, b)
-    shared = stored(pairs.groupBy("w").agg(F.count("*").alias("before")), "toxic-shared")
-    lost = {c: (discounts(words, c), discounts(pairs, c)) for c in (a, b)}
-    n = words.agg(F.count("*").alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"t_{c}") for c in (a, b)), *(F.coalesce(F.sum(lost_of(lost[c][0], c)), F.lit(0.0)).alias(f"f_{c}") for c in (a, b))).first()
-    places = (shared.agg(F.coalesce(F.sum("before"), F.lit(0))).first()[0]) + n.v + 1
-    freed = {c: n[f"f_{c}"] / max(1, n[f"t_{c}"]) for c in (a, b)}
-    q = (F.coalesce("before", F.lit(0)) + 1) / F.lit(float(places))
-    single = lambda c: (F.col(c) - lost_of(lost[c][0], c)) / F.lit(float(max(1, n[f"t_{c}"]))) + F.lit(freed[c]) * q
-    uni = stored(words.join(shared, "w", "left").select("w", single(a).alias("p0"), single(b).alias("p1")), "toxic-words")
-    begins = pairs.groupBy("v").agg(*(F.sum(c).alias(f"t{i}") for i, c in enumerate((a, b))), *(F.sum(lost_of(lost[c][1], c)).alias(f"f{i}") for i, c in enumerate((a, b))))
-    rest = lambda i: F.when(F.col(f"t{i}") > 0, F.col(f"f{i}") / F.col(f"t{i}")).otherwise(1.0).alias(f"r{i}")
-    begins = stored(begins.select("v", "t0", "t1", rest(0), rest(1)), "toxic-begins")
-    cond = lambda i, c: (F.when(F.col(f"t{i}") > 0, (F.col(c) - lost_of(lost[c][1], c)) / F.col(f"t{i}")).otherwise(0.0) + F.col(f"r{i}") * F.col(f"p{i}")).alias(f"c{i}")
-    bi = pairs.join(begins, "v").join(uni, "w").select("v", "w", cond(0, a), cond(1, b)).withColumnsRenamed({"c0": "p0", "c1": "p1"})
-    return uni, bi, begins.select("v", "r0", "r1"), tuple(freed[c] / places for c in (a, b))
+def lost(d: tuple[float, float, float], n: np.ndarray) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
 def model(counts: DataFrame, a: str, b: str) -> Model:
-    """The differences from ordinary counts ``a`` and toxic counts ``b``, computed by Spark and gathered as two columns."""
-    uni, bi, begins, unknown = conditionals(counts, a, b)
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The differences from ordinary counts ``a`` and toxic counts ``b``. Words and what follows them are gathered first (the
+    sample bounds them) and shared with the tasks that hold the bigrams, which are never shuffled again."""
+    classes = (a, b)
+    seen = counts.filter(F.col(a) + F.col(b) > 0)
+    words, pairs = seen.filter(~F.col("pair")).select("w", a, b), seen.filter("pair").select("v", "w", a, b)
+    du, dp = ([discounts(rows, c) for c in classes] for rows in (words, pairs))
+
+    def gathered(rows: DataFrame, key: str) -> dict[str, np.ndarray]:
+        t = rows.toArrow()
+        out = {c: t[c].to_numpy() for c in t.column_names}
+        order = np.argsort(out[key], kind="stable")
+        return {c: x[order] for c, x in out.items()}
+
+    shared = pairs.groupBy("w").agg(F.count("*").alias("before"))
+    uni = gathered(words.join(shared, "w", "left").select("w", *classes, F.coalesce("before", F.lit(0)).alias("before")), "w")
+    begins = gathered(pairs.groupBy("v").agg(*(F.sum(c).alias(f"t{i}") for i, c in enumerate(classes)), *(F.sum(lost_of(dp[i], c)).alias(f"f{i}") for i, c in enumerate(classes))), "v")
+    places = uni["before"].sum() + len(uni["w"]) + 1
+    single, unknown = [], []
+    for c, d in zip(classes, du, strict=True):
+        total, given = max(1, uni[c].sum()), lost(d, uni[c])
+        single.append((uni[c] - given) / total + given.sum() / total * (uni["before"] + 1) / places)
+        unknown.append(given.sum() / total / places)
+    totals = [begins[f"t{i}"] for i in (0, 1)]
+    rest = [np.where(t > 0, begins[f"f{i}"] / np.maximum(1, t), 1.0) for i, t in enumerate(totals)]
+    known = counts.sparkSession.sparkContext.broadcast((uni["w"], single, begins["v"], totals, rest))
+
+    def conditional(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            both = np.stack([x["v"].to_numpy(), x["w"].to_numpy()], 1).ravel().view(np.uint64)
-            at = np.arange(len(x)) * 2
-            yield pd.DataFrame({"key": SEQUENCE.ranges(both, at, at + 2).view(np.int64), "llr": x["llr"]})
-
-    def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = rows.select(F.col("key"), F.col("llr").cast("float").alias("llr")).orderBy("key").toArrow()
-        return t["key"].to_numpy(), t["llr"].to_numpy()
-
-    llr = lambda y, x: F.log(F.col(y) / F.col(x)).alias("llr")
-    pairs = bi.select("v", "w", llr("p1", "p0")).mapInPandas(keyed, "key long, llr double")
+            word, p, start, t, r = known.value
+            v, w = x["v"].to_numpy(), x["w"].to_numpy()
+            of, at = np.searchsorted(start, v), np.searchsorted(word, w)
+            own = []
+            for i, c in enumerate(classes):
+                n = x[c].to_numpy()
+                own.append(np.where(t[i][of] > 0, (n - lost(dp[i], n)) / np.maximum(1, t[i][of]), 0.0) + r[i][of] * p[i][at])
+            both, at = np.stack([v, w], 1).ravel().view(np.uint64), np.arange(len(x)) * 2
+            yield pd.DataFrame({"key": SEQUENCE.ranges(both, at, at + 2).view(np.int64), "llr": np.log(own[1] / own[0]).astype(np.float32)})
+
+    bi = gathered(pairs.mapInPandas(conditional, "key long, llr float"), "key")
     ratio = float(np.log(unknown[1] / unknown[0])) if min(unknown) > 0 else 0.0
-    return Model(*gathered(uni.select(F.col("w").alias("key"), llr("p1", "p0"))), *gathered(pairs), *gathered(begins.select(F.col("v").alias("key"), llr("r1", "r0"))), ratio)
+    known.unpersist()
+    return Model(uni["w"], np.log(single[1] / single[0]), bi["key"], bi["llr"], begins["v"], np.log(rest[1] / rest[0]), ratio)
 
 
 def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
