@@ -116,31 +116,32 @@ def _affine(keys: list[str], rows: DataFrame) -> DataFrame:
 
 
 def georeference_pins(pins: DataFrame, controls: DataFrame, alpha: float = 1.5, s: float = 20.0) -> DataFrame:
-    """Moving least squares: each pin (pin, x, y) gets (u, v) from an affine fit of all controls (cx, cy, u, v), weighted
-    by 1 / (d^2 + s^2)^alpha. Controls are one map's surveyed points, a table of fixed size."""
-    met = pins.join(F.broadcast(controls), F.lit(True)).withColumn("w", _weights(alpha, s, F.col("x"), F.col("y"))).withColumn("dx", F.col("cx") - F.col("x")).withColumn("dy", F.col("cy") - F.col("y"))
-    return _affine(["pin"], met)
+    """Moving least squares: each pin (map, pin, x, y) gets (u, v) from an affine fit of its map's controls (map, cx, cy, u,
+    v), weighted by 1 / (d^2 + s^2)^alpha. A map has some dozens of surveyed points."""
+    met = pins.join(controls, "map").withColumn("w", _weights(alpha, s, F.col("x"), F.col("y"))).withColumn("dx", F.col("cx") - F.col("x")).withColumn("dy", F.col("cy") - F.col("y"))
+    return _affine(["map", "pin"], met)
 
 
 def georef_cv(controls: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
-    """Leave-one-out residuals of every (alpha, s) of the grid: mean and 90th percentile, in thousandths of a unit."""
-    c = controls.select("c", "cx", "cy", "u", "v")
-    left = c.select(F.col("c").alias("pin"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("u").alias("tu"), F.col("v").alias("tv"))
+    """Leave-one-out residuals of each map for every (alpha, s) of the grid: mean and 90th percentile, in thousandths of a unit."""
+    c = controls.select("map", "c", "cx", "cy", "u", "v")
+    left = c.select("map", F.col("c").alias("pin"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("u").alias("tu"), F.col("v").alias("tv"))
     tries = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(s)).alias("s")) for a, s in grid)))
-    met = left.join(F.broadcast(c), F.col("pin") != F.col("c")).withColumn("g", tries).withColumn("alpha", F.col("g.alpha")).withColumn("s", F.col("g.s"))
+    met = left.join(c, "map").filter("pin <> c").withColumn("g", tries).withColumn("alpha", F.col("g.alpha")).withColumn("s", F.col("g.s"))
     d = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y"))
     met = met.withColumn("w", 1.0 / F.pow(d + F.col("s") * F.col("s"), F.col("alpha"))).withColumn("dx", F.col("cx") - F.col("x")).withColumn("dy", F.col("cy") - F.col("y"))
-    fit = _affine(["alpha", "s", "pin"], met).join(left.select("pin", "tu", "tv"), "pin")
+    fit = _affine(["map", "alpha", "s", "pin"], met).join(left.select("map", "pin", "tu", "tv"), ["map", "pin"])
     r = F.sqrt((F.col("u") - F.col("tu")) * (F.col("u") - F.col("tu")) + (F.col("v") - F.col("tv")) * (F.col("v") - F.col("tv")))
-    return fit.groupBy("alpha", "s").agg(F.floor(F.avg(r) * 1000 + 0.5).cast("long").alias("mean_milli"), F.floor(F.percentile(r, F.lit(0.9)) * 1000 + 0.5).cast("long").alias("p90_milli"))
+    return fit.groupBy("map", "alpha", "s").agg(F.floor(F.avg(r) * 1000 + 0.5).cast("long").alias("mean_milli"), F.floor(F.percentile(r, F.lit(0.9)) * 1000 + 0.5).cast("long").alias("p90_milli"))
 
 
 def position_uncertainty(pins: DataFrame, residuals: DataFrame, s: float = 40.0, floor: int = 15, step: int = 5) -> DataFrame:
-    """Kernel-weighted root mean square of the residuals (cx, cy, r) around each pin, at least ``floor``, in steps of ``step``."""
+    """Kernel-weighted root mean square of the residuals (map, cx, cy, r) around each pin of their map, at least ``floor``, in
+    steps of ``step``."""
     d = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y"))
-    met = pins.join(F.broadcast(residuals), F.lit(True)).withColumn("w", 1.0 / (d + F.lit(s * s)))
+    met = pins.join(residuals, "map").withColumn("w", 1.0 / (d + F.lit(s * s)))
     rms = F.sqrt(F.sum(F.col("w") * F.col("r") * F.col("r")) / F.sum("w"))
-    return met.groupBy("pin").agg((F.ceil(F.greatest(F.lit(float(floor)), rms) / step) * step).cast("long").alias("approx_m"))
+    return met.groupBy("map", "pin").agg((F.ceil(F.greatest(F.lit(float(floor)), rms) / step) * step).cast("long").alias("approx_m"))
 
 
 def hood_assignment(df: DataFrame, table: DataFrame, seeds: DataFrame, radius: int, region: tuple) -> DataFrame:

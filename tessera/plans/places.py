@@ -27,19 +27,20 @@ def cus(s, d):
 
 
 def pins(s, d):
+    """Pins of maps of 750 each."""
     k = F.col("c_custkey")
-    return read(s, d, "customer").filter(k % 5 == 0).select(k.alias("pin"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 800).cast("double").alias("y"))
+    return read(s, d, "customer").select(F.floor(k / 750).alias("map"), k.alias("pin"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 800).cast("double").alias("y"))
 
 
 def controls(s, d):
-    """Surveyed points, a bent plane; at most 60 of them."""
+    """Surveyed points of maps of 50 each, a bent plane."""
     k = F.col("s_suppkey")
     x, y = (k * 53 % 1000).cast("double"), (k * 29 % 800).cast("double")
-    return read(s, d, "supplier").filter("s_suppkey < 60").select(k.alias("c"), x.alias("cx"), y.alias("cy"), (2.0 * x + 0.5 * y + 0.001 * x * y).alias("u"), (1.5 * y - 0.25 * x + 0.0005 * x * x).alias("v"))
+    return read(s, d, "supplier").select(F.floor(k / 50).alias("map"), k.alias("c"), x.alias("cx"), y.alias("cy"), (2.0 * x + 0.5 * y + 0.001 * x * y).alias("u"), (1.5 * y - 0.25 * x + 0.0005 * x * x).alias("v"))
 
 
-CONTROLS = "ct AS (SELECT s_suppkey AS c, x AS cx, y AS cy, 2.0::DOUBLE * x + 0.5::DOUBLE * y + 0.001::DOUBLE * x * y AS u, 1.5::DOUBLE * y - 0.25::DOUBLE * x + 0.0005::DOUBLE * x * x AS v FROM (SELECT s_suppkey, CAST(s_suppkey * 53 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 29 % 800 AS DOUBLE) AS y FROM supplier WHERE s_suppkey < 60))"
-PINS = "pn AS (SELECT c_custkey AS pin, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 91 % 800 AS DOUBLE) AS y FROM customer WHERE c_custkey % 5 = 0)"
+CONTROLS = "ct AS (SELECT CAST(floor(s_suppkey / 50) AS BIGINT) AS map, s_suppkey AS c, x AS cx, y AS cy, 2.0::DOUBLE * x + 0.5::DOUBLE * y + 0.001::DOUBLE * x * y AS u, 1.5::DOUBLE * y - 0.25::DOUBLE * x + 0.0005::DOUBLE * x * x AS v FROM (SELECT s_suppkey, CAST(s_suppkey * 53 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 29 % 800 AS DOUBLE) AS y FROM supplier))"
+PINS = "pn AS (SELECT CAST(floor(c_custkey / 750) AS BIGINT) AS map, c_custkey AS pin, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 91 % 800 AS DOUBLE) AS y FROM customer)"
 SUMS = "sum(w) AS s0, sum(w * dx) AS sx, sum(w * dy) AS sy, sum(w * dx * dx) AS sxx, sum(w * dx * dy) AS sxy, sum(w * dy * dy) AS syy, sum(w * u) AS su, sum(w * u * dx) AS sux, sum(w * u * dy) AS suy, sum(w * v) AS sv, sum(w * v * dx) AS svx, sum(w * v * dy) AS svy"
 DET = "(s0 * (sxx * syy - sxy * sxy) - sx * (sx * syy - sxy * sy) + sy * (sx * sxy - sxx * sy))"
 CRAMER = "(s{0} * (sxx * syy - sxy * sxy) - sx * (s{0}x * syy - sxy * s{0}y) + sy * (s{0}x * sxy - sxx * s{0}y)) / " + DET
@@ -100,16 +101,16 @@ QUERIES = {
         W + f", e AS (SELECT hood, min(lat) AS a, max(lat) AS b, min(lng) AS c, max(lng) AS d FROM sp GROUP BY hood), g AS (SELECT *, greatest(0, CAST(floor((4000 - (b - a + 1000)) / 2) AS BIGINT)) + 500 AS gy, greatest(0, CAST(floor((4000 - (d - c + 1000)) / 2) AS BIGINT)) + 500 AS gx FROM e) SELECT hood, greatest(a - gy, {BOX[0]}) AS lat0, least(b + gy, {BOX[1]}) AS lat1, greatest(c - gx, {BOX[2]}) AS lng0, least(d + gx, {BOX[3]}) AS lng1 FROM g",
     ),
     "georeference_pins": (
-        lambda s, d: op.georeference_pins(pins(s, d), controls(s, d)).select("pin", milli("u"), milli("v")),
-        f"WITH {CONTROLS}, {PINS}, m AS (SELECT pin, 1.0::DOUBLE / pow((cx - x) * (cx - x) + (cy - y) * (cy - y) + 400, 1.5) AS w, cx - x AS dx, cy - y AS dy, u, v FROM pn, ct), s AS (SELECT pin, {SUMS} FROM m GROUP BY pin) SELECT pin, CAST(floor({CRAMER.format('u')} * 100 + 0.5) AS BIGINT) AS u_centi, CAST(floor({CRAMER.format('v')} * 100 + 0.5) AS BIGINT) AS v_centi FROM s",
+        lambda s, d: op.georeference_pins(pins(s, d), controls(s, d)).select("map", "pin", milli("u"), milli("v")),
+        f"WITH {CONTROLS}, {PINS}, m AS (SELECT map, pin, 1.0::DOUBLE / pow((cx - x) * (cx - x) + (cy - y) * (cy - y) + 400, 1.5) AS w, cx - x AS dx, cy - y AS dy, u, v FROM pn JOIN ct USING (map)), s AS (SELECT map, pin, {SUMS} FROM m GROUP BY map, pin) SELECT map, pin, CAST(floor({CRAMER.format('u')} * 100 + 0.5) AS BIGINT) AS u_centi, CAST(floor({CRAMER.format('v')} * 100 + 0.5) AS BIGINT) AS v_centi FROM s",
     ),
     "georef_cv": (
         lambda s, d: op.georef_cv(controls(s, d), GRID),
-        f"WITH {CONTROLS}, g AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {s}::DOUBLE)' for a, s in GRID)}) t(alpha, s)), m AS (SELECT alpha, s, l.c AS pin, l.u AS tu, l.v AS tv, 1.0::DOUBLE / pow((k.cx - l.cx) * (k.cx - l.cx) + (k.cy - l.cy) * (k.cy - l.cy) + s * s, alpha) AS w, k.cx - l.cx AS dx, k.cy - l.cy AS dy, k.u, k.v FROM ct l JOIN ct k ON l.c <> k.c, g), q AS (SELECT alpha, s, pin, tu, tv, {SUMS} FROM m GROUP BY ALL), r AS (SELECT alpha, s, sqrt(pow({CRAMER.format('u')} - tu, 2) + pow({CRAMER.format('v')} - tv, 2)) AS r FROM q) SELECT alpha, s, CAST(floor(avg(r) * 1000 + 0.5) AS BIGINT) AS mean_milli, CAST(floor(quantile_cont(r, 0.9) * 1000 + 0.5) AS BIGINT) AS p90_milli FROM r GROUP BY alpha, s",
+        f"WITH {CONTROLS}, g AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {s}::DOUBLE)' for a, s in GRID)}) t(alpha, s)), m AS (SELECT l.map, alpha, s, l.c AS pin, l.u AS tu, l.v AS tv, 1.0::DOUBLE / pow((k.cx - l.cx) * (k.cx - l.cx) + (k.cy - l.cy) * (k.cy - l.cy) + s * s, alpha) AS w, k.cx - l.cx AS dx, k.cy - l.cy AS dy, k.u, k.v FROM ct l JOIN ct k ON l.c <> k.c AND l.map = k.map, g), q AS (SELECT map, alpha, s, pin, tu, tv, {SUMS} FROM m GROUP BY ALL), r AS (SELECT map, alpha, s, sqrt(pow({CRAMER.format('u')} - tu, 2) + pow({CRAMER.format('v')} - tv, 2)) AS r FROM q) SELECT map, alpha, s, CAST(floor(avg(r) * 1000 + 0.5) AS BIGINT) AS mean_milli, CAST(floor(quantile_cont(r, 0.9) * 1000 + 0.5) AS BIGINT) AS p90_milli FROM r GROUP BY map, alpha, s",
     ),
     "position_uncertainty": (
-        lambda s, d: op.position_uncertainty(pins(s, d), controls(s, d).select("cx", "cy", (F.col("c") * 7 % 40).cast("double").alias("r"))),
-        f"WITH {CONTROLS}, {PINS} SELECT pin, CAST(ceil(greatest(15.0::DOUBLE, sqrt(sum(c * 7 % 40 * (c * 7 % 40) / ((cx - x) * (cx - x) + (cy - y) * (cy - y) + 1600)) / sum(1.0::DOUBLE / ((cx - x) * (cx - x) + (cy - y) * (cy - y) + 1600)))) / 5) * 5 AS BIGINT) AS approx_m FROM pn, ct GROUP BY pin",
+        lambda s, d: op.position_uncertainty(pins(s, d), controls(s, d).select("map", "cx", "cy", (F.col("c") * 7 % 40).cast("double").alias("r"))),
+        f"WITH {CONTROLS}, {PINS} SELECT map, pin, CAST(ceil(greatest(15.0::DOUBLE, sqrt(sum(c * 7 % 40 * (c * 7 % 40) / ((cx - x) * (cx - x) + (cy - y) * (cy - y) + 1600)) / sum(1.0::DOUBLE / ((cx - x) * (cx - x) + (cy - y) * (cy - y) + 1600)))) / 5) * 5 AS BIGINT) AS approx_m FROM pn JOIN ct USING (map) GROUP BY map, pin",
     ),
     "hood_assignment": (
         lambda s, d: op.hood_assignment(cus(s, d), cus(s, d).filter("id % 10 = 0").select("name", F.lit("T").alias("table_hood")), sup(s, d), 250, REGION),

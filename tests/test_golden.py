@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import quality, schedule, search
+from tessera.operators import quality, records, schedule, search
 from tessera.plans import audits
 
 H = 3600
@@ -100,3 +100,61 @@ def test_search_short_terms(spark):
     for r in search.rank_search(index, asked, []).orderBy("rank").collect():
         hits.setdefault(r.qid, []).append(r.id)
     assert hits == {1: [3, 1], 2: [1], 3: [4, 3, 2], 4: [2]}
+
+
+def test_whole_days_are_never_on_now_and_next_takes_now(spark):
+    now = 100 * 86400 + 18 * H
+    df = session(spark, [{"s": now - H, "e": now + H, "ad": True}, {"s": now, "e": now + H}, {"s": now + 2 * H, "e": now + 3 * H}, {"s": now - H, "e": now + H, "og": True}])
+    got = {r.id: (r.on_now, r.next, r.tonight) for r in schedule.when_preset(df, now).collect()}
+    assert got == {1: (True, True, True), 2: (False, False, True), 3: (True, False, True)}
+
+
+def test_two_times_of_one_session_never_conflict(spark):
+    df = session(spark, [{"id": 7, "s": 0, "e": H}, {"id": 7, "s": 60, "e": H}, {"id": 8, "s": 0, "e": 3000 * H}, {"id": 9, "s": 2999 * H, "e": 2999 * H + 60}])
+    got = sorted((r.id, r.other, r.kind, r.minutes) for r in schedule.interval_overlap(df).collect())
+    assert got == sorted([(7, 8, "overlap", 60), (7, 8, "overlap", 59), (8, 7, "overlap", 60), (8, 7, "overlap", 59), (8, 9, "overlap", 1), (9, 8, "overlap", 1)])
+
+
+def test_at_this_hour(spark):
+    now = 100 * 86400 + 16 * H
+    rows = [
+        {"s": now - H, "e": now + H, "program": "b"}, {"s": now - 60, "e": now + H, "program": "a"}, {"s": now - 2 * H, "e": now + H, "eu": True}, {"s": now - 60, "e": now - 30, "eu": True, "featured": True},
+        {"s": now - 5 * H, "e": now + H, "og": True}, {"s": now - 5 * H, "e": now + H, "og": True, "eu": True}, {"s": now, "e": now + H, "og": True, "tu": True},
+        {"s": now + 2 * H, "e": now + 3 * H, "program": "b"}, {"s": now + 4 * H, "e": now + 5 * H}, {"s": now + 10 * H, "e": now + 11 * H, "featured": True}, {"s": now + 14 * H, "e": now + 15 * H},
+    ]
+    got = sorted((r.section, r.rank, r.id, r.n_more) for r in schedule.at_this_hour(session(spark, rows), now, ("a", "b")).collect())
+    assert got == sorted([("now", 1, 3, 0), ("now", 2, 1, 0), ("now", 3, 0, 0), ("open", 1, 4, 0), ("next", 1, 7, 0), ("tonight", 1, 8, 0), ("tonight", 2, 9, 0), ("on_view", 1, None, 1)], key=lambda x: (x[0], x[1]))
+    later = schedule.at_this_hour(session(spark, [{"s": now + 5 * H, "e": now + 6 * H, "og": True}, {"s": now + 6 * H, "e": now + 7 * H}]), now).collect()
+    assert [(r.id) for r in later if r.section == "next"] == [1]
+
+
+def test_gaps_without_a_place_are_unknown(spark):
+    df = session(spark, [{"s": 20 * H, "e": 21 * H, "venue": 1}, {"s": 21 * H + 90, "e": 22 * H, "venue": 2}, {"s": 22 * H, "e": 22 * H + 60, "venue": 2, "eu": True}, {"s": 23 * H, "e": 24 * H, "venue": 1}])
+    venues = spark.createDataFrame([(1, 39_100_000, -84_500_000)], "id int, lat long, lng long")
+    got = {r.id: (r.kind, r.metres, r.minutes, r.free_min) for r in schedule.walk_gaps(df, venues).collect()}
+    assert got == {1: ("unknown", None, None, 2), 2: ("same", 0, 0, 0), 3: ("unknown", None, None, None)}
+
+
+def test_lanes_of_a_week(spark):
+    lanes = spark.createDataFrame([("thru", 5, 40), ("a", 8, 12), ("b", 11, 13), ("one", 12, 12)], "program string, a long, b long")
+    cells = {(r.program, r.day): r.cell for r in schedule.program_calendar(lanes, 11 * 86400, 10, 14).collect()}
+    assert [cells["a", d] for d in range(10, 15)] == ["mid", "mid", "end", None, None] and cells["b", 11] == "start" and cells["one", 12] == "only" and cells["thru", 14] == "thru"
+    assert [r.day for r in schedule.interchange_days(lanes, 10, 14).collect()] == [12]
+    assert schedule.interchange_days(lanes.filter("program in ('thru', 'a')"), 10, 14).count() == 0
+
+
+def test_only_an_exact_title_leads(spark):
+    rows = [("event", 1, "Light show", "", "", 1), ("place", 2, "Light", "", "", 2), ("event", 3, "Café-Léger ﬁnal", "", "", 3)]
+    index = search.build_search_index([spark.createDataFrame(rows, "kind string, id long, title string, subline string, keywords string, ord long")], ["event", "place"])
+    hits = search.rank_search(index, spark.createDataFrame([(1, "light sh"), (2, "light"), (3, "leger"), (4, "FINAL"), (5, "light light")], "qid long, query string"), [])
+    assert {r.qid: (r.id, r.score) for r in hits.filter("rank = 1 and qid > 2").collect()} == {3: (3, 30 + 30), 4: (3, 30 + 30), 5: (2, 80)}
+    groups = {(r.qid, r.place): r.kind for r in search.group_search(hits, ["event", "place"]).collect()}
+    assert groups[1, 1] == "event" and groups[2, 1] == "place" and groups[2, 2] == "event"
+
+
+def test_roles_by_rule_order_then_curation_then_kind(spark):
+    rules = spark.createDataFrame([(0, "artist", "artist"), (2, "curat", "curator"), (5, "speaker", "speaker")], "ord int, needle string, role string")
+    rows = [(1, 1, 1, "Speaker and artist", False, "talk", ["host"]), (1, 2, 1, None, True, "talk", []), (1, 3, 1, None, False, "talk", ["artist", "moderator"]), (1, 4, 1, None, False, "concert", ["host"]), (1, 5, 1, "Thanks", True, "talk", ["host"]), (1, 6, 1, None, False, "talk", []), (1, 6, 2, "Curator", False, "talk", [])]
+    credits = spark.createDataFrame(rows, "person long, event long, ord int, label string, curated boolean, kind string, roles array<string>")
+    got = {r.event: r.role for r in records.role_inference(credits, rules).collect()}
+    assert got == {1: "artist", 2: "curator", 3: "moderator", 4: "host", 5: "host", 6: "curator"}
