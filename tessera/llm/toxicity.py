@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import stored, text_of
-from tessera.llm.words import LETTERS, LOWER, SEQUENCE, Words, chunks, mix
+from tessera.llm.words import LETTERS, LOWER, SEQUENCE, Words, chunks
 
 MAX_DOCS = {0: 8000, 1: 4000}
 DISCOUNT, LEAST = 0.75, 0.05
@@ -68,27 +68,37 @@ class Model:
             w = Words(part, LETTERS, LOWER)
             if not len(w.hash):
                 continue
-            single = self.find(self.uni, self.uni_llr, w.hash, self.unknown)
-            each = single.copy()
+            # each different word and pair is looked up once, in ascending order
+            word, of = np.unique(w.hash, return_inverse=True)
+            single = self.find(self.uni, self.uni_llr, word, self.unknown)
+            back = self.find(self.back, self.back_llr, word, 0.0)
             first, pair = w.sequences(2)
+            pair, which = np.unique(pair, return_inverse=True)
             seen = self.find(self.bi, self.bi_llr, pair, np.nan)
-            each[first + 1] = np.where(np.isnan(seen), self.find(self.back, self.back_llr, w.hash[first], 0.0) + single[first + 1], seen)
             # a bigram counts once in a text, as in the counts; so does the first word, which has none before it
-            what = w.hash.copy()
-            what[first + 1] = pair
-            salt = mix(w.text.astype(np.uint64))
-            once = np.unique(salt ^ what, return_index=True)[1]
             some = np.flatnonzero(w.counts)
-            rows = begin + some
-            out[rows, 0] = np.bincount(w.text[once], minlength=len(part))[some]
-            out[rows, 1] = np.bincount(w.text[once], each[once], len(part))[some] / out[rows, 0]
-            words = np.unique(salt ^ w.hash, return_index=True)[1]
-            words = words[np.lexsort((-single[words], w.text[words]))]
-            text = w.text[words]
-            place = np.arange(len(words)) - np.searchsorted(text, text)
-            out[rows, 2] = single[words[place == 0]]
-            best = words[place < TOP]
-            out[rows, 3] = np.bincount(w.text[best], single[best], len(part))[some] / TOP
+            rows, opening = begin + some, w.bounds[:-1][some]
+            total, n = np.bincount(w.text[opening], single[of[opening]], len(part)), w.counts.clip(max=1)
+            if len(first):
+                once = np.unique(w.text[first] * len(pair) + which, return_index=True)[1]
+                at, text = first[once], w.text[first[once]]
+                found = seen[which[once]]
+                each = np.where(np.isnan(found), back[of[at]] + single[of[at + 1]], found)
+                total, n = total + np.bincount(text, each, len(part)), n + np.bincount(text, minlength=len(part))
+            out[rows, 0] = n[some]
+            out[rows, 1] = total[some] / n[some]
+            # the most toxic words of each text, each counted once
+            distinct = np.unique(w.text * len(word) + of)
+            text, value = distinct // len(word), single[distinct % len(word)]
+            starts = np.searchsorted(text, some)
+            place = np.repeat(np.arange(len(some)), np.diff(starts, append=len(text)))
+            for k in range(TOP):
+                most = np.maximum.reduceat(value, starts)
+                if k == 0:
+                    out[rows, 2] = most
+                out[rows, 3] += np.where(np.isfinite(most), most, 0) / TOP
+                hit = np.flatnonzero(value == most[place])
+                value[hit[np.append(True, np.diff(place[hit]) != 0)]] = -np.inf
         return out
 
 
