@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
+from tessera.operators.records import numbered
 
 
 def state_column(state: dict, text: str = "name") -> Column:
@@ -171,7 +170,7 @@ def derived_membership(own: DataFrame, implied: DataFrame) -> DataFrame:
 def venue_activity(df: DataFrame) -> DataFrame:
     """Programs and sessions of each venue, with its running number among venues in order of first appearance."""
     per = df.groupBy("venue").agg(F.array_join(F.array_sort(F.collect_set("program")), ",").alias("programs"), F.count("*").alias("n"), F.min("id").alias("first"))
-    return per.withColumn("stall", F.row_number().over(Window.orderBy("first"))).drop("first")
+    return numbered(per, [F.col("first")], "stall").drop("first")
 
 
 def featured_per_day(df: DataFrame, day: Column) -> DataFrame:
@@ -199,8 +198,7 @@ def az_index(df: DataFrame, name: Column, key: str) -> DataFrame:
 
 def stay_order(stays: DataFrame) -> DataFrame:
     """Room blocks first, then by distance; a missing distance counts as 10^9."""
-    w = Window.orderBy(F.col("block").desc(), F.coalesce("metres", F.lit(10**9)), "name")
-    return stays.withColumn("place", F.row_number().over(w))
+    return numbered(stays, [F.col("block").desc(), F.coalesce("metres", F.lit(10**9)), F.col("name")], "place")
 
 
 def union_with_precedence(old: DataFrame, new: DataFrame) -> DataFrame:

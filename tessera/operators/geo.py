@@ -54,6 +54,12 @@ def map_layers(layers: dict[str, DataFrame], box: tuple[int, int, int, int], wid
     return rows
 
 
+def off_map_split(df: DataFrame, box: tuple) -> DataFrame:
+    """How many rows lie on the map, outside it, or have no coordinates."""
+    side = F.when(F.col("lat").isNull() | F.col("lng").isNull(), "none").when(inside(box), "on").otherwise("outside")
+    return df.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
 def region_check(df: DataFrame, region: tuple, box: tuple) -> DataFrame:
     """Outside the region is an error, outside the map a warning, half a coordinate pair an error."""
     level = F.when(F.col("lat").isNull() != F.col("lng").isNull(), "half").when(F.col("lat").isNull(), None).when(~inside(region), "error").when(~inside(box), "warning")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,47 @@ class Rule:
     level: str = "error"
 
 
-def validate(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+@dataclass(frozen=True)
+class Each:
+    """Rules for every element of an array, reported under ``path[i]``."""
+
+    path: str
+    rules: Callable[[Column], list[tuple[str, Column, str]]]
+
+
+def validate(df: DataFrame, key: str, rules: list[Rule | Each]) -> DataFrame:
     """(id, path, message, level) for every broken rule of every row, from one scan however many rules there are."""
-    found = F.array(*(F.when(F.coalesce(r.broken, F.lit(False)), F.struct(F.lit(r.path).alias("path"), F.lit(r.message).alias("message"), F.lit(r.level).alias("level"))) for r in rules))
+    problem = lambda path, message, level: F.struct(path.alias("path"), F.lit(message).alias("message"), F.lit(level).alias("level"))
+    single = [F.when(F.coalesce(r.broken, F.lit(False)), problem(F.lit(r.path), r.message, r.level)) for r in rules if isinstance(r, Rule)]
+    kind = "array<struct<path:string,message:string,level:string>>"
+    found = F.array(*single).cast(kind)
+
+    def elements(r: Each) -> Column:
+        of = lambda x, i: F.array(*(F.when(F.coalesce(broken, F.lit(False)), problem(F.concat(F.lit(f"{r.path}["), i.cast("string"), F.lit("]")), message, level)) for message, broken, level in r.rules(x)))
+        return F.coalesce(F.flatten(F.transform(F.col(r.path), of)), F.array()).cast(kind)
+
+    for r in rules:
+        if isinstance(r, Each):
+            found = F.concat(found, elements(r))
     return df.select(F.col(key).alias("id"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("id", "x.path", "x.message", "x.level")
 
 
+def typed(x: Column, kind: str, values: tuple[str, ...] = ()) -> list[tuple[str, Column, str]]:
+    """What a value as text must be: an id, a date, a time, a number, an integer, one of some values, or a secure address."""
+    forms = {"id": r"^[a-z0-9]+(-[a-z0-9]+)*$", "date": r"^\d{4}-\d{2}-\d{2}$", "time": r"^([01]\d|2[0-3]):[0-5]\d$", "int": r"^-?\d+$", "num": r"^-?\d+(\.\d+)?$"}
+    if kind == "enum":
+        return [("not one of the values", ~x.isin(*values), "error")]
+    if kind == "url":
+        return [("insecure link", x.rlike("(?i)^http:"), "error"), ("not an address", ~x.rlike("(?i)^http:") & ~x.rlike(r"^https://[^\s/]+"), "error")]
+    return [(f"not {'an' if kind in ('id', 'int') else 'a'} {kind}", ~x.rlike(forms[kind]), "error")]
+
+
+def typed_rules(path: str, kind: str, values: tuple[str, ...] = (), required: bool = False) -> list[Rule]:
+    """The same for a column; nested ones by their path."""
+    rules = [Rule(path, message, broken, level) for message, broken, level in typed(F.col(path), kind, values)]
+    return [*rules, Rule(path, "missing", F.col(path).isNull())] if required else rules
+
+
 def text_rules(path: str, longest: int = 5000) -> list[Rule]:
     """What holds for any text: no outer white space, no markup, no placeholder, not too long."""
     c = F.col(path)

@@ -23,6 +23,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the running number of each row in order, without a task that holds them all: rows are dealt out by range and
+    numbered in their part, and the sizes of the parts say where each begins."""
+    dealt = checkpointed(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    begins = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return dealt.join(begins, "_part").withColumn(name, F.col("_ahead") + F.row_number().over(inside)).drop("_part", "_ahead")
+
+
 def name_key(c: Column) -> Column:
     """Names that differ in case, punctuation, a leading article or a legal suffix share a key."""
     words = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
@@ -197,9 +207,9 @@ def role_inference(credits: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def page_policy(people: DataFrame, bridge: DataFrame) -> DataFrame:
-    """kept: with a bio, a photo or a key role on a session of the week; others become text credits."""
+    """kept: with a bio, a photo, a page already or a key role on a session of the week; others become text credits."""
     key = bridge.groupBy("person").agg(F.bool_or("key_role").alias("key_role"))
-    return people.join(key, "person", "left").select("person", F.coalesce(F.col("bio") | F.col("photo") | F.coalesce("key_role", F.lit(False)), F.lit(False)).alias("kept"))
+    return people.join(key, "person", "left").select("person", (F.coalesce("bio", F.lit(False)) | F.coalesce("photo", F.lit(False)) | F.coalesce("already", F.lit(False)) | F.coalesce("key_role", F.lit(False))).alias("kept"))
 
 
 def text_clean(c: Column) -> Column:

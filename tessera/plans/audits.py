@@ -30,6 +30,30 @@ TEXTS = "tx AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 0 THEN ' ' ||
 FOUND = f"WITH {TEXTS}, f AS (SELECT id, 'name' AS path, 'white space around' AS message, 'error' AS level FROM tx WHERE regexp_matches(name, '^\\s|\\s$') UNION ALL SELECT id, 'name', 'holds markup', 'error' FROM tx WHERE regexp_matches(name, '<[a-zA-Z/][^>]*>') UNION ALL SELECT id, 'name', 'placeholder', 'error' FROM tx WHERE lower(name) = 'tbd' UNION ALL SELECT id, 'brand', 'missing', 'error' FROM tx WHERE brand IS NULL UNION ALL SELECT id, 'size', 'not a number', 'error' FROM tx WHERE size = 'x')"
 
 
+def typed_fields(s, d):
+    """Parts with a typed, a nested and a list field each, some of them broken."""
+    k = F.col("p_partkey")
+    bad = lambda n, wrong, right: F.when(k % n == 0, wrong).otherwise(right)
+    link = F.concat(bad(31, "http://a.example/", F.when(k % 37 == 0, "ftp:").otherwise("https://a.example/")), k.cast("string"))
+    tags = F.array(bad(29, "Bad Tag", "ok"), F.concat(F.lit("t"), (k % 7).cast("string")), bad(23, "x--y", "x-y"))
+    more = read(s, d, "part").select(k.alias("id"), bad(19, "huge", F.element_at(F.split("p_type", " "), 1)).alias("kind"), link.alias("link"), F.struct(bad(17, "1998-1-2", "1998-01-02").alias("day"), F.when(k % 13 != 0, bad(11, "24:00", "23:59")).alias("time")).alias("at"), tags.alias("tags"))
+    return texts(s, d).join(more, "id")
+
+
+KINDS = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
+
+
+def typed_rules():
+    return [*op.typed_rules("kind", "enum", KINDS), *op.typed_rules("link", "url"), *op.typed_rules("at.day", "date"), *op.typed_rules("at.time", "time", required=True), op.Each("tags", lambda x: op.typed(x, "id"))]
+
+
+TYPED = f""" UNION ALL SELECT p_partkey, 'kind', 'not one of the values', 'error' FROM part WHERE p_partkey % 19 = 0 OR string_split(p_type, ' ')[1] NOT IN {KINDS}
+ UNION ALL SELECT p_partkey, 'link', 'insecure link', 'error' FROM part WHERE p_partkey % 31 = 0 UNION ALL SELECT p_partkey, 'link', 'not an address', 'error' FROM part WHERE p_partkey % 31 <> 0 AND p_partkey % 37 = 0
+ UNION ALL SELECT p_partkey, 'at.day', 'not a date', 'error' FROM part WHERE p_partkey % 17 = 0 UNION ALL SELECT p_partkey, 'at.time', 'missing', 'error' FROM part WHERE p_partkey % 13 = 0
+ UNION ALL SELECT p_partkey, 'at.time', 'not a time', 'error' FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 = 0
+ UNION ALL SELECT p_partkey, 'tags[0]', 'not an id', 'error' FROM part WHERE p_partkey % 29 = 0 UNION ALL SELECT p_partkey, 'tags[2]', 'not an id', 'error' FROM part WHERE p_partkey % 23 = 0"""
+
+
 def time_rules():
     return [
         op.Rule("n", "long run", F.col("n") > 4, "warning"), op.Rule("sm", "end without start", F.col("sm").isNull() & F.col("em").isNotNull()),
@@ -121,7 +145,7 @@ CODES = f"""WITH k AS (SELECT event_id AS id, list_reduce(list_prepend(216613626
  c AS (SELECT id, {" || ".join(DIGIT.format(36**p) for p in (4, 3, 2, 1, 0))} AS code FROM k) SELECT id, code, count(*) OVER (PARTITION BY code) AS n FROM c"""
 
 QUERIES = {
-    "validate_schema": (lambda s, d: op.validate(texts(s, d), "id", schema_rules()), FOUND + " SELECT * FROM f"),
+    "validate_schema": (lambda s, d: op.validate(typed_fields(s, d), "id", [*schema_rules(), *typed_rules()]), FOUND + " SELECT * FROM f" + TYPED),
     "warning_rollup": (lambda s, d: op.warning_rollup(op.validate(texts(s, d), "id", schema_rules())), FOUND + " SELECT level, message, count(*) AS n, array_to_string(list_sort(list(DISTINCT id))[1:3], ',') AS first_ids FROM f GROUP BY level, message"),
     "unknown_keys": (lambda s, d: op.unknown_keys(read(s, d, "events").withColumn("j", F.when(F.col("event_id") % 9 == 0, F.concat(F.lit('{"k": 1, "z'), (F.col("event_id") % 4).cast("string"), F.lit('": 2}'))).otherwise(F.col("props"))), "j", ["k"]), "SELECT 'z' || (event_id % 4) AS unknown_key, count(*) AS n FROM events WHERE event_id % 9 = 0 GROUP BY 1"),
     "coerce_permissive": (lambda s, d: op.coerced(texts(s, d).select("id", "size"), {"size": "INT"}), f"WITH {TEXTS} SELECT id, TRY_CAST(size AS INT) AS size, CAST(size = 'x' AS INT) AS n_coerced FROM tx"),

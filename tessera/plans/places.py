@@ -90,7 +90,10 @@ QUERIES = {
         lambda s, d: op.map_layers({"venue": sup(s, d), "stay": cus(s, d)}, BOX),
         W + f" SELECT kind, id, CAST(floor((lng - {BOX[2]}) * 1000 / {BOX[3] - BOX[2]}) AS BIGINT) AS px, CAST(floor(({BOX[1]} - lat) * 1000 / {BOX[3] - BOX[2]}) AS BIGINT) AS py FROM (SELECT 'venue' AS kind, * FROM sp UNION ALL SELECT 'stay', * FROM cu) WHERE {IN.format(*BOX)}",
     ),
-    "off_map_split": (lambda s, d: cus(s, d).groupBy(F.when(op.inside(BOX), "on").otherwise("outside").alias("side")).agg(F.count("*").alias("n")), W + f" SELECT CASE WHEN {IN.format(*BOX)} THEN 'on' ELSE 'outside' END AS side, count(*) AS n FROM cu GROUP BY 1"),
+    "off_map_split": (
+        lambda s, d: op.off_map_split(cus(s, d).withColumn("lng", F.when(F.col("id") % 50 != 0, F.col("lng"))), BOX),
+        W + f" SELECT CASE WHEN id % 50 = 0 THEN 'none' WHEN {IN.format(*BOX)} THEN 'on' ELSE 'outside' END AS side, count(*) AS n FROM cu GROUP BY 1",
+    ),
     "region_check": (
         lambda s, d: op.region_check(cus(s, d).withColumn("lng", F.when(F.col("id") % 50 != 0, F.col("lng"))), REGION, BOX),
         W + f" SELECT id, CASE WHEN id % 50 = 0 THEN 'half' WHEN NOT ({IN.format(*REGION)}) THEN 'error' ELSE 'warning' END AS level FROM cu WHERE id % 50 = 0 OR NOT ({IN.format(*BOX)})",

@@ -228,8 +228,8 @@ QUERIES = {
  SELECT person, event, CASE WHEN label IS NOT NULL THEN coalesce(found, one) WHEN curated THEN 'curator' WHEN len(roles) = 1 THEN one ELSE coalesce(by_kind, one) END AS role FROM f""",
     ),
     "page_policy": (
-        lambda s, d: op.page_policy(read(s, d, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") % 5 == 0).alias("bio"), (F.col("c_custkey") % 7 == 0).alias("photo")), sessions(s, d).select(F.col("user_id").alias("person"), F.col("featured").alias("key_role"))),
-        W + " SELECT c_custkey AS person, c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey IN (SELECT user_id FROM x WHERE featured) AS kept FROM customer",
+        lambda s, d: op.page_policy(read(s, d, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") % 5 == 0).alias("bio"), (F.col("c_custkey") % 7 == 0).alias("photo"), (F.col("c_custkey") % 11 == 0).alias("already")), sessions(s, d).select(F.col("user_id").alias("person"), F.col("featured").alias("key_role"))),
+        W + " SELECT c_custkey AS person, c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey IN (SELECT user_id FROM x WHERE featured) AS kept FROM customer",
     ),
     "credit_buckets": (
         lambda s, d: credits(s, d).groupBy((F.col("person") % 40).alias("event"), "label").agg(F.countDistinct("person").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("person")), lambda x: x.cast("string")), ",").alias("names")),
