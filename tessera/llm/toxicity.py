@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import stored, text_of
 from tessera.llm.words import LETTERS, LOWER, SEQUENCE, Words, chunks
 
-MAX_DOCS = {0: 8000, 1: 4000}
+MAX_DOCS = {0: 4000, 1: 4000}
 DISCOUNT, LEAST = 0.75, 0.05
 TOP = 3
 FOLDS = 5
@@ -154,8 +154,11 @@ def model(counts: DataFrame, a: str, b: str) -> Model:
     def gathered(rows: DataFrame, key: str) -> dict[str, np.ndarray]:
         t = rows.toArrow()
         out = {c: t[c].to_numpy() for c in t.column_names}
-        order = np.argsort(out[key], kind="stable")
-        return {c: x[order] for c, x in out.items()}
+        del t
+        order = np.argsort(out[key], kind="stable").astype(np.int32)
+        for c in out:  # one column at a time, to hold no more than one copy
+            out[c] = out[c][order]
+        return out
 
     shared = pairs.groupBy("w").agg(F.count("*").alias("before"))
     uni = gathered(words.join(shared, "w", "left").select("w", *classes, F.coalesce("before", F.lit(0)).alias("before")), "w")
@@ -184,7 +187,7 @@ def model(counts: DataFrame, a: str, b: str) -> Model:
 
     bi = gathered(pairs.mapInPandas(conditional, "key long, llr float"), "key")
     ratio = float(np.log(unknown[1] / unknown[0])) if min(unknown) > 0 else 0.0
-    known.unpersist()
+    known.destroy()
     return Model(uni["w"], np.log(single[1] / single[0]), bi["key"], bi["llr"], begins["v"], np.log(rest[1] / rest[0]), ratio)
 
 
@@ -244,6 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: dict[int, int] = MAX_DOCS)
             yield pd.DataFrame(trial.value.features([t.encode() for t in batch["text"]]), columns=["n", "mean", "word", "top"]).assign(toxic=batch["toxic"])
 
     aside = sample.filter("fold = 0").select("text", "toxic").mapInPandas(run, "n double, mean double, word double, top double, toxic int").toPandas()
+    trial.destroy()
     all_of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     y = aside["toxic"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
