@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lmscore, mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, topk, toxicity
+from tessera.llm import filteraudit, lmscore, mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, topk, toxicity
 from tessera.llm._common import table
 
 
@@ -53,6 +53,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encoded(table(spark, sf_dir, "documents")))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op2_exact_top_k": op2_exact_top_k,
@@ -64,10 +68,12 @@ QUERIES = {
     "op5_document_fingerprints": op5_document_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op12_filter_interaction_audit": op12_filter_interaction_audit,
 }
 
 ORACLE: dict[str, str] = {
     "op2_exact_top_k": topk.ORACLE,
     "op1_mixing_sources": mixing.ORACLE,
     "op7_substring_dedup": substring.ORACLE,
+    "op12_filter_interaction_audit": filteraudit.ORACLE,
 }
