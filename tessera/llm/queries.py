@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import filteraudit, lmscore, mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, topk, toxicity
+from tessera.llm import centroids, filteraudit, lmscore, mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, topk, toxicity
 from tessera.llm._common import table
 
 
@@ -57,6 +57,10 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
 QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op2_exact_top_k": op2_exact_top_k,
@@ -69,6 +73,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op12_filter_interaction_audit": op12_filter_interaction_audit,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLE: dict[str, str] = {
@@ -76,4 +81,5 @@ ORACLE: dict[str, str] = {
     "op1_mixing_sources": mixing.ORACLE,
     "op7_substring_dedup": substring.ORACLE,
     "op12_filter_interaction_audit": filteraudit.ORACLE,
+    "op13_centroid_clustering": centroids.ORACLE,
 }
