@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import centroids, filteraudit, lmscore, mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, topk, toxicity
+from tessera.llm import centroids, filteraudit, language, lmscore, mixing, pieces, pii, simhash, substring, syncmers, tokenfiles, topk, toxicity
 from tessera.llm._common import table
 
 
@@ -53,6 +53,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encoded(table(spark, sf_dir, "documents")))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op5_document_fingerprints": op5_document_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op11_language_id": op11_language_id,
     "op12_filter_interaction_audit": op12_filter_interaction_audit,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
