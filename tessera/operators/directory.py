@@ -71,10 +71,19 @@ def group_rollup(df: DataFrame, groups: DataFrame) -> DataFrame:
     return df.filter("not cancelled").join(groups, "kind").groupBy("grp").agg(F.countDistinct(F.when(timed, F.col("title"))).alias("n_timed"), F.countDistinct(F.when(F.col("og"), F.col("title"))).alias("n_ongoing"))
 
 
+# Beginnings of a cost text that mean free, what follows the first word "free" where it doesn't, and how a price
+# and a price of nothing look.
+FREE_STARTS = ("free to the public", "free admission", "this is a free event", "entry is free")
+FREE_UNLESS = r"^free\s+(?:(?:to|for)\s+(?:biennial\s+)?pass|with|add-on)"
+PRICE, NOTHING = r"\$\s?[0-9]", "$0.00"
+
+
 def free_class(text: Column) -> Column:
-    """'yes', 'no' or 'unknown' from a text about cost; free with a purchase, for pass holders or as an add-on isn't free."""
-    t = F.lower(text)
-    return F.when(t.rlike(r"\bfree\b(?! (?:to|for) [a-z]+ pass)(?! with\b)(?! add-on)"), "yes").when(t.rlike(r"\$|\bpaid\b|\bticket"), "no").otherwise("unknown")
+    """'yes' where a text about cost begins with free, but not free with something, as an add-on or for pass holders; 'no' where
+    it names a price and nowhere the word free; else 'unknown'."""
+    t = F.lower(F.trim(text))
+    begins = F.coalesce(*(F.when(F.startswith(t, F.lit(x)), True) for x in FREE_STARTS), F.lit(False)) | (t.rlike(r"^free\b") & ~t.rlike(FREE_UNLESS))
+    return F.when(begins, "yes").when(t.rlike(PRICE) & ~F.contains(t, F.lit("free")) & ~F.contains(t, F.lit(NOTHING)), "no").otherwise("unknown")
 
 
 def count_matrix(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:

@@ -133,6 +133,14 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
         left = checkpointed(left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
 
 
+def wider(entries: DataFrame, radius: int) -> list[tuple[int, DataFrame]]:
+    """Entries by the power of two of radii that their reach needs, those within the radius left out; at most 31 powers."""
+    power = F.ceil(F.log2(F.col("reach") / F.lit(radius))).cast("int")
+    far = entries.filter(F.col("reach") > radius).withColumn("power", power)
+    powers = sorted(r.power for r in far.select("power").distinct().collect())
+    return [(p, far.filter(F.col("power") == p).drop("power")) for p in powers]
+
+
 def match_tiers(entries: DataFrame, works: DataFrame, radius: int = 200, least: int = 100, far: int = 9999) -> DataFrame:
     """One-to-one matches (a, b, tier, metres) of entries (id, title, credits, category, zone, lat, lng, reach) with works (id,
     title, credits, category, zone, lat, lng), strongest evidence first, the nearer first within a tier:
@@ -147,7 +155,7 @@ def match_tiers(entries: DataFrame, works: DataFrame, radius: int = 200, least:
     words = lambda c: F.array_distinct(F.filter(F.split(fold(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
     names = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda n: fold(F.trim(n))))
     own = ["category", "zone", "lat", "lng"]
-    x = checkpointed(entries.select("id", words("title").alias("words"), names("credits").alias("names"), *own, F.least(F.greatest("reach", F.lit(least)), F.lit(radius)).alias("reach")))
+    x = checkpointed(entries.select("id", words("title").alias("words"), names("credits").alias("names"), *own, F.greatest("reach", F.lit(least)).alias("reach")))
     y = checkpointed(works.select("id", words("title").alias("words"), names("credits").alias("names"), *own))
     keyed = lambda rows, side, key, *more: rows.select(F.col("id").alias(side), F.explode(key).alias("key"), *more)
     pairs = keyed(x, "a", "names").join(keyed(y, "b", "names"), "key").select("a", "b")
@@ -156,7 +164,11 @@ def match_tiers(entries: DataFrame, works: DataFrame, radius: int = 200, least:
     for left, right in ((lost(x), y), (x.filter("lat is not null and lng is not null"), lost(y))):
         pairs = pairs.unionByName(keyed(left, "a", "words", *more).join(keyed(right, "b", "words", *more), ["key", *more]).select("a", "b"))
     placed = lambda rows: rows.filter("lat is not null and lng is not null").select("id", "lat", "lng")
-    pairs = pairs.unionByName(within_radius(placed(x), placed(y), radius).select("a", "b")).distinct()
+    pairs = pairs.unionByName(within_radius(placed(x), placed(y), radius).select("a", "b"))
+    # entries that reach beyond the radius meet works that name nobody in cells of their own size, a power of two of radii each
+    for power, wide in wider(x, radius):
+        pairs = pairs.unionByName(within_radius(placed(wide), placed(y.filter("size(names) = 0")), radius << power).select("a", "b"))
+    pairs = pairs.distinct()
 
     side = lambda rows, s: rows.select(*(F.col(c).alias(s + c) for c in rows.columns))
     both = pairs.join(side(x, "x_"), F.col("a") == F.col("x_id")).join(side(y, "y_"), F.col("b") == F.col("y_id"))

@@ -59,8 +59,8 @@ def next_instance(df: DataFrame, now: int) -> DataFrame:
 
 
 def next_up(df: DataFrame, now: int) -> DataFrame:
-    """Of each plan the earliest session that has not ended."""
-    return timed(df).filter(F.col("e") > now).groupBy("user_id").agg(F.min(F.struct("s", "id")).alias("x")).select("user_id", F.col("x.id").alias("id"), F.col("x.s").alias("s"))
+    """Of each plan the earliest session that has not ended; ongoing ones, whole days and such without hours count as well."""
+    return df.filter(~F.col("cancelled") & (F.col("e") > now)).groupBy("user_id").agg(F.min(F.struct("s", "id")).alias("x")).select("user_id", F.col("x.id").alias("id"), F.col("x.s").alias("s"))
 
 
 def live_count(df: DataFrame, now: int) -> DataFrame:
@@ -84,8 +84,7 @@ def at_this_hour(df: DataFrame, now: int, lanes: tuple[str, ...] = (), sizes: tu
     one), tonight (what begins at 17:00 or later today and stands in neither now nor next), and one row on_view with the
     number of ongoing ones of today without hours. Featured ones come first, then the lanes in order, then the rest; next
     and tonight are shown by start. What is beyond a section's size is counted in n_more."""
-    place = F.array_position(F.array(*map(F.lit, lanes)).cast("array<string>"), F.col("program"))
-    order = F.when(F.col("featured"), 0).otherwise(10) + F.when(place > 0, place - 1).otherwise(9)
+    order = rank_in(lanes)
     today = (now - CUT) // DAY
     end = F.when(F.col("eu"), F.col("s") + HOUR).otherwise(F.col("e"))
     rows = df.filter("not cancelled").select("id", "s", "og", end.alias("e"), "eu", order.alias("order"), (~F.col("tu") & ~F.col("ad")).alias("hours"), (festival_day(F.col("s")) == today).alias("today"))
@@ -121,11 +120,21 @@ def at_this_hour(df: DataFrame, now: int, lanes: tuple[str, ...] = (), sizes: tu
     return out.unionByName(view)
 
 
-def first_up(df: DataFrame, now: int, most: int = 4) -> DataFrame:
-    """The first titles from now on, one each, whole days in order and featured ones first inside a day."""
-    rows = timed(df).filter(F.col("s") > now).withColumn("day", festival_day(F.col("s")))
-    rows = rows.groupBy("title").agg(F.min(F.struct("day", (~F.col("featured")).alias("plain"), "s", "id")).alias("x")).select("title", "x.*")
-    return rows.orderBy("day", "plain", "s", "id").limit(most).select("title", "day", "s", "id")
+def rank_in(lanes: tuple[str, ...]) -> Column:
+    """Featured ones first, then the lanes in order, then the rest."""
+    place = F.array_position(F.array(*map(F.lit, lanes)).cast("array<string>"), F.col("program"))
+    return F.when(F.col("featured"), 0).otherwise(10) + F.when(place > 0, place - 1).otherwise(9)
+
+
+def first_up(df: DataFrame, now: int, lanes: tuple[str, ...] = (), left_out: str = "also", most: int = 4) -> DataFrame:
+    """(place, id, title, day, s): the first listings with hours that have not ended, running and ongoing ones included, each
+    once; not those of the program left out. Whole days are taken in order, inside a day by rank, then start; what is taken is
+    shown by start. An unknown end counts for an hour."""
+    end = F.when(F.col("eu"), F.col("s") + HOUR).otherwise(F.col("e"))
+    rows = df.filter(~F.col("cancelled") & ~F.col("tu") & ~F.col("ad") & (end > now) & ~F.col("program").eqNullSafe(left_out))
+    rows = rows.groupBy("id").agg(F.min(F.struct(festival_day(F.col("s")).alias("day"), rank_in(lanes).alias("order"), "s", "title")).alias("x")).select("id", "x.*")
+    taken = rows.orderBy("day", "order", "s", "id").limit(most)
+    return taken.withColumn("place", F.row_number().over(Window.orderBy("s", "order", "id"))).select("place", "id", "title", "day", "s")  # at most ``most`` rows
 
 
 def ongoing_band(instances: DataFrame) -> DataFrame:

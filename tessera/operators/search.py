@@ -28,7 +28,7 @@ def build_search_index(parts: list[DataFrame], kinds: list[str]) -> DataFrame:
 
 def rank_search(index: DataFrame, queries: DataFrame, preferred: list[str], limit: int = LIMIT, now: int | None = None) -> DataFrame:
     """(qid, kind, id, score, rank, exact): entries that hold every term of a query, in the title, the second line or the
-    keywords; exact: the query is the title. With ``now``, entries with times (st, en) score for being on, near or over. A
+    keywords; exact: the query is the title. What scores below 0 is no hit. With ``now``, entries with times (st, en) score for being on, near or over. A
     query's longest term picks the candidates by its first three letters, so that no query meets all entries; a query whose
     longest term is shorter meets them by that term."""
     bare = lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
@@ -49,7 +49,7 @@ def rank_search(index: DataFrame, queries: DataFrame, preferred: list[str], limi
     total = F.aggregate("scores", F.lit(0), lambda a, x: a + x) + phrase + F.when(F.col("kind").isin(*preferred), PREFERRED).otherwise(0)
     if times:
         total = total + F.when((F.col("st") <= now) & (F.col("en") > now), ON).when((F.col("st") > now) & (F.col("st") - now < SOON), COMING).when(F.col("en") < now, OVER).otherwise(0)
-    hits = rows.withColumn("scores", F.transform("terms", term)).filter(F.forall("scores", lambda x: x > 0)).withColumns({"score": total, "exact": long & (F.col("ft") == F.col("phrase"))})
+    hits = rows.withColumn("scores", F.transform("terms", term)).filter(F.forall("scores", lambda x: x > 0)).withColumns({"score": total, "exact": long & (F.col("ft") == F.col("phrase"))}).filter("score >= 0")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "title", "kind", "id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("qid", "kind", "id", "score", "rank", "exact")
 

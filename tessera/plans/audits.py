@@ -82,39 +82,72 @@ def plans(s, d):
 
 
 def items(s, d):
-    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1)), r"^www\.", "")
-    title = F.concat(F.lit("News "), (F.col("page_id") % 70).cast("string"), F.when(F.col("page_id") % 3 == 0, " Music film").when(F.col("page_id") % 3 == 1, " Tech music awards").otherwise(" market"))
-    return pages(s, d).select(F.col("page_id").alias("id"), "url", host.alias("host"), title.alias("title"), (F.lit(NOW) - F.col("page_id") * 50_000).alias("t"))
+    return items_of(pages(s, d))
 
 
-TAGS, NEVER = {"film": ["film"], "music": ["music"], "tech": ["tech"]}, {"music": ["awards"]}
-ITEMS = f"it AS (SELECT page_id AS id, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\\.', '') AS host, 'News ' || (page_id % 70) || CASE page_id % 3 WHEN 0 THEN ' Music film' WHEN 1 THEN ' Tech music awards' ELSE ' market' END AS title, {NOW} - page_id * 50000 AS t FROM pages)"
-TAG = "array_to_string(list_filter([CASE WHEN contains(lower(title), 'film') THEN 'film' END, CASE WHEN contains(lower(title), 'music') AND NOT contains(lower(title), 'awards') THEN 'music' END, CASE WHEN contains(lower(title), 'tech') THEN 'tech' END], lambda x: x IS NOT NULL), ',')"
-CANON = "'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/$', '') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND string_split(p, '=')[1] NOT IN ('ref', 'fbclid', 'gclid', 'mc_cid', 'mc_eid')), '&'), ''), '')"
+def items_of(pages):
+    """Pages as answers to seven queries: their host names the source; titles repeat in several spellings, some are no stories."""
+    k = F.col("page_id")
+    topic = F.when(k % 3 == 0, " Music film").when(k % 3 == 1, " tech, music awards").otherwise(" Market")
+    title = F.concat(F.when(k % 4 == 0, "News: ").otherwise("news  "), (k % 70).cast("string"), topic, F.when(k % 5 == 0, "!").otherwise(""))
+    title = F.when(k % 23 == 0, F.concat(title, F.lit(" TBA"))).when(k % 29 == 0, F.concat(title, F.lit(" &amp; more"))).when(k % 31 == 0, F.concat(F.lit("Events calendar "), title)).otherwise(title)
+    name = F.when(k % 8 == 0, "The Daily Example (org)").when(k % 8 == 1, "somebody").otherwise(F.lit(None))
+    return pages.select(k.alias("id"), (k % 7).cast("int").alias("query"), k.alias("ord"), "url", name.alias("source"), title.alias("title"), (F.lit(NOW) - k * 50_000).alias("t"))
+
+
+SOURCES = [feed.Source("Daily", ("daily example",), ("example.org",)), feed.Source("Spam", (), ("spam-farm.example.org", "cheap-pills.example.com")), feed.Source("Net", (), ("tionsh.example.net", "example.net")), feed.Source("Com", ("nobody",), ("example.com",))]
+TOPICS = [feed.Tag("film", ("film",)), feed.Tag("market", ("market",), (), r"\bMarket\b"), feed.Tag("music", ("music",), (r"\bawards\b",)), feed.Tag("tech", ("tech",))]
+ITEMS = f"""i0 AS (SELECT *, CASE WHEN page_id % 4 = 0 THEN 'News: ' ELSE 'news  ' END || (page_id % 70) || CASE page_id % 3 WHEN 0 THEN ' Music film' WHEN 1 THEN ' tech, music awards' ELSE ' Market' END || CASE WHEN page_id % 5 = 0 THEN '!' ELSE '' END AS title0 FROM pages),
+ i1 AS (SELECT page_id AS id, page_id % 7 AS query, page_id AS ord, url, CASE page_id % 8 WHEN 0 THEN 'the daily example (org)' WHEN 1 THEN 'somebody' ELSE '' END AS source, CASE WHEN page_id % 23 = 0 THEN title0 || ' TBA' WHEN page_id % 29 = 0 THEN title0 || ' &amp; more' WHEN page_id % 31 = 0 THEN 'Events calendar ' || title0 ELSE title0 END AS title,
+  {NOW} - page_id * 50000 AS t, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\\.', '') AS host FROM i0),
+ it AS (SELECT *, CASE WHEN contains(source, 'daily example') OR host = 'example.org' OR ends_with(host, '.example.org') THEN 'Daily' WHEN host = 'cheap-pills.example.com' OR ends_with(host, '.cheap-pills.example.com') THEN 'Spam'
+  WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'Net' WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'Com' END AS label,
+  list_filter([CASE WHEN contains(lower(title), 'film') THEN 'film' END, CASE WHEN contains(title, 'Market') THEN 'market' END, CASE WHEN contains(lower(title), 'music') AND NOT contains(lower(title), 'awards') THEN 'music' END, CASE WHEN contains(lower(title), 'tech') THEN 'tech' END], lambda x: x IS NOT NULL) AS tags,
+  trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS title_key, NOT regexp_matches(title, '\\bTBA\\b') AND NOT contains(title, '&amp;') AND NOT starts_with(title, 'Events calendar') AS story FROM i1)"""
+KEPT_QUERY = "list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND NOT starts_with(p, 'mc_') AND string_split(p, '=')[1] NOT IN ('fbclid', 'gclid', 'ocid', 'cmpid')), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)"
+CANON = f"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\\.', '') || coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', ''), ''), '/') || coalesce('?' || nullif(array_to_string({KEPT_QUERY}, '&'), ''), '')"
 
 
 def domains(s, d):
     """Every tenth host is allowed, by itself; example.com stands last for all below it."""
-    hosts = items(s, d).filter("id % 10 = 0").select("host").distinct()
+    hosts = pages(s, d).filter("page_id % 10 = 0").select(feed.host_of(F.col("url")).alias("host")).distinct()
     own = hosts.select(F.lit(0).alias("ord"), F.col("host").alias("domain"), F.concat(F.lit("own "), "host").alias("label"))
     return own.unionByName(s.range(1).select(F.lit(1).alias("ord"), F.lit("example.com").alias("domain"), F.lit("any").alias("label")))
 
 
-def refreshed(s, d):
-    x = feed.allowlisted(items(s, d), domains(s, d), "host").withColumn("tags", feed.tags(F.col("title"), TAGS, NEVER))
-    return feed.feed_refresh(x, pages(s, d).filter("page_id % 11 = 0"), NOW)
+def labelled(df):
+    return df.withColumns({"label": feed.source_label(F.col("source"), F.col("url"), SOURCES), "tags": feed.tags(F.col("title"), TOPICS)})
+
+
+def known(s, d):
+    """Stories that are out already: every eleventh page, under its address and another title, or its own title."""
+    return labelled(items(s, d)).filter("id % 11 = 0").select("url", F.when(F.col("id") % 22 == 0, F.col("title")).otherwise("elsewhere").alias("title"))
 
 
-REFRESH = f"""WITH {ITEMS}, h AS (SELECT DISTINCT host FROM it WHERE id % 10 = 0), l AS (SELECT it.*, CASE WHEN host IN (SELECT host FROM h) THEN 'own ' || host ELSE 'any' END AS label, {CANON} AS key, {TAG} AS tags FROM it WHERE host IN (SELECT host FROM h) OR host = 'example.com' OR host LIKE '%.example.com'),
- n AS (SELECT * FROM l WHERE t <= {NOW} AND t >= {NOW - 120 * 86400} AND key NOT IN (SELECT {CANON} FROM pages WHERE page_id % 11 = 0)),
- g AS (SELECT lower(trim(title)) AS title_key, arg_min((id, label, key, t), (-t, id)) AS x, array_to_string(list_sort(list_distinct(flatten(list(list_filter(string_split(tags, ','), lambda y: y <> ''))))), ',') AS tags FROM n GROUP BY 1),
- c AS (SELECT title_key, x[1] AS id, x[2] AS label, x[3] AS key, x[4] AS t, tags FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY t DESC, id) AS nth FROM c)
- SELECT title_key, id, label, key, t, tags FROM k WHERE nth <= 25 ORDER BY t DESC, id LIMIT 60"""
+STORIES = f"WITH RECURSIVE {ITEMS}, kn AS (SELECT {CANON} AS key, CASE WHEN id % 22 = 0 THEN title_key ELSE 'elsewhere' END AS title_key FROM it WHERE id % 11 = 0), st AS (SELECT *, {CANON} AS key FROM it WHERE story AND label IS NOT NULL AND len(tags) > 0)"
+#: one item a step: (position, titles taken, how many of the current query, query, items taken)
+REFRESH = STORIES + f""", o AS (SELECT *, row_number() OVER (ORDER BY query, ord) AS i FROM st WHERE t >= {NOW - 120 * 86400} AND title_key NOT IN (SELECT title_key FROM kn)),
+ g AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, 0 AS n, -1::BIGINT AS query, []::BIGINT[] AS taken UNION ALL
+  SELECT i, CASE WHEN ok AND NOT old THEN list_append(seen, title_key) ELSE seen END, CASE WHEN ok AND NOT old THEN n + 1 ELSE n END, query, CASE WHEN ok THEN list_append(taken, i) ELSE taken END
+  FROM (SELECT *, n < 6 AS ok, list_contains(seen, title_key) AS old FROM (SELECT o.i, o.title_key, o.query, g.seen, g.taken, CASE WHEN o.query = g.query THEN g.n ELSE 0 END AS n FROM g JOIN o ON o.i = g.i + 1))),
+ k AS (SELECT * FROM o WHERE list_contains((SELECT taken FROM g ORDER BY i DESC LIMIT 1), i)),
+ f AS (SELECT title_key, arg_min({{'id': id, 'label': label, 'key': key, 't': t, 'url': url, 'i': i}}, i) AS x, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM k GROUP BY title_key),
+ n AS (SELECT title_key, x.id AS id, x.label AS label, x.key AS key, x.t AS t, x.url AS url, x.i AS i, tags FROM f ORDER BY t DESC, i LIMIT 40)
+ SELECT title_key, id, label, key, t, tags FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, i) AS rn FROM n WHERE starts_with(url, 'https://') AND key NOT IN (SELECT key FROM kn)) WHERE rn = 1"""
+CURRENT = STORIES + f""", o AS (SELECT * FROM st WHERE t >= (SELECT max(t) FROM st) - 120 * 86400 AND title_key NOT IN (SELECT title_key FROM kn)),
+ f AS (SELECT title_key, arg_min({{'id': id, 'label': label, 'key': key, 't': t}}, (-t, id)) AS x, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM o GROUP BY title_key),
+ n AS (SELECT title_key, x.id AS id, x.label AS label, x.key AS key, x.t AS t, tags, row_number() OVER (PARTITION BY x.label ORDER BY x.t DESC, x.id) AS nth FROM f) SELECT title_key, id, label, key, t, tags FROM n WHERE nth <= 25"""
 
 
 def toggles(s, d):
+    return toggles_of(read(s, d, "events"))
+
+
+def toggles_of(events):
+    """Stars, drops, additions, and now and then a clear or a replacement, in the order of their numbers."""
     i = F.col("event_id")
-    return read(s, d, "events").select("user_id", (i % 12).alias("item"), F.when(i % 97 == 0, "clear").when(i % 3 == 0, "drop").otherwise("star").alias("action"), i.alias("seq"))
+    action = F.when(i % 97 == 0, "clear").when(i % 89 == 0, "replace").when(i % 3 == 0, "drop").when(i % 7 == 0, "add").otherwise("star")
+    return events.select("user_id", (i % 12).alias("item"), action.alias("action"), i.alias("seq"), (F.lit(NOW) + i * 60).alias("at"))
 
 
 def ticks(s):
@@ -187,15 +220,21 @@ QUERIES = {
     ),
     "determinism_check": (lambda s, d: op.same_twice(schedule.expand_instances(series(s, d), 10000, 10400), schedule.expand_instances(series(s, d).orderBy("id"), 10000, 10400)), f"WITH {SERIES}, z AS (SELECT unnest(range(d, d + n)) AS day FROM r) SELECT count(*) AS n, true AS same FROM z WHERE day BETWEEN 10000 AND 10400"),
     "feed_allowlist": (
-        lambda s, d: feed.allowlisted(items(s, d), domains(s, d), "host").groupBy("label").agg(F.count("*").alias("n")),
+        lambda s, d: labelled(items(s, d)).select("id", "label"),
+        f"WITH {ITEMS} SELECT id, label FROM it",
+    ),
+    "feed_domains": (
+        lambda s, d: feed.allowlisted(pages(s, d).withColumn("host", feed.host_of(F.col("url"))), domains(s, d), "host").groupBy("label").agg(F.count("*").alias("n")),
         f"WITH {ITEMS}, h AS (SELECT DISTINCT host FROM it WHERE id % 10 = 0) SELECT CASE WHEN host IN (SELECT host FROM h) THEN 'own ' || host ELSE 'any' END AS label, count(*) AS n FROM it WHERE host IN (SELECT host FROM h) OR host = 'example.com' OR host LIKE '%.example.com' GROUP BY 1",
     ),
-    "keyword_tag": (lambda s, d: items(s, d).select("id", F.array_join(feed.tags(F.col("title"), TAGS, NEVER), ",").alias("tags")), f"WITH {ITEMS} SELECT id, {TAG} AS tags FROM it"),
+    "keyword_tag": (lambda s, d: items(s, d).select("id", F.array_join(feed.tags(F.col("title"), TOPICS), ",").alias("tags")), f"WITH {ITEMS} SELECT id, array_to_string(tags, ',') AS tags FROM it"),
     "canonical_url": (lambda s, d: pages(s, d).select("page_id", feed.canonical_url(F.col("url")).alias("key")), f"SELECT page_id, {CANON} AS key FROM pages"),
-    "feed_refresh": (refreshed, REFRESH),
+    "feed_refresh": (lambda s, d: feed.feed_refresh(labelled(items(s, d)), known(s, d), NOW, per_query=6, per_run=40), REFRESH),
     "plan_state": (
         lambda s, d: feed.plan_state(toggles(s, d)),
-        "WITH t AS (SELECT user_id, event_id % 12 AS item, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'drop' ELSE 'star' END AS action, event_id AS seq FROM events), r AS (SELECT user_id, max(seq) FILTER (WHERE action = 'clear') AS reset FROM t GROUP BY user_id) SELECT t.user_id, item FROM t JOIN r ON t.user_id = r.user_id WHERE action <> 'clear' AND (reset IS NULL OR seq > reset) GROUP BY t.user_id, item HAVING arg_max(action, seq) = 'star'",
+        """WITH t AS (SELECT user_id, event_id % 12 AS item, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 89 = 0 THEN 'replace' WHEN event_id % 3 = 0 THEN 'drop' WHEN event_id % 7 = 0 THEN 'add' ELSE 'star' END AS action, event_id AS seq FROM events),
+ r AS (SELECT user_id, max(seq) FILTER (WHERE action IN ('clear', 'replace')) AS reset FROM t GROUP BY user_id)
+ SELECT t.user_id, item FROM t JOIN r ON t.user_id = r.user_id WHERE action <> 'clear' AND (reset IS NULL OR seq >= reset) GROUP BY t.user_id, item HAVING arg_max(action, seq) <> 'drop'""",
     ),
     "live_board_changes": (
         lambda s, d: feed.status_changes(schedule.timed(sessions(s, d)).select("id", "s", "e"), ticks(s)),

@@ -109,12 +109,17 @@ def groups(s, d):
 
 
 def costs(s, d):
-    """Cost notes: the kind of note of each part by its key."""
-    notes = ["Free", "free with registration", "Free for badge pass holders", "$12", "Tickets at the door", "by donation", "free add-on to a ticket", "FREE entry"]
-    return read(s, d, "part").select(F.get(F.array(*map(F.lit, notes)), (F.col("p_partkey") % 8).cast("int")).alias("cost"))
+    """A cost note for each part: prices of the table in several wordings, and wordings of free."""
+    k, price = F.col("p_partkey"), F.format_string("%.2f", F.col("p_retailprice").cast("double"))
+    notes = [
+        F.lit("Free"), F.lit(" FREE, drop-in."), F.lit("free with registration"), F.lit("Free for Biennial Pass Holders"), F.lit("Free add-on to a ticket"), F.concat(F.lit("$"), price), F.concat(F.lit("Tickets start at $ "), price),
+        F.concat(F.lit("$"), price, F.lit(", free for kids")), F.lit("$0.00 with a ticket ($300)"), F.lit("Drinks are free"), F.lit("Tickets at the door"), F.lit("This is a FREE EVENT, please register"), F.lit("Freedom pass $5"), F.lit(None), F.lit(""),
+    ]
+    return read(s, d, "part").select(k.alias("id"), F.get(F.array(*notes), (k % len(notes)).cast("int")).alias("cost"))
 
 
-COSTS = "(SELECT ['Free', 'free with registration', 'Free for badge pass holders', '$12', 'Tickets at the door', 'by donation', 'free add-on to a ticket', 'FREE entry'][p_partkey % 8 + 1] AS cost FROM part)"
+COSTS = """(SELECT p_partkey AS id, trim(lower(['Free', ' FREE, drop-in.', 'free with registration', 'Free for Biennial Pass Holders', 'Free add-on to a ticket', '$' || printf('%.2f', CAST(p_retailprice AS DOUBLE)), 'Tickets start at $ ' || printf('%.2f', CAST(p_retailprice AS DOUBLE)),
+ '$' || printf('%.2f', CAST(p_retailprice AS DOUBLE)) || ', free for kids', '$0.00 with a ticket ($300)', 'Drinks are free', 'Tickets at the door', 'This is a FREE EVENT, please register', 'Freedom pass $5', NULL, ''][p_partkey % 15 + 1])) AS c FROM part)"""
 LIVE = "NOT cancelled AND NOT tu AND NOT ad AND NOT og"
 
 QUERIES = {
@@ -131,8 +136,10 @@ QUERIES = {
     ),
     "kind_group_rollup": (lambda s, d: op.group_rollup(sessions(s, d), groups(s, d)), W + f" SELECT grp, count(DISTINCT title) FILTER (WHERE NOT og AND NOT tu AND NOT ad) AS n_timed, count(DISTINCT title) FILTER (WHERE og) AS n_ongoing FROM x JOIN {GROUPS} g ON x.kind = g.kind WHERE NOT cancelled GROUP BY grp"),
     "free_classifier": (
-        lambda s, d: costs(s, d).groupBy(op.free_class(F.col("cost")).alias("free")).agg(F.count("*").alias("n")),
-        f"SELECT CASE WHEN lower(cost) IN ('free', 'free entry') THEN 'yes' WHEN contains(cost, '$') OR contains(lower(cost), 'ticket') THEN 'no' ELSE 'unknown' END AS free, count(*) AS n FROM {COSTS} GROUP BY 1",
+        lambda s, d: costs(s, d).select("id", op.free_class(F.col("cost")).alias("free")),
+        rf"""SELECT id, CASE WHEN starts_with(c, 'free to the public') OR starts_with(c, 'free admission') OR starts_with(c, 'this is a free event') OR starts_with(c, 'entry is free') THEN 'yes'
+ WHEN regexp_matches(c, '^free\b') AND NOT regexp_matches(c, '^free\s+((to|for)\s+(biennial\s+)?pass|with|add-on)') THEN 'yes'
+ WHEN regexp_matches(c, '\$\s?[0-9]') AND NOT contains(c, 'free') AND NOT contains(c, '$0.00') THEN 'no' ELSE 'unknown' END AS free FROM {COSTS}""",
     ),
     "facet_counts": (lambda s, d: op.facet_counts(parts(s, d), ["brand", "type", "size"], STATE, "re"), facet_sql()),
     "chip_counts": (chips, chip_sql()),

@@ -76,7 +76,7 @@ HITS = f"""WITH {INDEX}, {ASKED}, t0 AS (SELECT qid, phrase, unnest(regexp_split
  sc AS (SELECT qid, phrase, kind, id, title, ft, st, en,
  CASE WHEN starts_with(ft, t) THEN 40 WHEN contains(' ' || regexp_replace(ft, '[^a-z0-9'']+', ' ', 'g'), ' ' || t) THEN 30 WHEN contains(ft, t) THEN 20 ELSE 0 END + CASE WHEN contains(fs, t) THEN 8 ELSE 0 END + CASE WHEN contains(fk, t) THEN 4 ELSE 0 END AS n FROM tm, ix WHERE t <> ''),
  tt AS (SELECT qid, kind, id, title, CAST(sum(n) AS INT) + max(CASE WHEN ft = phrase THEN 100 WHEN starts_with(ft, phrase) THEN 60 WHEN contains(ft, phrase) THEN 30 ELSE 0 END) + CASE WHEN kind = 'supplier' THEN 3 ELSE 0 END
- + max(CASE WHEN st <= {NOW} AND en > {NOW} THEN 25 WHEN st > {NOW} AND st - {NOW} < 10800 THEN 15 WHEN en < {NOW} THEN -5 ELSE 0 END) AS score, bool_or(ft = phrase) AS exact FROM sc GROUP BY qid, kind, id, title HAVING min(n) > 0),
+ + max(CASE WHEN st <= {NOW} AND en > {NOW} THEN 25 WHEN st > {NOW} AND st - {NOW} < 10800 THEN 15 WHEN en < {NOW} THEN -5 ELSE 0 END) AS score, bool_or(ft = phrase) AS exact FROM sc GROUP BY qid, kind, id, title HAVING min(n) > 0 AND score >= 0),
  h AS (SELECT qid, kind, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, title, kind, id) AS rank, exact FROM tt)"""
 
 PAIRED = f"WITH RECURSIVE {SUPPLIERS}, {CUSTOMERS}, r AS (SELECT a.id AS a, b.id AS b, {DIST} AS cost FROM sp a, cu b), c AS (SELECT *, row_number() OVER (ORDER BY cost, a, b) AS i FROM r WHERE cost <= 600){GREEDY} SELECT a, b, cost FROM c JOIN t USING (i)"

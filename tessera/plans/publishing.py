@@ -47,15 +47,13 @@ def day_summary(s, d):
 
 
 def feed_stream(s, d):
-    stream = jobs.file_stream(s, f"{d}/pages.parquet").select("url", F.lit("").alias("title"), F.timestamp_seconds(F.lit(1705347000) - F.col("page_id") * 60).alias("at"))
-    to = jobs.drained(jobs.feed_stream(stream), "feed")
-    return s.read.schema("key string, at timestamp").parquet(to).select("key")
+    stream = jobs.file_stream(s, f"{d}/pages.parquet")
+    return jobs.feed_stream(audits.labelled(audits.items_of(stream)), audits.known(s, d))
 
 
 def plan_state_stream(s, d):
-    i = F.col("event_id")
-    stream = jobs.file_stream(s, f"{d}/events.parquet").select("user_id", (i % 12).alias("item"), F.when(i % 97 == 0, "clear").when(i % 3 == 0, "drop").otherwise("star").alias("action"), i.alias("seq"))
-    return jobs.latest_plans(stream)
+    stream = jobs.file_stream(s, f"{d}/events.parquet")
+    return jobs.latest_plans(audits.toggles_of(stream))
 
 
 def live_board_stream(s, d):
@@ -75,7 +73,7 @@ QUERIES = {
         f"WITH {SESSIONS}, b AS (SELECT user_id, s, id, concat_ws(chr(10), 'BEGIN:VEVENT', 'UID:' || id, 'SUMMARY:' || title, CASE WHEN ad OR tu THEN 'DTSTART;VALUE=DATE:' || {STAMP.format('s')}[1:8] ELSE 'DTSTART:' || {STAMP.format('s')} END, CASE WHEN NOT (ad OR tu) AND NOT eu THEN 'DTEND:' || {STAMP.format('e')} END, CASE WHEN cancelled THEN 'STATUS:CANCELLED' END, 'END:VEVENT') AS block FROM x), g AS (SELECT user_id, string_agg(block, chr(10) ORDER BY s, id) AS ics FROM b GROUP BY user_id) SELECT user_id, sha256(ics) AS sha, length(ics) AS n_chars FROM g",
     ),
     "day_summary": (day_summary, W + " SELECT day, concat_ws('; ', arg_min(title, (s, title)) FILTER (WHERE featured), CASE WHEN count(*) FILTER (WHERE s % 86400 < 18000) > 0 THEN (count(*) FILTER (WHERE s % 86400 < 18000)) || ' late' END, count(*) || ' sessions') AS summary FROM t GROUP BY day"),
-    "feed_stream": (feed_stream, f"SELECT DISTINCT {audits.CANON} AS key FROM pages"),
+    "feed_stream": (feed_stream, audits.CURRENT),
     "plan_state_stream": (plan_state_stream, audits.QUERIES["plan_state"][1]),
     "live_board_stream": (live_board_stream, audits.QUERIES["live_board_changes"][1]),
 }

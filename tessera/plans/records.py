@@ -93,7 +93,7 @@ GREEDY = """, g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used_a, []::BIGINT[]
  SELECT c.i, CASE WHEN ok THEN list_append(used_a, a) ELSE used_a END, CASE WHEN ok THEN list_append(used_b, b) ELSE used_b END, CASE WHEN ok THEN list_append(taken, c.i) ELSE taken END
  FROM (SELECT c.*, g.used_a, g.used_b, g.taken, NOT list_contains(g.used_a, c.a) AND NOT list_contains(g.used_b, c.b) AS ok FROM g JOIN c ON c.i = g.i + 1) c), t AS (SELECT unnest(taken) AS i FROM g WHERE i = (SELECT max(i) FROM g))"""
 TIERS = f"""WITH RECURSIVE {SUPPLIERS}, {CUSTOMERS}, x AS {_printed_sql("cu", 7919)}, y AS {_printed_sql("sp", 104_729)},
- p AS (SELECT x.id AS a, y.id AS b, {METRES_SQL.format(a="x", b="y")} AS m, len(list_intersect(list_filter(x.words, lambda w: length(w) > 2), list_filter(y.words, lambda w: length(w) > 2))) > 0 AS t, len(list_intersect(x.names, y.names)) > 0 AS c, x.category = y.category AS k, x.zone = y.zone AS z, len(y.names) = 0 AS nobody, least(greatest(x.reach, 100), 200) AS reach FROM x, y),
+ p AS (SELECT x.id AS a, y.id AS b, {METRES_SQL.format(a="x", b="y")} AS m, len(list_intersect(list_filter(x.words, lambda w: length(w) > 2), list_filter(y.words, lambda w: length(w) > 2))) > 0 AS t, len(list_intersect(x.names, y.names)) > 0 AS c, x.category = y.category AS k, x.zone = y.zone AS z, len(y.names) = 0 AS nobody, greatest(x.reach, 100) AS reach FROM x, y),
  r AS (SELECT a, b, CASE WHEN t AND c THEN 0 WHEN c AND k AND (m IS NULL OR m <= 200) THEN 1 WHEN t AND k AND z AND (m IS NULL OR m <= 200) THEN 2 WHEN nobody AND k AND z AND m <= reach THEN 3 END AS tier, coalesce(m, 9999) AS metres FROM p),
  c AS (SELECT *, row_number() OVER (ORDER BY tier, metres, a, b) AS i FROM r WHERE tier IS NOT NULL){GREEDY} SELECT a, b, tier, metres FROM c JOIN t USING (i)"""
 
@@ -104,18 +104,28 @@ def short_texts(s, d):
     return rows.select(F.col("item_id").alias("id"), "text").unionByName(rows.select((F.col("item_id") + 100_000).alias("id"), F.concat(F.expr("left(text, length(text) - 5)"), F.lit(" end")).alias("text")))
 
 
+# What a credit label holds, first match first, and the role it stands for.
+LABEL_ROLES = [
+    (["artist", "filmmaker", "photographer"], "artist"), (["juror", "judge"], "judge"), (["curator"], "curator"), (["advisor", "faculty", "organiser", "organizer"], "organizer"),
+    (["performer"], "performer"), (["speaker"], "speaker"), (["moderator"], "moderator"),
+]
+LABELS = ["Curated by", "Moderator", "Photographer and speaker", "Speaker", "with music by", "Guest curator", "Filmmaker", "Faculty advisor", "Organizers", "Judges", None]
+LABELS_SQL = "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in LABELS) + "]"
+FOUND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(label), '{'|'.join(needles)}') THEN '{role}'" for needles, role in LABEL_ROLES) + " END"
+
+
 def credits(s, d):
     """Credit lines of persons at events; some without a label, some of who curated the event."""
     k = F.col("c_custkey")
-    labels = F.array(*map(F.lit, ["Curated by", "Moderator", "Photographer and speaker", "Speaker", "with music by", None]))
+    labels = F.array(*map(F.lit, LABELS))
     kinds = F.array(*map(F.lit, ["exhibition", "talk", "concert"]))
     roles = F.array(*(F.array(*map(F.lit, r)).cast("array<string>") for r in ([], ["moderator"], ["curator", "artist"], ["host", "speaker"])))
-    row = [(k % 300).alias("person"), (k % 7).alias("event"), k.alias("ord"), F.when(k % 3 == 0, F.get(labels, (k * 7 % 6).cast("int"))).alias("label"), (k % 5 == 0).alias("curated"), F.get(kinds, (k % 7 % 3).cast("int")).alias("kind")]
+    row = [(k % 300).alias("person"), (k % 7).alias("event"), k.alias("ord"), F.when(k % 3 == 0, F.get(labels, (k * 7 % len(LABELS)).cast("int"))).alias("label"), (k % 5 == 0).alias("curated"), F.get(kinds, (k % 7 % 3).cast("int")).alias("kind")]
     return read(s, d, "customer").select(*row, F.get(roles, (k % 300 % 4).cast("int")).alias("roles"))
 
 
 def rules(s):
-    return s.createDataFrame([(0, "artist", "artist"), (0, "photographer", "artist"), (1, "juror", "judge"), (2, "curat", "curator"), (3, "organiser", "organizer"), (4, "performer", "performer"), (5, "speaker", "speaker"), (6, "moderator", "moderator")], "ord int, needle string, role string")
+    return s.createDataFrame([(i, needle, role) for i, (needles, role) in enumerate(LABEL_ROLES) for needle in needles], "ord int, needle string, role string")
 
 
 def facts(s, d, which):
@@ -220,10 +230,10 @@ QUERIES = {
     ),
     "role_inference": (
         lambda s, d: op.role_inference(credits(s, d), rules(s)),
-        """WITH c AS (SELECT c_custkey % 300 AS person, c_custkey % 7 AS event, c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN ['Curated by', 'Moderator', 'Photographer and speaker', 'Speaker', 'with music by', NULL][c_custkey * 7 % 6 + 1] END AS label,
+        f"""WITH c AS (SELECT c_custkey % 300 AS person, c_custkey % 7 AS event, c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN {LABELS_SQL}[c_custkey * 7 % 11 + 1] END AS label,
  c_custkey % 5 = 0 AS curated, ['exhibition', 'talk', 'concert'][c_custkey % 7 % 3 + 1] AS kind, [[], ['moderator'], ['curator', 'artist'], ['host', 'speaker']][c_custkey % 300 % 4 + 1] AS roles FROM customer),
  p AS (SELECT person, event, min_by(label, ord) FILTER (WHERE label IS NOT NULL) AS label, bool_or(curated) AS curated, any_value(kind) AS kind, min_by(roles, ord) AS roles FROM c GROUP BY person, event),
- f AS (SELECT *, coalesce(roles[1], 'artist') AS one, CASE WHEN regexp_matches(lower(label), 'artist|photographer') THEN 'artist' WHEN contains(lower(label), 'curat') THEN 'curator' WHEN contains(lower(label), 'speaker') THEN 'speaker' WHEN contains(lower(label), 'moderator') THEN 'moderator' END AS found,
+ f AS (SELECT *, coalesce(roles[1], 'artist') AS one, {FOUND_SQL} AS found,
  list_filter(CASE kind WHEN 'exhibition' THEN ['artist', 'curator'] WHEN 'talk' THEN ['speaker', 'moderator', 'curator', 'artist'] ELSE ['performer', 'speaker', 'artist'] END, lambda r: list_contains(roles, r))[1] AS by_kind FROM p)
  SELECT person, event, CASE WHEN label IS NOT NULL THEN coalesce(found, one) WHEN curated THEN 'curator' WHEN len(roles) = 1 THEN one ELSE coalesce(by_kind, one) END AS role FROM f""",
     ),
@@ -232,8 +242,8 @@ QUERIES = {
         W + " SELECT c_custkey AS person, c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey IN (SELECT user_id FROM x WHERE featured) AS kept FROM customer",
     ),
     "credit_buckets": (
-        lambda s, d: credits(s, d).groupBy((F.col("person") % 40).alias("event"), "label").agg(F.countDistinct("person").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("person")), lambda x: x.cast("string")), ",").alias("names")),
-        "WITH c AS (SELECT c_custkey % 300 AS person, ['Curated by', 'Moderator', 'Keynote speaker', 'Speaker', 'with music by', 'thanks'][c_custkey * 7 % 6 + 1] AS label FROM customer) SELECT person % 40 AS event, label, count(DISTINCT person) AS n, string_agg(DISTINCT person, ',' ORDER BY person) AS names FROM c GROUP BY 1, 2",
+        lambda s, d: credits(s, d).groupBy("event", "label").agg(F.countDistinct("person").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("person")), lambda x: x.cast("string")), ",").alias("names")),
+        f"WITH c AS (SELECT c_custkey % 300 AS person, c_custkey % 7 AS event, CASE WHEN c_custkey % 3 = 0 THEN {LABELS_SQL}[c_custkey * 7 % 11 + 1] END AS label FROM customer) SELECT event, label, count(DISTINCT person) AS n, string_agg(DISTINCT person, ',' ORDER BY person) AS names FROM c GROUP BY 1, 2",
     ),
     "text_clean_job": (
         clean_log,

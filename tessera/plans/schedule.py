@@ -66,7 +66,7 @@ QUERIES = {
         + f", CAST(coalesce(sum(floor(({NOW} - s) / 60)) FILTER (WHERE st = 'live'), 0) AS BIGINT) AS elapsed_min, CAST(coalesce(sum(floor((e - s) / 60)) FILTER (WHERE st = 'live'), 0) AS BIGINT) AS total_min FROM b WHERE st IS NOT NULL GROUP BY program",
     ),
     "next_instance": (lambda s, d: op.next_instance(instances(s, d), 10300 * 86400), I + f" SELECT id, (coalesce(min((s, e)) FILTER (WHERE e > {10300 * 86400}), max((s, e))))[1] AS s, (coalesce(min((s, e)) FILTER (WHERE e > {10300 * 86400}), max((s, e))))[2] AS e FROM i GROUP BY id"),
-    "next_up": (lambda s, d: op.next_up(sessions(s, d), NOW), W + f" SELECT user_id, id, s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, id) AS rn FROM t WHERE e > {NOW}) WHERE rn = 1"),
+    "next_up": (lambda s, d: op.next_up(sessions(s, d), NOW), W + f" SELECT user_id, id, s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, id) AS rn FROM x WHERE NOT cancelled AND e > {NOW}) WHERE rn = 1"),
     "live_count": (lambda s, d: op.live_count(sessions(s, d), NOW), W + f" SELECT count(DISTINCT id) AS n_live FROM x WHERE s <= {NOW} AND e > {NOW} AND NOT (cancelled OR eu OR tu OR ad)"),
     "when_preset": (
         lambda s, d: op.when_preset(sessions(s, d), NOW),
@@ -87,7 +87,12 @@ QUERIES = {
  UNION ALL SELECT 'tonight', row_number() OVER (ORDER BY s, ord, id), id, greatest((SELECT count(*) FROM ta) - 6, 0) FROM tn
  UNION ALL SELECT 'on_view', 1, NULL, (SELECT count(*) FROM o WHERE today AND og AND NOT hours)""",
     ),
-    "first_up": (lambda s, d: op.first_up(sessions(s, d), NOW), W + f" SELECT title, day, s, id FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY day, NOT featured, s, id) AS rn FROM t WHERE s > {NOW}) WHERE rn = 1 ORDER BY day, NOT featured, s, id LIMIT 4"),
+    "first_up": (
+        lambda s, d: op.first_up(sessions(s, d), NOW, LANES, "signup"),
+        W + f""", u AS (SELECT *, CAST(floor((s - 18000) / 86400) AS BIGINT) AS day, CASE WHEN featured THEN 0 ELSE 10 END + coalesce(nullif(coalesce(list_position(['view', 'click', 'purchase'], program), 0), 0) - 1, 9) AS rank
+ FROM x WHERE NOT (cancelled OR tu OR ad) AND CASE WHEN eu THEN s + 3600 ELSE e END > {NOW} AND program <> 'signup'), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY day, rank, s, title) AS rn FROM u) WHERE rn = 1 ORDER BY day, rank, s, id LIMIT 4)
+ SELECT CAST(row_number() OVER (ORDER BY s, rank, id) AS INT) AS place, id, title, day, s FROM f""",
+    ),
     "ongoing_band": (lambda s, d: op.ongoing_band(instances(s, d)), I + " SELECT id, program, min(day) AS first_day, max(day) AS last_day FROM i GROUP BY id, program HAVING bool_and(og)"),
     "time_slots": (lambda s, d: op.time_slots(sessions(s, d)), W + " SELECT day, s, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM t GROUP BY day, s"),
     "fold_ended": (

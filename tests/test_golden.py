@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import quality, records, schedule, search
+from tessera.operators import directory, feed, quality, records, schedule, search
 from tessera.plans import audits
+from tessera.plans import records as record_plans
 
 H = 3600
 
@@ -152,9 +153,71 @@ def test_only_an_exact_title_leads(spark):
     assert groups[1, 1] == "event" and groups[2, 1] == "place" and groups[2, 2] == "event"
 
 
+def test_first_up_takes_running_and_ongoing_ones_once_each_and_shows_them_by_start(spark):
+    now = 100 * 86400 + 16 * H
+    rows = [
+        {"s": now - H, "e": now + H}, {"s": now - 5 * H, "e": now + 60, "og": True}, {"s": now + H, "e": now + 2 * H, "program": "also"}, {"s": now + 3 * H, "e": now + 4 * H, "featured": True},
+        {"id": 0, "s": now + 25 * H, "e": now + 26 * H, "featured": True}, {"s": now + 60, "e": now + H, "tu": True}, {"s": now, "e": now + H, "ad": True}, {"s": now - 2 * H, "e": now + 9 * H, "eu": True},
+        {"s": now + 60, "e": now + 90, "cancelled": True}, {"s": now + 30 * H, "e": now + 31 * H, "program": "a"}, {"s": now + 29 * H, "e": now + 31 * H},
+    ]
+    df = session(spark, rows)
+    assert [(r.place, r.id) for r in schedule.first_up(df, now, ("a",)).orderBy("place").collect()] == [(1, 1), (2, 0), (3, 3), (4, 9)]
+    assert [r.id for r in schedule.first_up(df, now, ("a",), most=2).orderBy("place").collect()] == [1, 3]
+
+
+def test_next_up_counts_ongoing_whole_day_and_untimed_ones(spark):
+    df = session(spark, [{"s": 60, "e": H, "og": True}, {"s": 3 * H, "e": 4 * H}, {"s": 30, "e": H, "cancelled": True}, {"user_id": 2, "s": -H, "e": 5, "ad": True}, {"user_id": 2, "s": H, "e": 2 * H}, {"user_id": 3, "s": -H, "e": 0}])
+    assert {r.user_id: r.id for r in schedule.next_up(df, 0).collect()} == {1: 0, 2: 3}
+
+
+def test_what_scores_below_nothing_is_no_hit(spark):
+    rows = [("event", 1, "Dark", "", "light", 1, 0, 50), ("event", 2, "Dark", "light", "", 2, 0, 50), ("event", 3, "Dark", "", "light", 3, None, None)]
+    index = search.build_search_index([spark.createDataFrame(rows, "kind string, id long, title string, subline string, keywords string, ord long, st long, en long")], ["event"])
+    hits = search.rank_search(index, spark.createDataFrame([(1, "light")], "qid long, query string"), [], now=100).collect()
+    assert sorted((r.id, r.score) for r in hits) == [(2, 3), (3, 4)]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    *((t, "yes") for t in ("Free", "Free to the Public", "free admission for all", "Free, drop-in.", "Free (approval required)", "This is a FREE EVENT, but you must register to receive a ticket.", "Entry is free.")),
+    *((t, "no") for t in ("$40", "Tickets start at $39", "$54.42 (registration, incl. fees)", "Ticket required. Adult: $ 19.50")),
+    *((t, "unknown") for t in ("Free to Biennial Pass Holders", "Free for Pass Holders in October. General admission: $15", "FREE with admission or membership", "Free add-on to any ticket", "$0.00 add-on, with a ticket ($300.00)", "Ticketed. Free for members. $17.", None, "", "Drinks are free", "$10, free for kids", "Tickets at the door", "Freedom")),
+])
+def test_free(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(directory.free_class(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("url", "want"), [
+    ("HTTPS://WWW.A.com/B/?ocid=1&ref=2&mc_z=3&utm_x=4&cmpid=5&fbclid=6#top", "a.com/B?ref=2"), ("http://a.com", "a.com/"), ("http://a.com//", "a.com/"), (" https://a.com/x?a&b=&c=1%202+3 ", "a.com/x?a=&b=&c=1+2+3"),
+    ("https://a.com/x?q=%7Ea*", "a.com/x?q=~a%2A"), ("https://a.com/x?q=%zz", "a.com/x?q=%25zz"), ("", "/"), ("/only/path/", "/only/path"),
+])
+def test_canonical_url(spark, url, want):
+    assert spark.createDataFrame([(url,)], "u string").select(feed.canonical_url(F.col("u"))).first()[0] == want
+
+
+def test_feed_refresh_goes_through_queries_in_order(spark):
+    """Caps count titles that are new in a query, later spellings add tags, known titles and addresses go."""
+    rows = [
+        (1, 0, 1, "https://a/1", "One", ["x"], 10), (2, 0, 2, "https://a/2", "one!", ["y"], 20), (3, 0, 3, "https://a/3", "Two", ["x"], 30), (4, 0, 4, "https://a/4", "Three", ["x"], 40),
+        (5, 1, 1, "https://a/5", "THREE", ["z"], 50), (6, 1, 2, "https://a/6", "Two", ["z"], 60), (7, 1, 3, "https://a/5?utm_a=1", "Four", ["z"], 5), (8, 1, 4, "https://a/8", "Five", ["z"], 70),
+        (9, 2, 1, "http://a/9", "Six", ["x"], 80), (10, 2, 2, "https://a/10", "Known", ["x"], 80), (11, 2, 3, "https://k/1/", "Seven", ["x"], 81), (12, 2, 4, "https://a/12", "TBD", ["x"], 81), (13, 2, 5, "https://a/13", "Eight", [], 81), (14, 2, 6, "https://a/14", "Nine", ["x"], -100),
+    ]
+    items = spark.createDataFrame(rows, "id long, query int, ord long, url string, title string, tags array<string>, t long").withColumn("label", F.lit("L"))
+    existing = spark.createDataFrame([("https://k/1", "x"), ("https://k/2", "known")], "url string, title string")
+    got = {r.title_key: (r.id, r.tags) for r in feed.feed_refresh(items, existing, 100, days=0.0013, per_query=2, per_run=9).collect()}
+    assert got == {"one": (1, "x,y"), "two": (3, "x,z"), "three": (5, "z")}
+
+
+def test_an_entry_may_reach_beyond_the_radius(spark):
+    schema = "id long, title string, credits array<string>, category int, zone int, lat long, lng long"
+    entries = spark.createDataFrame([(1, "aaa", [], 1, 1, 39_100_000, -84_500_000, 400), (2, "bbb", [], 1, 1, 39_200_000, -84_500_000, 100)], schema + ", reach long")
+    works = spark.createDataFrame([(1, "ccc", [], 1, 1, 39_102_700, -84_500_000), (2, "ddd", [], 1, 1, 39_202_700, -84_500_000)], schema)
+    got = [(r.a, r.b, r.tier) for r in records.match_tiers(entries, works).collect()]
+    assert got == [(1, 1, 3)]
+
+
 def test_roles_by_rule_order_then_curation_then_kind(spark):
-    rules = spark.createDataFrame([(0, "artist", "artist"), (2, "curat", "curator"), (5, "speaker", "speaker")], "ord int, needle string, role string")
-    rows = [(1, 1, 1, "Speaker and artist", False, "talk", ["host"]), (1, 2, 1, None, True, "talk", []), (1, 3, 1, None, False, "talk", ["artist", "moderator"]), (1, 4, 1, None, False, "concert", ["host"]), (1, 5, 1, "Thanks", True, "talk", ["host"]), (1, 6, 1, None, False, "talk", []), (1, 6, 2, "Curator", False, "talk", [])]
+    rules = record_plans.rules(spark)
+    rows = [(1, 1, 1, "Speaker and artist", False, "talk", ["host"]), (1, 2, 1, None, True, "talk", []), (1, 3, 1, None, False, "talk", ["artist", "moderator"]), (1, 4, 1, None, False, "concert", ["host"]), (1, 5, 1, "Thanks", True, "talk", ["host"]), (1, 6, 1, None, False, "talk", []), (1, 6, 2, "Curator", False, "talk", []), (1, 7, 1, "Curated by", True, "talk", []), (1, 8, 1, "ORGANIZED: organizer", False, "talk", []), (1, 9, 1, "Filmmaker", False, "talk", ["host"]), (1, 10, 1, "Faculty advisor", False, "x", []), (1, 11, 1, "Juror and curator", False, "x", [])]
     credits = spark.createDataFrame(rows, "person long, event long, ord int, label string, curated boolean, kind string, roles array<string>")
     got = {r.event: r.role for r in records.role_inference(credits, rules).collect()}
-    assert got == {1: "artist", 2: "curator", 3: "moderator", 4: "host", 5: "host", 6: "curator"}
+    assert got == {1: "artist", 2: "curator", 3: "moderator", 4: "host", 5: "host", 6: "curator", 7: "artist", 8: "organizer", 9: "artist", 10: "organizer", 11: "judge"}
