@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import metres
 from tessera.functions.text import fold
+from tessera.sources.shared import scratch
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop: in the shared folder that the session names, else in a temporary one (tests)."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    to = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/loop-{uuid.uuid4().hex}"
+    """Cuts the lineage of a loop by a table in the shared folder."""
+    to = scratch(df.sparkSession, "loop")
     df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

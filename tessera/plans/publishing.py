@@ -10,6 +10,7 @@ from tessera.plans import audits
 from tessera.plans.lenses import SESSIONS, read, sessions
 from tessera.plans.schedule import I, W, instances
 from tessera.sources import entities as io
+from tessera.sources.shared import scratch
 from tessera.streaming import jobs
 
 ENTITY = T.StructType([T.StructField("id", T.LongType()), T.StructField("kind", T.StringType())])
@@ -19,7 +20,7 @@ def load_entities(s, d):
     """Events written as lines, every fiftieth broken, read back under a schema."""
     i = F.col("event_id")
     line = F.when(i % 50 == 0, F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "kind"'))).otherwise(F.to_json(F.struct(i.alias("id"), F.col("event_type").alias("kind"))))
-    to = io.scratch(s, "entities")
+    to = scratch(s, "entities")
     read(s, d, "events").select(line.alias("value")).write.text(to)
     rows = io.read_entities(s, to, ENTITY)
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("_corrupt_record").alias("n_corrupt"))
@@ -32,7 +33,7 @@ def publish(s, d):
     clean = rows.join(found.select("id").distinct(), "id", "left_anti")
     out = None
     for name, df in (("all", rows), ("clean", clean)):
-        to = io.scratch(s, f"published-{name}")
+        to = scratch(s, f"published-{name}")
         done = io.publish_if_clean(df, quality.validate(df, "id", audits.schema_rules()), to)
         one = (s.read.schema(df.schema).parquet(to) if done else df.limit(0)).agg(F.lit(name).alias("edition"), F.lit(done).alias("published"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
@@ -57,7 +58,7 @@ def plan_state_stream(s, d):
 
 
 def live_board_stream(s, d):
-    to = io.scratch(s, "ticks")
+    to = scratch(s, "ticks")
     audits.ticks(s).coalesce(1).write.parquet(to)
     return jobs.board_stream(jobs.file_stream(s, to), schedule.timed(sessions(s, d)).select("id", "s", "e"))
 

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the driver and all executors share; a temporary one only where the session names none."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+from tessera.sources.shared import scratch
 
 
 def read_entities(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -24,7 +18,8 @@ def read_entities(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def publish_if_clean(df: DataFrame, problems: DataFrame, to: str) -> bool:
-    """Stages df beside its place and puts it there only if there is no error; else the old output stays untouched."""
+    """Stages df beside its place and puts it there only if there is no error; else the old output stays untouched, as it
+    does where a rename fails, which raises."""
     if problems.filter("level = 'error'").limit(1).count():
         return False
     staged = f"{to}.staged-{uuid.uuid4().hex}"
@@ -32,10 +27,18 @@ def publish_if_clean(df: DataFrame, problems: DataFrame, to: str) -> bool:
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(to)
     fs = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{to}.old-{uuid.uuid4().hex}")
-    if fs.exists(path):
-        fs.rename(path, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), path)
+    old, fresh = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{to}.old-{uuid.uuid4().hex}", staged))
+    replaced = fs.exists(path)
+    if replaced and not fs.rename(path, old):
+        fs.delete(fresh, True)
+        raise OSError(f"{to} could not be moved away; it stays as it was")
+    if not fs.rename(fresh, path):
+        if replaced and not fs.rename(old, path):
+            raise OSError(f"{to} could not be replaced; its old content is in {old}")
+        fs.delete(fresh, True)
+        raise OSError(f"{to} could not be replaced; it stays as it was")
+    if replaced:
+        fs.delete(old, True)
     return True
 
 

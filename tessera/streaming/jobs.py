@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import feed
-from tessera.sources.entities import scratch
+from tessera.sources.shared import scratch
 from tessera.streaming import state
 
 
