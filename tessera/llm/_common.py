@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id in join keys, so that such rows still meet themselves.
+from tessera.sources.shared import scratch
+
+#: Stands for a null doc_id in join keys, so that such rows still meet themselves; no row may have it as its doc_id.
 NO_ID = -(2**63)
 
 
@@ -16,19 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,8 +42,8 @@ def place_of() -> Column:
 
 
 def one_of_each(docs: DataFrame, classed: DataFrame) -> DataFrame:
-    """docs with one row of each class of classed (kd, tk, label), the first by place_of. Of rows that share doc_id and text the
-    least by all columns stays."""
+    """docs with one row of each class of classed (kd, tk, label), the first by place_of. Of rows that share doc_id and text
+    one stays, by a hash of all its columns, which may be of any type."""
     first = classed.groupBy("label").agg(F.min(place_of()).alias("x")).select("x.kd", "x.tk").distinct()
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("kd"), F.xxhash64(text_of()).alias("tk"), F.struct(*docs.columns).alias("row"))
-    return rows.join(first, ["kd", "tk"], "left_semi").groupBy("kd", "tk").agg(F.min("row").alias("row")).select("row.*")
+    return rows.join(first, ["kd", "tk"], "left_semi").groupBy("kd", "tk").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")

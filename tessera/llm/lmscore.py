@@ -141,7 +141,8 @@ def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_symbols, score) for every row of docs: the background is all of docs, the target the rows whose doc_id is
     in ``target``. Null texts are empty and score 0, as does a document whose other fold holds no target. Rows without a
     doc_id are background; each of repeated rows counts; other columns are ignored."""
-    named = target.filter("doc_id is not null").select(F.col("doc_id").alias("t_id")).distinct()
+    # written, so that the join below stands on two plain exchanges and Spark can split an id that many rows share, or none
+    named = stored(target.filter("doc_id is not null").select(F.col("doc_id").alias("t_id")).distinct(), "lm-target")
     rows = docs.select("doc_id", text_of().alias("text"), F.pmod(F.xxhash64(text_of()), F.lit(FOLDS)).cast("int").alias("fold"))
     table = vocabulary(rows)
     # one shuffle of the compressed texts at every size: the target grows with the corpus

@@ -6,8 +6,10 @@ Inside a table's bucket the comparison is bit-sliced: lane i holds the pair (i,
 bit plane of all lanes, carry-save counters add the 64 difference planes, and a block of lanes is abandoned once every lane
 exceeds the radius. Only a spanning forest of the links leaves a bucket.
 
-Exact copies collapse into one fingerprint before any comparison; buckets above ``CHUNK`` fingerprints are split into chunk
-pairs that are compared in separate tasks, so that no task holds an unbounded bucket and no pair is lost.
+Exact copies collapse into one fingerprint before any comparison. A bucket above ``CHUNK`` fingerprints is cut again: pairs within
+the radius agree on two of five blocks of the bits that are left, too, so that ten smaller tables stand for the bucket. What is
+above ``CHUNK`` even then is split into chunk pairs that are compared in separate tasks. No task holds an unbounded bucket and no
+pair is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from tessera.llm._common import keyed, one_of_each, stored
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-BLOCK_BITS = (13, 13, 13, 13, 12)
 CHUNK = 256
 LANES = 2048
 
@@ -143,7 +144,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"src": fps[linked], "dst": fps[root[linked]]})
 
     rest: pd.DataFrame | None = None
-    keys = ["t", "key", "a", "b"]
+    keys = GROUP
     for rows in batches:
         rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
         k = rows[keys].to_numpy(np.int64)
@@ -159,22 +160,36 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield compared(rest, np.concatenate(([0], np.cumsum((rest[keys].to_numpy(np.int64)[1:] != rest[keys].to_numpy(np.int64)[:-1]).any(1)))))
 
 
+GROUP = ["t", "key", "t2", "key2", "a", "b"]
+
+
+def pair_masks(bits: list[int]) -> list[int]:
+    """Masks of each two of five blocks of the given bit positions."""
+    sizes = [len(bits) // 5 + (i < len(bits) % 5) for i in range(5)]
+    at = [sum(sizes[:i]) for i in range(6)]
+    blocks = [sum(1 << b for b in bits[at[i] : at[i + 1]]) for i in range(5)]
+    return [blocks[i] | blocks[j] for i, j in combinations(range(5), 2)]
+
+
 def links(fps: DataFrame) -> DataFrame:
     """fps: distinct ``fp``. Returns (src, dst) pairs within RADIUS bits that connect all that such pairs connect."""
-    masks, at = [], 0
-    for width in BLOCK_BITS:
-        masks.append(((1 << width) - 1) << at)
-        at += width
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("key")) for t, (i, j) in enumerate(combinations(range(len(masks)), 2))))
-    keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
-    rows = keyed.join(sizes, ["t", "key"]).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
+    masks = pair_masks(list(range(64)))
+    finer = [pair_masks([b for b in range(64) if not m >> b & 1]) for m in masks]
+    first = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(signed(m)).alias("key"), F.array(*map(signed, finer[t])).alias("finer")) for t, m in enumerate(masks)))
+    rows = fps.select("fp", F.explode(first).alias("x")).select("fp", "x.t", "x.key", "x.finer")
+    size = lambda rows, keys: rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(size(rows, ["t", "key"]), ["t", "key"])
+    again = F.when(F.col("n") > CHUNK, F.transform("finer", lambda m, i: F.struct(i.alias("t2"), F.col("fp").bitwiseAND(m).alias("key2"))))
+    whole = F.array(F.struct(F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("key2")))
+    rows = stored(rows.select("t", "key", "fp", F.explode(F.coalesce(again, whole)).alias("x")).select("t", "key", "fp", "x.t2", "x.key2"), "simhash-tables")
+    keys = ["t", "key", "t2", "key2"]
+    rows = rows.join(size(rows, keys).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n"), keys).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("t", "key", "fp", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), F.when(F.col("chunks") == 1, -1).otherwise(F.col("c")).alias("side"))
+    rows = rows.select(*keys, "fp", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), F.when(F.col("chunks") == 1, -1).otherwise(F.col("c")).alias("side"))
     # inside a chunk every pair counts: the group (c, c) holds that chunk alone
     rows = rows.withColumn("side", F.when(F.col("a") == F.col("b"), -1).otherwise(F.col("side")))
-    return rows.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "fp").mapInPandas(_links, "src long, dst long").distinct()
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "fp").mapInPandas(_links, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import shared_dir, shuffle_partitions, text_of
+from tessera.llm._common import shuffle_partitions, text_of
+from tessera.sources.shared import shared_dir
 from tessera.llm.units import Memory, laid_out, pieces_of
 
 TOKENIZER = "byte_bpe_50k.json"

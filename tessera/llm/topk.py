@@ -1,7 +1,7 @@
 """Exact top-k inner products with KD-trees.
 
-Space is cut first: a KD-tree over a bounded sample of ``SAMPLE`` vectors gives at most ``CELLS`` cells by median splits, every
-vector falls into one, and every cell has the tight box of all its vectors. A cell is dealt by hash into shards of about
+Space is cut first: a KD-tree over a bounded sample of vectors gives cells by median splits, one for each ``SHARD`` rows and at
+most ``CELLS``; every vector falls into one, and every cell has the tight box of all its vectors. A cell is dealt by hash into shards of about
 ``SHARD`` rows. Each shard builds one KD-tree: median splits by position (so that equal vectors split too) along the widest
 side, with a tight bounding box in every node. A query descends best first: boxes wait on a heap by the largest inner
 product that any point of the box could have, and the search ends when that is below the kth best score. The kth best score
@@ -25,7 +25,8 @@ from tessera.llm._common import stored
 
 SCALE = 1024
 SHARD, LEAF, BLOCK_BYTES = 2048, 64, 16_000_000
-SAMPLE, CELLS = 4096, 256
+#: At most so many cells, for each of which the sample has ``PER_CELL`` vectors.
+CELLS, PER_CELL = 4096, 16
 
 
 class Tree:
@@ -94,7 +95,7 @@ class Cells:
         return self.cells - 1
 
     def _grow(self, points: np.ndarray, count: int):
-        if count < 2 or len(points) < 2:
+        if count < 2 or len(points) < 2 or not points.shape[1]:
             return self._leaf()
         side = int((points.max(0) - points.min(0)).argmax())
         at = float(np.median(points[:, side]))
@@ -150,7 +151,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embe
     components floor(1024 * x), ties to the smaller vec_id.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Only vectors of one
-    length are compared. Every other row counts, also those that share an id; of an id with several query rows the best over
+    length are compared; those without components score 0. Every other row counts, also those that share an id; of an id with several query rows the best over
     all of them are given. Scores are exact while they stay below 2^53. Other columns are ignored.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -160,8 +161,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embe
     n = rows.agg(F.count("*").alias("n"), F.mode("width").alias("width")).first()
     if not n.n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    sample = rows.filter(F.col("width") == n.width).orderBy(F.xxhash64("row")).limit(SAMPLE).select("v").collect()
-    cells = rows.sparkSession.sparkContext.broadcast(Cells(np.array([r.v for r in sample]), min(CELLS, max(1, n.n // SHARD))))
+    count = min(CELLS, max(1, n.n // SHARD))
+    sample = rows.filter(F.col("width") == n.width).orderBy(F.xxhash64("row")).limit(count * PER_CELL).select("v").collect()
+    cells = rows.sparkSession.sparkContext.broadcast(Cells(np.array([r.v for r in sample]), count))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,7 +177,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embe
     sizes = placed.groupBy("width", "cell").agg(F.count("*").alias("n"))
     boxes = placed.select("width", "cell", box).groupBy("width", "cell", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     side = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c]).alias(c)
-    boxes = boxes.groupBy("width", "cell").agg(side("low"), side("high")).join(sizes, ["width", "cell"])
+    # vectors without components have an empty box
+    none = F.array().cast("array<double>")
+    boxes = sizes.join(boxes.groupBy("width", "cell").agg(side("low"), side("high")), ["width", "cell"], "left").withColumns({c: F.coalesce(c, none) for c in ("low", "high")})
     # one row for each of at most CELLS cells, and one for each other length
     boxes = stored(boxes.select("width", "cell", "low", "high", F.ceil(F.col("n") / SHARD).cast("int").alias("salts")), "boxes")
     placed = placed.join(boxes.select("width", "cell", "salts"), ["width", "cell"]).withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).drop("salts")

@@ -92,3 +92,30 @@ def test_other_radius():
                 break
             label = new
         assert (forest == label).all()
+
+
+def test_a_hot_bucket_is_cut_again(spark):
+    """Many fingerprints that agree on two blocks: rows stay in proportion to them, and the links are those of all pairs."""
+    rng = np.random.default_rng(7)
+    low = (1 << 26) - 1
+    fps = np.unique(rng.integers(0, 2**37, 6000, dtype=np.int64)) << 26 | 12345 & low
+    near = fps[:300] ^ (np.int64(1) << rng.integers(26, 62, 300)) ^ (np.int64(1) << rng.integers(26, 62, 300))
+    fps = np.unique(np.concatenate([fps, near]))
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    found = simhash.links(df)
+    label = {r.node: r.label for r in simhash.components(found).collect()}
+    u = fps.view(np.uint64)
+    want = {}
+    for i in range(len(u)):
+        for j in np.flatnonzero(np.bitwise_count(u[i] ^ u[i + 1 :]) <= simhash.RADIUS).tolist():
+            want.setdefault(int(fps[i]), set()).add(int(fps[i + 1 + j]))
+    assert sum(map(len, want.values())) >= 280
+    assert all(label[a] == label[b] for a, bs in want.items() for b in bs)
+    linked = set(want) | {b for bs in want.values() for b in bs}
+    assert set(label) == linked
+
+
+def test_a_column_of_any_type_stays(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, "x y z")], "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.m["k"]) for r in kept.collect()) == [(1, 1), (3, 3)]

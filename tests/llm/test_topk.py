@@ -43,3 +43,12 @@ def test_ragged_vectors_and_repeated_ids(spark):
         pairs = [(-sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(a, b)), j) for i, a in rows if i == q for j, b in rows if j != q and len(a) == len(b)]
         want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(sorted(pairs)[:5])]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_vectors_without_components_score_nothing(spark):
+    rows = [(0, []), (1, []), (2, [1.0]), (3, [2.0]), (4, []), (20, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 2).collect()))
+    assert got == [(0, 1, 1, 0), (0, 2, 4, 0), (20, 1, 3, 2 * 1024**2), (20, 2, 2, 1024**2)]
+    alone = topk.top_k(df.filter("size(embedding) = 0"), F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, alone)) == [(0, 1, 1, 0), (0, 2, 4, 0)]
