@@ -135,7 +135,7 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(path, r"(.)/$", "$1")
 
 
-def link_integrity(pages: DataFrame) -> DataFrame:
+def broken_paths(pages: DataFrame) -> DataFrame:
     """Internal links that lead to no page, with how many pages have each."""
     known = pages.select(path_of(F.col("url")).alias("path")).distinct()
     inner = links_of(pages).filter(F.startswith("href", F.lit("/"))).select("page_id", path_of(F.col("href")).alias("path"))

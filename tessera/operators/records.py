@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import metres
 from tessera.functions.text import fold
+from tessera.operators import nested
 from tessera.sources.shared import scratch
 
 
@@ -80,8 +83,11 @@ def alias_join(df: DataFrame, text: str, names: DataFrame, aliases: DataFrame) -
 
 
 def dangling_refs(references: DataFrame, targets: DataFrame) -> DataFrame:
-    """references (source, field, kind, ref) without a row (kind, id) among the targets."""
-    return references.join(targets.select("kind", F.col("id").alias("ref")).distinct(), ["kind", "ref"], "left_anti")
+    """references (id, path, kind, ref) without a row (kind, id) among the targets. Different references are looked up once each,
+    so that one which a third of all rows make is no hot key there, and a plain join brings the rows back."""
+    references = checkpointed(references)
+    lost = references.select("kind", "ref").distinct().join(targets.select("kind", F.col("id").cast("string").alias("ref")).distinct(), ["kind", "ref"], "left_anti")
+    return references.join(checkpointed(lost), ["kind", "ref"]).select("id", "path", "kind", "ref")
 
 
 def referenced_only(df: DataFrame, references: DataFrame, key: str) -> DataFrame:
@@ -218,14 +224,60 @@ def page_policy(people: DataFrame, bridge: DataFrame) -> DataFrame:
     return people.join(key, "person", "left").select("person", (F.coalesce("bio", F.lit(False)) | F.coalesce("photo", F.lit(False)) | F.coalesce("already", F.lit(False)) | F.coalesce("key_role", F.lit(False))).alias("kept"))
 
 
+# Entities by name and what they stand for.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "hellip": "…", "eacute": "é", "egrave": "è", "aacute": "á", "oacute": "ó",
+    "uacute": "ú", "iacute": "í", "ntilde": "ñ", "uuml": "ü", "ouml": "ö", "auml": "ä", "ccedil": "ç", "reg": "®", "copy": "©", "trade": "™", "bull": "•", "middot": "·", "deg": "°",
+}
+
+
+def decode_entities(c: Column) -> Column:
+    """Entities by name and by number become characters, each once; unknown names and impossible numbers stay."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def char(e: Column) -> Column:
+        body = F.substring(e, 2, F.length(e) - 2)
+        hexed = F.when(body.rlike("^#[xX]"), F.substring(body, 3, 6)).when(F.startswith(body, F.lit("#")), F.conv(F.substring(body, 2, 7), 10, 16))
+        point = F.conv(hexed, 16, 10).cast("long")
+        sound = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        spelled = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+        return F.coalesce(F.when(sound, spelled), F.element_at(names, body), F.element_at(names, F.lower(body)), e)
+
+    # the text between entities and the entities themselves, in turn
+    found = F.regexp_extract_all(c, F.lit(r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});)"), F.lit(1))
+    between = F.split(c, r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", -1)
+    return F.when(F.size(found) == 0, c).otherwise(F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.coalesce(char(e), F.lit("")))), ""))
+
+
 def text_clean(c: Column) -> Column:
-    """Spaces of all kinds become one space, zero-width characters and tags go, the common entities are decoded."""
-    out = F.regexp_replace(c, "[​‌‍﻿]", "")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.trim(F.regexp_replace(out, "[\\s ]+", " "))
-    return F.when(out != "", out)
+    """Verbatim text in normal form: line ends and spaces of one kind, no zero-width characters, entities decoded, <br> a line
+    end, other tags gone, one space between words, no space around lines, at most one empty line; null where nothing is left."""
+    out = F.regexp_replace(F.translate(F.regexp_replace(c, r"\r\n?", "\n"), "\u00a0", " "), "[\u200b\u200c\u200d\u2060\ufeff]", "")
+    out = F.regexp_replace(F.regexp_replace(decode_entities(out), r"(?i)<br\s*/?>", "\n"), r"</?[a-zA-Z][^>]*>", "")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
+    return F.nullif(F.regexp_replace(out, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def scrubbed(c: Column, marker: str) -> Column:
+    """Without what points at the inside of a work: brackets and sentences that match ``marker``; null where nothing is left."""
+    out = F.regexp_replace(c, rf"(?i)\s*\([^()]*(?:{marker})[^()]*\)", "")
+    sentences = lambda p: F.split(F.regexp_replace(p, r"([.!?])\s+", "$1\u0001"), "\u0001")
+    kept = lambda p: F.array_join(F.filter(sentences(p), lambda x: ~x.rlike(f"(?i){marker}")), " ")
+    parts = F.filter(F.transform(F.split(out, "\n\n"), kept), lambda p: p != "")
+    touched = F.regexp_replace(F.array_join(parts, "\n\n"), r"^\s+|\s+$", "")
+    return F.when(c.rlike(f"(?i){marker}"), F.nullif(touched, F.lit(""))).otherwise(c)
+
+
+def cleaning(marker: str | None = None) -> Callable[[Column], Column]:
+    """What a cleaning job does to each text."""
+    return (lambda c: scrubbed(text_clean(c), marker)) if marker else text_clean
+
+
+def cleaned(df: DataFrame, key: str, marker: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(df with every text of every column, nested ones included, in normal form and without marked sentences; the log of it: one
+    row (id, path, before, after) for each changed text). Both come from one stored pass over df."""
+    kept = checkpointed(df)
+    return nested.rewritten(kept, cleaning(marker), (key,)), nested.changed_cells(kept, cleaning(marker), key)
 
 
 def unique_ids(df: DataFrame, base: str, order: str) -> DataFrame:

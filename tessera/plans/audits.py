@@ -200,8 +200,8 @@ QUERIES = {
         lambda s, d: op.decode_plans(plans(s, d), read(s, d, "events").select(F.col("event_id").alias("item")), "item"),
         "WITH e AS (SELECT DISTINCT event_id % 200 AS plan, event_id * 7 % 12000 AS item FROM events) SELECT plan, count(*) FILTER (WHERE item IN (SELECT event_id FROM events)) AS n_items, count(*) FILTER (WHERE item NOT IN (SELECT event_id FROM events)) AS n_unknown FROM e GROUP BY plan",
     ),
-    "link_integrity": (
-        lambda s, d: op.link_integrity(pages(s, d)),
+    "broken_paths": (
+        lambda s, d: op.broken_paths(pages(s, d)),
         f"WITH {LINKS}, i AS (SELECT page_id, {PATH.format('href')} AS path FROM ln WHERE starts_with(href, '/')) SELECT path, count(DISTINCT page_id) AS n_pages, min(page_id) AS first_page FROM i WHERE path NOT IN (SELECT {PATH.format('url')} FROM pages) GROUP BY path",
     ),
     "link_graph": (

@@ -14,6 +14,10 @@ from tessera.sources.shared import scratch
 from tessera.streaming import jobs
 
 ENTITY = T.StructType([T.StructField("id", T.LongType()), T.StructField("kind", T.StringType())])
+CUSTOMER = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("segment", T.StringType())])
+SUPPLIER = T.StructType([T.StructField("id", T.LongType()), T.StructField("balance", T.DoubleType())])
+#: How many records a slice has: files stay small however large the tables are.
+SLICE = 50
 
 
 def load_entities(s, d):
@@ -26,6 +30,56 @@ def load_entities(s, d):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("_corrupt_record").alias("n_corrupt"))
 
 
+def sliced(s, d):
+    """Two kinds of records as whole JSON arrays, a file for each slice of fifty ids: every seventh slice is empty, every eleventh
+    broken, every thirteenth no array, every fifth missing; some records are no objects or hold a wrong type."""
+    root = scratch(s, "sliced")
+    for name, key, record in (("customer", "c_custkey", ("c_name", "c_mktsegment")), ("supplier", "s_suppkey", ("s_acctbal",))):
+        k = F.col(key)
+        fields = [k.alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")] if name == "customer" else [k.alias("id"), F.col("s_acctbal").cast("double").alias("balance")]
+        text = F.when(k % 41 == 0, F.concat(F.lit('"'), k, F.lit('"'))).when(k % 37 == 0, F.concat(F.lit('{"id": "x'), k, F.lit('"}'))).otherwise(F.to_json(F.struct(*fields)))
+        rows = read(s, d, name).select(F.floor(k / SLICE).cast("int").alias("slice"), F.struct(k.alias("k"), text.alias("text")).alias("x")).filter("slice % 5 <> 4")
+        whole = rows.groupBy("slice").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), ",\n").alias("all"))
+        at = F.col("slice")
+        file = F.when(at % 7 == 3, "[]").when(at % 11 == 2, F.concat(F.lit("["), "all")).when(at % 13 == 1, '{"id": 1}').otherwise(F.concat(F.lit("[\n"), "all", F.lit("\n]\n")))
+        whole.select("slice", file.alias("value")).write.partitionBy("slice").text(f"{root}/{name}")
+    kinds = [io.Kind("customer", CUSTOMER, "customer/slice=*/*.txt", r"slice=([0-9]+)", True), io.Kind("supplier", SUPPLIER, "supplier/slice=*/*.txt", r"slice=([0-9]+)"), io.Kind("venue", SUPPLIER, "venue/slice=*/*.txt", r"slice=([0-9]+)")]
+    expected = read(s, d, "customer").select(F.floor(F.col("c_custkey") / SLICE).cast("int").alias("slice")).distinct()
+    return io.load_slices(s, root, kinds, expected)
+
+
+def load_slices(s, d):
+    """What came of each file: records, and problems by message."""
+    found, problems = sliced(s, d)
+    out = problems.groupBy("kind", "slice", "level", "message").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    for name, rows in found.items():
+        out = out.unionByName(rows.groupBy(F.lit(name).alias("kind"), "slice").agg(F.lit("info").alias("level"), F.lit("records").alias("message"), F.count("*").alias("n"), F.min("pos").alias("first_pos")))
+    return out
+
+
+SLICES = f"""WITH r AS (SELECT 'customer' AS kind, c_custkey AS k, c_custkey // {SLICE} AS slice FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_suppkey // {SLICE} FROM supplier),
+ f AS (SELECT *, row_number() OVER (PARTITION BY kind, slice ORDER BY k) - 1 AS pos, CASE WHEN slice % 7 = 3 THEN 'is empty' WHEN slice % 11 = 2 THEN 'invalid JSON' WHEN slice % 13 = 1 THEN 'must be an array' END AS wrong FROM r WHERE slice % 5 <> 4),
+ e AS (SELECT DISTINCT c_custkey // {SLICE} AS slice FROM customer), k AS (SELECT unnest(['customer', 'supplier', 'venue']) AS kind),
+ o AS (SELECT kind, slice, CASE WHEN wrong = 'is empty' AND kind <> 'customer' THEN 'warning' ELSE 'error' END AS level, wrong AS message, 1 AS n, NULL AS first_pos FROM f WHERE wrong IS NOT NULL GROUP BY kind, slice, wrong
+  UNION ALL SELECT kind, slice, 'error', CASE WHEN k % 41 = 0 THEN 'must be an object' ELSE 'holds a value of the wrong type' END AS m, count(*), min(pos) FROM f WHERE wrong IS NULL AND (k % 41 = 0 OR k % 37 = 0) GROUP BY kind, slice, m
+  UNION ALL SELECT kind, slice, CASE WHEN kind = 'customer' THEN 'error' ELSE 'warning' END, 'is missing', 1, NULL FROM e, k WHERE (kind, slice) NOT IN (SELECT (kind, slice) FROM f)
+  UNION ALL SELECT kind, slice, 'info', 'records', count(*), min(pos) FROM f WHERE wrong IS NULL AND k % 41 <> 0 GROUP BY kind, slice)
+ SELECT kind, CAST(slice AS VARCHAR) AS slice, level, message, n, CAST(first_pos AS INT) AS first_pos FROM o"""
+
+
+def exported(s, d):
+    """The two outputs joined again: what a client has that loads both."""
+    rows = instances(s, d).withColumn("description", F.when(F.col("id") % 3 != 0, F.concat(F.lit("About \"listing\" "), "id")))
+    venues = read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).filter("id % 4 <> 0")
+    narrow, wide = io.export_instances(rows, venues, scratch(s, "export"))
+    return narrow.join(wide, "n", "left")
+
+
+EXPORTED = """, v AS (SELECT s_suppkey AS id, s_name AS name, row_number() OVER (ORDER BY s_suppkey) - 1 AS v FROM supplier WHERE s_suppkey % 4 <> 0),
+ g AS (SELECT i.id, any_value(program) AS program, any_value(venue) AS venue, string_agg('[' || day || ',' || s || ',' || e || ',' || (CAST(eu AS INT) + CAST(ad AS INT) * 4 + CAST(og AS INT) * 8) || ']', ',' ORDER BY day) AS i FROM i GROUP BY i.id)
+ SELECT row_number() OVER (ORDER BY g.id) AS n, '{"id":' || g.id || ',"p":"' || program || '","v":' || coalesce(CAST(v AS VARCHAR), 'null') || ',"vn":' || coalesce('"' || name || '"', 'null') || ',"i":[' || i || ']}' AS json, CASE WHEN g.id % 3 <> 0 THEN 'About "listing" ' || g.id END AS text FROM g LEFT JOIN v ON v.id = g.venue"""
+
+
 def publish(s, d):
     """Two editions of a table: the one with errors stays unpublished."""
     rows = audits.texts(s, d)
@@ -68,7 +122,8 @@ STAMP = "strftime(make_timestamp(CAST({0} * 1000000 AS BIGINT)), '%Y%m%dT%H%M%S'
 QUERIES = {
     "load_entities": (load_entities, "SELECT CASE WHEN event_id % 50 <> 0 THEN event_type END AS kind, count(*) AS n, count(*) FILTER (WHERE event_id % 50 = 0) AS n_corrupt FROM events GROUP BY 1"),
     "publish_if_clean": (publish, audits.FOUND + ", e AS (SELECT DISTINCT id FROM f WHERE level = 'error') SELECT 'all' AS edition, false AS published, 0 AS n UNION ALL SELECT 'clean', true, count(*) FROM tx WHERE id NOT IN (SELECT id FROM e)"),
-    "export_instances_json": (lambda s, d: io.export_instances(instances(s, d)), I + """ SELECT id, '{"id":' || id || ',"p":"' || program || '","i":[' || string_agg('[' || day || ',' || s || ',' || e || ',' || (CAST(eu AS INT) + CAST(ad AS INT) * 4 + CAST(og AS INT) * 8) || ']', ',' ORDER BY day) || ']}' AS json FROM i GROUP BY id, program"""),
+    "load_slices": (load_slices, SLICES),
+    "export_instances_json": (exported, I + EXPORTED),
     "calendar_feed": (
         lambda s, d: io.calendar_feed(sessions(s, d)).select("user_id", F.sha2("ics", 256).alias("sha"), F.length("ics").alias("n_chars")),
         f"WITH {SESSIONS}, b AS (SELECT user_id, s, id, concat_ws(chr(10), 'BEGIN:VEVENT', 'UID:' || id, 'SUMMARY:' || title, CASE WHEN ad OR tu THEN 'DTSTART;VALUE=DATE:' || {STAMP.format('s')}[1:8] ELSE 'DTSTART:' || {STAMP.format('s')} END, CASE WHEN NOT (ad OR tu) AND NOT eu THEN 'DTEND:' || {STAMP.format('e')} END, CASE WHEN cancelled THEN 'STATUS:CANCELLED' END, 'END:VEVENT') AS block FROM x), g AS (SELECT user_id, string_agg(block, chr(10) ORDER BY s, id) AS ics FROM b GROUP BY user_id) SELECT user_id, sha256(ics) AS sha, length(ics) AS n_chars FROM g",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.geo import METRES_SQL
+from tessera.operators import nested
 from tessera.operators import records as op
 from tessera.operators import schedule
 from tessera.plans.lenses import CUSTOMERS, SESSIONS, SUPPLIERS, places, read, sessions
@@ -54,15 +56,34 @@ def free_texts(s, d):
     return read(s, d, "customer").select(k.alias("c"), text.alias("location"))
 
 
-def references(s, d):
-    x = sessions(s, d)
-    each = F.array(F.struct(F.lit("venue").alias("kind"), F.col("venue").cast("long").alias("ref")), F.struct(F.lit("user").alias("kind"), F.col("user_id").alias("ref")))
-    return x.select(F.col("id").alias("source"), F.explode(each).alias("r")).select("source", F.col("r.kind").alias("field"), "r.kind", "r.ref")
+SHOW = T.StructType([
+    T.StructField("id", T.LongType()), nested.refers("venue_id", T.LongType(), "venue"), T.StructField("title", T.StringType()), nested.refers("people", T.ArrayType(T.LongType()), "person"), nested.refers("roles", T.MapType(T.LongType(), T.StringType()), None, "person"),
+    T.StructField("works", T.ArrayType(T.StructType([nested.refers("work_id", T.LongType(), "work"), T.StructField("by", T.StructType([nested.refers("org_id", T.LongType(), "org")]))]))),
+])
+
+
+def shows(s, d):
+    """Orders as shows: a venue, two people, a map of roles by person, and their lines (at most seven) as works with an organisation each."""
+    lines = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    works = F.transform("l", lambda x: F.struct(x["l_partkey"].alias("work_id"), F.struct(F.when(x["l_partkey"] % 3 != 0, x["l_suppkey"]).alias("org_id")).alias("by")))
+    rows = read(s, d, "orders").join(lines, k == F.col("id"), "left")
+    roles = F.create_map((c * 7 % 180).cast("long"), F.lit("host"), (c * 7 % 180 + 1).cast("long"), F.lit("guest"))
+    shaped = rows.select(k.alias("id"), F.when(k % 5 != 0, c % 100).cast("long").alias("venue_id"), F.concat(F.lit("Show "), k).alias("title"), F.array(c, F.when(k % 2 == 0, c + 1)).cast("array<bigint>").alias("people"), F.when(k % 4 == 0, roles).alias("roles"), works.alias("works"))
+    return shaped.select(*(F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in SHOW.fields))
 
 
 def targets(s, d):
-    v = read(s, d, "supplier").filter("s_suppkey < 80").select(F.lit("venue").alias("kind"), F.col("s_suppkey").alias("id"))
-    return v.unionByName(read(s, d, "customer").filter("c_custkey < 140").select(F.lit("user").alias("kind"), F.col("c_custkey").alias("id")))
+    of = lambda name, key, where, kind: read(s, d, name).filter(where).select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+    return of("supplier", "s_suppkey", "s_suppkey < 80", "venue").unionByName(of("customer", "c_custkey", "c_custkey < 140", "person")).unionByName(of("part", "p_partkey", "p_partkey % 50 <> 0", "work")).unionByName(of("supplier", "s_suppkey", "s_suppkey % 9 <> 0", "org"))
+
+
+DANGLING = """WITH w AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ r AS (SELECT o_orderkey AS id, 'venue_id' AS path, 'venue' AS kind, o_custkey % 100 AS ref FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'people[0]', 'person', o_custkey FROM orders UNION ALL SELECT o_orderkey, 'people[1]', 'person', o_custkey + 1 FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_orderkey, 'roles{' || (o_custkey * 7 % 180 + j) || '}', 'person', o_custkey * 7 % 180 + j FROM orders, (SELECT unnest([0, 1]) AS j) WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT id, 'works[' || i || '].work_id', 'work', l_partkey FROM w UNION ALL SELECT id, 'works[' || i || '].by.org_id', 'org', l_suppkey FROM w WHERE l_partkey % 3 <> 0)
+ SELECT CAST(id AS VARCHAR) AS id, path, kind, CAST(ref AS VARCHAR) AS ref FROM r WHERE CASE kind WHEN 'venue' THEN ref NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 80) WHEN 'person' THEN ref NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 140)
+  WHEN 'work' THEN ref NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 0) ELSE ref NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 9 <> 0) END"""
 
 
 def priced(s, d, which):
@@ -141,10 +162,37 @@ def edition(s, d, which):
 EDITION = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 0 AND {0} = 1 THEN upper(p_name) ELSE p_name END AS name, p_size + {0} * CAST(p_partkey % 60 = 0 AS INT) AS size FROM part WHERE p_partkey % 50 <> {0})"
 
 
+#: Sentences that speak of a license point at where a text comes from, not at what it says.
+MARKER = r"\blicen[sc]ed?\b"
+
+
 def clean_log(s, d):
-    rows = read(s, d, "pages").select(F.col("page_id"), F.col("html").alias("before")).withColumn("after", op.text_clean(F.col("before")))
-    changed = ~F.col("before").eqNullSafe(F.col("after"))
-    return rows.select("page_id", F.sha2("after", 256).alias("sha"), changed.alias("changed"))
+    """The log of cleaning every text of three tables."""
+    out = None
+    for name, key in (("documents", F.col("doc_id")), ("pages", F.col("page_id")), ("conversations", F.concat_ws("/", "conv_id", "turn"))):
+        rows = read(s, d, name)
+        texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+        shaped = rows.select(key.cast("string").alias("id"), F.struct(*texts).alias("texts"))
+        log = op.cleaned(shaped, "id", MARKER)[1].select(F.lit(name).alias("tbl"), "id", F.regexp_replace("path", r"^texts\.", "").alias("path"), F.length("before").alias("n_before"), F.sha2("after", 256).alias("after_sha"))
+        out = log if out is None else out.unionByName(log)
+    return out
+
+
+def _sql_clean(c: str) -> str:
+    """The same steps; the tables hold entities by name only. The ampersand is decoded last, so that nothing is decoded twice."""
+    out = f"regexp_replace(replace(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), chr(160), ' '), '[\u200b\u200c\u200d\u2060\ufeff]', '', 'g')"
+    for name, char in sorted(op.ENTITIES.items(), key=lambda x: x[0] == "amp"):
+        out = f"replace({out}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    out = f"regexp_replace(regexp_replace({out}, '<br\\s*/?>', chr(10), 'gi'), '</?[a-zA-Z][^>]*>', '', 'g')"
+    out = f"regexp_replace(regexp_replace(regexp_replace({out}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"nullif(regexp_replace({out}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+CLEAN = f"""WITH x AS (SELECT 'documents' AS tbl, CAST(doc_id AS VARCHAR) AS id, unnest(['text', 'lang', 'source']) AS path, unnest([text, lang, source]) AS b FROM documents UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), unnest(['url', 'html']), unnest([url, html]) FROM pages
+  UNION ALL SELECT 'conversations', conv_id || '/' || turn, unnest(['role', 'text']), unnest([role, text]) FROM conversations),
+ c AS (SELECT *, {_sql_clean('b')} AS t FROM x), m AS (SELECT *, regexp_replace(t, '\\s*\\([^()]*(?:\\blicen[sc]ed?\\b)[^()]*\\)', '', 'gi') AS u FROM c),
+ a AS (SELECT tbl, id, path, b, CASE WHEN regexp_matches(t, '\\blicen[sc]ed?\\b', 'i') THEN nullif(regexp_replace(array_to_string(list_filter(list_transform(string_split(u, chr(10) || chr(10)), lambda p: array_to_string(list_filter(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: NOT regexp_matches(x, '\\blicen[sc]ed?\\b', 'i')), ' ')), lambda p: p <> ''), chr(10) || chr(10)), '^\\s+|\\s+$', '', 'g'), '') ELSE t END AS a FROM m)
+ SELECT tbl, id, path, CAST(length(b) AS INT) AS n_before, sha256(a) AS after_sha FROM a WHERE b IS NOT NULL AND a IS DISTINCT FROM b"""
 
 
 def days_of(s, d):
@@ -165,7 +213,6 @@ def decisions(s, d):
 
 
 QUERIES = {
-    "load_slices": (lambda s, d: slices(s, d).groupBy(F.floor(F.col("ord") / 1_000_000).alias("slice")).agg(F.count("*").alias("n"), F.count("segment").alias("n_segment")), W + " SELECT CAST(floor(ord / 1000000) AS BIGINT) AS slice, count(*) AS n, count(segment) AS n_segment FROM sl GROUP BY 1"),
     "remap_ids": (
         lambda s, d: op.remap_ids(slices(s, d).select("k", "id"), s.range(0, 600, 7).select(F.col("id").alias("drop"), (F.col("id") + 1).alias("keep")), "id").groupBy("id").agg(F.count("*").alias("n")),
         W + " SELECT CASE WHEN id % 7 = 0 THEN id + 1 ELSE id END AS id, count(*) AS n FROM sl GROUP BY 1",
@@ -193,10 +240,7 @@ QUERIES = {
         lambda s, d: sessions(s, d).join(read(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("venue"), F.col("s_nationkey").alias("n_nationkey")), "venue", "left").join(read(s, d, "nation"), "n_nationkey", "left").groupBy(F.coalesce("n_name", F.lit("unknown")).alias("hood")).agg(F.count("*").alias("n")),
         W + " SELECT coalesce(n_name, 'unknown') AS hood, count(*) AS n FROM x LEFT JOIN supplier ON venue = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
     ),
-    "dangling_refs": (
-        lambda s, d: op.dangling_refs(references(s, d), targets(s, d)).groupBy("field", "ref").agg(F.count("*").alias("n"), F.min("source").alias("first_source")),
-        W + " SELECT 'venue' AS field, CAST(venue AS BIGINT) AS ref, count(*) AS n, min(id) AS first_source FROM x WHERE venue NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 80) GROUP BY venue UNION ALL SELECT 'user', user_id, count(*), min(id) FROM x WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 140) GROUP BY user_id",
-    ),
+    "dangling_refs": (lambda s, d: op.dangling_refs(nested.references(shows(s, d), "id"), targets(s, d)), DANGLING),
     "referenced_only": (
         lambda s, d: op.referenced_only(venue_names(s, d), sessions(s, d).filter("featured").select(F.col("venue").cast("long").alias("id")), "id"),
         W + " SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey IN (SELECT venue FROM x WHERE featured)",
@@ -245,10 +289,7 @@ QUERIES = {
         lambda s, d: credits(s, d).groupBy("event", "label").agg(F.countDistinct("person").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("person")), lambda x: x.cast("string")), ",").alias("names")),
         f"WITH c AS (SELECT c_custkey % 300 AS person, c_custkey % 7 AS event, CASE WHEN c_custkey % 3 = 0 THEN {LABELS_SQL}[c_custkey * 7 % 11 + 1] END AS label FROM customer) SELECT event, label, count(DISTINCT person) AS n, string_agg(DISTINCT person, ',' ORDER BY person) AS names FROM c GROUP BY 1, 2",
     ),
-    "text_clean_job": (
-        clean_log,
-        "WITH p AS (SELECT page_id, html AS b FROM pages), c AS (SELECT page_id, b, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '[​‌‍﻿]', '', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\s ]+', ' ', 'g')) AS a FROM p) SELECT page_id, sha256(a) AS sha, b <> a AS changed FROM c",
-    ),
+    "text_clean_job": (clean_log, CLEAN),
     "decision_log": (
         decisions,
         W + f", p AS (SELECT id, count(*) AS n, count(DISTINCT {KEY.format('name')}) AS names, count(bio) AS bios FROM sl GROUP BY id) SELECT 'merge' AS decision, CAST(sum(n - 1) AS BIGINT) AS n FROM p UNION ALL SELECT 'apart', CAST(sum(names - 1) AS BIGINT) FROM p UNION ALL SELECT 'gap', count(*) FILTER (WHERE bios = 0) FROM p",

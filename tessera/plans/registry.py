@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audits, directory, places, publishing, records, schedule
+from tessera.plans import audits, directory, links, places, publishing, records, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (schedule, directory, records, places, audits, publishing)
+FAMILIES = (schedule, directory, records, places, audits, links, publishing)
 
 
 def queries() -> dict[str, Query]:
