@@ -141,13 +141,29 @@ def georef_cv(controls: DataFrame, grid: list[tuple[float, float]]) -> DataFrame
     return fit.groupBy("map", "alpha", "s").agg(F.floor(F.avg(r) * 1000 + 0.5).cast("long").alias("mean_milli"), F.floor(F.percentile(r, F.lit(0.9)) * 1000 + 0.5).cast("long").alias("p90_milli"))
 
 
-def position_uncertainty(pins: DataFrame, residuals: DataFrame, s: float = 40.0, floor: int = 15, step: int = 5) -> DataFrame:
-    """Kernel-weighted root mean square of the residuals (map, cx, cy, r) around each pin of their map, at least ``floor``, in
-    steps of ``step``."""
-    d = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y"))
-    met = pins.join(residuals, "map").withColumn("w", 1.0 / (d + F.lit(s * s)))
-    rms = F.sqrt(F.sum(F.col("w") * F.col("r") * F.col("r")) / F.sum("w"))
-    return met.groupBy("map", "pin").agg((F.ceil(F.greatest(F.lit(float(floor)), rms) / step) * step).cast("long").alias("approx_m"))
+def local_error(places: DataFrame, residuals: DataFrame, keys: list[str], s: float, alpha: float, near: float = 0.01) -> DataFrame:
+    """(keys, local): the root mean square of the residuals (map, cx, cy, r) around each place (map, x, y and keys), weighted by
+    1 / (d^2 + s^2)^alpha; a residual that lies where ``own`` says (at most ``near`` away) is left out. A map has some dozens."""
+    dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
+    met = places.join(residuals.select("map", "cx", "cy", "r"), "map").filter(~F.col("own") | (F.abs(dx) >= near) | (F.abs(dy) >= near))
+    met = met.withColumn("w", 1.0 / F.pow(dx * dx + dy * dy + F.lit(s * s), F.lit(alpha)))
+    return met.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("r") * F.col("r")) / F.sum("w")).alias("local"))
+
+
+def uncertainty_factors(residuals: DataFrame, s: float = 40.0, alpha: float = 2.0, share: float = 0.9, otherwise: float = 2.0) -> DataFrame:
+    """(map, factor, n) for every map of residuals (map, c, cx, cy, r, counts): by what local errors must be multiplied to cover
+    ``share`` of the residuals that count, each judged by the others around it. ``otherwise`` where none counts."""
+    places = residuals.filter("counts").select("map", "c", "r", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(True).alias("own"))
+    local = local_error(places.drop("r"), residuals, ["map", "c"], s, alpha).join(places.select("map", "c", "r"), ["map", "c"])
+    ratios = local.groupBy("map").agg(F.percentile(F.col("r") / F.greatest("local", F.lit(1.0)), F.lit(share)).alias("factor"), F.count("*").alias("n"))
+    return residuals.select("map").distinct().join(ratios, "map", "left").select("map", F.coalesce("factor", F.lit(otherwise)).alias("factor"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def position_uncertainty(pins: DataFrame, residuals: DataFrame, s: float = 40.0, alpha: float = 2.0, share: float = 0.9, floor: int = 15, step: int = 5) -> DataFrame:
+    """(map, pin, approx_m) of pins (map, pin, x, y): the local error times its map's factor, at least ``floor``, in steps of
+    ``step``. So about ``share`` of what is placed like the residuals that count lies within approx_m."""
+    local = local_error(pins.withColumn("own", F.lit(False)), residuals, ["map", "pin"], s, alpha).join(uncertainty_factors(residuals, s, alpha, share), "map")
+    return local.select("map", "pin", (F.ceil(F.greatest(F.lit(float(floor)), F.col("local") * F.col("factor")) / step - 1e-9) * step).cast("long").alias("approx_m"))
 
 
 def hood_assignment(df: DataFrame, table: DataFrame, seeds: DataFrame, radius: int, region: tuple) -> DataFrame:

@@ -181,25 +181,43 @@ def match_tiers(entries: DataFrame, works: DataFrame, radius: int = 200, least:
     return mutual_best(ranked.select("a", "b", F.struct("tier", "metres").alias("cost"))).select("a", "b", "cost.tier", "cost.metres")
 
 
-def trigram_similarity(df: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs (a, b) of different texts by the Jaccard index of their padded trigrams, in thousandths. Equal texts are one;
-    pairs meet on shared trigrams only, rarest first: a pair that reaches the threshold shares one of the first
-    n - ceil(least * n) + 1 trigrams of either side."""
-    rows = df.groupBy(F.lower("text").alias("text")).agg(F.min("id").alias("id"))
-    padded = F.concat(F.lit("  "), "text", F.lit(" "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
-    rows = rows.withColumn("grams", grams).withColumn("n", F.size("grams"))
-    each = rows.select("id", "n", F.explode("grams").alias("g"))
-    rank = each.groupBy("g").agg(F.count("*").alias("f"))
-    w = Window.partitionBy("id").orderBy("f", "g")
-    first = each.join(rank, "g").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "n", "g")
-    a, b = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    met = a.join(b, "g").filter("a < b and na >= nb * {0} and nb >= na * {0}".format(least)).select("a", "b").distinct()
-    full = rows.select("id", "grams")
-    both = met.join(full.toDF("a", "ga"), "a").join(full.toDF("b", "gb"), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    score = shared / (F.size("ga") + F.size("gb") - shared)
-    return both.select("a", "b", F.floor(score * 1000).cast("long").alias("permille")).filter(score >= least)
+def merged_with_log(rows: DataFrame, fields: list[str], drops: dict[str, Column], region: tuple[int, int, int, int], order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """(records, log) of rows (id, slice, order, lat, lng and fields) of many slices, both from one stored pass.
+
+    Rows that fit a reason of ``drops`` (the first one) go, the others of an id are one record: each field its first value by
+    order, and the first full pair of coordinates, unless it lies outside the region. The log (decision, id, source, detail) has a
+    row for every input that isn't a record's first (drop, with the reason; merge, with the order of the first), for every field
+    that comes from a later row (fill) or from none (gap), for coordinates taken away (geo), and one for each slice read (input,
+    with its number of rows)."""
+    wrong = F.coalesce(*(F.when(c, reason) for reason, c in drops.items())) if drops else F.lit(None).cast("string")
+    rows = checkpointed(rows.withColumn("_wrong", wrong))
+    kept = rows.filter("_wrong is null")
+    at = lambda c: F.min(F.when(c, F.col(order)))
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    point = F.min_by(F.struct("lat", "lng"), F.when(placed, F.col(order)))
+    per = kept.groupBy("id").agg(F.count("*").alias("n"), F.min(order).alias("lead"), *(first_by(f, order).alias(f) for f in fields), *(at(F.col(f).isNotNull()).alias(f"_{f}") for f in fields), F.when(at(placed).isNotNull(), point).alias("point"))
+    inside = F.col("point.lat").between(region[0], region[1]) & F.col("point.lng").between(region[2], region[3])
+    per = checkpointed(per.withColumn("inside", inside))
+    records = per.select("id", "n", *fields, *(F.when(F.col("inside"), F.col(f"point.{c}")).alias(c) for c in ("lat", "lng")))
+    entry = lambda df, decision, source, detail: df.select(F.lit(decision).alias("decision"), F.col("id").cast("string").alias("id"), source.cast("string").alias("source"), detail.cast("string").alias("detail"))
+    none = F.lit(None)
+    told = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("source")) for f in fields))).alias("x")
+    each = per.select("id", "lead", told).select("id", "lead", "x.*")
+    log = entry(rows.filter("_wrong is not null"), "drop", F.col(order), F.col("_wrong"))
+    for more in (
+        entry(kept.join(per.select("id", "lead"), "id").filter(F.col(order) != F.col("lead")), "merge", F.col(order), F.col("lead")),
+        entry(each.filter("source <> lead"), "fill", F.col("source"), F.col("field")), entry(each.filter("source is null"), "gap", none, F.col("field")),
+        entry(per.filter("not inside"), "geo", none, F.concat_ws(", ", "point.lat", "point.lng")), entry(rows.groupBy(F.col("slice").alias("id")).agg(F.count("*").alias("n")), "input", none, F.col("n")),
+    ):
+        log = log.unionByName(more)
+    return records, log
+
+
+def balance(log: DataFrame, records: DataFrame) -> DataFrame:
+    """(n_read, n_dropped, n_merged, n_records, adds_up): what was read is what was dropped, merged or is a record."""
+    n = lambda d: F.count_if(F.col("decision") == d)
+    sums = log.agg(F.coalesce(F.sum(F.when(F.col("decision") == "input", F.col("detail").cast("long"))), F.lit(0)).alias("n_read"), n("drop").alias("n_dropped"), n("merge").alias("n_merged"))
+    return sums.join(records.agg(F.count("*").alias("n_records")), F.lit(True)).withColumn("adds_up", F.expr("n_read = n_dropped + n_merged + n_records"))
 
 
 def role_inference(credits: DataFrame, rules: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ def controls(s, d):
     return read(s, d, "supplier").select(F.floor(k / 50).alias("map"), k.alias("c"), x.alias("cx"), y.alias("cy"), (2.0 * x + 0.5 * y + 0.001 * x * y).alias("u"), (1.5 * y - 0.25 * x + 0.0005 * x * x).alias("v"))
 
 
+def residuals(s, d):
+    """Residuals of the controls; two of three count for the factor."""
+    return controls(s, d).select("map", "c", "cx", "cy", (F.col("c") * 7 % 40 + F.col("c") % 3 * 5).cast("double").alias("r"), (F.col("c") % 3 != 0).alias("counts"))
+
+
 CONTROLS = "ct AS (SELECT CAST(floor(s_suppkey / 50) AS BIGINT) AS map, s_suppkey AS c, x AS cx, y AS cy, 2.0::DOUBLE * x + 0.5::DOUBLE * y + 0.001::DOUBLE * x * y AS u, 1.5::DOUBLE * y - 0.25::DOUBLE * x + 0.0005::DOUBLE * x * x AS v FROM (SELECT s_suppkey, CAST(s_suppkey * 53 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 29 % 800 AS DOUBLE) AS y FROM supplier))"
 PINS = "pn AS (SELECT CAST(floor(c_custkey / 750) AS BIGINT) AS map, c_custkey AS pin, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 91 % 800 AS DOUBLE) AS y FROM customer)"
 SUMS = "sum(w) AS s0, sum(w * dx) AS sx, sum(w * dy) AS sy, sum(w * dx * dx) AS sxx, sum(w * dx * dy) AS sxy, sum(w * dy * dy) AS syy, sum(w * u) AS su, sum(w * u * dx) AS sux, sum(w * u * dy) AS suy, sum(w * v) AS sv, sum(w * v * dx) AS svx, sum(w * v * dy) AS svy"
@@ -112,8 +117,13 @@ QUERIES = {
         f"WITH {CONTROLS}, g AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {s}::DOUBLE)' for a, s in GRID)}) t(alpha, s)), m AS (SELECT l.map, alpha, s, l.c AS pin, l.u AS tu, l.v AS tv, 1.0::DOUBLE / pow((k.cx - l.cx) * (k.cx - l.cx) + (k.cy - l.cy) * (k.cy - l.cy) + s * s, alpha) AS w, k.cx - l.cx AS dx, k.cy - l.cy AS dy, k.u, k.v FROM ct l JOIN ct k ON l.c <> k.c AND l.map = k.map, g), q AS (SELECT map, alpha, s, pin, tu, tv, {SUMS} FROM m GROUP BY ALL), r AS (SELECT map, alpha, s, sqrt(pow({CRAMER.format('u')} - tu, 2) + pow({CRAMER.format('v')} - tv, 2)) AS r FROM q) SELECT map, alpha, s, CAST(floor(avg(r) * 1000 + 0.5) AS BIGINT) AS mean_milli, CAST(floor(quantile_cont(r, 0.9) * 1000 + 0.5) AS BIGINT) AS p90_milli FROM r GROUP BY map, alpha, s",
     ),
     "position_uncertainty": (
-        lambda s, d: op.position_uncertainty(pins(s, d), controls(s, d).select("map", "cx", "cy", (F.col("c") * 7 % 40).cast("double").alias("r"))),
-        f"WITH {CONTROLS}, {PINS} SELECT map, pin, CAST(ceil(greatest(15.0::DOUBLE, sqrt(sum(c * 7 % 40 * (c * 7 % 40) / ((cx - x) * (cx - x) + (cy - y) * (cy - y) + 1600)) / sum(1.0::DOUBLE / ((cx - x) * (cx - x) + (cy - y) * (cy - y) + 1600)))) / 5) * 5 AS BIGINT) AS approx_m FROM pn JOIN ct USING (map) GROUP BY map, pin",
+        lambda s, d: op.position_uncertainty(pins(s, d), residuals(s, d)),
+        f"""WITH {CONTROLS}, {PINS}, r AS (SELECT map, c, cx, cy, CAST(c * 7 % 40 + c % 3 * 5 AS DOUBLE) AS r, c % 3 <> 0 AS counts FROM ct),
+ k0 AS (SELECT a.map, a.c, a.r, sqrt(sum(b.r * b.r / pow((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) + 1600, 2)) / sum(1 / pow((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) + 1600, 2))) AS local
+  FROM r a JOIN r b ON a.map = b.map AND NOT (abs(a.cx - b.cx) < 0.01 AND abs(a.cy - b.cy) < 0.01) WHERE a.counts GROUP BY a.map, a.c, a.r),
+ k AS (SELECT map, quantile_cont(r / greatest(local, 1), 0.9) AS factor FROM k0 GROUP BY map),
+ l AS (SELECT pn.map, pin, sqrt(sum(r * r / pow((x - cx) * (x - cx) + (y - cy) * (y - cy) + 1600, 2)) / sum(1 / pow((x - cx) * (x - cx) + (y - cy) * (y - cy) + 1600, 2))) AS local FROM pn JOIN r ON pn.map = r.map GROUP BY pn.map, pin)
+ SELECT l.map, pin, CAST(ceil(greatest(15, local * coalesce(factor, 2)) / 5 - 1e-9) * 5 AS BIGINT) AS approx_m FROM l LEFT JOIN k ON l.map = k.map""",
     ),
     "hood_assignment": (
         lambda s, d: op.hood_assignment(cus(s, d), cus(s, d).filter("id % 10 = 0").select("name", F.lit("T").alias("table_hood")), sup(s, d), 250, REGION),
@@ -134,6 +144,13 @@ QUERIES = {
     "pair_by_proximity": (lambda s, d: records.mutual_best(op.within_radius(sup(s, d), cus(s, d), 600).withColumnRenamed("metres", "cost")), PAIRED),
     "build_search_index": (lambda s, d: index(s, d).select("kind", "id", "ft", "fs"), f"WITH {INDEX} SELECT kind, id, ft, fs FROM ix"),
     "rank_search": (hits, HITS + " SELECT * FROM h WHERE rank <= 200"),
+    "match_spans": (
+        lambda s, d: search.marked_hits(hits(s, d, 40), index(s, d), asked(s, d)).select("qid", "kind", "id", F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias("spans")),
+        HITS + f""", m AS (SELECT qid, kind, id, lower(title) AS ft FROM h JOIN (SELECT kind, id, title FROM ix) USING (kind, id) WHERE rank <= 40), u AS (SELECT DISTINCT qid, t FROM tm WHERE length(t) > 1),
+ i AS (SELECT m.qid, kind, id, ft, t, unnest(range(0, length(ft) - length(t) + 1)) AS i FROM m JOIN u USING (qid) WHERE length(ft) >= length(t)), o AS (SELECT qid, kind, id, i AS a, i + length(t) AS b FROM i WHERE substr(ft, i + 1, length(t)) = t),
+ g AS (SELECT *, CASE WHEN a < max(b) OVER (PARTITION BY qid, kind, id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM o), n AS (SELECT *, sum(fresh) OVER (PARTITION BY qid, kind, id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS nth FROM g),
+ s AS (SELECT qid, kind, id, nth, min(a) AS a, max(b) AS b FROM n GROUP BY qid, kind, id, nth) SELECT m.qid, m.kind, m.id, coalesce(string_agg(a || '-' || b, ',' ORDER BY a), '') AS spans FROM m LEFT JOIN s ON s.qid = m.qid AND s.kind = m.kind AND s.id = m.id GROUP BY m.qid, m.kind, m.id""",
+    ),
     "group_search": (
         lambda s, d: search.group_search(hits(s, d), ["part", "supplier"]),
         HITS + ", g AS (SELECT qid, kind, count(*) AS n, bool_or(rank = 1 AND exact) AS leads FROM h WHERE rank <= 200 GROUP BY qid, kind) SELECT qid, kind, n, row_number() OVER (PARTITION BY qid ORDER BY leads DESC, kind) AS place FROM g",

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tessera.functions.geo import METRES_SQL
 from tessera.operators import nested
 from tessera.operators import records as op
-from tessera.operators import schedule
+from tessera.operators import schedule, similarity
 from tessera.plans.lenses import CUSTOMERS, SESSIONS, SUPPLIERS, places, read, sessions
 
 CASED = "CASE c_custkey % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN 'The ' || c_name ELSE c_name || ', Inc.' END"
@@ -204,12 +204,69 @@ def windows(s, d):
     return days_of(s, d).filter("id % 2 = 0").groupBy("program").agg((F.min("day") + 2).alias("a"), (F.max("day") - 2).alias("b"))
 
 
-def decisions(s, d):
-    """What merging the slices decided, by kind: records joined, fields filled, ids kept apart."""
-    rows = slices(s, d)
-    per = rows.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct(op.name_key(F.col("name"))).alias("names"), F.count("bio").alias("bios"))
-    each = F.array(F.struct(F.lit("merge").alias("decision"), (F.col("n") - 1).alias("n")), F.struct(F.lit("apart").alias("decision"), (F.col("names") - 1).alias("n")), F.struct(F.lit("gap").alias("decision"), (F.col("bios") == 0).cast("long").alias("n")))
-    return per.select(F.explode(each).alias("x")).groupBy("x.decision").agg(F.sum("x.n").alias("n"))
+#: In microdegrees; a strip of the customers lies outside.
+REGION = (39_080_000, 39_136_000, -84_540_000, -84_480_000)
+
+
+def decided(s, d):
+    """The slices with coordinates merged: what has no name or is out of date goes."""
+    k = F.col("k")
+    where = places(s, d, "customer").select(F.col("id").alias("k"), F.when(k % 3 != 0, F.col("lat")).alias("lat"), F.when(k % 4 != 0, F.col("lng")).alias("lng"))
+    rows = slices(s, d).drop("program").join(where, "k").withColumn("slice", F.floor(F.col("ord") / 1_000_000).cast("int")).withColumn("name", F.when(k % 29 != 0, F.col("name")))
+    return op.merged_with_log(rows, ["name", "segment", "bio"], {"no name": F.col("name").isNull(), "out of date": k % 31 == 0}, REGION)
+
+
+DECIDED = f"""WITH {SLICES}, {CUSTOMERS}, r AS (SELECT sl.id, sl.ord, ord // 1000000 AS slice, CASE WHEN k % 29 <> 0 THEN sl.name END AS name, segment, bio, CASE WHEN k % 3 <> 0 THEN lat END AS lat, CASE WHEN k % 4 <> 0 THEN lng END AS lng, k FROM sl JOIN cu ON cu.id = k),
+ w AS (SELECT *, CASE WHEN name IS NULL THEN 'no name' WHEN k % 31 = 0 THEN 'out of date' END AS wrong FROM r), q AS (SELECT * FROM w WHERE wrong IS NULL),
+ p AS (SELECT id, min(ord) AS lead, min(ord) FILTER (WHERE name IS NOT NULL) AS o_name, min(ord) FILTER (WHERE segment IS NOT NULL) AS o_segment, min(ord) FILTER (WHERE bio IS NOT NULL) AS o_bio,
+  arg_min(lat, ord) FILTER (WHERE lat IS NOT NULL AND lng IS NOT NULL) AS lat, arg_min(lng, ord) FILTER (WHERE lat IS NOT NULL AND lng IS NOT NULL) AS lng FROM q GROUP BY id),
+ f AS (SELECT id, lead, unnest(['name', 'segment', 'bio']) AS field, unnest([o_name, o_segment, o_bio]) AS source FROM p)
+ SELECT 'drop' AS decision, CAST(id AS VARCHAR) AS id, CAST(ord AS VARCHAR) AS source, wrong AS detail FROM w WHERE wrong IS NOT NULL UNION ALL SELECT 'merge', CAST(q.id AS VARCHAR), CAST(ord AS VARCHAR), CAST(lead AS VARCHAR) FROM q JOIN p ON q.id = p.id WHERE ord <> lead
+ UNION ALL SELECT 'fill', CAST(id AS VARCHAR), CAST(source AS VARCHAR), field FROM f WHERE source <> lead UNION ALL SELECT 'gap', CAST(id AS VARCHAR), NULL, field FROM f WHERE source IS NULL
+ UNION ALL SELECT 'geo', CAST(id AS VARCHAR), NULL, lat || ', ' || lng FROM p WHERE NOT (lat BETWEEN {REGION[0]} AND {REGION[1]} AND lng BETWEEN {REGION[2]} AND {REGION[3]}) UNION ALL SELECT 'input', CAST(slice AS VARCHAR), NULL, CAST(count(*) AS VARCHAR) FROM w GROUP BY slice"""
+
+
+def printed_texts(s, d):
+    """Customers as printed entries: titles of common words, some in another spelling or called just Mural, and a line of credits."""
+    k = F.col("c_custkey")
+    words = F.array(*map(F.lit, TITLE_WORDS))
+    word = lambda m: F.get(words, (k * m % len(TITLE_WORDS)).cast("int"))
+    title = F.when(k % 11 == 0, "Mural").when(k % 3 == 0, F.concat(F.upper(word(7)), F.lit("! "), word(13))).otherwise(F.concat(F.lit("The "), word(7), F.lit(" "), word(13), F.lit(" "), word(17)))
+    credit = F.when(k % 5 == 0, F.lit(None)).when(k % 2 == 0, F.concat(F.lit("Ané Artist"), k % 90)).otherwise(F.concat(F.lit("Studio"), k % 70, F.lit(" X Ane Artist"), k % 80))
+    return read(s, d, "customer").select(k.alias("id"), title.alias("title"), credit.alias("credit"), (k % 3).alias("medium"))
+
+
+def online_texts(s, d):
+    """Suppliers as works with up to two names."""
+    k = F.col("s_suppkey")
+    words = F.array(*map(F.lit, TITLE_WORDS))
+    word = lambda m: F.get(words, (k * m % len(TITLE_WORDS)).cast("int"))
+    title = F.when(k % 7 == 0, F.concat(F.lit("Mural by Ane Artist"), k % 90)).otherwise(F.concat(word(7), F.lit(" & "), word(13)))
+    names = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.concat(F.lit("ANE artist"), k % 90))).otherwise(F.array(F.concat(F.lit("Studio "), k % 70), F.lit("x"), F.concat(F.lit("ane artist "), k % 80)))
+    return read(s, d, "supplier").select(k.alias("id"), title.alias("title"), names.alias("names"), (k % 3).alias("medium"))
+
+
+TITLE_WORDS = ["River", "Show", "Big", "TV", "Garden", "Lights", "Insane", "Echo", "the", "Paper", "Moon", "Cloud", "Station", "Mirror", "Tiger", "Song", "of", "Summer", "North", "Bridge", "Glass", "Atlas", "Ferry"]
+
+
+def _score_sql() -> str:
+    squash = lambda c: f"regexp_replace({c}, '[^a-z0-9]', '', 'g')"
+    fold = lambda c: f"replace(replace(replace(lower(coalesce({c}, '')), 'é', 'e'), '&', ' and '), '!', 'i')"
+    grams = lambda c: f"list_distinct(list_transform(range(1, length({c}) + 2), lambda i: substr('  ' || {c} || ' ', i, 3)))"
+    sim = lambda a, b: f"len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+    words = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '[^a-z0-9]+'), lambda w: w NOT IN ('', {', '.join(repr(w) for w in similarity.STOPWORDS)})))"
+    n = len(TITLE_WORDS)
+    word = lambda k, m: f"{TITLE_WORDS}[{k} * {m} % {n} + 1]"
+    return f"""WITH e0 AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'Mural' WHEN c_custkey % 3 = 0 THEN upper({word('c_custkey', 7)}) || '! ' || {word('c_custkey', 13)} ELSE 'The ' || {word('c_custkey', 7)} || ' ' || {word('c_custkey', 13)} || ' ' || {word('c_custkey', 17)} END AS title,
+  CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN 'Ané Artist' || (c_custkey % 90) ELSE 'Studio' || (c_custkey % 70) || ' X Ane Artist' || (c_custkey % 80) END AS credit, c_custkey % 3 AS medium FROM customer),
+ e1 AS (SELECT *, {fold('title')} AS ft, {squash(fold('credit'))} AS cq, list_transform(list_prepend(credit, regexp_split_to_array(credit, ',| X | and ')), lambda p: {squash(fold('p'))}) AS parts FROM e0),
+ e2 AS (SELECT *, {squash("CASE WHEN ft = 'mural' THEN 'mural by ' || " + fold('credit') + " ELSE ft END")} AS tq FROM e1), e AS (SELECT id, medium, credit, cq, CASE WHEN ft = 'mural' THEN [] ELSE {words('ft')} END AS w, {grams('tq')} AS g, list_transform(parts, lambda p: {grams('p')}) AS pg FROM e2),
+ o0 AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'Mural by Ane Artist' || (s_suppkey % 90) ELSE {word('s_suppkey', 7)} || ' & ' || {word('s_suppkey', 13)} END AS title, s_suppkey % 3 AS medium,
+  CASE WHEN s_suppkey % 4 = 0 THEN [] WHEN s_suppkey % 4 = 1 THEN ['aneartist' || (s_suppkey % 90)] ELSE ['studio' || (s_suppkey % 70), 'aneartist' || (s_suppkey % 80)] END AS names FROM supplier),
+ o1 AS (SELECT *, {fold('title')} AS ft, {squash(fold('title'))} AS tq FROM o0), o AS (SELECT id, medium, {words('ft')} AS w, {grams('tq')} AS g, list_transform(names, lambda n: {{'n': n, 'g': {grams('n')}}}) AS names FROM o1),
+ s AS (SELECT e.id AS a, o.id AS b, greatest({sim('e.g', 'o.g')}, CASE WHEN len(list_intersect(e.w, o.w)) >= 2 THEN len(list_intersect(e.w, o.w)) / least(len(e.w), len(o.w)) ELSE 0 END) AS t,
+  CASE WHEN len(names) = 0 OR cq = '' THEN 0 ELSE len(list_filter(names, lambda n: contains(cq, n.n) OR contains(n.n, cq) OR len(list_filter(pg, lambda p: {sim('n.g', 'p')} >= 0.6)) > 0)) / len(names) END AS c FROM e JOIN o ON e.medium = o.medium)
+ SELECT a, b, CAST(floor(t * 1000 + 1e-6) AS BIGINT) AS title, CAST(floor(c * 1000 + 1e-6) AS BIGINT) AS credit FROM s WHERE t + c >= 0.9 - 1e-9"""
 
 
 QUERIES = {
@@ -266,8 +323,9 @@ QUERIES = {
         W + ", w AS (SELECT program, min(day) + 2 AS a, max(day) - 2 AS b FROM t WHERE id % 2 = 0 GROUP BY program) SELECT t.program, count(*) AS n, min(id) AS first_id FROM t JOIN w ON t.program = w.program WHERE day < a - 1 OR day > b + 1 GROUP BY t.program",
     ),
     "fuzzy_match_tiers": (lambda s, d: op.match_tiers(printed(s, d, "customer"), printed(s, d, "supplier")), TIERS),
-    "trigram_similarity": (
-        lambda s, d: op.trigram_similarity(short_texts(s, d)),
+    "trigram_similarity": (lambda s, d: similarity.text_scores(printed_texts(s, d), online_texts(s, d)), _score_sql()),
+    "near_texts": (
+        lambda s, d: similarity.near_texts(short_texts(s, d)),
         """WITH t AS (SELECT min(id) AS id, text FROM (SELECT item_id AS id, lower(text) AS text FROM benchmark UNION ALL SELECT item_id + 100000, lower(left(text, length(text) - 5) || ' end') FROM benchmark) GROUP BY text),
  g AS (SELECT DISTINCT id, substring('  ' || text || ' ', CAST(i AS INT), 3) AS g FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM t)), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
  p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT a, b, CAST(floor(c / (x.n + y.n - c) * 1000) AS BIGINT) AS permille FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.5""",
@@ -290,10 +348,7 @@ QUERIES = {
         f"WITH c AS (SELECT c_custkey % 300 AS person, c_custkey % 7 AS event, CASE WHEN c_custkey % 3 = 0 THEN {LABELS_SQL}[c_custkey * 7 % 11 + 1] END AS label FROM customer) SELECT event, label, count(DISTINCT person) AS n, string_agg(DISTINCT person, ',' ORDER BY person) AS names FROM c GROUP BY 1, 2",
     ),
     "text_clean_job": (clean_log, CLEAN),
-    "decision_log": (
-        decisions,
-        W + f", p AS (SELECT id, count(*) AS n, count(DISTINCT {KEY.format('name')}) AS names, count(bio) AS bios FROM sl GROUP BY id) SELECT 'merge' AS decision, CAST(sum(n - 1) AS BIGINT) AS n FROM p UNION ALL SELECT 'apart', CAST(sum(names - 1) AS BIGINT) FROM p UNION ALL SELECT 'gap', count(*) FILTER (WHERE bios = 0) FROM p",
-    ),
+    "decision_log": (lambda s, d: decided(s, d)[1], DECIDED),
     "facts_union": (
         lambda s, d: op.facts_union(facts(s, d, 0), facts(s, d, 1)).select("program", "key", "url", "ord"),
         "WITH f AS (SELECT p_partkey AS ord, p_partkey % 2 AS src, p_type AS program, 'v' || p_size AS key, p_brand AS url, p_partkey % 13 = 0 AS quoted FROM part) SELECT program, key, url, ord FROM (SELECT *, row_number() OVER (PARTITION BY program, key, url ORDER BY src, ord) AS rn FROM f WHERE NOT quoted) WHERE rn = 1 UNION ALL SELECT program, key, url, ord FROM f WHERE quoted",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import directory, feed, quality, records, schedule, search
+from tessera.operators import directory, feed, geo, quality, records, schedule, search
 from tessera.plans import audits
 from tessera.plans import records as record_plans
 
@@ -221,3 +221,33 @@ def test_roles_by_rule_order_then_curation_then_kind(spark):
     credits = spark.createDataFrame(rows, "person long, event long, ord int, label string, curated boolean, kind string, roles array<string>")
     got = {r.event: r.role for r in records.role_inference(credits, rules).collect()}
     assert got == {1: "artist", 2: "curator", 3: "moderator", 4: "host", 5: "host", 6: "curator", 7: "artist", 8: "organizer", 9: "artist", 10: "organizer", 11: "judge"}
+
+
+@pytest.mark.parametrize(("text", "query", "want"), [
+    ("Light show", "light", [(0, 5)]), ("Café Léger", "cafe leger", [(0, 4), (5, 10)]), ("Cafe\u0301 x", "cafe", [(0, 5)]), ("ﬁnal ﬁne", "fin", [(0, 2), (5, 7)]), ("ﬁx", "ix", [(0, 2)]), ("banana", "ana nan", [(1, 5)]), ("aaa", "aa", [(0, 2)]),
+    ("abcd", "ab cd", [(0, 2), (2, 4)]), ("a b", "a", []), ("", "light", []), ("😀 light", "LIGHT", [(2, 7)]), ("d’Art", "d'art", [(0, 5)]), ("xyz", "", []), (None, "x y", []), ("İstanbul", "stan", [(1, 5)]),
+])
+def test_spans_are_in_the_text_as_it_is(spark, text, query, want):
+    row = spark.createDataFrame([(text, query)], "t string, q string").select(search.match_spans(F.col("t"), F.col("q")).alias("x")).first()
+    assert [tuple(x) for x in row.x] == want
+
+
+def test_uncertainty_covers_nine_of_ten_controls_left_out(spark):
+    """Residuals that grow across a map: what is said around each control covers its own in about the asked share."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(m, c, x, y, abs(rng.gauss(0, 10 + x / 20)), c % 5 != 0) for m in range(4) for c in range(150) for x, y in [(rng.random() * 1000, rng.random() * 800)]]
+    residuals = spark.createDataFrame(rows, "map long, c long, cx double, cy double, r double, counts boolean")
+    factors = {r.map: (r.factor, r.n) for r in geo.uncertainty_factors(residuals).collect()}
+    assert all(f > 1 and n == 120 for f, n in factors.values())
+    covered = 0
+    for m, c, x, y, r, counts in rows:
+        others = [(1 / ((x - a) ** 2 + (y - b) ** 2 + 1600) ** 2, e) for n, k, a, b, e, _ in rows if n == m and k != c]
+        covered += counts and r <= max(15, 5 * -(-factors[m][0] * (sum(w * e * e for w, e in others) / sum(w for w, _ in others)) ** 0.5 // 5))
+    assert 0.88 <= covered / 480 <= 0.97
+    pins = residuals.select("map", F.col("c").alias("pin"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    got = geo.position_uncertainty(pins, residuals).collect()
+    assert len(got) == 600 and all(r.approx_m >= 15 and r.approx_m % 5 == 0 for r in got)
+    none = geo.uncertainty_factors(residuals.withColumn("counts", F.lit(False))).collect()
+    assert {(r.factor, r.n) for r in none} == {(2.0, 0)}
