@@ -92,22 +92,28 @@ def count_matrix(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
     return df.groupBy(row).agg(*cells, F.countDistinct("title").alias("total"))
 
 
-def unknown_audit(df: DataFrame) -> DataFrame:
-    """Completeness counters, one row each, from one pass."""
-    rules = {"end_unknown": F.col("eu"), "hours_unknown": F.col("tu"), "all_day": F.col("ad"), "no_venue": F.col("venue").isNull() | (F.col("venue") >= 90), "cancelled": F.col("cancelled"), "not_featured": ~F.col("featured")}
-    one = df.agg(*(F.count_if(c).alias(k) for k, c in rules.items()))
-    return one.unpivot([], list(rules), "counter", "n")
+def unknown_audit(tables: dict[str, tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """(counter, n) of what is not known, counters above zero only: of each table one pass for all of its counters. A counter tells
+    of rows for which its condition holds; null counts as not."""
+    out = None
+    for df, rules in tables.values():
+        one = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items())).unpivot([], list(rules), "counter", "n")
+        out = one if out is None else out.unionByName(one)
+    return out.filter("n > 0")
 
 
-def hood_rollup(parts: dict[str, DataFrame]) -> DataFrame:
-    """Counts of each kind of place by hood, and a weight that counts the first kind twice."""
+def hood_rollup(parts: dict[str, DataFrame], weights: dict[str, int], hoods: DataFrame) -> DataFrame:
+    """(hood, n_ of each part, weight, place) for each of hoods (hood, name, summary): how many rows of each part lie in it; the
+    weighted sum orders them, those with a summary first, equal ones by name."""
     rows = None
     for kind, df in parts.items():
-        one = df.select("hood", F.lit(kind).alias("kind"))
+        one = df.groupBy("hood").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
         rows = one if rows is None else rows.unionByName(one)
-    kinds = list(parts)
-    out = rows.groupBy("hood").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
-    return out.withColumn("weight", sum((F.col(f"n_{k}") for k in kinds), F.lit(0)) + F.col(f"n_{kinds[0]}"))
+    n = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("long").alias(f"n_{k}")
+    counted = hoods.join(rows, "hood", "left").groupBy("hood", "name", "summary").agg(*map(n, parts))
+    counted = counted.withColumn("weight", sum((F.col(f"n_{k}") * w for k, w in weights.items()), F.lit(0)).cast("long"))
+    order = Window.orderBy(F.col("summary").isNull(), F.col("weight").desc(), "name")  # one row a hood
+    return counted.withColumn("place", F.row_number().over(order)).drop("name", "summary")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

@@ -45,13 +45,17 @@ def inside(box: tuple[int, int, int, int]) -> Column:
     return F.col("lat").between(box[0], box[1]) & F.col("lng").between(box[2], box[3])
 
 
-def map_layers(layers: dict[str, DataFrame], box: tuple[int, int, int, int], width: int = 1000) -> DataFrame:
-    """Typed union of what lies inside the box, projected to whole map units from the north-west corner."""
+def map_layers(layers: dict[str, DataFrame], box: tuple[int, int, int, int], calendar: DataFrame, width: int = 1000) -> DataFrame:
+    """(layer, id, px, py, days) of what lies inside the box, projected to whole map units from the north-west corner; days are
+    those on which it is open: its own (days), or those of its program (calendar: program, first, last), or none where it has
+    neither. Layers have id, lat, lng and may have program or days."""
     rows = None
-    for kind, df in layers.items():
-        one = df.filter(inside(box)).select(F.lit(kind).alias("kind"), "id", F.floor((F.col("lng") - box[2]) * width / (box[3] - box[2])).cast("long").alias("px"), F.floor((box[1] - F.col("lat")) * width / (box[3] - box[2])).cast("long").alias("py"))
+    for layer, df in layers.items():
+        days, program = (F.col("days") if "days" in df.columns else F.lit(None).cast("array<bigint>")), (F.col("program") if "program" in df.columns else F.lit(None).cast("string"))
+        one = df.filter(inside(box)).select(F.lit(layer).alias("layer"), F.col("id").cast("string").alias("id"), F.floor((F.col("lng") - box[2]) * width / (box[3] - box[2])).cast("long").alias("px"), F.floor((box[1] - F.col("lat")) * width / (box[3] - box[2])).cast("long").alias("py"), days.alias("own"), program.alias("program"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    runs = calendar.select("program", F.sequence("first", "last").cast("array<bigint>").alias("run"))
+    return rows.join(runs, "program", "left").select("layer", "id", "px", "py", F.coalesce("own", "run", F.array().cast("array<bigint>")).alias("days"))
 
 
 def off_map_split(df: DataFrame, box: tuple) -> DataFrame:
@@ -67,41 +71,51 @@ def region_check(df: DataFrame, region: tuple, box: tuple) -> DataFrame:
 
 
 def cluster_points(df: DataFrame, radius: int) -> DataFrame:
-    """Greedy clusters of each viewport: in order of importance a point joins the first cluster whose seed is within the
-    radius, else becomes a seed. Points at one place act as their most important one. All points that no undecided earlier
-    one is near become seeds together, what they reach is decided, and so on: that gives what taking one point at a time
-    would, and no task holds a viewport."""
-    rows = df.select("view", "id", "lat", "lng", "importance")
-    spots = checkpointed(rows.groupBy("view", "lat", "lng").agg(F.min(F.struct((-F.col("importance")).alias("rank"), "id")).alias("o")))
-    h, w = int(radius / LAT) + 1, int(radius / LNG) + 1
-    at = lambda c, size: F.floor(F.col(c) / F.lit(size)).cast("long")
+    """Greedy clusters of each view's points (view, id, x, y, importance), in pixels: (view, seed, n, x, y), x and y the mean of the
+    members. In order of importance, then id, a point that lies less than the radius from seeds before it joins one of them: of
+    those in the leftmost of the three columns of cells (a radius wide) around it that has any, the nearest; else it is a seed.
+
+    Of points in one place only the first can be a seed. All that no undecided earlier one is near become seeds together, what they
+    reach is decided, and so on: so the seeds are those of one point at a time, and no task holds a view. There are as many rounds
+    as the longest chain of ever less important neighbours has links, of which every second is a seed: few where importance is
+    spread, at most the number of different places. Then every point meets the seeds of its nine cells, of which there are a dozen
+    at most, as seeds lie a radius apart."""
+    rows = checkpointed(df.select("view", "id", "x", "y", F.struct((-F.col("importance")).alias("rank"), "id").alias("o")))
+    cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    x = spots.select("view", F.col("o").alias("a"), F.col("lat").alias("alat"), F.col("lng").alias("alng"), around.alias("c"), at("lat", h).alias("cy"), at("lng", w).alias("cx"))
-    x = x.withColumns({"cy": F.col("cy") + F.col("c.i"), "cx": F.col("cx") + F.col("c.j")}).drop("c")
-    y = spots.select("view", F.col("o").alias("b"), F.col("lat").alias("blat"), F.col("lng").alias("blng"), at("lat", h).alias("cy"), at("lng", w).alias("cx"))
-    dy, dx = (F.col("alat") - F.col("blat")) * F.lit(LAT), (F.col("alng") - F.col("blng")) * F.lit(LNG)
-    edges = checkpointed(x.join(y, ["view", "cy", "cx"]).filter("a < b").filter(dy * dy + dx * dx <= radius * radius).select("a", "b"))
-
-    open_, live, seeds = spots.select(F.col("o").alias("p")), edges, None
+    # i: how many columns of cells the partner lies to the right
+    spread = lambda p: p.withColumn("c", around).withColumns({"i": F.col("c.i"), "cx": cell("x") + F.col("c.i"), "cy": cell("y") + F.col("c.j")}).drop("c")
+    apart = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
+    met = lambda points, seeds: spread(points).join(seeds.withColumns({"cx": cell("sx"), "cy": cell("sy")}), ["view", "cx", "cy"]).withColumn("d", apart).filter((F.col("s") < F.col("o")) & (F.col("d") < radius * radius))
+    spots = checkpointed(rows.groupBy("view", "x", "y").agg(F.min("o").alias("o")))
+    edges = checkpointed(met(spots, spots.select("view", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("o").alias("s"))).select("view", F.col("s").alias("a"), F.col("o").alias("b")))
+    point = lambda df, c: df.select("view", F.col(c).alias("p"))
+
+    open_, live, seeds = point(spots, "o"), edges, None
     while True:
-        fresh = checkpointed(open_.join(live.select(F.col("b").alias("p")).distinct(), "p", "left_anti"))
+        fresh = checkpointed(open_.join(point(live, "b").distinct(), ["view", "p"], "left_anti"))
         seeds = fresh if seeds is None else seeds.unionByName(fresh)
-        gone = checkpointed(fresh.unionByName(live.join(fresh.select(F.col("p").alias("a")), "a").select(F.col("b").alias("p"))).distinct())
-        open_ = checkpointed(open_.join(gone, "p", "left_anti"))
+        reached = live.join(fresh.withColumnRenamed("p", "a"), ["view", "a"])
+        gone = checkpointed(fresh.unionByName(point(reached, "b")).distinct())
+        open_ = checkpointed(open_.join(gone, ["view", "p"], "left_anti"))
         if not open_.limit(1).count():
             break
-        live = checkpointed(live.join(gone.select(F.col("p").alias("a")), "a", "left_anti").join(gone.select(F.col("p").alias("b")), "b", "left_anti"))
-    first = edges.join(seeds.select(F.col("p").alias("a")), "a").groupBy("b").agg(F.min("a").alias("seed"))
-    own = spots.join(first.withColumnRenamed("b", "o"), "o", "left").select("view", "lat", "lng", F.coalesce("seed.id", "o.id").alias("seed"))
-    return rows.join(own, ["view", "lat", "lng"]).groupBy("view", "seed").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
-
-
-def extent_fit(df: DataFrame, group: str, box: tuple[int, int, int, int], pad: int = 500, least: int = 4000) -> DataFrame:
-    """Padded extent of each group, at least ``least`` on a side, clamped to the box."""
-    e = df.groupBy(group).agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lng").alias("c"), F.max("lng").alias("d"))
-    grow = lambda lo, hi: F.greatest(F.lit(0), F.floor((least - (F.col(hi) - F.col(lo) + 2 * pad)) / 2)) + pad
-    gy, gx = grow("a", "b"), grow("c", "d")
-    return e.select(group, F.greatest(F.col("a") - gy, F.lit(box[0])).alias("lat0"), F.least(F.col("b") + gy, F.lit(box[1])).alias("lat1"), F.greatest(F.col("c") - gx, F.lit(box[2])).alias("lng0"), F.least(F.col("d") + gx, F.lit(box[3])).alias("lng1"))
+        live = checkpointed(live.join(gone.withColumnRenamed("p", "a"), ["view", "a"], "left_anti").join(gone.withColumnRenamed("p", "b"), ["view", "b"], "left_anti"))
+    places = spots.join(seeds.withColumnRenamed("p", "o"), ["view", "o"]).select("view", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("o").alias("s"))
+    first = met(rows, checkpointed(places)).groupBy("view", "o").agg(F.min(F.struct("i", "d", "s")).alias("best"))
+    own = rows.join(first, ["view", "o"], "left").withColumn("seed", F.coalesce("best.s.id", "id"))
+    return own.groupBy("view", "seed").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def extent_fit(df: DataFrame, group: str, size: tuple[int, int], pad: int = 40, least: tuple[int, int] = (200, 150)) -> DataFrame:
+    """(group, x0, y0, w, h): the part of a map of the given size that shows all of a group's points (x, y) inside it, padded, at
+    least so large, four to three, not larger than the map and moved inside it. Points beyond the map don't count."""
+    e = df.filter(F.col("x").between(0, size[0]) & F.col("y").between(0, size[1])).groupBy(group).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    e = e.select(group, ((F.col("a") + F.col("b")) / 2).alias("mx"), ((F.col("c") + F.col("d")) / 2).alias("my"), F.greatest(F.col("b") - F.col("a") + 2 * pad, F.lit(least[0])).cast("double").alias("w"), F.greatest(F.col("d") - F.col("c") + 2 * pad, F.lit(least[1])).cast("double").alias("h"))
+    wide = F.col("w") / F.col("h") > 4 / 3
+    e = e.withColumns({"w": F.least(F.when(wide, F.col("w")).otherwise(F.col("h") * 4 / 3), F.lit(float(size[0]))), "h": F.least(F.when(wide, F.col("w") * 3 / 4).otherwise(F.col("h")), F.lit(float(size[1])))})
+    start = lambda middle, side, whole: F.least(F.greatest(F.lit(0.0), F.col(middle) - F.col(side) / 2), F.lit(float(whole)) - F.col(side))
+    return e.select(group, start("mx", "w", size[0]).alias("x0"), start("my", "h", size[1]).alias("y0"), "w", "h")
 
 
 def _weights(alpha: float, s: float, px: Column, py: Column) -> Column:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.links import attribute, tags
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -154,13 +156,23 @@ def in_degree(pages: DataFrame) -> DataFrame:
     return links_of(pages).groupBy("href").agg(F.countDistinct("page_id").alias("n_in"))
 
 
+def head(element: Column) -> Column:
+    """The opening tag of an element."""
+    return F.regexp_extract(element, r"^(<[^>]*>)", 1)
+
+
 def page_rules(pages: DataFrame) -> DataFrame:
     """Rules of a page's markup, broken ones only."""
     n = lambda p: F.regexp_count("html", F.lit(p))
     ids = F.regexp_extract_all("html", F.lit(r' id="([^"]*)"'), F.lit(1))
+    images, blank = tags(F.col("html"), "img"), lambda c: F.coalesce(c, F.lit("")) == ""
+    # outward links with what they say, as their opening tag and their content
+    outward = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1)), lambda t: F.coalesce(attribute(head(t), "href"), F.lit("")).rlike("(?i)^https:"))
+    own_tab = lambda t: F.coalesce((attribute(head(t), "target") == "_blank") & attribute(head(t), "rel").rlike(r"\bnoopener\b"), F.lit(False))
     rules = [
-        Rule("h1", "not exactly one h1", n(r"<h1[ >]") != 1), Rule("title", "no title", n(r"<title>[^<]") == 0), Rule("description", "no description", n(r'<meta name="description"') == 0, "warning"),
-        Rule("id", "an id twice", F.size(F.array_distinct(ids)) < F.size(ids)), Rule("img", "image without alt", n(r"<img (?![^>]*alt=)") > 0), Rule("a", "plain http link", n(r'href="http://') > 0, "warning"), Rule("a", "empty link", n(r'href="#?"') > 0),
+        Rule("h1", "not exactly one h1", n(r"<h1[\s>]") != 1), Rule("title", "no title", n(r"<title>[^<]") == 0), Rule("description", "no description", n(r'<meta name="description"') == 0, "warning"), Rule("canonical", "no canonical address", n(r'<link rel="canonical" href="https://[^"]+">') == 0),
+        Rule("id", "an id twice", F.size(F.array_distinct(ids)) < F.size(ids)), Rule("img", "image without alt", F.exists(images, lambda t: attribute(t, "alt").isNull())), Rule("img", "image without width and height", F.exists(images, lambda t: blank(attribute(t, "width")) | blank(attribute(t, "height")))),
+        Rule("a", "plain http link", n(r'href="http://') > 0, "warning"), Rule("a", "empty link", n(r'href="#?"') > 0), Rule("a", "outward link without its own tab", F.exists(outward, lambda t: ~own_tab(t))), Rule("a", "outward link that does not say so", F.exists(outward, lambda t: ~F.contains(t, F.lit("(opens in a new tab)")))),
     ]
     return validate(pages, "page_id", rules)
 

@@ -75,6 +75,73 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+# How the words of an address are shortened.
+SHORT = {
+    "first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "fifth": "5th", "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th", "tenth": "10th",
+    "street": "st", "avenue": "ave", "east": "e", "west": "w", "north": "n", "south": "s", "boulevard": "blvd", "drive": "dr", "road": "rd", "place": "pl",
+}
+
+
+def plain_key(c: Column) -> Column:
+    """Folded letters and digits, & as "and", one space for all else."""
+    return F.trim(F.regexp_replace(F.replace(fold(c), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
+
+
+def loose_key(c: Column) -> Column:
+    """Names that differ in accents, case, punctuation, brackets or a leading article share it."""
+    return F.regexp_replace(plain_key(F.regexp_replace(F.coalesce(c, F.lit("")), r"\([^)]*\)", " ")), "^the ", "")
+
+
+def tight_key(c: Column) -> Column:
+    return F.replace(loose_key(c), F.lit(" "), F.lit(""))
+
+
+def address_key(c: Column) -> Column:
+    """House number and street in short words; null without a number."""
+    words = F.split(plain_key(F.regexp_extract(F.coalesce(c, F.lit("")), "^([^,]*)", 1)), " ")
+    short = F.create_map(*(F.lit(x) for pair in SHORT.items() for x in pair))
+    key = F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(short, w), w)), " ")
+    return F.when(key.rlike("^[0-9]"), key)
+
+
+def merge_orgs(rows: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """One row for each organisation of rows (slice, ord, id, name, logo, url, roles: array of program, relationship, tier).
+
+    Names that differ in their loose parts or a legal ending are one, and so are keys that ``same`` (key, is) calls the same. name,
+    logo and url are the first there are, roles all different ones in the order of their first row. The id is the first row's; where
+    an earlier organisation has it, the slice is added."""
+    rows = rows.withColumn("key", tight_key(F.regexp_replace("name", r"(?i)\b(?:inc|llc|co)\.?$", "")))
+    if same is not None:
+        rows = rows.join(same.select("key", F.col("is").alias("_is")), "key", "left").withColumn("key", F.coalesce("_is", "key")).drop("_is")
+    rows = checkpointed(rows)
+    each = rows.select("key", "ord", F.posexplode("roles").alias("pos", "r")).select("key", "ord", "pos", "r.program", "r.relationship", "r.tier")
+    different = each.groupBy("key", "program", "relationship", "tier").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    role = F.struct("at", F.struct("program", "relationship", "tier").alias("role"))
+    roles = different.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(role)), lambda x: x["role"]).alias("roles"))
+    one = rows.groupBy("key").agg(F.min("ord").alias("lead"), *(first_by(c, "ord").alias(c) for c in ("name", "logo", "url")), F.min_by("id", "ord").alias("id"), F.min_by("slice", "ord").alias("slice"), F.count_distinct("slice").alias("n_slices"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("lead"))
+    ids = F.when(nth == 1, F.col("id").cast("string")).otherwise(F.concat_ws("-", "id", "slice"))
+    none = F.array().cast(rows.schema["roles"].dataType)
+    return one.withColumn("org", ids).join(roles, "key", "left").select("key", F.col("org").alias("id"), "name", "logo", "url", F.coalesce("roles", none).alias("roles"), "n_slices")
+
+
+def stay_keys(rows: DataFrame) -> DataFrame:
+    """(id, key) of rows (row, stay, name, address): the stay's own id, its address with the leading word of its name (one house may
+    hold two of them), and its name without spaces."""
+    brand = F.regexp_extract(loose_key(F.col("name")), "^([^ ]*)", 1)
+    place = F.when(address_key(F.col("address")).isNotNull(), F.concat(F.lit("a:"), address_key(F.col("address")), F.lit("|"), brand))
+    keys = F.array(F.concat(F.lit("id:"), F.col("stay").cast("string")), place, F.when(tight_key(F.col("name")) != "", F.concat(F.lit("n:"), tight_key(F.col("name")))))
+    return rows.select(F.col("row").alias("id"), F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+
+
+def merge_stays(rows: DataFrame, scalars: list[str]) -> DataFrame:
+    """rows (row, slice, stay, name, address and scalars) that keys connect are one stay: (group, stay, n, slices and the first
+    value of each scalar by row). Connected in the usual sense: what two rows share with a third makes them one."""
+    groups = components(stay_keys(rows), rows.select(F.col("row").alias("id"))).select(F.col("id").alias("row"), "group")
+    both = rows.join(groups, "row")
+    return both.groupBy("group").agg(F.min_by("stay", "row").alias("stay"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("slice").cast("string"))), "+").alias("slices"), *(first_by(c, "row").alias(c) for c in scalars))
+
+
 def alias_join(df: DataFrame, text: str, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """Free text to an id: names come before aliases, a later alias replaces an earlier one; unknown texts have none."""
     rows = names.select(name_key(F.col("name")).alias("key"), "id", F.lit(0).alias("p"), F.lit(0).cast("long").alias("o")).unionByName(aliases.select(name_key(F.col("alias")).alias("key"), "id", F.lit(1).alias("p"), (-F.col("ord")).cast("long").alias("o")))

@@ -289,3 +289,35 @@ def walk_gaps(df: DataFrame, venues: DataFrame) -> DataFrame:
     minutes = F.when(same, 0).when(F.col("metres").isNotNull(), walk_minutes(F.col("metres")))
     free = F.when(~F.col("open_end"), F.floor((F.col("s") - F.col("left")) / 60 + 0.5))
     return rows.select("user_id", "day", "id", kind.alias("kind"), F.when(same, 0).otherwise(F.col("metres")).cast("long").alias("metres"), minutes.cast("long").alias("minutes"), (minutes > 25).alias("long_way"), free.cast("long").alias("free_min"))
+
+
+COUNTED = ("no", "one", "two", "three", "four", "five", "six")
+
+
+def day_summary(days: DataFrame, lanes: DataFrame, week: tuple[int, int]) -> DataFrame:
+    """(day, parts) of days (day, interchange, featured, n) and lanes (program, a, b, nightly, themes: a map by day): the day in at
+    most three parts.
+
+    First up to two pieces of news: the interchange with the number of lanes, what opens, what ends. Then, if there is room for it,
+    the first detail: which night of a nightly lane it is, the theme of a lane of up to four days, the featured title, the theme of
+    a longer one. Last the number of sessions. Lanes that go on before and after the week are no news, nor are themes that only say
+    that something opens or closes. Lanes are told in order of their names."""
+    runs = lanes.withColumn("day", F.explode(F.sequence(F.greatest("a", F.lit(week[0])), F.least("b", F.lit(week[1]))))).filter("not (a < {0} and b > {1})".format(*week))
+    first, last = F.col("day") == F.col("a"), F.col("day") == F.col("b")
+    theme = F.element_at("themes", F.col("day"))
+    dull = (first & theme.rlike("(?i)open")) | (last & theme.rlike("(?i)clos|final"))
+    opens, ends = F.when(first, F.concat("program", F.lit(" opens"))), F.when(last & ~first, F.concat("program", F.when(F.col("nightly"), "'s last night").otherwise("'s last day")))
+    night = F.when(F.col("nightly") & ~first & ~last, F.concat("program", F.lit(" night "), F.col("day") - F.col("a") + 1, F.lit(" of "), F.col("b") - F.col("a") + 1))
+    says = F.when(theme.isNotNull() & ~F.coalesce(dull, F.lit(False)), F.when(opens.isNotNull() | ends.isNotNull(), theme).otherwise(F.concat("program", F.lit(": "), theme)))
+    listed = lambda c, name: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("program", c.alias("t"))))), lambda x: x["t"]).alias(name)
+    brief = F.col("b") - F.col("a") < 4
+    told = runs.groupBy("day").agg(F.count("*").alias("k"), listed(opens, "opens"), listed(ends, "ends"), listed(night, "nights"), listed(F.when(brief, says), "short"), listed(F.when(~brief, says), "long"))
+    rows = days.join(told, "day", "left")
+    texts = lambda *c: F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in c))
+    number = F.coalesce(F.get(F.array(*map(F.lit, COUNTED)), F.coalesce(F.col("k"), F.lit(0)).cast("int")), F.col("k").cast("string"))
+    news = F.slice(texts(F.when(F.col("interchange"), F.array(F.concat(F.lit("Interchange: all "), number, F.lit(" run")))), F.col("opens"), F.col("ends")), 1, 2)
+    details = texts(F.col("nights"), F.col("short"), F.when(F.col("featured").isNotNull(), F.array("featured")), F.col("long"))
+    rows = rows.withColumns({"news": news, "details": details})
+    parts = texts(F.col("news"), F.when(F.size("news") < 2, F.slice("details", 1, 1)))
+    count = F.array(F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " event").otherwise(" events")))
+    return rows.withColumn("parts", parts).select("day", F.when((F.size("parts") < 3) & F.col("n").isNotNull(), F.concat("parts", count)).otherwise(F.col("parts")).alias("parts"))

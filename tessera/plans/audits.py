@@ -54,13 +54,35 @@ TYPED = f""" UNION ALL SELECT p_partkey, 'kind', 'not one of the values', 'error
  UNION ALL SELECT p_partkey, 'tags[0]', 'not an id', 'error' FROM part WHERE p_partkey % 29 = 0 UNION ALL SELECT p_partkey, 'tags[2]', 'not an id', 'error' FROM part WHERE p_partkey % 23 = 0"""
 
 
-def time_rules():
+WINDOW = (9200, 11400)
+
+
+def dated(s, d):
+    """Listings with an end day (some before the first one), some of them all day, some with further occurrences."""
+    k = F.col("id")
+    occurrence = lambda m: F.struct((F.col("d") + k * m % 400 - 200).alias("day"), F.when(k % 4 != 0, k * m % 1440).cast("int").alias("sm"), F.when(k % 3 != 0, k * m * 7 % 1440).cast("int").alias("em"))
+    rows = series(s, d).withColumns({"end": F.when(k % 6 != 0, F.col("d") + F.col("n") - F.when(k % 43 == 0, 9).otherwise(1)), "ad": k % 14 == 0, "sm": F.when(k % 26 != 0, F.col("sm")), "occurrences": F.when(k % 5 == 0, F.array(occurrence(3), occurrence(11)))})
+    return rows.withColumn("em", F.when(k % 26 == 0, 600).otherwise(F.col("em")))
+
+
+def time_rules(first=WINDOW[0], last=WINDOW[1], dawn=360):
+    """What can't be with days and times: an end before the start is the next day's only up to dawn."""
+    backward = lambda start, end: (end < start) & (end > dawn)
+    sm, em, end = F.col("sm"), F.col("em"), F.coalesce("end", "d")
     return [
-        op.Rule("n", "long run", F.col("n") > 4, "warning"), op.Rule("sm", "end without start", F.col("sm").isNull() & F.col("em").isNotNull()),
-        op.Rule("em", "ends before it starts", (F.col("em") < F.col("sm")) & (F.col("em") > 360)), op.Rule("d", "outside the window", (F.col("d") < 9200) | (F.col("d") > 11400)),
+        op.Rule("end", "before the first day", F.col("end") < F.col("d")), op.Rule("d", "outside the window", (end < first) | (F.col("d") > last)), op.Rule("ad", "a whole day has no times", F.col("ad") & (sm.isNotNull() | em.isNotNull())),
+        op.Rule("em", "end without start", sm.isNull() & em.isNotNull()), op.Rule("em", "ends before it starts", backward(sm, em)),
+        op.Each("occurrences", lambda o: [("outside the window", (o["day"] < first) | (o["day"] > last), "error"), ("ends before it starts", backward(o["sm"], o["em"]), "error")]),
     ]
 
 
+_SERIES_SQL = f"""WITH {SERIES}, t0 AS (SELECT id, d, n, CASE WHEN id % 6 <> 0 THEN d + n - CASE WHEN id % 43 = 0 THEN 9 ELSE 1 END END AS e, id % 14 = 0 AS ad, CASE WHEN id % 26 <> 0 THEN sm END AS sm, CASE WHEN id % 26 = 0 THEN 600 ELSE em END AS em FROM r),
+ o AS (SELECT id, i, d + id * m % 400 - 200 AS day, CASE WHEN id % 4 <> 0 THEN id * m % 1440 END AS sm, CASE WHEN id % 3 <> 0 THEN id * m * 7 % 1440 END AS em FROM t0, (SELECT unnest([0, 1]) AS i, unnest([3, 11]) AS m) WHERE id % 5 = 0)"""
+TIMES = _SERIES_SQL + f""" SELECT id, 'end' AS path, 'before the first day' AS message, 'error' AS level FROM t0 WHERE e < d UNION ALL SELECT id, 'd', 'outside the window', 'error' FROM t0 WHERE coalesce(e, d) < {WINDOW[0]} OR d > {WINDOW[1]}
+ UNION ALL SELECT id, 'ad', 'a whole day has no times', 'error' FROM t0 WHERE ad AND (sm IS NOT NULL OR em IS NOT NULL) UNION ALL SELECT id, 'em', 'end without start', 'error' FROM t0 WHERE sm IS NULL AND em IS NOT NULL UNION ALL SELECT id, 'em', 'ends before it starts', 'error' FROM t0 WHERE em < sm AND em > 360
+ UNION ALL SELECT id, 'occurrences[' || i || ']', 'outside the window', 'error' FROM o WHERE day < {WINDOW[0]} OR day > {WINDOW[1]} UNION ALL SELECT id, 'occurrences[' || i || ']', 'ends before it starts', 'error' FROM o WHERE em < sm AND em > 360"""
+
+
 def conditional_rules():
     return [op.Rule("venue", "timed without a place", ~F.col("tu") & (F.col("venue") >= 95)), op.Rule("ad", "all day with an end unknown", F.col("ad") & F.col("eu")), op.Rule("featured", "cancelled but featured", F.col("cancelled") & F.col("featured"), "warning")]
 
@@ -164,12 +186,22 @@ def classed(s, d):
 
 LINKS = "ln AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages)"
 PATH = "regexp_replace(regexp_replace(regexp_replace({0}, '^[a-zA-Z]+://[^/?#]*', ''), '[?#].*$', ''), '(.)/$', '\\1')"
-PAGE_RULES = "WITH c AS (SELECT page_id AS id, html, regexp_extract_all(html, ' id=\"([^\"]*)\"', 1) AS ids FROM pages) " + " UNION ALL ".join(
+def marked_up(s, d):
+    """Pages with a canonical address, pictures and outward links added to some."""
+    k = F.col("page_id")
+    more = F.concat(
+        F.when(k % 3 != 0, '<link rel="canonical" href="https://example.com/x">').otherwise(""), F.when(k % 4 == 0, "<img src=a.png alt='' width=3 height=4>").when(k % 4 == 1, '<img alt="x" width="3" src="b.png">').when(k % 4 == 2, '<img src="c.png" width=1 height=2>').otherwise(""),
+        F.when(k % 5 == 0, '<a href="https://o.example/" target="_blank" rel="noopener">o <span>(opens in a new tab)</span></a>').when(k % 5 == 1, '<a href="https://o.example/" rel="noopener">o (opens in a new tab)</a>').when(k % 5 == 2, '<a target="_blank" href="https://o.example/" rel="nofollow noopener">o</a>').otherwise(""),
+    )
+    return pages(s, d).withColumn("html", F.concat("html", more))
+
+
+PAGE_RULES = "WITH c AS (SELECT page_id AS id, html, page_id AS k, regexp_extract_all(html, ' id=\"([^\"]*)\"', 1) AS ids FROM pages) " + " UNION ALL ".join(
     f"SELECT id, '{path}' AS path, '{message}' AS message, '{level}' AS level FROM c WHERE {broken}"
     for path, message, level, broken in (
         ("h1", "not exactly one h1", "error", "len(regexp_extract_all(html, '<h1[ >]')) <> 1"), ("title", "no title", "error", "NOT regexp_matches(html, '<title>[^<]')"), ("description", "no description", "warning", "NOT contains(html, '<meta name=\"description\"')"),
-        ("id", "an id twice", "error", "len(list_distinct(ids)) < len(ids)"), ("img", "image without alt", "error", "len(list_filter(regexp_extract_all(html, '<img [^>]*>'), lambda x: NOT contains(x, 'alt='))) > 0"),
-        ("a", "plain http link", "warning", "contains(html, 'href=\"http://')"), ("a", "empty link", "error", "contains(html, 'href=\"\"') OR contains(html, 'href=\"#\"')"),
+        ("canonical", "no canonical address", "error", "k % 3 = 0"), ("id", "an id twice", "error", "len(list_distinct(ids)) < len(ids)"), ("img", "image without alt", "error", "k % 4 = 2"), ("img", "image without width and height", "error", "k % 4 = 1"),
+        ("a", "plain http link", "warning", "contains(html, 'href=\"http://')"), ("a", "empty link", "error", "contains(html, 'href=\"\"') OR contains(html, 'href=\"#\"')"), ("a", "outward link without its own tab", "error", "k % 5 = 1"), ("a", "outward link that does not say so", "error", "k % 5 = 2"),
     )
 )
 
@@ -186,10 +218,7 @@ QUERIES = {
         lambda s, d: op.duplicate_keys({"events": read(s, d, "events").select((F.col("event_id") % 7000).alias("id")), "orders": read(s, d, "orders").select((F.col("o_orderkey") + 6000).alias("id"))}, "id"),
         "WITH k AS (SELECT event_id % 7000 AS id, 'events' AS t FROM events UNION ALL SELECT o_orderkey + 6000, 'orders' FROM orders) SELECT CAST(id AS VARCHAR) AS id, count(*) AS n, string_agg(DISTINCT t, ',' ORDER BY t) AS tables FROM k GROUP BY id HAVING count(*) > 1",
     ),
-    "time_rules": (
-        lambda s, d: op.validate(series(s, d), "id", time_rules()),
-        W + " SELECT id, 'n' AS path, 'long run' AS message, 'warning' AS level FROM r WHERE n > 4 UNION ALL SELECT id, 'em', 'ends before it starts', 'error' FROM r WHERE em < sm AND em > 360 UNION ALL SELECT id, 'd', 'outside the window', 'error' FROM r WHERE d < 9200 OR d > 11400",
-    ),
+    "time_rules": (lambda s, d: op.validate(dated(s, d), "id", time_rules()), TIMES),
     "conditional_rules": (
         lambda s, d: op.validate(sessions(s, d), "id", conditional_rules()),
         W + " SELECT id, 'venue' AS path, 'timed without a place' AS message, 'error' AS level FROM x WHERE NOT tu AND venue >= 95 UNION ALL SELECT id, 'ad', 'all day with an end unknown', 'error' FROM x WHERE ad AND eu UNION ALL SELECT id, 'featured', 'cancelled but featured', 'warning' FROM x WHERE cancelled AND featured",
@@ -209,7 +238,7 @@ QUERIES = {
         f"WITH {LINKS}, o AS (SELECT page_id, count(*) AS a, count(*) FILTER (WHERE starts_with(href, '/')) AS b, count(*) FILTER (WHERE regexp_matches(href, '^https?://')) AS c, count(DISTINCT href) AS e FROM ln GROUP BY page_id) SELECT p.page_id, coalesce(a, 0) AS n_out, coalesce(b, 0) AS n_internal, coalesce(c, 0) AS n_external, coalesce(e, 0) AS n_targets FROM pages p LEFT JOIN o ON p.page_id = o.page_id",
     ),
     "link_in_degree": (lambda s, d: op.in_degree(pages(s, d)), f"WITH {LINKS} SELECT href, count(DISTINCT page_id) AS n_in FROM ln GROUP BY href"),
-    "page_rules": (lambda s, d: op.page_rules(pages(s, d)), PAGE_RULES),
+    "page_rules": (lambda s, d: op.page_rules(marked_up(s, d)), PAGE_RULES),
     "sitemap_coverage": (
         lambda s, d: op.coverage(pages(s, d), pages(s, d).filter("page_id % 5 <> 0").select("url").unionByName(pages(s, d).filter("page_id % 20 = 1").select(F.concat("url", F.lit("#gone")).alias("url")))),
         "WITH l AS (SELECT url FROM pages WHERE page_id % 5 <> 0 UNION SELECT url || '#gone' FROM pages WHERE page_id % 20 = 1), p AS (SELECT DISTINCT url FROM pages) SELECT url, 'not listed' AS state FROM p WHERE url NOT IN (SELECT url FROM l) UNION ALL SELECT url, 'no page' FROM l WHERE url NOT IN (SELECT url FROM p)",

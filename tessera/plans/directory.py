@@ -122,6 +122,43 @@ COSTS = """(SELECT p_partkey AS id, trim(lower(['Free', ' FREE, drop-in.', 'free
  '$' || printf('%.2f', CAST(p_retailprice AS DOUBLE)) || ', free for kids', '$0.00 with a ticket ($300)', 'Drinks are free', 'Tickets at the door', 'This is a FREE EVENT, please register', 'Freedom pass $5', NULL, ''][p_partkey % 15 + 1])) AS c FROM part)"""
 LIVE = "NOT cancelled AND NOT tu AND NOT ad AND NOT og"
 
+def audit(s, d):
+    """The ten counters: events, venues, works (parts) and people (customers), each in one pass."""
+    i, k = F.col("id"), F.col("k")
+    events = sessions(s, d).filter("not cancelled").withColumns({"description": F.when(i % 7 != 0, F.col("title")), "free": F.when(i % 5 != 0, i % 2 == 0), "location": F.when(i % 3 == 0, "not listed").when(i % 3 == 1, "a hall")})
+    venues = places(s, d, "supplier").select(F.when(i % 13 != 0, F.col("lat")).alias("lat"))
+    works = read(s, d, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") > 5, F.col("p_name")).alias("description"))
+    people = read(s, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).alias("bio"))
+    return op.unknown_audit({
+        "events": (events, {"end not listed": F.col("eu"), "hours not listed": F.col("tu"), "location not listed": (F.col("venue") >= 80) & (F.col("location").isNull() | (F.col("location") == "not listed")), "no description": F.col("description").isNull(), "price not stated": F.col("free").isNull()}),
+        "venues": (venues, {"no address": F.col("lat").isNull(), "no such thing": F.lit(False)}), "works": (works, {"work without description": F.col("description").isNull(), "work without photo": k % 11 == 0}),
+        "people": (people, {"no bio": F.col("bio").isNull(), "no headshot": k % 10 != 0}),
+    })
+
+
+AUDIT = W + """, e AS (SELECT * FROM x WHERE NOT cancelled), a AS (SELECT 'end not listed' AS counter, count(*) AS n FROM e WHERE eu UNION ALL SELECT 'hours not listed', count(*) FROM e WHERE tu UNION ALL SELECT 'location not listed', count(*) FROM e WHERE venue >= 80 AND id % 3 <> 1
+ UNION ALL SELECT 'no description', count(*) FROM e WHERE id % 7 = 0 UNION ALL SELECT 'price not stated', count(*) FROM e WHERE id % 5 = 0 UNION ALL SELECT 'no address', count(*) FROM sp WHERE id % 13 = 0 UNION ALL SELECT 'work without description', count(*) FROM part WHERE p_size <= 5
+ UNION ALL SELECT 'work without photo', count(*) FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT 'no bio', count(*) FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT 'no headshot', count(*) FROM customer WHERE c_custkey % 10 <> 0) SELECT * FROM a WHERE n > 0"""
+
+
+def rollup(s, d):
+    """Six kinds by hood: events by their venue's, venues, works, food, stays and landmarks; two hoods have no summary."""
+    hood = F.concat(F.lit("H"), (F.col("p_partkey") % 8).cast("string"))
+    parts_of = read(s, d, "part").select(hood.alias("hood"), (F.col("p_partkey") % 3).alias("kind"))
+    venue = places(s, d, "supplier").select(F.col("id").cast("int").alias("venue"), "hood")
+    rows = {
+        "events": sessions(s, d).filter("not cancelled").join(venue, "venue"), "venues": venue, "works": parts_of.filter("kind = 0"), "food": parts_of.filter("kind = 1"), "stays": places(s, d, "customer"), "landmarks": parts_of.filter("kind = 2"),
+    }
+    k = F.col("id")
+    hoods = s.range(9).select(F.concat(F.lit("H"), k.cast("string")).alias("hood"), F.concat(F.lit("Hood "), (10 - k).cast("string")).alias("name"), F.when(k % 4 != 1, "about it").alias("summary"))
+    return op.hood_rollup({n: df.select("hood") for n, df in rows.items()}, {"events": 2, "venues": 1, "food": 1, "stays": 1}, hoods)
+
+
+ROLLUP = W + """, p AS (SELECT 'H' || (p_partkey % 8) AS hood, p_partkey % 3 AS kind FROM part), h AS (SELECT 'H' || k AS hood, 'Hood ' || (10 - k) AS name, k % 4 = 1 AS bare FROM (SELECT unnest(range(9)) AS k)),
+ a AS (SELECT hood, 'e' AS k FROM x JOIN sp ON venue = sp.id WHERE NOT cancelled UNION ALL SELECT hood, 'v' FROM sp UNION ALL SELECT hood, ['w', 'f', 'l'][kind + 1] FROM p UNION ALL SELECT hood, 's' FROM cu),
+ c AS (SELECT h.hood, name, bare, count(*) FILTER (WHERE k = 'e') AS n_events, count(*) FILTER (WHERE k = 'v') AS n_venues, count(*) FILTER (WHERE k = 'w') AS n_works, count(*) FILTER (WHERE k = 'f') AS n_food, count(*) FILTER (WHERE k = 's') AS n_stays, count(*) FILTER (WHERE k = 'l') AS n_landmarks FROM h LEFT JOIN a ON a.hood = h.hood GROUP BY h.hood, name, bare),
+ w AS (SELECT *, 2 * n_events + n_venues + n_food + n_stays AS weight FROM c) SELECT hood, n_events, n_venues, n_works, n_food, n_stays, n_landmarks, weight, CAST(row_number() OVER (ORDER BY bare, weight DESC, name) AS INT) AS place FROM w"""
+
 QUERIES = {
     "filter_by_state": (
         lambda s, d: op.filter_by_state(parts(s, d), {"brand": ["Brand#1", "Brand#2"], "even": True, "q": "RE", "size": None}).select("id", "name", "brand"),
@@ -144,14 +181,8 @@ QUERIES = {
     "facet_counts": (lambda s, d: op.facet_counts(parts(s, d), ["brand", "type", "size"], STATE, "re"), facet_sql()),
     "chip_counts": (chips, chip_sql()),
     "count_matrix": (lambda s, d: op.count_matrix(sessions(s, d), "kind", "program", PROGRAMS), W + " SELECT kind, " + ", ".join(f"count(DISTINCT title) FILTER (WHERE program = '{p}') AS c_{p}" for p in PROGRAMS) + ", count(DISTINCT title) AS total FROM x GROUP BY kind"),
-    "unknown_audit": (
-        lambda s, d: op.unknown_audit(sessions(s, d)),
-        W + " " + " UNION ALL ".join(f"SELECT '{k}' AS counter, count(*) FILTER (WHERE {c}) AS n FROM x" for k, c in (("end_unknown", "eu"), ("hours_unknown", "tu"), ("all_day", "ad"), ("no_venue", "venue IS NULL OR venue >= 90"), ("cancelled", "cancelled"), ("not_featured", "NOT featured"))),
-    ),
-    "hood_rollup": (
-        lambda s, d: op.hood_rollup({"venues": places(s, d, "supplier"), "stays": places(s, d, "customer")}),
-        W + " SELECT hood, n_venues, n_stays, 2 * n_venues + n_stays AS weight FROM (SELECT hood, count(*) FILTER (WHERE k = 0) AS n_venues, count(*) FILTER (WHERE k = 1) AS n_stays FROM (SELECT hood, 0 AS k FROM sp UNION ALL SELECT hood, 1 FROM cu) GROUP BY hood)",
-    ),
+    "unknown_audit": (audit, AUDIT),
+    "hood_rollup": (rollup, ROLLUP),
     "top_venues_per_hood": (
         lambda s, d: op.top_per_group(activity(s, d), ["hood"], [F.col("n").desc(), F.col("venue")], 8),
         W + f", a AS (SELECT venue, count(*) AS n, 'H' || (venue % 7) AS hood FROM x WHERE {LIVE} GROUP BY venue) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hood ORDER BY n DESC, venue) AS rank FROM a) WHERE rank <= 8",

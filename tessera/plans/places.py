@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geo import METRES_SQL, walk_minutes
 from tessera.operators import geo as op
-from tessera.operators import records, search
+from tessera.operators import records, schedule, search
+from tessera.plans.lenses import CUSTOMERS, NOW, SESSIONS, SUPPLIERS, places, read, sessions
 from tessera.plans.records import GREEDY
-from tessera.plans.lenses import CUSTOMERS, NOW, SUPPLIERS, places, read
 
 BOX = (39_085_000, 39_130_000, -84_535_000, -84_490_000)
 REGION = (39_081_000, 39_138_000, -84_539_000, -84_482_000)
@@ -84,6 +84,42 @@ HITS = f"""WITH {INDEX}, {ASKED}, t0 AS (SELECT qid, phrase, unnest(regexp_split
  + max(CASE WHEN st <= {NOW} AND en > {NOW} THEN 25 WHEN st > {NOW} AND st - {NOW} < 10800 THEN 15 WHEN en < {NOW} THEN -5 ELSE 0 END) AS score, bool_or(ft = phrase) AS exact FROM sc GROUP BY qid, kind, id, title HAVING min(n) > 0 AND score >= 0),
  h AS (SELECT qid, kind, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, title, kind, id) AS rank, exact FROM tt)"""
 
+def layers(s, d):
+    """Six layers: venues with the days of their sessions, art and facilities with a program, stays, stops and food without either."""
+    days = schedule.timed(sessions(s, d)).groupBy(F.col("venue").cast("long").alias("id")).agg(F.array_sort(F.collect_set(schedule.festival_day(F.col("s")))).alias("days"))
+    k = F.col("p_partkey")
+    spread = read(s, d, "part").select(k.alias("id"), (39_080_000 + k * 6151 % 60_000).alias("lat"), (-84_540_000 + k * 27_103 % 60_000).alias("lng"), F.when(k % 3 == 0, "view").when(k % 3 == 1, "click").alias("program"), (k % 4).alias("kind"))
+    of = lambda n: spread.filter(F.col("kind") == n)
+    return {"venues": sup(s, d).join(days, "id", "left"), "art": of(0), "facilities": of(1), "stays": cus(s, d), "transit": of(2).drop("program"), "food": of(3).drop("program")}
+
+
+def calendar(s, d):
+    days = schedule.timed(sessions(s, d)).groupBy("program").agg(F.min(schedule.festival_day(F.col("s"))).alias("first"))
+    return days.withColumn("last", F.col("first") + F.length("program"))
+
+
+LAYERS = f"""WITH {SESSIONS}, {SUPPLIERS}, {CUSTOMERS}, t AS (SELECT venue, program, CAST(floor((s - 18000) / 86400) AS BIGINT) AS day FROM x WHERE NOT cancelled AND NOT tu AND NOT ad AND NOT og),
+ v AS (SELECT venue, array_to_string(list_sort(list(DISTINCT day)), ',') AS days FROM t GROUP BY venue), c AS (SELECT program, array_to_string(range(min(day), min(day) + length(program) + 1), ',') AS days FROM t GROUP BY program),
+ p AS (SELECT p_partkey AS id, 39080000 + p_partkey * 6151 % 60000 AS lat, -84540000 + p_partkey * 27103 % 60000 AS lng, CASE p_partkey % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'click' END AS program, p_partkey % 4 AS kind FROM part),
+ l AS (SELECT 'venues' AS layer, id, lat, lng, days FROM sp LEFT JOIN v ON v.venue = sp.id UNION ALL SELECT 'stays', id, lat, lng, NULL FROM cu UNION ALL SELECT ['art', 'facilities', 'transit', 'food'][kind + 1], id, lat, lng, CASE WHEN kind < 2 THEN c.days END FROM p LEFT JOIN c ON c.program = p.program)
+ SELECT layer, CAST(id AS VARCHAR) AS id, CAST(floor((lng - {BOX[2]}) * 1000 / {BOX[3] - BOX[2]}) AS BIGINT) AS px, CAST(floor(({BOX[1]} - lat) * 1000 / {BOX[3] - BOX[2]}) AS BIGINT) AS py, coalesce(days, '') AS days FROM l WHERE {IN.format(*BOX)}"""
+
+
+def on_screen(s, d):
+    """Customers of each hood in pixels; some stand in one place."""
+    k = F.col("id")
+    return cus(s, d).select(F.col("hood").alias("view"), "id", F.floor((F.col("lng") + 84_540_000) / 80).alias("x"), F.floor((F.col("lat") - 39_080_000 - F.when(k % 9 == 0, F.col("lat") % 4000).otherwise(0)) / 80).alias("y"), (k % 10).alias("importance"))
+
+
+#: one point of each view a step; seeds are (x, y, order, id)
+CLUSTERS = f"""WITH RECURSIVE {CUSTOMERS}, p AS (SELECT hood AS view, id, CAST(floor((lng + 84540000) / 80) AS BIGINT) AS x, CAST(floor((lat - 39080000 - CASE WHEN id % 9 = 0 THEN lat % 4000 ELSE 0 END) / 80) AS BIGINT) AS y, id % 10 AS importance FROM cu),
+ o AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY importance DESC, id) AS i FROM p),
+ g AS (SELECT view, 0::BIGINT AS i, []::STRUCT(x BIGINT, y BIGINT, i BIGINT, id BIGINT)[] AS seeds FROM o GROUP BY view
+  UNION ALL SELECT o.view, o.i, CASE WHEN len(list_filter(seeds, lambda q: pow(q.x - o.x, 2) + pow(q.y - o.y, 2) < 44 * 44)) > 0 THEN seeds ELSE list_append(seeds, {{'x': o.x, 'y': o.y, 'i': o.i, 'id': o.id}}) END FROM g JOIN o ON o.view = g.view AND o.i = g.i + 1),
+ z AS (SELECT view, unnest(arg_max(seeds, i)) AS q FROM g GROUP BY view),
+ m AS (SELECT o.view, o.id, o.x, o.y, arg_min(q.id, (floor(q.x / 44) - floor(o.x / 44), pow(q.x - o.x, 2) + pow(q.y - o.y, 2), q.i)) AS seed FROM o LEFT JOIN z ON z.view = o.view AND q.i < o.i AND pow(q.x - o.x, 2) + pow(q.y - o.y, 2) < 44 * 44 GROUP BY o.view, o.id, o.x, o.y)
+ SELECT view, coalesce(seed, id) AS seed, count(*) AS n, CAST(floor(avg(x) * 100 + 0.5) AS BIGINT) AS x, CAST(floor(avg(y) * 100 + 0.5) AS BIGINT) AS y FROM m GROUP BY 1, 2"""
+
 PAIRED = f"WITH RECURSIVE {SUPPLIERS}, {CUSTOMERS}, r AS (SELECT a.id AS a, b.id AS b, {DIST} AS cost FROM sp a, cu b), c AS (SELECT *, row_number() OVER (ORDER BY cost, a, b) AS i FROM r WHERE cost <= 600){GREEDY} SELECT a, b, cost FROM c JOIN t USING (i)"
 
 QUERIES = {
@@ -91,10 +127,7 @@ QUERIES = {
     "knn_within": (lambda s, d: op.knn_within(sup(s, d), cus(s, d), 400, 3), W + f", p AS (SELECT a.id AS a, b.id AS b, {DIST} AS metres FROM sp a, cu b) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY metres, b) AS rank FROM p WHERE metres <= 400) WHERE rank <= 3"),
     "nearest_seed": (lambda s, d: op.nearest_seed(cus(s, d), sup(s, d), 250), W + f", p AS (SELECT a.id AS a, b.id AS b, {DIST} AS metres FROM cu a, sp b), n AS (SELECT a, arg_min(b, (metres, -b)) AS seed, min(metres) AS metres FROM p WHERE metres <= 250 GROUP BY a) SELECT cu.id, seed, metres FROM cu LEFT JOIN n ON cu.id = n.a"),
     "distance_matrix": (lambda s, d: op.distance_matrix(cus(s, d), sup(s, d).filter("id < 4"), walk_minutes), W + f" SELECT b.id, a.id AS hub, greatest(1, CAST(ceil({METRES_SQL.format(a='b', b='a')} * 1.3::DOUBLE / 80.0::DOUBLE) AS BIGINT)) AS minutes FROM sp a, cu b WHERE a.id < 4"),
-    "map_layers": (
-        lambda s, d: op.map_layers({"venue": sup(s, d), "stay": cus(s, d)}, BOX),
-        W + f" SELECT kind, id, CAST(floor((lng - {BOX[2]}) * 1000 / {BOX[3] - BOX[2]}) AS BIGINT) AS px, CAST(floor(({BOX[1]} - lat) * 1000 / {BOX[3] - BOX[2]}) AS BIGINT) AS py FROM (SELECT 'venue' AS kind, * FROM sp UNION ALL SELECT 'stay', * FROM cu) WHERE {IN.format(*BOX)}",
-    ),
+    "map_layers": (lambda s, d: op.map_layers(layers(s, d), BOX, calendar(s, d)).withColumn("days", F.array_join("days", ",")), LAYERS),
     "off_map_split": (
         lambda s, d: op.off_map_split(cus(s, d).withColumn("lng", F.when(F.col("id") % 50 != 0, F.col("lng"))), BOX),
         W + f" SELECT CASE WHEN id % 50 = 0 THEN 'none' WHEN {IN.format(*BOX)} THEN 'on' ELSE 'outside' END AS side, count(*) AS n FROM cu GROUP BY 1",
@@ -103,10 +136,12 @@ QUERIES = {
         lambda s, d: op.region_check(cus(s, d).withColumn("lng", F.when(F.col("id") % 50 != 0, F.col("lng"))), REGION, BOX),
         W + f" SELECT id, CASE WHEN id % 50 = 0 THEN 'half' WHEN NOT ({IN.format(*REGION)}) THEN 'error' ELSE 'warning' END AS level FROM cu WHERE id % 50 = 0 OR NOT ({IN.format(*BOX)})",
     ),
-    "cluster_points": (lambda s, d: op.cluster_points(cus(s, d).select(F.col("hood").alias("view"), "id", "lat", "lng", (F.col("id") % 10).alias("importance")), 300), None),
+    "cluster_points": (lambda s, d: op.cluster_points(on_screen(s, d), 44).withColumns({c: F.floor(F.col(c) * 100 + 0.5).cast("long") for c in ("x", "y")}), CLUSTERS),
     "extent_fit": (
-        lambda s, d: op.extent_fit(sup(s, d), "hood", BOX),
-        W + f", e AS (SELECT hood, min(lat) AS a, max(lat) AS b, min(lng) AS c, max(lng) AS d FROM sp GROUP BY hood), g AS (SELECT *, greatest(0, CAST(floor((4000 - (b - a + 1000)) / 2) AS BIGINT)) + 500 AS gy, greatest(0, CAST(floor((4000 - (d - c + 1000)) / 2) AS BIGINT)) + 500 AS gx FROM e) SELECT hood, greatest(a - gy, {BOX[0]}) AS lat0, least(b + gy, {BOX[1]}) AS lat1, greatest(c - gx, {BOX[2]}) AS lng0, least(d + gx, {BOX[3]}) AS lng1 FROM g",
+        lambda s, d: op.extent_fit(sup(s, d).select("hood", *(F.floor(c).alias(n) for n, c in (("x", (F.col("lng") - BOX[2]) / 45), ("y", (BOX[1] - F.col("lat")) / 45)))), "hood", (1000, 1000)).select("hood", *(F.floor(F.col(c) * 10 + 0.5).cast("long").alias(c) for c in ("x0", "y0", "w", "h"))),
+        W + f""", p AS (SELECT hood, CAST(floor((lng - {BOX[2]}) / 45) AS BIGINT) AS x, CAST(floor(({BOX[1]} - lat) / 45) AS BIGINT) AS y FROM sp), e AS (SELECT hood, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, greatest(max(x) - min(x) + 80, 200)::DOUBLE AS w, greatest(max(y) - min(y) + 80, 150)::DOUBLE AS h FROM p WHERE x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1000 GROUP BY hood),
+ g AS (SELECT hood, mx, my, least(CASE WHEN w / h > 4 / 3 THEN w ELSE h * 4 / 3 END, 1000) AS w, least(CASE WHEN w / h > 4 / 3 THEN w * 3 / 4 ELSE h END, 1000) AS h FROM e)
+ SELECT hood, CAST(floor(least(greatest(0, mx - w / 2), 1000 - w) * 10 + 0.5) AS BIGINT) AS x0, CAST(floor(least(greatest(0, my - h / 2), 1000 - h) * 10 + 0.5) AS BIGINT) AS y0, CAST(floor(w * 10 + 0.5) AS BIGINT) AS w, CAST(floor(h * 10 + 0.5) AS BIGINT) AS h FROM g""",
     ),
     "georeference_pins": (
         lambda s, d: op.georeference_pins(pins(s, d), controls(s, d)).select("map", "pin", milli("u"), milli("v")),

@@ -94,11 +94,34 @@ def publish(s, d):
     return out
 
 
+#: The first and the last day of the week that day summaries tell of, from the first festival day on.
+WEEK = (3, 16)
+
+
 def day_summary(s, d):
-    """At most three parts a day: its first featured title, its late sessions, all its sessions."""
+    """Days of the sessions, the programs as lanes of different lengths from the week's start on; every seventh day is an interchange."""
     rows = schedule.timed(sessions(s, d)).withColumn("day", schedule.festival_day(F.col("s")))
-    per = rows.groupBy("day").agg(F.min(F.when(F.col("featured"), F.struct("s", "title")))["title"].alias("lead"), F.count_if(F.col("s") % 86400 < 18000).alias("late"), F.count("*").alias("n"))
-    return per.select("day", F.concat_ws("; ", F.col("lead"), F.when(F.col("late") > 0, F.concat(F.col("late").cast("string"), F.lit(" late"))), F.concat(F.col("n").cast("string"), F.lit(" sessions"))).alias("summary"))
+    start = F.lit(rows.agg(F.min("day")).first()[0])
+    days = rows.groupBy("day").agg(F.min(F.when(F.col("featured"), F.struct("s", "title")))["title"].alias("featured"), F.count("*").alias("n"))
+    days = days.select("day", F.coalesce((F.col("day") - start) % 7 == 5, F.lit(False)).alias("interchange"), F.when((F.col("day") - start) % 3 != 0, F.col("featured")).alias("featured"), "n")
+    k = F.length("program")
+    lanes = rows.select("program").distinct().withColumn("a", start + k - 3).withColumn("b", F.col("a") + F.when(F.col("program") == "view", 40).otherwise(k * k % 11 + 1))
+    lanes = lanes.withColumn("a", F.when(F.col("program") == "view", start).otherwise(F.col("a")))
+    day = F.sequence("a", "b")
+    themes = F.map_from_arrays(day, F.transform(day, lambda x: F.when(x % 3 == 0, "Opening party").when(x % 3 == 1, F.concat(F.lit("Theme "), x)).otherwise(F.lit(None))))
+    first = rows.agg(F.min("day")).first()[0]
+    return schedule.day_summary(days, lanes.withColumns({"nightly": F.col("program") == "click", "themes": themes}), (first + WEEK[0], first + WEEK[1])).withColumn("parts", F.array_join("parts", "; "))
+
+
+DAYS = W + f""", z AS (SELECT min(day) AS z FROM t), dd AS (SELECT day, (day - z) % 7 = 5 AS interchange, CASE WHEN (day - z) % 3 <> 0 THEN arg_min(title, (s, title)) FILTER (WHERE featured) END AS featured, count(*) AS n FROM t, z GROUP BY day, z),
+ l AS (SELECT DISTINCT program, CASE WHEN program = 'view' THEN z ELSE z + length(program) - 3 END AS a, CASE WHEN program = 'view' THEN z + 41 ELSE z + length(program) - 3 + length(program) * length(program) % 11 + 1 END AS b, z FROM t, z),
+ r AS (SELECT *, unnest(range(greatest(a, z + {WEEK[0]}), least(b, z + {WEEK[1]}) + 1)) AS day FROM l WHERE NOT (a < z + {WEEK[0]} AND b > z + {WEEK[1]})),
+ q AS (SELECT *, day = a AS f, day = b AS e, program = 'click' AS nightly, CASE day % 3 WHEN 0 THEN 'Opening party' WHEN 1 THEN 'Theme ' || day END AS th FROM r),
+ v AS (SELECT *, CASE WHEN f THEN program || ' opens' END AS opens, CASE WHEN e AND NOT f THEN program || CASE WHEN nightly THEN '''s last night' ELSE '''s last day' END END AS ends, CASE WHEN nightly AND NOT f AND NOT e THEN program || ' night ' || (day - a + 1) || ' of ' || (b - a + 1) END AS night,
+  CASE WHEN th IS NOT NULL AND NOT (f AND th = 'Opening party') THEN CASE WHEN f OR e THEN th ELSE program || ': ' || th END END AS says FROM q),
+ g AS (SELECT day, count(*) AS k, list(opens ORDER BY program) FILTER (WHERE opens IS NOT NULL) AS opens, list(ends ORDER BY program) FILTER (WHERE ends IS NOT NULL) AS ends, list(night ORDER BY program) FILTER (WHERE night IS NOT NULL) AS nights, list(says ORDER BY program) FILTER (WHERE says IS NOT NULL AND b - a < 4) AS short, list(says ORDER BY program) FILTER (WHERE says IS NOT NULL AND b - a >= 4) AS long FROM v GROUP BY day),
+ w AS (SELECT dd.day, n, list_concat(CASE WHEN interchange THEN ['Interchange: all ' || ['no', 'one', 'two', 'three', 'four', 'five', 'six'][coalesce(k, 0) + 1] || ' run'] ELSE [] END, coalesce(opens, []), coalesce(ends, []))[1:2] AS news, list_concat(coalesce(nights, []), coalesce(short, []), CASE WHEN featured IS NOT NULL THEN [featured] ELSE [] END, coalesce(long, [])) AS details FROM dd LEFT JOIN g ON g.day = dd.day),
+ y AS (SELECT day, n, list_concat(news, CASE WHEN len(news) < 2 THEN details[1:1] ELSE [] END) AS p FROM w) SELECT day, array_to_string(CASE WHEN len(p) < 3 THEN list_append(p, n || CASE WHEN n = 1 THEN ' event' ELSE ' events' END) ELSE p END, '; ') AS parts FROM y"""
 
 
 def feed_stream(s, d):
@@ -128,7 +151,7 @@ QUERIES = {
         lambda s, d: io.calendar_feed(sessions(s, d)).select("user_id", F.sha2("ics", 256).alias("sha"), F.length("ics").alias("n_chars")),
         f"WITH {SESSIONS}, b AS (SELECT user_id, s, id, concat_ws(chr(10), 'BEGIN:VEVENT', 'UID:' || id, 'SUMMARY:' || title, CASE WHEN ad OR tu THEN 'DTSTART;VALUE=DATE:' || {STAMP.format('s')}[1:8] ELSE 'DTSTART:' || {STAMP.format('s')} END, CASE WHEN NOT (ad OR tu) AND NOT eu THEN 'DTEND:' || {STAMP.format('e')} END, CASE WHEN cancelled THEN 'STATUS:CANCELLED' END, 'END:VEVENT') AS block FROM x), g AS (SELECT user_id, string_agg(block, chr(10) ORDER BY s, id) AS ics FROM b GROUP BY user_id) SELECT user_id, sha256(ics) AS sha, length(ics) AS n_chars FROM g",
     ),
-    "day_summary": (day_summary, W + " SELECT day, concat_ws('; ', arg_min(title, (s, title)) FILTER (WHERE featured), CASE WHEN count(*) FILTER (WHERE s % 86400 < 18000) > 0 THEN (count(*) FILTER (WHERE s % 86400 < 18000)) || ' late' END, count(*) || ' sessions') AS summary FROM t GROUP BY day"),
+    "day_summary": (day_summary, DAYS),
     "feed_stream": (feed_stream, audits.CURRENT),
     "plan_state_stream": (plan_state_stream, audits.QUERIES["plan_state"][1]),
     "live_board_stream": (live_board_stream, audits.QUERIES["live_board_changes"][1]),

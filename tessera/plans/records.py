@@ -26,19 +26,45 @@ KEY = r"regexp_replace(regexp_replace(trim(regexp_replace(lower({0}), '[^\p{{L}}
 W = f"WITH {SESSIONS}, {SLICES}, t AS (SELECT *, CAST(floor((s - 18000) / 86400) AS BIGINT) AS day FROM x WHERE NOT cancelled AND NOT tu AND NOT ad AND NOT og)"
 
 
-def bridges(s, d):
-    """Stays with two keys each, as a chain of equal ones."""
+def listed_stays(s, d):
+    """Suppliers as listings of stays, three of a house: the second has another id and spells the address in full, the third has no
+    address; every tenth house holds another stay, and some names come twice."""
     k = F.col("s_suppkey")
-    keys = F.array(F.concat(F.lit("a"), F.floor(k / 3).cast("string")), F.concat(F.lit("b"), F.floor((k + 1) / 3 * (k % 4 == 0).cast("int") + k * 10 * (k % 4 != 0).cast("int")).cast("string")))
-    return read(s, d, "supplier").select(k.alias("id"), F.explode(keys).alias("key"))
+    house = F.floor(k / 3).cast("long")
+    name = F.concat(F.when(k % 3 == 2, "The ").otherwise(""), F.when(house % 10 == 9, "Harbor").otherwise("River"), F.lit(" Inn"), F.when(k % 3 == 1, " & Suites").otherwise(""), F.lit(" "), F.when(k % 3 == 1, house + 500).otherwise(house % 400))
+    address = F.when(k % 3 == 0, F.concat(house % 25 + 10, F.lit(" E 6th St., Town"))).when(k % 3 == 1, F.concat(house % 25 + 10, F.lit(" East Sixth Street")))
+    return read(s, d, "supplier").select(k.alias("row"), (k % 4).alias("slice"), F.when(k % 3 == 1, k + 1_000_000).otherwise(house).alias("stay"), name.alias("name"), address.alias("address"), F.when(k % 2 == 0, F.concat(F.lit("https://stay/"), k)).alias("url"))
 
 
-def merged_stays(s, d):
-    return op.components(bridges(s, d), read(s, d, "supplier").select(F.col("s_suppkey").alias("id")))
+STAYS = """WITH RECURSIVE s AS (SELECT s_suppkey AS row, s_suppkey % 4 AS slice, CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey + 1000000 ELSE s_suppkey // 3 END AS stay, CASE WHEN s_suppkey // 3 % 10 = 9 THEN 'harbor' ELSE 'river' END AS brand,
+  CASE WHEN s_suppkey % 3 = 1 THEN 'innandsuites' || (s_suppkey // 3 + 500) ELSE 'inn' || (s_suppkey // 3 % 400) END AS rest, CASE WHEN s_suppkey % 3 < 2 THEN (s_suppkey // 3 % 25 + 10) || ' e 6th st' END AS addr, CASE WHEN s_suppkey % 2 = 0 THEN 'https://stay/' || s_suppkey END AS url,
+  CASE WHEN s_suppkey % 3 < 2 THEN (s_suppkey // 3 % 25 + 10) || CASE WHEN s_suppkey % 3 = 0 THEN ' E 6th St., Town' ELSE ' East Sixth Street' END END AS address FROM supplier),
+ e AS (SELECT row, unnest(list_filter(['id:' || stay, 'a:' || addr || '|' || brand, 'n:' || brand || rest], lambda x: x IS NOT NULL)) AS key FROM s),
+ l AS (SELECT DISTINCT a.row AS x, b.row AS y FROM e a JOIN e b ON a.key = b.key), r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), g AS (SELECT x AS row, min(y) AS "group" FROM r GROUP BY x)
+ SELECT "group", arg_min(stay, row) AS stay, count(*) AS n, string_agg(DISTINCT slice, '+' ORDER BY slice) AS slices, arg_min(address, row) FILTER (WHERE address IS NOT NULL) AS address, arg_min(url, row) FILTER (WHERE url IS NOT NULL) AS url FROM s JOIN g USING (row) GROUP BY "group\""""
 
 
-STAYS = """WITH RECURSIVE e AS (SELECT s_suppkey AS id, unnest(['a' || CAST(floor(s_suppkey / 3) AS BIGINT), 'b' || CAST(floor(CASE WHEN s_suppkey % 4 = 0 THEN (s_suppkey + 1) / 3 ELSE s_suppkey * 10 END) AS BIGINT)]) AS key FROM supplier),
- l AS (SELECT DISTINCT a.id AS x, b.id AS y FROM e a JOIN e b ON a.key = b.key), r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x) SELECT x AS id, min(y) AS "group" FROM r GROUP BY x"""
+def organisations(s, d):
+    """Customers as organisations of eight slices, spelled in several ways, with one or two roles each."""
+    k = F.col("c_custkey")
+    n = k % 400
+    name = F.when(n % 7 == 0, F.concat(F.lit("P&G"), n)).when(k % 3 == 0, F.concat(F.lit("The Ac\u00e9 "), n, F.lit(" (Cincy) Co."))).when(k % 3 == 1, F.concat(F.lit("ACE "), n, F.lit(", Inc"))).otherwise(F.concat(F.lit("Ace-"), n))
+    name = F.when((n % 7 == 0) & (k % 2 == 0), F.concat(F.lit("Procter and Gamble "), n)).otherwise(name)
+    role = lambda m: F.struct(F.concat(F.lit("P"), k % m).alias("program"), F.when(k % 2 == 0, "sponsor").otherwise("partner").alias("relationship"), F.when(k % 5 != 0, F.col("c_mktsegment")).alias("tier"))
+    roles = F.when(k % 4 == 0, F.array(role(3), role(2))).when(k % 4 == 1, F.array(role(3))).when(k % 4 == 2, F.array(role(2), role(2))).otherwise(F.array().cast("array<struct<program:string,relationship:string,tier:string>>"))
+    return read(s, d, "customer").select((k % 8).alias("slice"), (k % 8 * 1_000_000 + k).alias("ord"), (n % 300).alias("id"), name.alias("name"), F.when(k % 3 == 0, F.concat(F.lit("logo"), k)).alias("logo"), F.when(k % 5 == 0, F.concat(F.lit("https://o/"), k)).alias("url"), roles.alias("roles"))
+
+
+def same_orgs(s):
+    return s.range(0, 400, 7).select(F.concat(F.lit("pandg"), "id").alias("key"), F.concat(F.lit("procterandgamble"), "id").alias("is"))
+
+
+ORGS = """WITH b AS (SELECT c_custkey AS k, c_custkey % 400 AS n, c_custkey % 8 AS slice, c_custkey % 8 * 1000000 + c_custkey AS ord, c_mktsegment AS seg FROM customer),
+ o AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'procterandgamble' || n ELSE 'ace' || n END AS key, CASE WHEN n % 7 = 0 AND k % 2 = 0 THEN 'Procter and Gamble ' || n WHEN n % 7 = 0 THEN 'P&G' || n WHEN k % 3 = 0 THEN 'The Acé ' || n || ' (Cincy) Co.' WHEN k % 3 = 1 THEN 'ACE ' || n || ', Inc' ELSE 'Ace-' || n END AS name FROM b),
+ t AS (SELECT key, ord, unnest(CASE k % 4 WHEN 0 THEN [3, 2] WHEN 1 THEN [3] WHEN 2 THEN [2, 2] ELSE [] END) AS m, generate_subscripts(CASE k % 4 WHEN 0 THEN [3, 2] WHEN 1 THEN [3] WHEN 2 THEN [2, 2] ELSE [] END, 1) AS pos, k, seg FROM o),
+ u AS (SELECT key, 'P' || (k % m) || ':' || CASE WHEN k % 2 = 0 THEN 'sponsor' ELSE 'partner' END || ':' || CASE WHEN k % 5 <> 0 THEN seg ELSE '-' END AS role, min((ord, pos)) AS w FROM t GROUP BY 1, 2), v AS (SELECT key, string_agg(role, ',' ORDER BY w) AS roles FROM u GROUP BY key),
+ g AS (SELECT key, min(ord) AS lead, arg_min(name, ord) AS name, arg_min('logo' || k, ord) FILTER (WHERE k % 3 = 0) AS logo, arg_min('https://o/' || k, ord) FILTER (WHERE k % 5 = 0) AS url, arg_min(n % 300, ord) AS id, arg_min(slice, ord) AS slice, count(DISTINCT slice) AS n_slices FROM o GROUP BY key)
+ SELECT g.key, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY lead) = 1 THEN CAST(id AS VARCHAR) ELSE id || '-' || slice END AS id, name, logo, url, coalesce(roles, '') AS roles, n_slices FROM g LEFT JOIN v ON g.key = v.key"""
 
 
 def venue_names(s, d):
@@ -283,10 +309,10 @@ QUERIES = {
         W + f", a AS (SELECT *, {KEY.format('name')} AS key FROM sl), l AS (SELECT id, arg_min(key, ord) AS lead FROM a GROUP BY id), b AS (SELECT a.*, CASE WHEN key = lead THEN CAST(a.id AS VARCHAR) ELSE a.id || '-' || program END AS nid FROM a JOIN l ON a.id = l.id) SELECT nid AS id, arg_min(name, ord) AS name, arg_min(bio, ord) FILTER (WHERE bio IS NOT NULL) AS bio, string_agg(DISTINCT program, ',' ORDER BY program) AS program, count(*) AS n FROM b GROUP BY nid",
     ),
     "merge_orgs": (
-        lambda s, d: slices(s, d).withColumn("key", op.name_key(F.col("name"))).groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("name")),
-        W + f" SELECT {KEY.format('name')} AS key, count(*) AS n, min(name) AS name FROM sl GROUP BY 1",
+        lambda s, d: op.merge_orgs(organisations(s, d), same_orgs(s)).withColumn("roles", F.array_join(F.transform("roles", lambda r: F.concat_ws(":", r["program"], r["relationship"], F.coalesce(r["tier"], F.lit("-")))), ",")),
+        ORGS,
     ),
-    "merge_stays": (merged_stays, STAYS),
+    "merge_stays": (lambda s, d: op.merge_stays(listed_stays(s, d), ["address", "url"]), STAYS),
     "alias_join": (
         lambda s, d: op.alias_join(free_texts(s, d), "location", venue_names(s, d), venue_aliases(s, d)),
         rf"""WITH f AS (SELECT c_custkey AS c, CASE c_custkey % 3 WHEN 0 THEN 'the SUPPLIER#' || lpad(CAST(c_custkey % 150 AS VARCHAR), 9, '0') WHEN 1 THEN 'Hall  ' || (c_custkey % 40) || '!' ELSE 'somewhere' END AS location FROM customer),

@@ -251,3 +251,61 @@ def test_uncertainty_covers_nine_of_ten_controls_left_out(spark):
     assert len(got) == 600 and all(r.approx_m >= 15 and r.approx_m % 5 == 0 for r in got)
     none = geo.uncertainty_factors(residuals.withColumn("counts", F.lit(False))).collect()
     assert {(r.factor, r.n) for r in none} == {(2.0, 0)}
+
+
+def test_stays_by_id_address_and_name(spark):
+    rows = [
+        (1, "a", "x1", "The Grand Hotel", "210 East Sixth Street, Town", None), (2, "b", "x2", "Grand Hotel & Suites", "210 E 6th St.", "u2"), (3, "b", "x3", "Grän-d  hotel", None, "u3"), (4, "c", "x1", "Something else", None, None),
+        (5, "a", "y1", "Homewood Inn", "210 E. 6th Street", None), (6, "a", "y2", "Grand Hotel (annex)", "Sixth Street", None), (7, "a", "y3", "", None, None), (8, "a", "y4", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "row long, slice string, stay string, name string, address string, url string")
+    got = {r.group: (r.stay, r.n, r.slices, r.url) for r in records.merge_stays(df, ["address", "url"]).collect()}
+    assert got == {1: ("x1", 5, "a+b+c", "u2"), 5: ("y1", 1, "a", None), 7: ("y3", 1, "a", None), 8: ("y4", 1, "a", None)}
+
+
+def test_organisations_keep_all_roles_and_tell_ids_apart(spark):
+    role = "array<struct<program:string,relationship:string,tier:string>>"
+    rows = [
+        ("s1", 1, "acme", "Acme, Inc.", None, None, [("p", "sponsor", "gold")]), ("s2", 2, "acme2", "The ACME (Cincinnati) Co.", "l", None, [("q", "partner", None), ("p", "sponsor", "gold")]), ("s2", 3, "acme", "Other", None, "u", None),
+        ("s1", 4, "pg", "P&G", None, None, [("p", "sponsor", None)]), ("s3", 5, "pg9", "Procter & Gamble", None, "v", [("p", "sponsor", None)]),
+    ]
+    same = spark.createDataFrame([("pandg", "procterandgamble")], "key string, is string")
+    df = spark.createDataFrame(rows, f"slice string, ord long, id string, name string, logo string, url string, roles {role}")
+    got = {r.key: (r.id, r.name, r.logo, r.url, [tuple(x) for x in r.roles], r.n_slices) for r in records.merge_orgs(df, same).collect()}
+    assert got == {
+        "acme": ("acme", "Acme, Inc.", "l", None, [("p", "sponsor", "gold"), ("q", "partner", None)], 2), "other": ("acme-s2", "Other", None, "u", [], 1), "procterandgamble": ("pg", "P&G", None, "v", [("p", "sponsor", None)], 2),
+    }
+
+
+def test_time_rules(spark):
+    kind = "id long, d long, end long, ad boolean, sm int, em int, occurrences array<struct<day:long,sm:int,em:int>>"
+    rows = [(1, 9300, 9299, False, 600, 660, None), (2, 9300, None, True, 600, None, None), (3, 9300, 9301, False, None, 660, None), (4, 9300, None, False, 1380, 360, None), (5, 9300, None, False, 1380, 361, [(9000, 1, 2), (9300, 700, 650), (9300, 1380, 30)]), (6, 9100, 9150, False, None, None, None), (7, 9100, 9200, True, None, None, [])]
+    found = sorted((r.id, r.path, r.message) for r in quality.validate(spark.createDataFrame(rows, kind), "id", audits.time_rules()).collect())
+    assert found == [
+        (1, "end", "before the first day"), (2, "ad", "a whole day has no times"), (3, "em", "end without start"), (5, "em", "ends before it starts"), (5, "occurrences[0]", "outside the window"), (5, "occurrences[1]", "ends before it starts"), (6, "d", "outside the window"),
+    ]
+
+
+def test_a_clean_page_and_one_with_every_mistake(spark):
+    clean = '<title>t</title><meta name="description" content="x"><link rel="canonical" href="https://a/"><h1>x</h1><img alt="" width=1 height=2 src=a><a href="https://b/" target="_blank" rel="noopener">b (opens in a new tab)</a><a href="b.html">b</a>'
+    bad = '<h1>x</h1><h1 class="y">z</h1><i id="a"></i><i id="a"></i><img src=a width=1><a href="#">x</a><a href="http://b/">b</a><a href="https://b/">b</a>'
+    found = sorted((r.page_id, r.path, r.message) for r in quality.page_rules(spark.createDataFrame([(1, clean), (2, bad)], "page_id long, html string")).withColumnRenamed("id", "page_id").collect())
+    assert [x[0] for x in found] == [2] * 11
+    assert {x[2] for x in found} == {
+        "not exactly one h1", "no title", "no description", "no canonical address", "an id twice", "image without alt", "image without width and height", "plain http link", "empty link", "outward link without its own tab", "outward link that does not say so",
+    }
+
+
+def test_a_day_in_at_most_three_parts(spark):
+    lanes = spark.createDataFrame([("A", 10, 12, False, {11: "Talks", 10: "Opening night"}), ("B", 8, 13, True, {12: "Light"}), ("C", 1, 40, False, {11: "thru"}), ("D", 12, 12, False, None)], "program string, a long, b long, nightly boolean, themes map<bigint,string>")
+    days = spark.createDataFrame([(8, False, None, 1), (9, False, "F", 4), (10, True, "F", 5), (11, False, "F", 2), (12, False, None, 3), (13, False, None, 0), (20, False, "G", None)], "day long, interchange boolean, featured string, n long")
+    got = {r.day: r.parts for r in schedule.day_summary(days, lanes, (8, 13)).collect()}
+    assert got == {
+        8: ["B opens", "1 event"], 9: ["B night 2 of 6", "4 events"], 10: ["Interchange: all two run", "A opens", "5 events"], 11: ["B night 4 of 6", "2 events"], 12: ["D opens", "A's last day", "3 events"], 13: ["B's last night", "0 events"], 20: ["G"],
+    }
+
+
+def test_extents_are_four_to_three_inside_the_map(spark):
+    points = spark.createDataFrame([("one", 500, 400), ("wide", 100, 300), ("wide", 900, 310), ("corner", 5, 995), ("out", 2000, 3)], "g string, x long, y long")
+    got = {r.g: (r.x0, r.y0, r.w, r.h) for r in geo.extent_fit(points, "g", (1000, 1000)).collect()}
+    assert got == {"one": (400.0, 325.0, 200.0, 150.0), "wide": (60.0, 0.0, 880.0, 660.0), "corner": (0.0, 850.0, 200.0, 150.0)}

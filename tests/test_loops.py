@@ -1,12 +1,12 @@
-"""What SQL can't say: greedy one-to-one matching and greedy clusters, against plain versions."""
+"""Loops over rounds, greedy one-to-one matching and greedy clusters, against plain versions."""
 
-from pyspark.sql import functions as F
+import random
 
-from tessera.functions.geo import LAT, LNG
-from tessera.operators import records
-from tessera.plans import places
+import pytest
+from pyspark.sql import functions as F
 
-SF = "/root/testdata/sf0.01"
+from tessera.functions.geo import LAT
+from tessera.operators import geo, records
 
 
 def greedy(pairs):
@@ -26,22 +26,28 @@ def test_mutual_best_is_greedy(spark):
     assert records.mutual_best(pairs.limit(0)).count() == 0
 
 
+def plain_clusters(points, radius):
+    """One point at a time: the nearest of the seeds in the leftmost column of cells that has one near enough."""
+    seeds, members = [], {}
+    for i, x, y, _ in sorted(points, key=lambda p: (-p[3], p[0])):
+        near = [(sx // radius - x // radius, (sx - x) ** 2 + (sy - y) ** 2, n) for n, (_, sx, sy) in enumerate(seeds) if (sx - x) ** 2 + (sy - y) ** 2 < radius * radius]
+        if not near:
+            seeds.append((i, x, y))
+        members.setdefault(seeds[min(near)[2]][0] if near else i, []).append((x, y))
+    return {s: (len(m), sum(x for x, _ in m) / len(m), sum(y for _, y in m) / len(m)) for s, m in members.items()}
+
+
 def test_clusters(spark):
-    rows = [r for r in places.cus(spark, SF).collect()]
-    want = {}
-    for view in {r.hood for r in rows}:
-        seeds = []
-        for r in sorted((r for r in rows if r.hood == view), key=lambda r: (-(r.id % 10), r.id)):
-            for q in seeds:
-                if ((r.lat - q.lat) * LAT) ** 2 + ((r.lng - q.lng) * LNG) ** 2 <= 300 * 300:
-                    break
-            else:
-                seeds.append(r)
-                q = r
-            n, t = want.get((view, q.id), (0, 0))
-            want[view, q.id] = (n + 1, t + r.id)
-    got = {(r.view, r.seed): (r.n, r.id_sum) for r in places.QUERIES["cluster_points"][0](spark, SF).collect()}
-    assert got == want
+    rng = random.Random(4)
+    rows = [(v, i, rng.randrange(300), rng.randrange(200), rng.randrange(4)) for v in ("a", "b") for i in range(220)]
+    rows += [("line", i, 30 * i, 0, 40 - i) for i in range(40)] + [("spot", i, 7, 7, i % 3) for i in range(20)] + [("edge", 0, 0, 0, 9), ("edge", 1, 44, 0, 8), ("edge", 2, 43, 0, 7), ("left", 0, 0, 0, 1), ("left", 1, 80, 0, 1), ("left", 2, 43, 0, 0)]
+    df = spark.createDataFrame(rows, "view string, id long, x long, y long, importance long")
+    got = {}
+    for r in geo.cluster_points(df, 44).collect():
+        got.setdefault(r.view, {})[r.seed] = (r.n, pytest.approx(r.x), pytest.approx(r.y))
+    assert got == {v: plain_clusters([r[1:] for r in rows if r[0] == v], 44) for v in {r[0] for r in rows}}
+    assert got["edge"].keys() == {0, 1} and got["left"][0][0] == 2
+    assert geo.cluster_points(df.limit(0), 44).count() == 0
 
 
 def test_tiers_take_the_strongest_evidence_first(spark):
