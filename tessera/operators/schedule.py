@@ -84,40 +84,37 @@ def at_this_hour(df: DataFrame, now: int, lanes: tuple[str, ...] = (), sizes: tu
     one), tonight (what begins at 17:00 or later today and stands in neither now nor next), and one row on_view with the
     number of ongoing ones of today without hours. Featured ones come first, then the lanes in order, then the rest; next
     and tonight are shown by start. What is beyond a section's size is counted in n_more."""
-    order = rank_in(lanes)
     today = (now - CUT) // DAY
     end = F.when(F.col("eu"), F.col("s") + HOUR).otherwise(F.col("e"))
-    rows = df.filter("not cancelled").select("id", "s", "og", end.alias("e"), "eu", order.alias("order"), (~F.col("tu") & ~F.col("ad")).alias("hours"), (festival_day(F.col("s")) == today).alias("today"))
-    on = F.col("hours") & (F.col("s") <= now) & (F.col("e") > now)
-    later = F.col("hours") & (F.col("s") > now)
-    # one pass and one row for the counts and the fallback
-    first = lambda c: F.min(F.when(c, F.col("s")))
-    n = rows.agg(
-        F.count_if(on & ~F.col("og")).alias("now"), F.count_if(on & F.col("og") & ~F.col("eu")).alias("open"), F.count_if(F.col("today") & F.col("og") & ~F.col("hours")).alias("view"),
-        F.count_if(later & (F.col("s") < now + 3 * HOUR)).alias("soon"), first(later & ~F.col("og")).alias("plain"), first(later).alias("any"),
-    ).first()
-    rank_of = ["order", "s", "id"]
-    best = lambda where, size: rows.filter(where).orderBy(*rank_of).limit(size)
-    if n["soon"]:
-        coming = best(later & (F.col("s") < now + 3 * HOUR), sizes[2])
-    else:
-        coming = best(later & (F.col("s") == F.lit(n["plain"] if n["plain"] is not None else n["any"])) & (~F.col("og") if n["plain"] is not None else F.lit(True)), sizes[2])
-    current = best(on & ~F.col("og"), sizes[0])
-    # at most sizes[0] + sizes[2] ids
-    shown = F.broadcast(current.select("id").unionByName(coming.select("id")))
+    rows = df.filter("not cancelled").select("id", "s", "og", end.alias("e"), "eu", rank_in(lanes).alias("order"), (~F.col("tu") & ~F.col("ad")).alias("hours"), (festival_day(F.col("s")) == today).alias("today"))
+    on, later = F.col("hours") & (F.col("s") <= now) & (F.col("e") > now), F.col("hours") & (F.col("s") > now)
     late = F.col("today") & later & ((F.col("s") % DAY >= 17 * HOUR) | (F.col("s") % DAY < CUT))
-    evening = rows.filter(late).join(shown, "id", "left_anti")
-    n_evening = evening.agg(F.count("*").alias("n")).first().n
-
-    def section(name: str, chosen: DataFrame, by: list[str], more: int) -> DataFrame:
-        ranked = chosen.withColumn("rank", F.row_number().over(Window.orderBy(*by)))  # a section's few rows
-        return ranked.select(F.lit(name).alias("section"), "rank", "id", F.lit(max(0, more)).cast("long").alias("n_more"))
-
-    by_start = ["s", "order", "id"]
-    out = section("now", current, rank_of, n["now"] - sizes[0]).unionByName(section("open", best(on & F.col("og") & ~F.col("eu"), sizes[1]), rank_of, n["open"] - sizes[1]))
-    out = out.unionByName(section("next", coming, by_start, 0)).unionByName(section("tonight", evening.orderBy(*rank_of).limit(sizes[3]), by_start, n_evening - sizes[3]))
-    view = df.sparkSession.range(1).select(F.lit("on_view").alias("section"), F.lit(1).alias("rank"), F.lit(None).cast(df.schema["id"].dataType).alias("id"), F.lit(n["view"]).cast("long").alias("n_more"))
-    return out.unionByName(view)
+
+    def told(rows: DataFrame, sections: dict[str, tuple[Column, int]], by_start: tuple[str, ...] = ()) -> tuple[dict[str, int], dict[str, list]]:
+        """How many rows stand in each section, and the first ones: by start and rank in those named, by rank and start in others.
+        One job; a row goes on once for each section that it stands in, and at most size rows of one leave a task."""
+        each = rows.withColumn("section", F.explode(F.filter(F.array(*(F.when(c, name) for name, (c, _) in sections.items())), lambda x: x.isNotNull())))
+        starts = F.col("section").isin(*by_start) if by_start else F.lit(False)
+        keys = F.when(starts, F.struct(F.col("s").alias("x"), F.col("order").cast("long").alias("y"), "id")).otherwise(F.struct(F.col("order").cast("long").alias("x"), F.col("s").alias("y"), "id"))
+        size = F.coalesce(*(F.when(F.col("section") == name, n) for name, (_, n) in sections.items()))
+        rank = F.row_number().over(Window.partitionBy("section").orderBy("key"))
+        most = max(n for _, n in sections.values())
+        top = each.withColumn("key", keys).withColumn("rank", rank).filter(F.col("rank") <= most).filter(F.col("rank") <= size).select("section", "rank", "id", "s", "order", F.lit(None).cast("long").alias("n"))
+        counts = each.groupBy("section").agg(F.count("*").alias("n")).select("section", F.lit(0).alias("rank"), *(F.lit(None).cast(each.schema[c].dataType).alias(c) for c in ("id", "s", "order")), "n")
+        got = top.unionByName(counts).collect()  # some dozen rows
+        found = {name: sorted((r for r in got if r.section == name and r["rank"]), key=lambda r: r["rank"]) for name in sections}
+        return {r.section: r.n for r in got if not r["rank"]}, found
+
+    soon = later & (F.col("s") < now + 3 * HOUR)
+    n, found = told(rows, {"now": (on & ~F.col("og"), sizes[0]), "open": (on & F.col("og") & ~F.col("eu"), sizes[1]), "soon": (soon, sizes[2]), "plain": (later & ~F.col("og"), sizes[2]), "any": (later, sizes[2]), "view": (F.col("today") & F.col("og") & ~F.col("hours"), 0)}, ("plain", "any"))
+    coming = found["soon"] or [r for r in found["plain"] or found["any"] if r.s == (found["plain"] or found["any"])[0].s]
+    shown = sorted({r.id for r in [*found["now"], *coming]})
+    n_late, evening = told(rows.filter(late & ~F.col("id").isin(*shown)) if shown else rows.filter(late), {"tonight": (F.lit(True), sizes[3])})
+
+    start = lambda rows: sorted(rows, key=lambda r: (r.s, r.order, r.id))
+    parts = {"now": (found["now"], n.get("now", 0) - sizes[0]), "open": (found["open"], n.get("open", 0) - sizes[1]), "next": (start(coming), 0), "tonight": (start(evening["tonight"]), n_late.get("tonight", 0) - sizes[3])}
+    out = [(name, i + 1, r.id, max(0, more)) for name, (rows_of, more) in parts.items() for i, r in enumerate(rows_of)] + [("on_view", 1, None, n.get("view", 0))]
+    return df.sparkSession.createDataFrame(out, f"section string, rank int, id {df.schema['id'].dataType.simpleString()}, n_more long")
 
 
 def rank_in(lanes: tuple[str, ...]) -> Column:

@@ -16,10 +16,11 @@ def pages(s, d):
     return read(s, d, "pages")
 
 
-def texts(s, d):
+def texts(s, d, *more):
+    """Parts as texts, some of them broken, and more columns of theirs."""
     k = F.col("p_partkey")
     name = F.when(k % 40 == 0, F.concat(F.lit(" "), "p_name")).when(k % 41 == 0, F.concat("p_name", F.lit("<b>x</b>"))).when(k % 43 == 0, "TBD").otherwise(F.col("p_name"))
-    return read(s, d, "part").select(k.alias("id"), name.alias("name"), F.when(k % 47 != 0, F.col("p_brand")).alias("brand"), F.when(k % 53 == 0, "x").otherwise(F.col("p_size").cast("string")).alias("size"))
+    return read(s, d, "part").select(k.alias("id"), name.alias("name"), F.when(k % 47 != 0, F.col("p_brand")).alias("brand"), F.when(k % 53 == 0, "x").otherwise(F.col("p_size").cast("string")).alias("size"), *more)
 
 
 def schema_rules():
@@ -36,8 +37,7 @@ def typed_fields(s, d):
     bad = lambda n, wrong, right: F.when(k % n == 0, wrong).otherwise(right)
     link = F.concat(bad(31, "http://a.example/", F.when(k % 37 == 0, "ftp:").otherwise("https://a.example/")), k.cast("string"))
     tags = F.array(bad(29, "Bad Tag", "ok"), F.concat(F.lit("t"), (k % 7).cast("string")), bad(23, "x--y", "x-y"))
-    more = read(s, d, "part").select(k.alias("id"), bad(19, "huge", F.element_at(F.split("p_type", " "), 1)).alias("kind"), link.alias("link"), F.struct(bad(17, "1998-1-2", "1998-01-02").alias("day"), F.when(k % 13 != 0, bad(11, "24:00", "23:59")).alias("time")).alias("at"), tags.alias("tags"))
-    return texts(s, d).join(more, "id")
+    return texts(s, d, bad(19, "huge", F.element_at(F.split("p_type", " "), 1)).alias("kind"), link.alias("link"), F.struct(bad(17, "1998-1-2", "1998-01-02").alias("day"), F.when(k % 13 != 0, bad(11, "24:00", "23:59")).alias("time")).alias("at"), tags.alias("tags"))
 
 
 KINDS = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
