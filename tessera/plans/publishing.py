@@ -21,13 +21,23 @@ SLICE = 50
 
 
 def load_entities(s, d):
-    """Events written as lines, every fiftieth broken, read back under a schema."""
-    i = F.col("event_id")
-    line = F.when(i % 50 == 0, F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "kind"'))).otherwise(F.to_json(F.struct(i.alias("id"), F.col("event_type").alias("kind"))))
-    to = scratch(s, "entities")
-    read(s, d, "events").select(line.alias("value")).write.text(to)
-    rows = io.read_entities(s, to, ENTITY)
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("_corrupt_record").alias("n_corrupt"))
+    """Four kinds as lines: events, every fiftieth broken and some twice; customers; one without a line, one without a file. What
+    each holds by message."""
+    i, root = F.col("event_id"), scratch(s, "entities")
+    line = F.when(i % 50 == 0, F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "kind"'))).otherwise(F.to_json(F.struct((i - F.when(i % 77 == 1, 1).otherwise(0)).alias("id"), F.col("event_type").alias("kind"))))
+    read(s, d, "events").select(line.alias("value")).write.text(f"{root}/events")
+    read(s, d, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"))).alias("value")).write.text(f"{root}/people")
+    read(s, d, "region").filter("r_regionkey < 0").select(F.col("r_name").alias("value")).write.text(f"{root}/works")
+    tables, problems = io.load_entities(s, root, dict.fromkeys(("events", "people", "works", "venues", "notes"), ENTITY), ("events", "works", "venues"))
+    out = problems.groupBy(F.col("kind").alias("tbl"), "message").agg(F.count("*").alias("n"))
+    for name, rows in tables.items():
+        out = out.unionByName(rows.groupBy(F.lit(name).alias("tbl"), F.col("kind").alias("message")).agg(F.count("*").alias("n")))
+    return out
+
+
+ENTITIES = """WITH e AS (SELECT event_id, event_id - CASE WHEN event_id % 77 = 1 THEN 1 ELSE 0 END AS id, event_type AS kind FROM events WHERE event_id % 50 <> 0)
+ SELECT 'events' AS tbl, 'is no such object' AS message, count(*) AS n FROM events WHERE event_id % 50 = 0 UNION ALL SELECT 'events', 'key twice', count(*) FROM (SELECT id FROM e GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'events', kind, count(*) FROM e GROUP BY kind
+ UNION ALL SELECT 'people', c_mktsegment, count(*) FROM customer GROUP BY 2 UNION ALL SELECT 'works', 'is empty', 1 UNION ALL SELECT 'venues', 'is missing', 1"""
 
 
 def sliced(s, d):
@@ -143,7 +153,7 @@ def live_board_stream(s, d):
 STAMP = "strftime(make_timestamp(CAST({0} * 1000000 AS BIGINT)), '%Y%m%dT%H%M%S')"
 
 QUERIES = {
-    "load_entities": (load_entities, "SELECT CASE WHEN event_id % 50 <> 0 THEN event_type END AS kind, count(*) AS n, count(*) FILTER (WHERE event_id % 50 = 0) AS n_corrupt FROM events GROUP BY 1"),
+    "load_entities": (load_entities, ENTITIES),
     "publish_if_clean": (publish, audits.FOUND + ", e AS (SELECT DISTINCT id FROM f WHERE level = 'error') SELECT 'all' AS edition, false AS published, 0 AS n UNION ALL SELECT 'clean', true, count(*) FROM tx WHERE id NOT IN (SELECT id FROM e)"),
     "load_slices": (load_slices, SLICES),
     "export_instances_json": (exported, I + EXPORTED),

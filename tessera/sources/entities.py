@@ -19,6 +19,33 @@ def read_entities(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def load_entities(spark: SparkSession, root: str, schemas: dict[str, T.StructType], required: tuple[str, ...] = (), key: str = "id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables by kind, problems) of the JSON lines in root/kind, whatever the number of files.
+
+    A kind without a file gives an empty table. The problems (kind, id, level, message) tell of kinds that are required and missing
+    or empty, of lines that are no such object (their text is the id) and of keys that several rows of a kind have."""
+    tables, problems = {}, None
+    for kind, schema in schemas.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}")
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+        rows = spark.createDataFrame([], whole)
+        if there:
+            # parsed once: data and problems read the same table
+            to = scratch(spark, f"entities-{kind}")
+            read_entities(spark, f"{root}/{kind}", schema).write.parquet(to)
+            rows = spark.read.schema(whole).parquet(to)
+        sound = rows.filter("_corrupt_record is null")
+        tables[kind] = sound.drop("_corrupt_record")
+        told = lambda df, text, message, name=kind: df.select(F.lit(name).alias("kind"), text.cast("string").alias("id"), F.lit("error").alias("level"), F.lit(message).alias("message"))
+        found = told(rows.filter("_corrupt_record is not null"), F.col("_corrupt_record"), "is no such object").unionByName(told(sound.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), F.col(key), "key twice"))
+        if kind in required:
+            none = spark.range(1).join(rows.limit(1), F.lit(True), "left_anti")
+            found = found.unionByName(told(none, F.lit(None), "is empty" if there else "is missing"))
+        problems = found if problems is None else problems.unionByName(found)
+    return tables, problems
+
+
 @dataclass(frozen=True)
 class Kind:
     """Records of one kind: their schema, and the files that hold them as whole JSON arrays under a root. ``files`` is a glob below
