@@ -37,6 +37,16 @@ def test_a_folder_with_files_missing_empty_and_broken(spark):
     ])
 
 
+def test_entities_tell_what_is_missing_empty_broken_or_doubled(spark):
+    root = folder({"people/a.json": '{"id": "a", "n": 1}\n{"id": "b"\n', "people/b.json": '{"id": "a", "n": 2}\n{"id": "c", "n": "x"}\n', "works/a.json": "", "notes/a.json": '{"id": "z"}\n'})
+    tables, problems = entities.load_entities(spark, root, dict.fromkeys(("people", "works", "venues", "notes", "facts"), PERSON), ("people", "works", "venues"))
+    assert sorted((r.id, r.n) for r in tables["people"].collect()) == [("a", 1), ("a", 2)]
+    assert [tables[k].count() for k in ("works", "venues", "notes", "facts")] == [0, 0, 1, 0]
+    assert sorted((r.kind, r.id or "", r.message) for r in problems.collect()) == [
+        ("people", "a", "key twice"), ("people", '{"id": "b"', "is no such object"), ("people", '{"id": "c", "n": "x"}', "is no such object"), ("venues", "", "is missing"), ("works", "", "is empty"),
+    ]
+
+
 def test_a_kind_without_any_file_is_missing_once(spark):
     kinds = [entities.Kind("people", PERSON, "people.json", r"/(people)\.json$", True), entities.Kind("works", PERSON, "works.json", r"/(works)\.json$")]
     found, problems = entities.load_slices(spark, folder({"works.json": '[{"id": "w", "n": 2}]'}), kinds)
