@@ -94,15 +94,9 @@ def pieces(credit: Column) -> Column:
     return F.split(credit, ",| X | and ")
 
 
-def is_named(name: Column, credit: Column, alike: float) -> Column:
-    """Whether a credit holds a name, or is held by it, or is like it, or one of its pieces is."""
-    n, c = squashed(name), squashed(credit)
-    like = lambda x: jaccard(padded(n), padded(squashed(x))) >= alike
-    return (c != "") & (F.contains(c, n) | F.contains(n, c) | like(credit) | F.exists(pieces(credit), like))
-
-
 def named(names: DataFrame, credits: DataFrame, alike: float) -> DataFrame:
-    """(name, credit) of all different names (name) and credits (credit) that fit by ``is_named``.
+    """(name, credit) of all different names (name) and credits (credit) of which one holds the other,
+    or of which the name is like the credit or one of its pieces.
 
     What is like each other meets by ``near_sets``. Of what may be held, the rarest trigram is looked up among all trigrams of
     what may hold it; texts of one or two characters are looked up whole."""
@@ -125,7 +119,12 @@ def named(names: DataFrame, credits: DataFrame, alike: float) -> DataFrame:
 
     names_in = holds(n, c).join(n.select("name", F.col("text").alias("inner")), "inner").join(c.select("credit", F.col("text").alias("outer")), "outer")
     credits_in = holds(c, n).join(c.select("credit", F.col("text").alias("inner")), "inner").join(n.select("name", F.col("text").alias("outer")), "outer")
-    return met.unionByName(names_in.select("name", "credit")).unionByName(credits_in.select("name", "credit")).distinct()
+    met = met.unionByName(names_in.select("name", "credit")).unionByName(credits_in.select("name", "credit")).distinct()
+    # spelled out once for each name and credit, not for each pair
+    own = checkpointed(n.select("name", F.col("text").alias("nt"), padded(F.col("text")).alias("ng")))
+    parts_of = checkpointed(c.select("credit", F.col("text").alias("ct"), F.transform(F.array_union(F.array("credit"), pieces(F.col("credit"))), lambda p: padded(squashed(p))).alias("cg")))
+    like = F.exists("cg", lambda g: jaccard(F.col("ng"), g) >= alike)
+    return met.join(own, "name").join(parts_of, "credit").filter(F.contains("ct", F.col("nt")) | F.contains("nt", F.col("ct")) | like).select("name", "credit")
 
 
 def text_scores(entries: DataFrame, works: DataFrame, least: float = 0.9, alike: float = 0.6) -> DataFrame:
@@ -137,21 +136,26 @@ def text_scores(entries: DataFrame, works: DataFrame, least: float = 0.9, alike:
     must reach half of ``least``, so that pairs meet by near trigrams, by two common words, or by a name."""
     called = F.when(F.trim(spelled(F.col("title"))) == "mural", F.concat(F.lit("mural by "), F.coalesce("credit", F.lit("")))).otherwise(F.coalesce("title", F.lit("")))
     plain_mural = F.trim(spelled(F.col("title"))) == "mural"
-    x = checkpointed(entries.select("id", "medium", F.coalesce("credit", F.lit("")).alias("credit"), padded(squashed(called)).alias("grams"), F.when(plain_mural, F.array().cast("array<string>")).otherwise(words(F.col("title"))).alias("words")))
+    x = checkpointed(entries.select("id", "medium", F.coalesce("credit", F.lit("")).alias("credit"), squashed(called).alias("text"), padded(squashed(called)).alias("grams"), F.when(plain_mural, F.array().cast("array<string>")).otherwise(words(F.col("title"))).alias("words")))
     some = F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda n: n.isNotNull() & (F.length(squashed(n)) >= 3))
-    y = checkpointed(works.select("id", "medium", some.alias("names"), padded(squashed(F.coalesce("title", F.lit("")))).alias("grams"), words(F.col("title")).alias("words")))
-    met = near_sets(x.select("id", "grams"), y.select("id", "grams"), least / 2)
+    y = checkpointed(works.select("id", "medium", some.alias("names"), squashed(F.coalesce("title", F.lit(""))).alias("text"), padded(squashed(F.coalesce("title", F.lit("")))).alias("grams"), words(F.col("title")).alias("words")))
+    # equal titles are looked up once, and so are equal credits and names
+    unique = lambda df: df.groupBy("text").agg(F.first("grams").alias("grams")).withColumnRenamed("text", "id")
+    near = near_sets(unique(x), unique(y), least / 2)
+    near = near.join(x.select(F.col("text").alias("a"), F.col("id").alias("x"), "medium"), "a").join(y.select(F.col("text").alias("b"), F.col("id").alias("y"), "medium"), ["b", "medium"])
+    met = near.select(F.col("x").alias("a"), F.col("y").alias("b"))
     two = F.flatten(F.transform("words", lambda p: F.transform(F.filter("words", lambda q: q > p), lambda q: F.concat_ws(" ", p, q))))
     keyed = lambda df, s: df.select(F.col("id").alias(s), "medium", F.explode(two).alias("key"))
     met = met.unionByName(keyed(x, "a").join(keyed(y, "b"), ["key", "medium"]).select("a", "b"))
-    each = y.select(F.col("id").alias("b"), "medium", F.explode(F.array_distinct("names")).alias("name"))
+    each = y.select(F.col("id").alias("b"), "medium", F.explode("names").alias("name"))
     fits = named(each.select("name").distinct(), x.select("credit").distinct(), alike)
-    met = met.unionByName(each.join(fits, "name").join(x.select(F.col("id").alias("a"), "medium", "credit"), ["credit", "medium"]).select("a", "b")).distinct()
+    held = checkpointed(each.join(fits, "name").groupBy("b", "medium", "credit").agg(F.count("*").alias("held")))
+    met = met.unionByName(held.join(x.select(F.col("id").alias("a"), "medium", "credit"), ["credit", "medium"]).select("a", "b")).distinct()
     side = lambda df, s: df.select(*(F.col(c).alias(s + c) for c in df.columns))
     both = met.join(side(x, "x_"), F.col("a") == F.col("x_id")).join(side(y, "y_"), F.col("b") == F.col("y_id")).filter("x_medium = y_medium")
     title = F.greatest(jaccard(F.col("x_grams"), F.col("y_grams")), overlap(F.col("x_words"), F.col("y_words")))
-    held = F.size(F.filter("y_names", lambda n: is_named(n, F.col("x_credit"), alike)))
-    credit = F.when(F.size("y_names") > 0, held / F.size("y_names")).otherwise(F.lit(0.0))
+    both = both.join(held.select("b", F.col("credit").alias("x_credit"), "held"), ["b", "x_credit"], "left")
+    credit = F.when(F.size("y_names") > 0, F.coalesce("held", F.lit(0)) / F.size("y_names")).otherwise(F.lit(0.0))
     scored = both.select("a", "b", title.alias("t"), credit.alias("c")).filter(F.col("t") + F.col("c") >= least - 1e-9)
     whole = lambda c: F.floor(F.col(c) * 1000 + 1e-6).cast("long")
     return scored.select("a", "b", whole("t").alias("title"), whole("c").alias("credit"))
