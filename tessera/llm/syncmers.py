@@ -1,37 +1,36 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is an anchor when the least hash among its inner s-mers lies at one of its two edges. The choice
-looks at nothing outside the k-mer, so an edit disturbs only the anchors that it touches. A fingerprint holds a text's
-anchors in order of position, each as eight hex digits of the position and eight of its hash. Texts of up to ``FULL`` code
-points keep all anchors, of longer ones those stay whose hash is below a share of all hashes that halves with each doubling
-of the length down to 1 / ``LEAST``; from there on the fingerprint grows with the text, at one anchor in some 56 code points,
-so that a shared passage shows however long the texts around it are.
-
-The likeness of two fingerprints is positional: anchors below the smaller of both shares are matched by hash (the nth
-occurrence with the nth), the longest chain of matches that rises in both texts counts, and its length over the number of
-different anchors of both is the likeness: 1 for equal fingerprints, 0 for disjoint ones.
+looks at nothing outside the k-mer, so an edit disturbs only the anchors that it touches. A fingerprint holds all of a text's
+anchors in order of position, each as eight hex digits of the position and eight of its hash: one anchor in some 3.5 code
+points, however long the text.
+
+The likeness of two fingerprints is positional: anchors are matched by hash (the nth occurrence with the nth), the longest
+chain of matches that rises in both texts counts, and its length over the number of different anchors of both is the likeness:
+1 for equal fingerprints, 0 for disjoint ones.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import shuffle_partitions, stored, text_of
-from tessera.llm.words import Powers, U, mix, packed, sliding_min
+from tessera.llm._common import shuffle_partitions, text_of
+from tessera.llm.words import Powers, U, mix, sliding_min
 
 K, S = 12, 6
-FULL, LEAST = 320, 16
-CHUNK_CHARS, ROWS = 500_000, 500
+LEAST = 1  # 1 / LEAST of a text's anchors stays at least: all of them
+CHUNK_CHARS = 500_000
+PARTS = 4  # runs of documents a shuffle partition
 POINTS = Powers(0xA24BAED4963EE407)
 
 
@@ -54,32 +53,15 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return text, edge - (ends - lengths)[text], (POINTS.ranges(points, edge, edge + k) >> U(32)).astype(np.uint32)
 
 
-def share(n: int) -> int:
-    """The hash from which a text of n code points keeps no anchors."""
-    part = 1
-    while part < LEAST and n > FULL * part:
-        part *= 2
-    return (1 << 32) // part
-
+class Fingerprint(NamedTuple):
+    """Positions and hashes of a text's anchors in order."""
 
-class Fingerprint:
-    """Positions and hashes of a text's anchors in order, and the share they were chosen by."""
-
-    def __init__(self, positions: np.ndarray, hashes: np.ndarray, below: int) -> None:
-        self.positions, self.hashes, self.below = positions, hashes, below
+    positions: np.ndarray
+    hashes: np.ndarray
 
     def written(self) -> str:
         return np.stack([self.positions.astype(np.uint32), self.hashes], 1).astype(">u4").tobytes().hex()
 
-    def keys(self, below: int) -> list[tuple[int, int]]:
-        """Anchors below a share as (hash, which occurrence of it), in order of position."""
-        seen: dict[int, int] = {}
-        out = []
-        for h in self.hashes[self.hashes < below].tolist() if below < self.below else self.hashes.tolist():
-            out.append((h, nth := seen.get(h, 0)))
-            seen[h] = nth + 1
-        return out
-
 
 def fingerprints_of(texts: list[str], k: int = K, s: int = S) -> list[Fingerprint]:
     """A text without anchors has the hash of the whole text instead, an empty text none."""
@@ -89,109 +71,109 @@ def fingerprints_of(texts: list[str], k: int = K, s: int = S) -> list[Fingerprin
         if i == len(texts) or total + len(texts[i]) > CHUNK_CHARS and i > begin:
             part = texts[begin:i]
             text, at, h = anchors(part, k, s)
-            shares = np.array([share(len(t)) for t in part], U)
-            keep = h < shares[text] if len(text) else np.zeros(0, bool)
-            none = np.bincount(text, minlength=len(part)) == 0
-            text, at, h = text[keep], at[keep], h[keep]
-            bounds = np.searchsorted(text, np.arange(len(part) + 1))
-            for j, t in enumerate(part):
-                if none[j] and t:
-                    out.append(Fingerprint(np.zeros(1, np.int64), np.array([xxhash.xxh32_intdigest(t.encode())], np.uint32), 1 << 32))
+            bounds = np.searchsorted(text, np.arange(len(part) + 1)).tolist()
+            for t, a, b in zip(part, bounds, bounds[1:]):
+                if a == b and t:
+                    out.append(Fingerprint(np.zeros(1, np.int64), np.array([xxhash.xxh32_intdigest(t.encode())], np.uint32)))
                 else:
-                    out.append(Fingerprint(at[bounds[j] : bounds[j + 1]], h[bounds[j] : bounds[j + 1]], int(shares[j])))
+                    out.append(Fingerprint(at[a:b], h[a:b]))
             begin, total = i, 0
         if i < len(texts):
             total += len(texts[i])
     return out
 
 
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Each hash with the number of its earlier occurrences."""
+    order = np.argsort(hashes, kind="stable")
+    row, at = hashes[order], np.arange(len(hashes))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], row[1:] != row[:-1])), at, 0)) if len(row) else at
+    out = np.empty(len(hashes), U)
+    out[order] = row.astype(U) << U(32) | (at - first).astype(U)
+    return out
+
+
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    below = min(a.below, b.below)
-    x, y = a.keys(below), b.keys(below)
-    if not x and not y:
-        # texts whose anchors all lie above the share are compared by nothing but being equal
-        return 1.0 if np.array_equal(a.hashes, b.hashes) else 0.0
-    if x == y:
+    x, y = a.hashes, b.hashes
+    total, n = len(x) + len(y), min(len(x), len(y))
+    if not total:
         return 1.0
-    place = {key: i for i, key in enumerate(y)}
+    differ = np.flatnonzero(x[:n] != y[:n])
+    same = int(differ[0]) if len(differ) else n  # a common beginning belongs to a longest chain
+    _, p, q = np.intersect1d(numbered(x[same:]), numbered(y[same:]), assume_unique=True, return_indices=True)
     tails: list[int] = []  # the least last place of a rising chain of each length
-    for i in [place[key] for key in x if key in place]:
-        at = bisect_left(tails, i)
-        if at == len(tails):
+    for i in q[np.argsort(p)].tolist():
+        if not tails or i > tails[-1]:
             tails.append(i)
         else:
-            tails[at] = i
-    return len(tails) / (len(x) + len(y) - len(tails))
+            tails[bisect_left(tails, i)] = i
+    chain = same + len(tails)
+    return chain / (total - chain)
 
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compared(ids: list, texts: list[str], nexts: list[str]) -> pd.DataFrame:
-    """One row for each text and the text that follows it; its last third gives way to the beginning of that text."""
+def compared(ids: list, texts: list[str], after: str) -> pd.DataFrame:
+    """One row for each text, compared with the one that follows it (after the last comes after); its last third gives way to
+    the beginning of that text."""
     edited = []
-    for t, nxt in zip(texts, nexts, strict=True):
+    for t, nxt in zip(texts, [*texts[1:], after], strict=True):
         third = len(t) // 3
         edited.append(t[: len(t) - third] + nxt[:third])
-    own, changed = fingerprints_of(texts), fingerprints_of(edited)
-    after = [*own[1:], None] if nexts[:-1] == texts[1:] else [None] * len(texts)
-    if None in (x if x is None else 0 for x in after):
-        missing = [i for i, x in enumerate(after) if x is None]
-        for i, x in zip(missing, fingerprints_of([nexts[i] for i in missing]), strict=True):
-            after[i] = x
+    own, changed = fingerprints_of([*texts, after]), fingerprints_of(edited)
     return pd.DataFrame({
         "doc_id": pd.array(ids, "Int64"), "n_chars": [len(t) for t in texts],
         "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-        "fingerprint": [x.written() for x in own], "edited_fingerprint": [x.written() for x in changed],
-        "near_edited": [likeness(x, y) for x, y in zip(own, changed, strict=True)], "near_next": [likeness(x, y) for x, y in zip(own, after, strict=True)],
+        "fingerprint": [x.written() for x in own[:-1]], "edited_fingerprint": [x.written() for x in changed],
+        "near_edited": [likeness(x, y) for x, y in zip(own, changed)], "near_next": [likeness(x, y) for x, y in zip(own, own[1:])],
     })
 
 
+def dealt(rows: DataFrame, firsts: list[tuple]) -> DataFrame:
+    """rows (no_id, down, tie, text), texts compressed, by the part that each falls into: parts begin at firsts, in order. The
+    first row of a part stands at the end of the part before as well, as the one after it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor(level=6)
+        for batch in batches:
+            keys = list(zip(batch["no_id"].tolist(), batch["down"].tolist(), batch["tie"].tolist(), strict=True))
+            part = np.array([bisect_right(firsts, k) - 1 for k in keys], np.int32)
+            head = np.array([k == firsts[p] for k, p in zip(keys, part.tolist(), strict=True)], bool)
+            out = batch.assign(text=[z.compress(t.encode()) for t in batch["text"]], part=part, after=False)
+            yield out
+            yield out[head].assign(part=(part[head] - 1) % len(firsts), after=True)
+
+    return rows.mapInPandas(run, "no_id boolean, down long, tie long, text binary, part int, after boolean")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, null texts as empty, compared with its edited text and with the next document.
 
     Documents follow one another by descending doc_id (nulls last; repeated ids by the text's hash), after the last comes the first.
-    The rows are dealt out once by range; within a part each text waits for its successor, and only the last text of a part
-    and the first of the next one (two rows a part) meet in a join. An empty table gives no rows; other columns are ignored.
+    Their keys are ranged first, which gives the bounds of PARTS parts a shuffle partition; then every row goes to its part once,
+    and there each text waits for its successor. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    rows = packed(docs.select("doc_id", text_of().alias("text")).withColumn("tie", F.xxhash64("text")))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
-
-    def edge(what: str, part: int, doc_id, text: str) -> pd.DataFrame:
-        return pd.DataFrame({"edge": [what], "part": [part], "doc_id": pd.array([doc_id], "Int64"), "text": [text]})
+    n = shuffle_partitions(docs.sparkSession)
+    order = ["no_id", "down", "tie"]
+    rows = docs.select(F.col("doc_id").isNull().alias("no_id"), F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).alias("down"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
+    ranged = rows.select(*order).repartitionByRange(PARTS * n, *order).withColumn("part", F.spark_partition_id())
+    firsts = sorted(tuple(r[0]) for r in ranged.groupBy("part").agg(F.min(F.struct(*order)).alias("first")).select("first").collect())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, z = TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
-        last_id, last = None, None
-        for batch, at in ((b, at) for b in batches for at in range(0, len(b), ROWS)):
-            some = batch.iloc[at : at + ROWS]
-            ids, texts = [None if pd.isna(x) else int(x) for x in some["doc_id"]], [z.decompress(t).decode() for t in some["text"]]
-            if last is None:
-                yield edge("head", part, None, texts[0])
-            else:
-                ids, texts = [last_id, *ids], [last, *texts]
-            last_id, last = ids[-1], texts[-1]
-            begin = size = 0
-            for i in range(len(texts) - 1):
-                size += len(texts[i])
-                if size >= CHUNK_CHARS or i == len(texts) - 2:
-                    yield compared(ids[begin : i + 1], texts[begin : i + 1], texts[begin + 1 : i + 2])
-                    begin, size = i + 1, 0
-        if last is not None:
-            yield edge("tail", part, last_id, last)
-
-    whole = f"edge string, part int, text string, {ROW}"
-    kinds = {n: "Int64" if k in ("int", "long") else "float64" if k == "double" else object for n, k in (x.split() for x in whole.split(", "))}
-
-    def filled(x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({n: x[n].astype(k) if n in x else pd.Series([None] * len(x), dtype=k) for n, k in kinds.items()})
-
-    found = stored(rows.mapInPandas(lambda batches: map(filled, run(batches)), whole), "syncmers")
-    heads = found.filter("edge = 'head'").select("part", F.col("text").alias("next"))
-    # a window over the parts, of which there are as many as shuffle partitions
-    after = heads.select("part").selectExpr("part", "coalesce(lead(part) over (order by part), min(part) over ()) as next_part")
-    tails = found.filter("edge = 'tail'").select("part", "doc_id", "text").join(after, "part").join(heads.withColumnRenamed("part", "next_part"), "next_part")
-    meet = tails.select("doc_id", "text", "next").mapInPandas(lambda b: (compared([None if pd.isna(i) else int(i) for i in x["doc_id"]], x["text"].tolist(), x["next"].tolist()) for x in b if len(x)), ROW)
-    return found.filter("edge is null").select(meet.columns).unionByName(meet)
+        z = zstandard.ZstdDecompressor()
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for no_id, down, packed, after in zip(batch["no_id"].tolist(), batch["down"].tolist(), batch["text"], batch["after"].tolist(), strict=True):
+                if after and not ids:
+                    continue  # equal rows begin the next part
+                text = z.decompress(packed).decode()
+                if after or size >= CHUNK_CHARS:
+                    yield compared(ids, texts, text)
+                    ids, texts, size = [], [], 0
+                if not after:
+                    ids.append(None if no_id else ~down)
+                    texts.append(text)
+                    size += len(text)
+
+    return dealt(rows, firsts).repartition(n, "part").sortWithinPartitions("part", "after", *order).mapInPandas(run, ROW)

@@ -120,3 +120,30 @@ def test_edge_rows(spark):
     assert syncmers.fingerprints(docs.limit(0)).count() == 0
     alone = syncmers.fingerprints(docs.filter("doc_id = 1")).collect()
     assert [(r.doc_id, r.near_next) for r in alone] == [(1, 1.0)]
+
+
+def test_long_texts_keep_every_anchor():
+    """Also above 5,120 code points; a changed word shows wherever it stands."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(800)]
+    text, other = " ".join(words), " ".join([*words[:400], "another", *words[401:]])
+    own, changed = syncmers.fingerprints_of([text, other])
+    assert list(zip(own.positions.tolist(), own.hashes.tolist(), strict=True)) == plain_anchors(text, syncmers.K, syncmers.S)
+    assert len(own.hashes) > len(text) / 5
+    assert syncmers.likeness(own, changed) < 1
+    a, b = ([(int(p), int(h)) for p, h in zip(*f)] for f in (own, changed))
+    assert syncmers.likeness(own, changed) == plain_likeness((a, 2**32), (b, 2**32))
+
+
+def test_every_row_meets_its_successor_across_parts(spark, monkeypatch):
+    """More parts than rows in some, ids beyond 2^53 beside rows without one."""
+    monkeypatch.setattr(syncmers, "PARTS", 8)
+    rng = random.Random(6)
+    made = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 90)))
+    ids = [2**62 + 1, 2**62, -(2**63), *rng.sample(range(10**6), 120)]
+    rows = [(i, made()) for i in ids] + [(None, "the last of all, without an id")]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
+    assert set(got) == {i for i, _ in rows}
+    for (i, t), e in zip(rows, edited([t for _, t in rows]), strict=True):
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
