@@ -32,6 +32,15 @@ CHUNK = 256
 LANES = 2048
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 def simhash(text: str, size: int = SHINGLE) -> int:
     """Unsigned fingerprint of one text; 0 for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
@@ -45,11 +54,7 @@ def simhash(text: str, size: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[: -size] + 1)).tolist()
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(majority(hashes))
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
