@@ -30,6 +30,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 SHORT, ROW = 48, 200
+#: bytes of texts that are encoded at a time and of segments that are remembered: what a worker holds follows from these
+PIECE, KEPT = 2_000_000, 16_000_000
 #: texts whose segments aren't simply their words
 ODD = f"^ |  | $|^$|{MARK}"
 NONE = np.int32(2**31 - 1)
@@ -170,7 +172,7 @@ class Coder:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.memory = Memory(self.learn)
+        self.memory = Memory(self.learn, KEPT)
         self.differed = 0
 
     def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +234,15 @@ def coder(path: str) -> Coder:
     return _CODERS[path]
 
 
+def laid_in_pieces(own: Coder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, decoded) of a batch of (doc_id, text), some PIECE of texts at a time."""
+    texts = batch.column("text")
+    for begin, end in pieces_of(texts, PIECE):
+        flat, ends = own.encode(texts[begin:end])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin:end], lists, pa.array(own.decode(flat, ends), pa.string())], ["doc_id", "ids", "decoded"])
+
+
 def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) for every row: the ids with an end id and the text that they decode to. Null texts are empty
     and have the end id alone; other columns are ignored. ``model`` is the file's place on every machine."""
@@ -240,11 +251,9 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
-            texts = batch.column("text")
-            for begin, end in pieces_of(texts):
-                flat, ends = own.encode(texts[begin:end])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin:end], lists, pa.array(own.decode(flat, ends), pa.string())], ["doc_id", "ids", "decoded"])
+            yield from laid_in_pieces(own, batch)
+        # a worker outlives its task: what Arrow has freed goes back
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -104,3 +105,19 @@ def test_a_full_memory_is_emptied_and_ids_stay_right():
     t = own.library
     for r in documents()[:60]:
         assert np.frombuffer(own(pa.array([r["text"]]))[0], "<u4").tolist() == t.encode(r["text"], add_special_tokens=False).ids
+
+
+def test_an_encoding_worker_holds_little_of_a_large_batch():
+    """8 MB of texts and 400,000 different words: neither arrays of all their words nor a memory of all segments."""
+    own = pieces.Coder(public_tokenizers.path(pieces.MODEL))
+    rng = np.random.default_rng(5)
+    words = [f"w{x:x}" for x in rng.integers(0, 2**24, 400_000).tolist()]
+    texts = [" ".join(words[(200 * k) % 400_000 :][:200]) for k in range(2000)] + ["the cat sat on the mat of a man " * 80] * 1600
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    got = [(len(b), len(b.column("ids").flatten())) for b in pieces.laid_in_pieces(own, batch)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = own.memory.units.nbytes + own.memory.ids.nbytes + own.memory.counts.nbytes
+    assert sum(n for n, _ in got) == len(texts) and sum(n for _, n in got) > 2_000_000
+    assert peak < 180_000_000 and kept <= 16_000_000, (peak, kept)
