@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geo import METRES_SQL, walk_minutes
 from tessera.operators import geo as op
-from tessera.operators import records, schedule, search
+from tessera.operators import schedule, search
 from tessera.plans.lenses import CUSTOMERS, NOW, SESSIONS, SUPPLIERS, places, read, sessions
 from tessera.plans.records import GREEDY
 
@@ -176,7 +176,7 @@ QUERIES = {
         lambda s, d: op.reach_limit(cus(s, d), (39_110_000, -84_510_000), F.col("id") % 400 == 7, 300, 200),
         W + f", b AS (SELECT id, {METRES_SQL.format(a='cu', b='o')} AS metres FROM cu, (SELECT 39110000 AS lat, -84510000 AS lng) o), r AS (SELECT greatest(max(metres), 300) + 200 AS reach FROM b WHERE id % 400 = 7) SELECT id, metres, reach FROM b, r WHERE metres <= reach",
     ),
-    "pair_by_proximity": (lambda s, d: records.mutual_best(op.within_radius(sup(s, d), cus(s, d), 600).withColumnRenamed("metres", "cost")), PAIRED),
+    "pair_by_proximity": (lambda s, d: op.paired(sup(s, d), cus(s, d), 600), PAIRED),
     "build_search_index": (lambda s, d: index(s, d).select("kind", "id", "ft", "fs"), f"WITH {INDEX} SELECT kind, id, ft, fs FROM ix"),
     "rank_search": (hits, HITS + " SELECT * FROM h WHERE rank <= 200"),
     "match_spans": (

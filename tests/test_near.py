@@ -68,3 +68,19 @@ def test_knn_brings_few_pairs_together(points, met_pairs):
     assert len(pairs_of(a, b, 400)) == 200_000
     assert geo.knn_within(points(a), points(b), 400, 3).count() == 300
     assert sum(met_pairs) < 20_000
+
+
+def test_pairing_against_one_pair_at_a_time(points, spark):
+    from tests.test_loops import greedy
+    a, b = scattered(5, 150, places=90), scattered(6, 400, places=120)
+    rows = spark.createDataFrame(pairs_of(a, b, 300), "a long, b long, cost long").collect()
+    assert sorted(map(tuple, geo.paired(points(a), points(b), 300).collect())) == greedy(rows)
+    assert geo.paired(points(a).limit(0), points(b), 300).count() == 0
+
+
+def test_pairing_brings_few_pairs_together(points, met_pairs):
+    """Each has a partner in its own place; 400 x 400 others lie within the radius."""
+    a = scattered(7, 400, 2000)
+    assert len(pairs_of(a, a, 600)) == 160_000
+    assert geo.paired(points(a), points(a), 600).count() == 400
+    assert sum(met_pairs) < 4_000
