@@ -84,3 +84,22 @@ def test_pairing_brings_few_pairs_together(points, met_pairs):
     assert len(pairs_of(a, a, 600)) == 160_000
     assert geo.paired(points(a), points(a), 600).count() == 400
     assert sum(met_pairs) < 4_000
+
+
+def test_nearest_seed_against_all_pairs(points):
+    a, b = scattered(11, 200, places=150) + [(700, None, None)] + edges(0, 250), scattered(12, 300, 9000, places=60) + edges(1, 250)
+    best = {}
+    for p in a[:200]:
+        for _, j, m in pairs_of([p], b[:300], 250):
+            best[p[0]] = min(best.get(p[0], (m, -j)), (m, -j))
+    want = [(p[0], -best[p[0]][1], best[p[0]][0]) if p[0] in best else (p[0], None, None) for p in a[:201]] + [(10_000 + i, 10_000 + i, 250) for i in range(1100)]
+    got = [tuple(r) for r in geo.nearest_seed(points(a), points(b), 250).collect()]
+    assert sorted(got) == sorted(want) and any(w[1] is None for w in want)
+
+
+def test_nearest_seed_brings_few_pairs_together(points, met_pairs):
+    """600 points in 300 places, 300 seeds in 100 within the radius: 180,000 pairs of ids, 30,000 of places."""
+    a, b = scattered(13, 600, 1000, places=300), scattered(14, 300, 1000, places=100)
+    assert len(pairs_of(a, b, 250)) == 180_000
+    assert geo.nearest_seed(points(a), points(b), 250).count() == 600
+    assert sum(met_pairs) < 6_000
