@@ -103,3 +103,11 @@ def test_nearest_seed_brings_few_pairs_together(points, met_pairs):
     assert len(pairs_of(a, b, 250)) == 180_000
     assert geo.nearest_seed(points(a), points(b), 250).count() == 600
     assert sum(met_pairs) < 6_000
+
+
+def test_a_name_that_the_table_repeats_counts_once(points, spark):
+    df = spark.createDataFrame([(1, "x", 10, 10), (2, "x", 20, 20), (3, "y", 30, 30), (4, None, None, None), (5, "y", 900, 900)], "id long, name string, lat long, lng long")
+    table = spark.createDataFrame([("x", "T"), ("x", "T"), ("x", "S")], "name string, table_hood string")
+    seeds = spark.createDataFrame([(1, 30, 31, "H1"), (2, 30, 31, "H2")], "id long, lat long, lng long, hood string")
+    got = sorted(tuple(r) for r in geo.hood_assignment(df, table, seeds, 5, (0, 100, 0, 100)).collect())
+    assert got == [(1, "S"), (2, "S"), (3, "H2"), (4, None), (5, None)]
