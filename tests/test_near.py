@@ -86,6 +86,25 @@ def test_pairing_brings_few_pairs_together(points, met_pairs):
     assert sum(met_pairs) < 4_000
 
 
+def test_radius_against_all_pairs(points, monkeypatch):
+    """Rounded distances at the edges of cells; places of more ids than a row holds; missing coordinates and ids."""
+    monkeypatch.setattr(geo, "HELD", 3)
+    a, b = scattered(8, 200, places=20), scattered(9, 300, places=50)
+    extra = [(500, None, 1), (501, 1, None), (None, 39_100_500, -84_500_500)]
+    got = [tuple(r) for r in geo.within_radius(points(a + extra), points(b + extra), 400).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    known = [p for p in extra if None not in p[1:]]
+    assert sorted(got, key=key) == sorted(pairs_of(a + known, b + known, 400), key=key)
+    got = sorted(map(tuple, geo.within_radius(points(edges(0, 400)), points(edges(1, 400)), 400).collect()))
+    assert [r for r in got if r[0] == r[1]] == [(10_000 + i, 10_000 + i, 400) for i in range(1100)]
+
+
+def test_radius_meets_places_not_ids(points, met_pairs):
+    rows = scattered(10, 600, 1000, places=10)
+    assert geo.within_radius(points(rows), points(rows), 400).count() == 360_000
+    assert sum(met_pairs) <= 100
+
+
 def test_nearest_seed_against_all_pairs(points):
     a, b = scattered(11, 200, places=150) + [(700, None, None)] + edges(0, 250), scattered(12, 300, 9000, places=60) + edges(1, 250)
     best = {}
