@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
-from tessera.operators.records import checkpointed
+from tessera.operators.records import checkpointed, numbered
 
 #: A trigram in more than this share of the texts of a side (and in more than COMMON_LEAST) is common.
 COMMON, COMMON_LEAST = 0.05, 100
@@ -133,29 +133,50 @@ def text_scores(entries: DataFrame, works: DataFrame, least: float = 0.9, alike:
 
     title: the larger of the Jaccard index of trigrams and the share of common words; an entry that is called "Mural" is compared
     as a mural by its credit. credit: the share of a work's names (of three letters or more) that the credit holds. One of the two
-    must reach half of ``least``, so that pairs meet by near trigrams, by two common words, or by a name."""
+    must reach half of ``least``, so that pairs meet by near trigrams, by two common words, or by a name.
+
+    Different titles are scored once, and so are different credits with different lists of names; entries and works meet on the
+    numbers of what scores, so that pairs are made at the end and never dealt or stored."""
     called = F.when(F.trim(spelled(F.col("title"))) == "mural", F.concat(F.lit("mural by "), F.coalesce("credit", F.lit("")))).otherwise(F.coalesce("title", F.lit("")))
     plain_mural = F.trim(spelled(F.col("title"))) == "mural"
-    x = checkpointed(entries.select("id", "medium", F.coalesce("credit", F.lit("")).alias("credit"), squashed(called).alias("text"), padded(squashed(called)).alias("grams"), F.when(plain_mural, F.array().cast("array<string>")).otherwise(words(F.col("title"))).alias("words")))
+    x = checkpointed(entries.select("id", "medium", F.coalesce("credit", F.lit("")).alias("credit"), squashed(called).alias("text"), F.when(plain_mural, F.array().cast("array<string>")).otherwise(words(F.col("title"))).alias("words")))
     some = F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda n: n.isNotNull() & (F.length(squashed(n)) >= 3))
-    y = checkpointed(works.select("id", "medium", some.alias("names"), squashed(F.coalesce("title", F.lit(""))).alias("text"), padded(squashed(F.coalesce("title", F.lit("")))).alias("grams"), words(F.col("title")).alias("words")))
-    # equal titles are looked up once, and so are equal credits and names
-    unique = lambda df: df.groupBy("text").agg(F.first("grams").alias("grams")).withColumnRenamed("text", "id")
-    near = near_sets(unique(x), unique(y), least / 2)
-    near = near.join(x.select(F.col("text").alias("a"), F.col("id").alias("x"), "medium"), "a").join(y.select(F.col("text").alias("b"), F.col("id").alias("y"), "medium"), ["b", "medium"])
-    met = near.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    y = checkpointed(works.select("id", "medium", some.alias("names"), squashed(F.coalesce("title", F.lit(""))).alias("text"), words(F.col("title")).alias("words")))
+
+    def forms(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        """The different values of columns, each with a whole number."""
+        found = numbered(rows.select(*columns).distinct(), [F.col(c) for c in columns], "nth")
+        return checkpointed(found.select(*columns, F.col("nth").cast("int").alias(name)))
+
+    tx, ty, cx, ny = forms(x, "t", "text", "words"), forms(y, "u", "text", "words"), forms(x, "c", "credit"), forms(y, "n", "names")
+    # by credit and title, of which there are many kinds, so that no few tasks make all pairs
+    x = x.join(tx, ["text", "words"]).join(cx, "credit").select("id", "medium", "t", "c")
+    x = checkpointed(x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "c"))
+    y = checkpointed(y.join(ty, ["text", "words"]).join(ny, "names").select("id", "medium", "u", "n"))
+
+    each = ny.select("n", F.size("names").alias("of"), F.explode("names").alias("name"))
+    fits = each.join(named(each.select("name").distinct(), cx.select("credit"), alike), "name").groupBy("n", "of", "credit").agg(F.count("*").alias("held"))
+    credits = checkpointed(fits.join(cx, "credit").select("c", "n", (F.col("held") / F.col("of")).alias("credit")))
+
+    unique = lambda df: df.select("text").distinct().select(F.col("text").alias("id"), padded(F.col("text")).alias("grams"))
+    near = near_sets(unique(tx), unique(ty), least / 2).join(tx.select(F.col("text").alias("a"), "t"), "a").join(ty.select(F.col("text").alias("b"), "u"), "b").select("t", "u")
     two = F.flatten(F.transform("words", lambda p: F.transform(F.filter("words", lambda q: q > p), lambda q: F.concat_ws(" ", p, q))))
-    keyed = lambda df, s: df.select(F.col("id").alias(s), "medium", F.explode(two).alias("key"))
-    met = met.unionByName(keyed(x, "a").join(keyed(y, "b"), ["key", "medium"]).select("a", "b"))
-    each = y.select(F.col("id").alias("b"), "medium", F.explode("names").alias("name"))
-    fits = named(each.select("name").distinct(), x.select("credit").distinct(), alike)
-    held = checkpointed(each.join(fits, "name").groupBy("b", "medium", "credit").agg(F.count("*").alias("held")))
-    met = met.unionByName(held.join(x.select(F.col("id").alias("a"), "medium", "credit"), ["credit", "medium"]).select("a", "b")).distinct()
-    side = lambda df, s: df.select(*(F.col(c).alias(s + c) for c in df.columns))
-    both = met.join(side(x, "x_"), F.col("a") == F.col("x_id")).join(side(y, "y_"), F.col("b") == F.col("y_id")).filter("x_medium = y_medium")
-    title = F.greatest(jaccard(F.col("x_grams"), F.col("y_grams")), overlap(F.col("x_words"), F.col("y_words")))
-    both = both.join(held.select("b", F.col("credit").alias("x_credit"), "held"), ["b", "x_credit"], "left")
-    credit = F.when(F.size("y_names") > 0, F.coalesce("held", F.lit(0)) / F.size("y_names")).otherwise(F.lit(0.0))
-    scored = both.select("a", "b", title.alias("t"), credit.alias("c")).filter(F.col("t") + F.col("c") >= least - 1e-9)
-    whole = lambda c: F.floor(F.col(c) * 1000 + 1e-6).cast("long")
-    return scored.select("a", "b", whole("t").alias("title"), whole("c").alias("credit"))
+    keyed = lambda df, s: df.select(s, F.explode(two).alias("key"))
+    near = near.unionByName(keyed(tx, "t").join(keyed(ty, "u"), "key").select("t", "u"))
+    # and what stands beside credits that count, by way of the names that a title meets
+    beside = x.select("medium", "t", "c").distinct().join(credits.filter(F.col("credit") >= least / 2 - 1e-9), "c").select("medium", "t", "n").distinct()
+    near = near.unionByName(beside.join(y.select("medium", "u", "n").distinct(), ["medium", "n"]).select("t", "u")).distinct()
+    left = tx.select("t", padded(F.col("text")).alias("x_grams"), F.col("words").alias("x_words"))
+    right = ty.select("u", padded(F.col("text")).alias("y_grams"), F.col("words").alias("y_words"))
+    score = F.greatest(jaccard(F.col("x_grams"), F.col("y_grams")), overlap(F.col("x_words"), F.col("y_words")))
+    titles = checkpointed(near.join(left, "t").join(right, "u").select("t", "u", score.alias("title")))
+
+    # what a credit alone doesn't reach needs a title of at least so much; all else comes by its credit
+    most = credits.filter(F.col("credit") < least - 1e-9).agg(F.max("credit")).first()[0] or 0.0
+    needed = min(least / 2, least - most) - 1e-9
+    a, b = x.withColumnRenamed("id", "a"), y.withColumnRenamed("id", "b")
+    by_title = a.join(titles.filter(F.col("title") >= needed), "t").join(b, ["medium", "u"]).join(credits, ["c", "n"], "left").withColumn("credit", F.coalesce("credit", F.lit(0.0)))
+    by_title = by_title.filter(F.col("title") + F.col("credit") >= least - 1e-9)
+    by_credit = a.join(credits.filter(F.col("credit") >= least - 1e-9), "c").join(b, ["medium", "n"]).join(titles.filter(F.col("title") < needed), ["t", "u"])
+    whole = lambda c: F.floor(F.col(c) * 1000 + 1e-6).cast("long").alias(c)
+    return by_title.select("a", "b", whole("title"), whole("credit")).unionByName(by_credit.select("a", "b", whole("title"), whole("credit")))
